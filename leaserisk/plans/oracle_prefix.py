@@ -7,6 +7,23 @@ CTEs a query does not reference are never evaluated.
 
 AS_OF_SQL = "DATE '1999-01-01'"
 
+SCORE_SQL = """CAST(least(greatest(
+           30
+           + CASE WHEN NOT autopay_enabled THEN 10 ELSE 0 END
+           + CASE WHEN complaint_count > 1 THEN 15 ELSE 0 END
+           + CASE WHEN condition_rating < 3 THEN 10 ELSE 0 END
+           + CASE WHEN property_age > 40 THEN 5 ELSE 0 END
+           + CASE WHEN rent_cents * 10 > market_rent_median * 1100 THEN 15
+                  WHEN rent_cents * 10 < market_rent_median * 900 THEN -10 ELSE 0 END
+           + CASE WHEN tenure_days > 720 THEN -10 WHEN tenure_days < 180 THEN 10 ELSE 0 END
+           + CASE WHEN vacancy_pct > 7 THEN -5 ELSE 0 END, 0), 100) AS INTEGER)"""
+
+RISK_SQL = """CAST(risk_score AS DOUBLE) / 100 AS churn_probability,
+         CASE WHEN risk_score >= 80 THEN 'HIGH' WHEN risk_score >= 50 THEN 'MEDIUM'
+              WHEN risk_score IS NOT NULL THEN 'LOW' END AS risk_level,
+         risk_score >= 50 AS predicted_churn,
+         CAST(abs(risk_score - 50) AS DOUBLE) / 50 AS confidence"""
+
 PREFIX = f"""
 WITH
 d_evc AS (
@@ -147,28 +164,41 @@ d_ctx AS (
   LEFT JOIN d_tenant t ON t.tenant_id = l.tenant_id
   LEFT JOIN d_property p ON p.property_id = l.property_id
   LEFT JOIN d_mkt m ON m.zip_code = p.zip_code),
-d_scored0 AS (
-  SELECT c.*,
-         CAST(least(greatest(
-           30
-           + CASE WHEN NOT autopay_enabled THEN 10 ELSE 0 END
-           + CASE WHEN complaint_count > 1 THEN 15 ELSE 0 END
-           + CASE WHEN condition_rating < 3 THEN 10 ELSE 0 END
-           + CASE WHEN property_age > 40 THEN 5 ELSE 0 END
-           + CASE WHEN rent_cents * 10 > market_rent_median * 1100 THEN 15
-                  WHEN rent_cents * 10 < market_rent_median * 900 THEN -10 ELSE 0 END
-           + CASE WHEN tenure_days > 720 THEN -10 WHEN tenure_days < 180 THEN 10 ELSE 0 END
-           + CASE WHEN vacancy_pct > 7 THEN -5 ELSE 0 END, 0), 100) AS INTEGER) AS risk_score
-  FROM d_ctx c),
-d_scored AS (
-  SELECT s.*,
-         CAST(risk_score AS DOUBLE) / 100 AS churn_probability,
-         CASE WHEN risk_score >= 80 THEN 'HIGH' WHEN risk_score >= 50 THEN 'MEDIUM'
-              WHEN risk_score IS NOT NULL THEN 'LOW' END AS risk_level,
-         risk_score >= 50 AS predicted_churn,
-         CAST(abs(risk_score - 50) AS DOUBLE) / 50 AS confidence
-  FROM d_scored0 s)
-"""
+d_scored0 AS (SELECT c.*, @SCORE@ AS risk_score FROM d_ctx c),
+d_scored AS (SELECT s.*, @RISK@ FROM d_scored0 s),
+d_runs AS (
+  SELECT CAST(r AS DATE) AS run_date
+  FROM (VALUES ('1998-11-01'), ('1998-12-01'), ('1999-01-01')) v(r)),
+d_mkt_run AS (
+  SELECT m.*, r.run_date FROM d_market m JOIN d_runs r ON m.data_date <= r.run_date
+  QUALIFY row_number() OVER (PARTITION BY m.zip_code, r.run_date ORDER BY m.data_date DESC) = 1),
+d_hctx AS (
+  SELECT l.*, r.run_date,
+         t.autopay_enabled, t.complaint_count,
+         p.zip_code, p.neighborhood, p.property_type, p.year_built, p.condition_rating,
+         p.latitude, p.longitude,
+         m.market_rent_median, m.vacancy_pct,
+         year(r.run_date) - p.year_built AS property_age,
+         CAST(date_diff('day', l.start_date, r.run_date) AS INTEGER) AS tenure_days,
+         CAST(date_diff('day', r.run_date, l.end_date) AS INTEGER) AS days_to_expiration
+  FROM d_lease l
+  JOIN d_runs r ON l.end_date > r.run_date AND l.end_date <= r.run_date + 90
+  LEFT JOIN d_tenant t ON t.tenant_id = l.tenant_id
+  LEFT JOIN d_property p ON p.property_id = l.property_id
+  LEFT JOIN d_mkt_run m ON m.zip_code = p.zip_code AND m.run_date = r.run_date),
+d_hist0 AS (SELECT c.*, @SCORE@ AS risk_score FROM d_hctx c),
+d_hist AS (
+  SELECT s.*, @RISK@, s.run_date AS prediction_date, CAST(s.run_date AS TIMESTAMP) AS predicted_at,
+         'rules-1.0' AS model_version
+  FROM d_hist0 s),
+d_latest AS (
+  SELECT * FROM d_hist
+  QUALIFY row_number() OVER (PARTITION BY lease_id ORDER BY predicted_at DESC) = 1),
+d_lease_pred AS (
+  SELECT l.*, h.prediction_date, h.predicted_at, h.risk_score, h.churn_probability, h.risk_level,
+         h.predicted_churn, h.confidence, h.model_version
+  FROM d_lease l LEFT JOIN d_latest h ON h.lease_id = l.lease_id)
+""".replace("@SCORE@", SCORE_SQL).replace("@RISK@", RISK_SQL)
 
 
 def q(body: str) -> str:
