@@ -73,10 +73,14 @@ def lease_context(dom, as_of=AS_OF) -> DataFrame:
 # A1 / A2: aggregates before the join
 # --------------------------------------------------------------------------
 def payment_aggregates(payments: DataFrame) -> DataFrame:
-    """A1: per lease sum/mean/sample-std/count of amount, days-late stats, last date."""
+    """A1: per lease sum/mean/sample-std/count of amount, days-late stats, last date.
+
+    Money sums run on integer cents (exact and order independent).
+    """
+    c = F.round(F.col("amount") * 100).cast("long")
     return payments.groupBy("lease_id").agg(
-        F.sum("amount").alias("total_paid"),
-        F.avg("amount").alias("avg_payment"),
+        (F.sum(c) / 100.0).alias("total_paid"),
+        (F.sum(c) / F.count("amount") / 100.0).alias("avg_payment"),
         F.stddev_samp("amount").alias("payment_std"),
         F.count("amount").alias("payment_count"),
         F.avg("days_late").alias("avg_days_late"),

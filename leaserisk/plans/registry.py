@@ -48,4 +48,4 @@ def register(name: str, sql: str | None = None, headline: bool = False):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from leaserisk.plans import core, reports  # noqa: F401
+    from leaserisk.plans import core, features, reports  # noqa: F401
