@@ -130,7 +130,7 @@ SELECT lease_id, round(CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE)
        CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / count(amount) / 100 AS avg_payment,
        round(stddev_samp(amount), 4) AS payment_std, count(amount) AS payment_count,
        round(avg(days_late), 4) AS avg_days_late, max(days_late) AS max_days_late,
-       sum(days_late) AS total_days_late, max(payment_date) AS last_payment_date,
+       sum(days_late) AS total_days_late, CAST(max(payment_date) AS VARCHAR) AS last_payment_date,
        sum(late_fee) AS total_late_fees
 FROM d_payment GROUP BY lease_id
 """))(lambda spark, sf: _rounded(FE.payment_aggregates(domain(spark, sf).payments())
@@ -153,8 +153,9 @@ def e1(spark, sf):
 
 
 register("e1_merged_sources", q(_AGG_CTES + """
-SELECT lease_id, tenant_id, property_id, zip_code, neighborhood, data_date, payment_count,
-       round(total_paid, 2) AS total_paid, last_payment_date, maintenance_count, high_priority_requests,
+SELECT lease_id, tenant_id, property_id, zip_code, neighborhood, CAST(data_date AS VARCHAR) AS data_date,
+       payment_count, round(total_paid, 2) AS total_paid, CAST(last_payment_date AS VARCHAR) AS last_payment_date,
+       maintenance_count, high_priority_requests,
        round(avg_resolution_days, 4) AS avg_resolution_days
 FROM d_fin
 """))(e1)

@@ -207,3 +207,13 @@ def q(body: str) -> str:
     if body.startswith(","):
         return PREFIX + body
     return PREFIX + "\n" + body
+
+
+def ds(expr: str, name: str) -> str:
+    """DATE output column as a yyyy-MM-dd string."""
+    return f"CAST({expr} AS VARCHAR) AS {name}"
+
+
+def ts(expr: str, name: str) -> str:
+    """TIMESTAMP output column as a fixed 6-digit-fraction string."""
+    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S.%f') AS {name}"

@@ -1,9 +1,9 @@
 """Named queries paired with their DuckDB oracle SQL.
 
 ``@register(name, sql)`` records a callable ``(spark, sf_dir) -> DataFrame``.
-Results are normalised for comparison in one final projection: date and
-timestamp columns become ISO strings and decimals become doubles (the
-oracle SQL casts the same way).
+Results are normalised for comparison in one final projection: dates become
+``yyyy-MM-dd`` strings, timestamps ``yyyy-MM-dd HH:mm:ss.SSSSSS`` strings and
+decimals doubles (the oracle SQL formats the same way, see ``ds``/``ts``).
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ def finalize(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        if isinstance(f.dataType, T.DateType):
             c = c.cast("string")
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
         cols.append(c.alias(f.name))
@@ -48,4 +50,4 @@ def register(name: str, sql: str | None = None, headline: bool = False):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from leaserisk.plans import core, features, reports  # noqa: F401
+    from leaserisk.plans import core, features, filters, reports, scalars  # noqa: F401

@@ -101,7 +101,7 @@ register("a23_ontology_metrics", q("SELECT " + ", ".join(
 
 # -- A16 trend, A17 cohorts, A18 heatmap, A20 roll-up, A21 window counts --------
 register("a16_risk_trend", q("""
-SELECT CAST(date_trunc('month', prediction_date) AS DATE) AS period,
+SELECT CAST(CAST(date_trunc('month', prediction_date) AS DATE) AS VARCHAR) AS period,
        count(*) AS predictions,
        round(avg(risk_score), 4) AS avg_risk_score,
        count(*) FILTER (WHERE risk_level = 'HIGH') AS high_risk,
@@ -161,7 +161,7 @@ FROM d_payment p JOIN d_lease l ON l.lease_id = p.lease_id GROUP BY l.tenant_id
 
 # -- K3 / K4 --------------------------------------------------------------------
 register("k03_high_risk_list", q("""
-SELECT lease_id, tenant_id, risk_score, risk_level, end_date
+SELECT lease_id, tenant_id, risk_score, risk_level, CAST(end_date AS VARCHAR) AS end_date
 FROM d_lease_pred WHERE status = 'active' AND risk_level IN ('HIGH', 'MEDIUM')
 ORDER BY risk_score DESC, lease_id LIMIT 50
 """))(lambda spark, sf: R.top_risk(_lp(spark, sf), 50)
@@ -170,7 +170,7 @@ ORDER BY risk_score DESC, lease_id LIMIT 50
 register("k04_lease_page", q("""
 , a AS (SELECT lease_id, tenant_id, end_date, monthly_rent FROM d_lease WHERE status = 'active'),
 t AS (SELECT count(*) AS total FROM a)
-SELECT p.*, t.total, 3 AS page, 50 AS "limit", CAST(ceil(CAST(t.total AS DOUBLE) / 50) AS BIGINT) AS total_pages
+SELECT p.lease_id, p.tenant_id, CAST(p.end_date AS VARCHAR) AS end_date, p.monthly_rent, t.total, 3 AS page, 50 AS "limit", CAST(ceil(CAST(t.total AS DOUBLE) / 50) AS BIGINT) AS total_pages
 FROM (SELECT * FROM a ORDER BY lease_id LIMIT 50 OFFSET 100) p, t
 """))(lambda spark, sf: R.page(domain(spark, sf).leases().filter(F.col("status") == "active")
                               .select("lease_id", "tenant_id", "end_date", "monthly_rent"),
