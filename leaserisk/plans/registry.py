@@ -50,5 +50,5 @@ def register(name: str, sql: str | None = None, headline: bool = False):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from leaserisk.plans import (core, features, filters, reports, retention, scalars,  # noqa: F401
+    from leaserisk.plans import (core, features, filters, reports, retention, scalars, semantic,  # noqa: F401
                                  warehouse)
