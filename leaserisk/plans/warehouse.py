@@ -208,7 +208,7 @@ _TRAIN_SQL = _EVENTS_SQL + f"""
         QUALIFY row_number() OVER (PARTITION BY lease_id ORDER BY event_date DESC) = 1),
 tv AS (
   SELECT h.lease_id, h.tenant_id, h.property_id, h.prediction_date, h.risk_score, h.churn_probability,
-         h.risk_level,
+         h.risk_level, h.predicted_churn,
          1999 - year(t.date_of_birth) - CASE WHEN 101 < month(t.date_of_birth) * 100 + day(t.date_of_birth)
                                              THEN 1 ELSE 0 END AS age,
          CASE WHEN t.annual_income < 50000 THEN '<50k' WHEN t.annual_income < 75000 THEN '50k-75k'
