@@ -177,37 +177,8 @@ class Domain:
                           .agg(F.min("l_partkey").alias("property_id")))
 
     def leases(self) -> DataFrame:
-        def build():
-            o = self.raw("orders")
-            k = F.col("o_orderkey")
-            as_of = _lit_date(self.as_of)
-            start = F.to_date(F.col("o_orderdate"))
-            term = F.when(k % 10 == 0, 24).otherwise(12)
-            rent_cents = 150000 + F.floor((cents(F.col("o_totalprice")) + 125) / 250).cast("long")
-            base = o.select(
-                k.alias("lease_id"),
-                F.col("o_custkey").alias("tenant_id"),
-                start.alias("start_date"),
-                term.cast("int").alias("lease_term_months"),
-                F.date_add(start, (term * 30).cast("int")).alias("end_date"),
-                rent_cents.alias("rent_cents"),
-                (rent_cents / 100.0).alias("monthly_rent"),
-                (rent_cents * (2 + k % 3) / 200.0).alias("security_deposit"),
-                (k % 6).cast("int").alias("renewal_count"),
-                ((k % 9) / 100.0).alias("last_rent_increase_pct"),
-                F.col("o_orderstatus").alias("order_status"),
-            )
-            end = F.col("end_date")
-            return (base.join(self.lease_property(), "lease_id", "left")
-                    .select("lease_id", "tenant_id", "property_id", "start_date", "end_date",
-                            "lease_term_months", "rent_cents", "monthly_rent", "security_deposit",
-                            "renewal_count", "last_rent_increase_pct",
-                            F.when(end > F.date_add(as_of, 90), "active")
-                            .when(end > as_of, "pending-renewal")
-                            .when(F.col("order_status") == "F", "not-renewed")
-                            .otherwise("renewed").alias("renewal_status"),
-                            F.when(end > as_of, "active").otherwise("expired").alias("status")))
-        return self._memo("leases", build)
+        return self._memo("leases", lambda: leases_from_orders(self.raw("orders"), self.lease_property(),
+                                                               self.as_of))
 
     def payments(self) -> DataFrame:
         def build():
@@ -268,5 +239,39 @@ class Domain:
         return self._memo("engagement", build)
 
 
+def leases_from_orders(orders: DataFrame, lease_property: DataFrame, as_of=AS_OF) -> DataFrame:
+    """orders (+ property of the lease) -> leases; works on batch and streaming
+    frames alike (the property side is a static, pre-aggregated table)."""
+    o = orders
+    k = F.col("o_orderkey")
+    a = _lit_date(as_of)
+    start = F.to_date(F.col("o_orderdate"))
+    term = F.when(k % 10 == 0, 24).otherwise(12)
+    rent_cents = 150000 + F.floor((cents(F.col("o_totalprice")) + 125) / 250).cast("long")
+    base = o.select(
+        k.alias("lease_id"),
+        F.col("o_custkey").alias("tenant_id"),
+        start.alias("start_date"),
+        term.cast("int").alias("lease_term_months"),
+        F.date_add(start, (term * 30).cast("int")).alias("end_date"),
+        rent_cents.alias("rent_cents"),
+        (rent_cents / 100.0).alias("monthly_rent"),
+        (rent_cents * (2 + k % 3) / 200.0).alias("security_deposit"),
+        (k % 6).cast("int").alias("renewal_count"),
+        ((k % 9) / 100.0).alias("last_rent_increase_pct"),
+        F.col("o_orderstatus").alias("order_status"),
+    )
+    end = F.col("end_date")
+    return (base.join(lease_property, "lease_id", "left")
+            .select("lease_id", "tenant_id", "property_id", "start_date", "end_date",
+                    "lease_term_months", "rent_cents", "monthly_rent", "security_deposit",
+                    "renewal_count", "last_rent_increase_pct",
+                    F.when(end > F.date_add(a, 90), "active")
+                    .when(end > a, "pending-renewal")
+                    .when(F.col("order_status") == "F", "not-renewed")
+                    .otherwise("renewed").alias("renewal_status"),
+                    F.when(end > a, "active").otherwise("expired").alias("status")))
+
+
 def domain(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> Domain:
     return Domain(spark, sf_dir, as_of)
