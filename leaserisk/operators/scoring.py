@@ -71,3 +71,16 @@ def with_rule_risk(df: DataFrame, as_of_col: Column | None = None) -> DataFrame:
                 "predicted_churn": F.col("risk_score") >= 50,
                 "confidence": F.abs(F.col("risk_score") - 50) / 50.0,
             }))
+
+
+def risk_factors() -> Column:
+    """Names of the rule terms that raised the score, comma separated (the
+    'top features' of a rule prediction).  concat_ws skips the nulls."""
+    return F.concat_ws(
+        ",",
+        F.when(~F.col("autopay_enabled"), F.lit("no_autopay")),
+        F.when(F.col("complaint_count") > 1, F.lit("complaints")),
+        F.when(F.col("condition_rating") < 3, F.lit("poor_condition")),
+        F.when(F.col("property_age") > 40, F.lit("old_property")),
+        F.when(F.col("rent_cents") * 10 > F.col("market_rent_median") * 1100, F.lit("rent_above_market")),
+        F.when(F.col("tenure_days") < 180, F.lit("short_tenure")))

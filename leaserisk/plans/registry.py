@@ -51,5 +51,5 @@ def register(name: str, sql: str | None = None, headline: bool = False):
 def load_all() -> None:
     """Import every module that registers queries."""
     from leaserisk.plans import (core, features, filters, modeling, reports, retention, scalars,  # noqa: F401
-                                 semantic, ml_models, streams,
+                                 semantic, ml_models, streams, sources, facts,
                                  warehouse)
