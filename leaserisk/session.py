@@ -36,18 +36,26 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_LOCAL_CKPT: dict = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for checkpoints, stream state and intermediate tables.
 
-    On a cluster this comes from ``spark.checkpoint.dir`` (a shared file
-    system path).  Only when it is unset (local tests) a fresh scratch
-    folder is created and registered.
+    On a cluster this is ``spark.checkpoint.dir`` (a shared file system path
+    named by the cluster).  Only when it is unset (local tests) a fresh
+    scratch folder is created once per application and registered with
+    ``setCheckpointDir`` (``spark.checkpoint.dir`` itself is a static conf).
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not d:
-        d = tempfile.mkdtemp(prefix="leaserisk-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        app = sc.applicationId
+        if app not in _LOCAL_CKPT:
+            _LOCAL_CKPT[app] = tempfile.mkdtemp(prefix="leaserisk-ckpt-")
+        d = _LOCAL_CKPT[app]
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d.rstrip("/")
 
 
