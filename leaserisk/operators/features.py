@@ -52,13 +52,14 @@ def market_as_of_rows(rows: DataFrame, market: DataFrame, row_key: str, date_col
     return j.groupBy(row_key).agg(F.max_by("m", "_md").alias("m")).select(row_key, "m.*")
 
 
-def lease_context(dom, as_of=AS_OF) -> DataFrame:
-    """Leases with tenant, property and as-of market columns."""
+def lease_context(dom, as_of=AS_OF, leases: DataFrame | None = None) -> DataFrame:
+    """Leases (all, or the given subset) with tenant, property and as-of market
+    columns (J1, J2, J5)."""
     a = as_of_col(as_of)
     t = dom.tenants().select(*TENANT_COLS)
     p = dom.properties().select(*PROPERTY_COLS)
     m = F.broadcast(market_as_of(dom.market_data(), as_of))  # one row per zip
-    return (dom.leases()
+    return ((leases if leases is not None else dom.leases())
             .join(t, "tenant_id", "left")
             .join(p, "property_id", "left")
             .join(m, "zip_code", "left")

@@ -46,7 +46,8 @@ def prediction_history(dom, runs: list | None = None, days: int = RENEWAL_WINDOW
     r = F.explode(F.array(*[F.lit(str(d)).cast("date") for d in runs])).alias("run_date")
     end = F.col("end_date")
     rd = F.col("run_date")
-    leases = (dom.leases().select("*", r)
+    lo, hi = min(runs), max(runs) + dt.timedelta(days=days)
+    leases = (dom.leases_ending(lo, hi).select("*", r)
               .filter((end > rd) & (end <= F.date_add(rd, days))))
     t = dom.tenants().select(*FE.TENANT_COLS)
     p = dom.properties().select(*FE.PROPERTY_COLS)

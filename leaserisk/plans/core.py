@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from leaserisk.config import AS_OF
@@ -19,8 +21,9 @@ def scored_leases(spark, sf_dir, as_of=AS_OF):
 
 
 def renewal_risk_by_neighborhood(spark, sf_dir, as_of=AS_OF, days=90):
-    s = scored_leases(spark, sf_dir, as_of)
-    w = s.filter(P.renewal_window(as_of, days))
+    dom = domain(spark, sf_dir, as_of)
+    window = dom.leases_ending(as_of, as_of + dt.timedelta(days=days))
+    w = S.with_rule_risk(FE.lease_context(dom, as_of, window)).filter(P.renewal_window(as_of, days))
     return (w.groupBy("neighborhood").agg(
         F.count("*").alias("leases"),
         F.count_if(F.col("risk_level") == "HIGH").alias("high_risk"),
