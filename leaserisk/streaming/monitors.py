@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,22 @@ DELAY = "1 hour"
 RESPONSE_HOURS = 48
 
 
+def _is_dir(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hp).isDirectory()
+
+
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1000).parquet(sf_dir))
+    """File-stream source over ``<sf_dir>/<table>.parquet``: a folder of part
+    files is streamed as is; a single file is picked out of its folder with a
+    glob filter."""
+    path = f"{sf_dir}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000)
+    if _is_dir(spark, path):
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def _events(spark, sf_dir, types) -> DataFrame:
@@ -83,38 +96,45 @@ _H_US = RESPONSE_HOURS * 3600 * 1_000_000
 
 
 def _t1_state(key, pdfs, state: GroupState):
-    """Pending actions per tenant; the first click inside [t, t + 48 h] answers
-    an action; when the watermark passes t + 48 h it escalates (NO_RESPONSE)."""
+    """Per tenant: the first click inside [t, t + 48 h] answers an action; once
+    the watermark passes t + 48 h an unanswered action escalates (NO_RESPONSE).
+
+    State = ``waiting`` (time-ordered actions that a later click can still
+    answer) and ``expired`` (past their window, emitted when the watermark
+    passes).  Rows are handled in time order, so a click pops expired actions
+    from the front and answers all the rest: linear per micro-batch.
+    """
     tenant = int(key[0])
-    pending = json.loads(state.get[0]) if state.exists else []
+    st = json.loads(state.get[0]) if state.exists else {"w": [], "x": []}
+    waiting, expired = deque(st["w"]), st["x"]
     out = []
     if state.hasTimedOut:
         wm_us = state.getCurrentWatermarkMs() * 1000
-        keep = []
-        for aid, t in pending:
+        keep_x = []
+        for aid, t in list(expired) + list(waiting):
             if t + _H_US < wm_us:
                 out.append((aid, tenant, t, None, "NO_RESPONSE"))
             else:
-                keep.append([aid, t])
-        pending = keep
+                keep_x.append([aid, t])
+        waiting, expired = deque(), keep_x
     else:
         pdf = pd.concat(list(pdfs), ignore_index=True)
         pdf["t"] = pdf["ts"].astype("datetime64[us]").astype("int64")
         pdf["k"] = (pdf["event_type"] == "click").astype(int)
-        for row in pdf.sort_values(["t", "k", "event_id"]).itertuples(index=False):
-            if row.k == 0:
-                pending.append([int(row.event_id), int(row.t)])
+        pdf = pdf.sort_values(["t", "k", "event_id"])
+        for aid, t, k in zip(pdf["event_id"].tolist(), pdf["t"].tolist(), pdf["k"].tolist()):
+            if k == 0:
+                waiting.append([int(aid), int(t)])
                 continue
-            keep = []
-            for aid, t in pending:
-                if t <= row.t <= t + _H_US:
-                    out.append((aid, tenant, t, int(row.t), "RESPONDED"))
-                else:
-                    keep.append([aid, t])
-            pending = keep
-    if pending:
-        state.update((json.dumps(pending),))
-        state.setTimeoutTimestamp(min(t for _, t in pending) // 1000 + RESPONSE_HOURS * 3600 * 1000)
+            while waiting and waiting[0][1] + _H_US < t:
+                expired.append(waiting.popleft())
+            while waiting:
+                a, ta = waiting.popleft()
+                out.append((a, tenant, ta, int(t), "RESPONDED"))
+    if waiting or expired:
+        state.update((json.dumps({"w": list(waiting), "x": expired}),))
+        first = min(t for _, t in list(waiting) + list(expired))
+        state.setTimeoutTimestamp(first // 1000 + RESPONSE_HOURS * 3600 * 1000)
     else:
         state.remove()
     if out:
