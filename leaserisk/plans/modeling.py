@@ -83,7 +83,7 @@ def m01(spark, sf):
     return out.select("lease_id", *[c + "_idx" for c in _ENC])
 
 
-register("m01_label_encode", q(_FM_SQL + _TRAIN_SQL.replace("\n, b AS", ",\nb AS", 1) + """
+register("m01_label_encode", q(_FM_SQL + _TRAIN_SQL + """
 , fmp AS (SELECT fm.*, p.property_type FROM fm LEFT JOIN d_property p ON p.property_id = fm.property_id),
 fit AS (SELECT * FROM fmp WHERE lease_id IN (SELECT lease_id FROM tv WHERE training_set)),
 v1 AS (SELECT property_type AS v, dense_rank() OVER (ORDER BY property_type) - 1 AS i

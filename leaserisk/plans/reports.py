@@ -9,6 +9,7 @@ from leaserisk.operators import predictions as PR
 from leaserisk.operators import reports as R
 from leaserisk.plans.oracle_prefix import q
 from leaserisk.plans.registry import register
+from leaserisk.plans.warehouse import _TRAIN_SQL
 from leaserisk.sources.driver import domain
 
 
@@ -175,3 +176,80 @@ FROM (SELECT * FROM a ORDER BY lease_id LIMIT 50 OFFSET 100) p, t
 """))(lambda spark, sf: R.page(domain(spark, sf).leases().filter(F.col("status") == "active")
                               .select("lease_id", "tenant_id", "end_date", "monthly_rent"),
                               "lease_id", page_no=3, limit=50))
+
+
+# -- A19: dashboard KPIs (small aggregates joined on a literal key) ----------------------
+def a19(spark, sf):
+    from leaserisk.operators import evaluate as EV
+    from leaserisk.operators import prep as PP
+    from leaserisk.plans.facts import action_fact
+    from leaserisk.plans.warehouse import training_view
+    dom = domain(spark, sf)
+    lp = PR.leases_with_prediction(dom).filter((F.col("status") == "active") & F.col("risk_level").isNotNull())
+    k1 = lp.agg(F.count(F.lit(1)).alias("predicted_active"),
+                (M.count_level("HIGH") + M.count_level("MEDIUM")).alias("at_risk"),
+                F.round(M.ratio(M.count_predicted_churn(), F.count(F.lit(1))), 6).alias("churn_rate"))
+    k1 = k1.withColumn("estimated_savings", F.round(F.col("at_risk") * 0.35).cast("long") * 3000)
+    month = F.trunc(F.lit(str(dom.as_of)).cast("date"), "month")
+    k2 = (PR.prediction_history(dom).filter(F.trunc("prediction_date", "month") == month)
+          .agg(F.count(F.lit(1)).alias("predictions_this_month")))
+    af = action_fact(dom)
+    k3 = af.agg(F.count(F.lit(1)).alias("actions_sent"),
+                F.round(M.ratio(F.count_if("response_received"), F.count(F.lit(1))), 6).alias("response_rate"))
+    k4 = EV.confusion(training_view(spark, sf).filter("training_set")).select(
+        F.col("accuracy").alias("prediction_accuracy"))
+    return PP._attach(PP._attach(PP._attach(k1, k2), k3), k4)
+
+
+register("a19_dashboard_kpis", q("""
+, k1 AS (SELECT count(*) AS predicted_active,
+                count(*) FILTER (WHERE risk_level IN ('HIGH', 'MEDIUM')) AS at_risk,
+                round(CAST(count(*) FILTER (WHERE predicted_churn) AS DOUBLE) / nullif(count(*), 0), 6) AS churn_rate
+         FROM d_lease_pred WHERE status = 'active' AND risk_level IS NOT NULL),
+k2 AS (SELECT count(*) AS predictions_this_month FROM d_hist
+       WHERE date_trunc('month', prediction_date) = DATE '1999-01-01'),
+cur AS (SELECT tenant_id, lease_id FROM d_lease
+        QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY start_date DESC, lease_id DESC) = 1),
+a AS (SELECT d.* FROM d_action d JOIN cur ON cur.tenant_id = d.tenant_id),
+r AS (SELECT a.action_id, count(c.event_id) > 0 AS responded FROM a LEFT JOIN events c
+        ON c.event_type = 'click' AND c.user_id = a.tenant_id AND c.ts >= a.triggered_at
+       AND c.ts <= a.triggered_at + INTERVAL 48 HOUR GROUP BY 1),
+k3 AS (SELECT count(*) AS actions_sent,
+              round(CAST(count(*) FILTER (WHERE responded) AS DOUBLE) / nullif(count(*), 0), 6) AS response_rate
+       FROM r)
+""" + _TRAIN_SQL + """
+, k4 AS (SELECT round(CASE WHEN count(*) = 0 THEN 0 ELSE CAST(count(*) FILTER (WHERE (churned = 1) = predicted_churn)
+                AS DOUBLE) / count(*) END, 6) AS prediction_accuracy FROM tv WHERE training_set)
+SELECT k1.predicted_active, k1.at_risk, k1.churn_rate,
+       CAST(round(k1.at_risk * CAST(0.35 AS DOUBLE)) AS BIGINT) * 3000 AS estimated_savings,
+       k2.predictions_this_month, k3.actions_sent, k3.response_rate, k4.prediction_accuracy
+FROM k1, k2, k3, k4
+"""))(a19)
+
+
+# -- A25: per-column profile in one pass ------------------------------------------------------
+_PROFILE = ["avg_days_late", "days_since_last_payment", "property_age", "rent_to_income_ratio", "square_feet",
+            "payment_method", "market_rent_median", "total_late_fees"]
+
+
+def a25(spark, sf):
+    from leaserisk.operators import features as FE
+    fm = FE.feature_matrix(FE.feature_input(domain(spark, sf)))
+    agg = fm.agg(*[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in _PROFILE],
+                 *[F.count(F.lit(1)).alias("rows")])
+    stack = "stack({}, {}) AS (column_name, null_count)".format(
+        len(_PROFILE), ", ".join(f"'{c}', n_{c}" for c in _PROFILE))
+    return agg.selectExpr("rows", stack).select("column_name", "null_count",
+                                                (F.col("null_count") > 0).alias("has_nulls"), "rows")
+
+
+def _a25_sql():
+    from leaserisk.plans.features import GROUP_SQL, _AGG_CTES
+    fm = _AGG_CTES + ", fm AS (SELECT lease_id, " + ",\n  ".join(
+        c for g in GROUP_SQL.values() for c in g) + " FROM d_fin)\n"
+    parts = [f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count, "
+             f"count(*) FILTER (WHERE {c} IS NULL) > 0 AS has_nulls, count(*) AS rows FROM fm" for c in _PROFILE]
+    return q(fm + "\nUNION ALL\n".join(parts))
+
+
+register("a25_column_profile", _a25_sql())(a25)
