@@ -43,6 +43,10 @@ def market_for_runs(market: DataFrame, runs: list) -> DataFrame:
 def prediction_history(dom, runs: list | None = None, days: int = RENEWAL_WINDOW_DAYS) -> DataFrame:
     """One row per (lease, run) for leases inside the run's renewal window."""
     runs = runs or default_runs(dom.as_of)
+    return dom._memo(("history", tuple(runs), days), lambda: _prediction_history(dom, runs, days))
+
+
+def _prediction_history(dom, runs: list, days: int) -> DataFrame:
     r = F.explode(F.array(*[F.lit(str(d)).cast("date") for d in runs])).alias("run_date")
     end = F.col("end_date")
     rd = F.col("run_date")

@@ -191,11 +191,15 @@ def scd2_lookup(facts: DataFrame, versions: DataFrame, key: str, date_col: str)
     Versions per key are few (one per attribute change), and AQE's skew-join
     split handles a hot key on the fact side.
     """
-    v = versions.select(key, "version_key", "effective_date", "end_date",
+    # Column names on the version side are made unique first: both sides may
+    # derive from the same plan, where column objects would be ambiguous.
+    v = versions.select(F.col(key).alias("_vkey"), "version_key", "effective_date",
+                        F.col("end_date").alias("_vend"),
                         *[c for c in versions.columns if c in SCD_TRACKED])
-    cond = ((facts[key] == v[key]) & (v["effective_date"] <= facts[date_col])
-            & (v["end_date"].isNull() | (facts[date_col] < v["end_date"])))
-    return facts.join(v, cond, "left").drop(v[key])
+    d = F.col(date_col)
+    cond = ((F.col(key) == F.col("_vkey")) & (F.col("effective_date") <= d)
+            & (F.col("_vend").isNull() | (d < F.col("_vend"))))
+    return facts.join(v, cond, "left").drop("_vkey").withColumnRenamed("_vend", "version_end_date")
 
 
 # -- D6 / W3 / W6: monthly payment behaviour -------------------------------------

@@ -300,5 +300,14 @@ def leases_from_orders(orders: DataFrame, lease_property: DataFrame, as_of=AS_OF
                     F.when(end > a, "active").otherwise("expired").alias("status")))
 
 
+_DOMAINS: dict = {}
+
+
 def domain(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> Domain:
-    return Domain(spark, sf_dir, as_of)
+    """One Domain per (application, folder, as_of): its tables are immutable
+    lazy plans, so every query of an application reuses the same definitions
+    instead of re-analysing them."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), str(as_of))
+    if key not in _DOMAINS:
+        _DOMAINS[key] = Domain(spark, sf_dir, as_of)
+    return _DOMAINS[key]
