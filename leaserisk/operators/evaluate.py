@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leaserisk.functions.stats import with_stats
+
 
 def _div(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
@@ -74,8 +76,7 @@ def psi(expected: DataFrame, actual: DataFrame, bucket: Column) -> DataFrame:
     e = expected.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("ne"))
     a = actual.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("na"))
     j = e.join(a, "b", "full").fillna(0, ["ne", "na"])
-    tot = j.agg(F.sum("ne").alias("te"), F.sum("na").alias("ta"))
-    j = j.join(F.broadcast(tot.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).drop("_one")
+    j = with_stats(j, j.agg(F.sum("ne").alias("te"), F.sum("na").alias("ta")))
     pe = F.greatest(F.col("ne") / F.col("te"), F.lit(1e-4))
     pa = F.greatest(F.col("na") / F.col("ta"), F.lit(1e-4))
     return j.agg(F.round(F.sum((pa - pe) * F.log(pa / pe)), 6).alias("psi"))

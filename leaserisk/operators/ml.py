@@ -22,6 +22,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leaserisk.functions.stats import with_stats
 from leaserisk.operators import prep as PP
 from leaserisk.operators import scoring as S
 
@@ -50,12 +51,11 @@ def split(df: DataFrame, key: str = "lease_id", seed: int = 42, test_pct: int =
 
 
 def class_weight_col(df: DataFrame, label: str = "label") -> DataFrame:
-    """A26 as a weight column: positives weighted (1 - r) / r (one-row stats join)."""
+    """A26 as a weight column: positives weighted (1 - r) / r (rate as a scalar subquery)."""
     r = df.agg((F.sum(label) / F.count(F.lit(1))).alias("_r"))
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(r.withColumn("_one", F.lit(1))), "_one")
+    return (with_stats(df, r)
             .withColumn("weight", F.when(F.col(label) == 1, (1 - F.col("_r")) / F.col("_r")).otherwise(1.0))
-            .drop("_one", "_r"))
+            .drop("_r"))
 
 
 def prepare(train: DataFrame, rows: DataFrame | None = None):

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leaserisk.functions.stats import with_stats
+
 # percentile_approx accuracy: 1/ACCURACY relative rank error; exact on small data.
 MEDIAN_ACCURACY = 1_000_000
 
@@ -140,13 +142,11 @@ def fit_pipeline(df: DataFrame, numeric_cols, categorical_cols) -> FeaturePipeli
 
 
 # ---------------------------------------------------------------------------
-# Lazy plan forms: statistics stay a one-row DataFrame joined back on a literal
-# key (broadcast hash join of one row), so a query never runs an action while
-# it is being built.
+# Lazy plan forms: statistics stay a one-row DataFrame attached as a scalar
+# subquery, so a query never runs an action while it is being built.
 # ---------------------------------------------------------------------------
 def _attach(df: DataFrame, stats: DataFrame) -> DataFrame:
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    return with_stats(df, stats)
 
 
 def impute_plan(df: DataFrame, numeric_cols, categorical_cols=()) -> tuple[DataFrame, DataFrame]:

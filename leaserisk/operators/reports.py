@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leaserisk.config import PREVENTABLE_SHARE, SAVING_PER_PREVENTED, TURNOVER_COST
 from leaserisk.functions import measures as M
+from leaserisk.functions.stats import with_stats
 
 
 def risk_summary(leases_pred: DataFrame, extended: bool = False) -> DataFrame:
@@ -93,15 +94,13 @@ def top_risk(scored: DataFrame, n: int = 50, levels=("HIGH", "MEDIUM")) -> DataF
 def page(df: DataFrame, key: str, page_no: int = 1, limit: int = 50, max_limit: int = 100) -> DataFrame:
     """K4: page/offset form with total and total_pages columns.
 
-    The total comes from one count aggregate joined on a literal key (no
-    second scan of the driver).  For deep paging use ``keyset_page``.
+    The total is one count aggregate attached as a scalar subquery.  For deep paging use ``keyset_page``.
     """
     limit = max(1, min(limit, max_limit))
     page_no = max(1, page_no)
     rows = df.orderBy(F.col(key)).offset((page_no - 1) * limit).limit(limit)
-    total = df.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
-    # equi-join on a literal key with a one-row side: a broadcast hash join
-    return (rows.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return (with_stats(rows, total)
             .withColumns({"page": F.lit(page_no), "limit": F.lit(limit),
                           "total_pages": F.ceil(F.col("total") / F.lit(limit)).cast("long")}))
 
