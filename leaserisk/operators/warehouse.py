@@ -2,10 +2,11 @@
 
 Scale notes
 -----------
-* Windows are always partitioned by a bounded natural key (lease or tenant);
-  none is global.  Payments per lease and leases per tenant are bounded, so
-  a window partition stays small; a hot tenant is a single sort, never a
-  pairwise expansion.
+* Windows are partitioned by lease (months of payments per lease are bounded
+  by the lease term).  Per-tenant orderings (previous lease, running counts,
+  SCD2 change detection) use ``windows.ordered_neighbors``: windows inside
+  (tenant, month) plus a per-tenant window over monthly summaries, so a hot
+  tenant is spread over its months instead of one task.
 * Surrogate keys are ``xxhash64`` of the natural key (+ version date), so
   they are stable across runs without a global ``row_number``.
 * The date dimension is generated from the data's own date range with
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from leaserisk.config import AS_OF, FISCAL_YEAR_START_MONTH, INCOME_BRACKETS, PAYMENT_TREND_DELTA
 from leaserisk.functions import scalars as X
+from leaserisk.operators.windows import ordered_neighbors
 
 # Fixed holiday list (month, day) used for is_holiday; a parameter.
 HOLIDAYS = [(1, 1), (7, 4), (12, 25)]
@@ -147,18 +149,18 @@ def scd2_from_history(snap: DataFrame, key: str = "tenant_id", date_col: str = "
                       tracked=SCD_TRACKED) -> DataFrame:
     """D2 from full history: keep rows whose tracked attributes differ from
     the previous snapshot, then end_date = next version's effective date (W4)."""
-    w = Window.partitionBy(key).orderBy(date_col)
     # one snapshot per (key, date): the smallest attribute tuple wins
-    dedup = (snap.groupBy(key, date_col).agg(F.min(F.struct(*tracked)).alias("s"))
-             .select(key, date_col, "s.*"))
-    cur = F.struct(*tracked)
-    changes = (dedup.withColumn("_prev", F.lag(cur).over(w))
-               .filter(F.col("_prev").isNull() | (F.col("_prev") != cur)))
-    return (changes.select(
-        F.xxhash64(key, date_col).alias("version_key"), key, *tracked,
-        F.col(date_col).alias("effective_date"),
-        F.lead(date_col).over(w).alias("end_date"))
-        .withColumn("is_current", F.col("end_date").isNull()))
+    dedup = (snap.groupBy(key, date_col).agg(F.min(F.struct(*tracked)).alias("attrs")))
+    bucket = F.trunc(date_col, "month")
+    # previous snapshot's attributes and the next change date, both skew safe
+    prev = ordered_neighbors(dedup, key, bucket, [date_col], prev_cols=["attrs"])
+    changes = prev.filter(F.col("prev_attrs").isNull() | (F.col("prev_attrs") != F.col("attrs")))
+    nxt = ordered_neighbors(changes.select(key, date_col, "attrs"), key, bucket, [date_col], next_cols=[date_col])
+    return (nxt.select(F.xxhash64(key, date_col).alias("version_key"), key,
+                       *[F.col(f"attrs.{c}").alias(c) for c in tracked],
+                       F.col(date_col).alias("effective_date"),
+                       F.col(f"next_{date_col}").alias("end_date"))
+            .withColumn("is_current", F.col("end_date").isNull()))
 
 
 def scd2_merge(current: DataFrame, incoming: DataFrame, key: str, tracked, as_of=AS_OF) -> DataFrame:
@@ -244,12 +246,13 @@ def lease_events(leases: DataFrame, history: DataFrame | None = None, as_of=AS_O
     prediction made on or before the event date (as-of join per lease).
     """
     a = _a(as_of)
-    w = Window.partitionBy("tenant_id").orderBy("start_date", "lease_id")
-    base = (leases
-            .withColumn("prev_rent", F.lag("monthly_rent").over(w))
-            .withColumn("prior_leases", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-            .withColumn("prior_months", F.coalesce(
-                F.sum("lease_term_months").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    # lag / running count / running sum per tenant, skew safe (monthly buckets)
+    base = (ordered_neighbors(leases, "tenant_id", F.trunc("start_date", "month"), ["start_date", "lease_id"],
+                              prev_cols=["monthly_rent"],
+                              prior_sums={"prior_months": F.col("lease_term_months")},
+                              prior_count="prior_leases")
+            .withColumnRenamed("prev_monthly_rent", "prev_rent")
+            .withColumn("prior_months", F.coalesce(F.col("prior_months"), F.lit(0))))
     end_type = F.when(F.col("renewal_status") == "renewed", "RENEWAL").otherwise("EXPIRATION")
     ev = F.array(
         F.struct(F.col("start_date").alias("event_date"), F.lit("NEW").alias("event_type")),

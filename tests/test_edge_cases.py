@@ -243,3 +243,22 @@ def test_top_k_per_group_matches_brute_force(spark):
     for k in got:
         exp = sorted([(v, i) for kk, v, i in rows if kk == k], key=lambda t: (-t[0], t[1]))[:3]
         assert [(v, i) for _, v, i in sorted(got[k])] == exp
+
+
+def test_ordered_neighbors_equals_plain_window_with_hot_key(spark):
+    from pyspark.sql import Window
+    from leaserisk.operators.windows import ordered_neighbors
+    rnd = random.Random(11)
+    base = dt.date(1995, 1, 1)
+    rows = [(0 if rnd.random() < 0.34 else rnd.randint(1, 30), i, base + dt.timedelta(days=rnd.randint(0, 900)),
+             rnd.randint(1, 9)) for i in range(800)]
+    df = spark.createDataFrame(rows, "k long, id long, d date, v int")
+    w = Window.partitionBy("k").orderBy("d", "id")
+    plain = {r.id: (r.pv, r.nd, r.s, r.c) for r in df.select(
+        "id", F.lag("v").over(w).alias("pv"), F.lead("d").over(w).alias("nd"),
+        F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("s"),
+        F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("c")).collect()}
+    got = ordered_neighbors(df, "k", F.trunc("d", "month"), ["d", "id"], prev_cols=["v"], next_cols=["d"],
+                            prior_sums={"s": F.col("v")}, prior_count="c")
+    mine = {r.id: (r.prev_v, r.next_d, r.s, r.c) for r in got.collect()}
+    assert mine == plain
