@@ -146,30 +146,32 @@ def workflow_plan(leases_pred: DataFrame, spark: SparkSession) -> DataFrame:
 
 # -- T1 batch twin: first response within a window, skew safe -------------------
 def first_response_within(actions: DataFrame, responses: DataFrame, hours: int = 48,
-                          key: str = "tenant_id", ts: str = "ts") -> DataFrame:
+                          key: str = "tenant_id", ts: str = "ts", bucket_hours: int = 6) -> DataFrame:
     """For every action, the first response of the same key with
     action_ts <= response_ts <= action_ts + hours.
 
     No pairwise expansion: actions and responses are merged into one sorted
-    stream per (key, day bucket); the next response inside the bucket comes
-    from a forward window, and later buckets are looked up from a per-bucket
-    first-response table (one row per key and day).  A hot key is spread over
-    its day buckets.
+    stream per (key, time bucket); the next response inside the bucket comes
+    from a forward window, and later buckets are looked up in a per-bucket
+    first-response table (one row per key and bucket).  A hot key is spread
+    over its buckets; an unanswered action probes at most hours / bucket_hours
+    later buckets.
     """
-    days = (hours + 23) // 24
+    width = bucket_hours * 3600
+    n_later = -(-hours // bucket_hours)
+    bk = lambda c: F.floor(F.unix_seconds(c) / width).cast("long")
     act = actions.select(F.col("action_id"), F.col(key), F.col(ts).alias("_t"), F.lit(0).alias("_k"))
     rsp = responses.select(F.lit(None).cast("long").alias("action_id"), F.col(key), F.col(ts).alias("_t"),
                            F.lit(1).alias("_k"))
-    u = act.unionByName(rsp).withColumn("_b", F.to_date("_t"))
+    u = act.unionByName(rsp).withColumn("_b", bk(F.col("_t")))
     w = (Window.partitionBy(key, "_b").orderBy("_t", "_k")
          .rowsBetween(Window.currentRow, Window.unboundedFollowing))
     same = (u.withColumn("_next", F.min(F.when(F.col("_k") == 1, F.col("_t"))).over(w))
             .filter(F.col("_k") == 0).select("action_id", key, "_t", "_b", "_next"))
-    first = (responses.groupBy(F.col(key), F.to_date(ts).alias("_rb"))
-             .agg(F.min(ts).alias("_first")))
+    first = responses.groupBy(F.col(key), bk(F.col(ts)).alias("_rb")).agg(F.min(ts).alias("_first"))
     later = (same.filter(F.col("_next").isNull())
-             .select("action_id", key, "_b", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("_o"))
-             .withColumn("_rb", F.date_add("_b", F.col("_o")))
+             .select("action_id", key, "_b", F.explode(F.sequence(F.lit(1), F.lit(n_later))).alias("_o"))
+             .withColumn("_rb", F.col("_b") + F.col("_o"))
              .join(first, [key, "_rb"])
              .groupBy("action_id").agg(F.min("_first").alias("_later")))
     limit = F.col("_t") + F.expr(f"INTERVAL {hours} HOURS")
