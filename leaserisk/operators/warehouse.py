@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from leaserisk.config import AS_OF, FISCAL_YEAR_START_MONTH, INCOME_BRACKETS, PAYMENT_TREND_DELTA
 from leaserisk.functions import scalars as X
-from leaserisk.operators.windows import ordered_neighbors
+from leaserisk.operators.windows import asof_lookup, ordered_neighbors
 
 # Fixed holiday list (month, day) used for is_holiday; a parameter.
 HOLIDAYS = [(1, 1), (7, 4), (12, 25)]
@@ -189,19 +189,15 @@ def scd2_merge(current: DataFrame, incoming: DataFrame, key: str, tracked, as_of
 def scd2_lookup(facts: DataFrame, versions: DataFrame, key: str, date_col: str) -> DataFrame:
     """Attach the version valid at the fact's date (effective <= d < end).
 
-    Equi-join on the natural key with the range as a residual predicate.
-    Versions per key are few (one per attribute change), and AQE's skew-join
-    split handles a hot key on the fact side.
+    Versions of a key are contiguous (end = next version's effective date),
+    so the valid version is the latest one with effective_date <= d: an as-of
+    scan per (key, month) (``windows.asof_lookup``) instead of a range join,
+    which would pair every fact of a hot key with every version of that key.
     """
-    # Column names on the version side are made unique first: both sides may
-    # derive from the same plan, where column objects would be ambiguous.
-    v = versions.select(F.col(key).alias("_vkey"), "version_key", "effective_date",
-                        F.col("end_date").alias("_vend"),
-                        *[c for c in versions.columns if c in SCD_TRACKED])
-    d = F.col(date_col)
-    cond = ((F.col(key) == F.col("_vkey")) & (F.col("effective_date") <= d)
-            & (F.col("_vend").isNull() | (d < F.col("_vend"))))
-    return facts.join(v, cond, "left").drop("_vkey").withColumnRenamed("_vend", "version_end_date")
+    cols = ["version_key", "effective_date", "end_date"] + [c for c in versions.columns if c in SCD_TRACKED]
+    v = versions.select(key, F.col("effective_date").alias("_eff"), *cols)
+    out = asof_lookup(facts, v, key, date_col, "_eff", cols, lambda c: F.trunc(c, "month"))
+    return out.withColumnRenamed("end_date", "version_end_date")
 
 
 # -- D6 / W3 / W6: monthly payment behaviour -------------------------------------

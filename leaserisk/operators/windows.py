@@ -74,3 +74,31 @@ def ordered_neighbors(df: DataFrame, key: str, bucket: Column, order: list[str],
         out[prior_count] = F.coalesce(F.col("_off_n"), F.lit(0)) + F.col("_rn") - 1
     drop = [c for c in j.columns if c.startswith("_") and c not in df.columns]
     return j.withColumns(out).drop(*drop)
+
+
+def asof_lookup(facts: DataFrame, lookup: DataFrame, key: str, fact_time: str, lookup_time: str,
+                value_cols: list[str], bucket) -> DataFrame:
+    """For every fact row, the values of the latest lookup row of the same key
+    with lookup_time <= fact_time (null when there is none).
+
+    Facts and lookup rows are merged into one stream per (key, bucket); inside
+    a bucket a running ``last(..., ignorenulls)`` carries the latest lookup
+    row forward, and a per-key window over per-bucket summaries carries it
+    across buckets.  No fact is paired with more than its own answer, so a
+    hot key costs a sort of its rows per bucket, not facts x lookups.
+    ``bucket`` maps a time column to a monotone bucket value.
+    """
+    vals = F.struct(*[F.col(c) for c in value_cols])
+    f = facts.withColumns({"_t": F.col(fact_time), "_k": F.lit(1)})
+    lk = lookup.select(F.col(key), F.col(lookup_time).alias("_t"), vals.alias("_v"), F.lit(0).alias("_k"))
+    u = f.unionByName(lk, allowMissingColumns=True).withColumn("_b", bucket(F.col("_t")))
+    w = (Window.partitionBy(key, "_b").orderBy("_t", "_k")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    u = u.withColumn("_in", F.last("_v", ignorenulls=True).over(w))
+    summ = (u.groupBy(key, "_b").agg(F.max_by("_v", F.when(F.col("_k") == 0, F.col("_t"))).alias("_lastv")))
+    wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("_carry", F.last("_lastv", ignorenulls=True).over(wb)).select(key, "_b", "_carry")
+    out = (u.filter(F.col("_k") == 1).join(summ, [key, "_b"])
+           .withColumn("_r", F.coalesce(F.col("_in"), F.col("_carry"))))
+    return out.select(*[F.col(f"`{c}`") for c in facts.columns],
+                      *[F.col("_r").getField(c).alias(c) for c in value_cols])

@@ -262,3 +262,22 @@ def test_ordered_neighbors_equals_plain_window_with_hot_key(spark):
                             prior_sums={"s": F.col("v")}, prior_count="c")
     mine = {r.id: (r.prev_v, r.next_d, r.s, r.c) for r in got.collect()}
     assert mine == plain
+
+
+def test_asof_lookup_matches_brute_force_with_hot_key(spark):
+    from leaserisk.operators.windows import asof_lookup
+    rnd = random.Random(5)
+    base = dt.date(1995, 1, 1)
+    key = lambda: 0 if rnd.random() < 0.34 else rnd.randint(1, 15)
+    versions = {}
+    for _ in range(300):
+        versions[(key(), base + dt.timedelta(days=rnd.randint(0, 1200)))] = rnd.randint(1, 99)
+    facts = [(i, key(), base + dt.timedelta(days=rnd.randint(0, 1300))) for i in range(700)]
+    f = spark.createDataFrame(facts, "id long, k long, d date")
+    v = spark.createDataFrame([(k, d, x) for (k, d), x in versions.items()], "k long, vd date, x int")
+    got = {r.id: r.x for r in asof_lookup(f, v, "k", "d", "vd", ["x"], lambda c: F.trunc(c, "month")).collect()}
+    exp = {}
+    for i, k, d in facts:
+        cands = [(vd, x) for (kk, vd), x in versions.items() if kk == k and vd <= d]
+        exp[i] = max(cands)[1] if cands else None
+    assert got == exp
