@@ -281,3 +281,16 @@ def test_asof_lookup_matches_brute_force_with_hot_key(spark):
         cands = [(vd, x) for (kk, vd), x in versions.items() if kk == k and vd <= d]
         exp[i] = max(cands)[1] if cands else None
     assert got == exp
+
+
+def test_market_as_of_per_row(spark):
+    cols = {c: F.lit(None).cast("double") for c in FE.MARKET_COLS if c not in ("zip_code", "data_date",
+                                                                                  "market_rent_median")}
+    m = spark.createDataFrame([("1", dt.date(1998, 1, 1), 10.0), ("1", dt.date(1998, 6, 1), 20.0),
+                               ("2", dt.date(1999, 1, 1), 30.0)],
+                              "zip_code string, data_date date, market_rent_median double").withColumns(cols)
+    rows = spark.createDataFrame([(1, "1", dt.date(1998, 3, 1)), (2, "1", dt.date(1998, 7, 1)),
+                                  (3, "2", dt.date(1998, 12, 31)), (4, "1", dt.date(1997, 1, 1))],
+                                 "lease_id long, zip_code string, d date")
+    got = {r.lease_id: r.market_rent_median for r in FE.market_as_of_rows(rows, m, "lease_id", "d").collect()}
+    assert got == {1: 10.0, 2: 20.0, 3: None, 4: None}
