@@ -253,3 +253,12 @@ def _a25_sql():
 
 
 register("a25_column_profile", _a25_sql())(a25)
+
+
+# -- K4 keyset form ------------------------------------------------------------------------
+register("k04_lease_keyset_page", q("""
+SELECT lease_id, tenant_id, CAST(end_date AS VARCHAR) AS end_date, monthly_rent FROM d_lease
+WHERE status = 'active' AND lease_id > 1000 ORDER BY lease_id LIMIT 50
+"""))(lambda spark, sf: R.keyset_page(domain(spark, sf).leases().filter(F.col("status") == "active")
+                                      .select("lease_id", "tenant_id", "end_date", "monthly_rent"),
+                                      "lease_id", after=1000, limit=50))

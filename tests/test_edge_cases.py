@@ -294,3 +294,12 @@ def test_market_as_of_per_row(spark):
                                  "lease_id long, zip_code string, d date")
     got = {r.lease_id: r.market_rent_median for r in FE.market_as_of_rows(rows, m, "lease_id", "d").collect()}
     assert got == {1: 10.0, 2: 20.0, 3: None, 4: None}
+
+
+def test_split_target_requires_label(spark):
+    import pytest
+    df = spark.createDataFrame([(1, 2, 3, 0.5, 1)], "tenant_id long, lease_id long, property_id long, x double, y int")
+    X, y = P.split_target(df, "y")
+    assert X.columns == ["x"] and y.columns == ["y"]
+    with pytest.raises(ValueError):
+        P.split_target(df, "missing")
