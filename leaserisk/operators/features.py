@@ -271,3 +271,10 @@ def feature_catalog() -> list[tuple[str, str]]:
                      "is_summer_expiration"],
     }
     return [(f, g) for g, fs in names.items() for f in fs]
+
+
+def merge_suffixed(left: DataFrame, right: DataFrame, on: str, suffix: str, how: str = "left") -> DataFrame:
+    """Join where right-side columns that collide with left-side ones
+    get ``suffix`` (the left value keeps its name)."""
+    ren = [F.col(c).alias(c + suffix if c in left.columns and c != on else c) for c in right.columns]
+    return left.join(right.select(*ren), on, how)
