@@ -73,3 +73,12 @@ def _count():
 
 
 _counter = _count()
+
+
+def ensure_utc(spark: SparkSession) -> None:
+    """Event times are stored without a zone (TIMESTAMP_NTZ); watermarks and
+    windows need zoned timestamps.  With the session zone at UTC the cast
+    keeps wall-clock values, so window alignment and hour differences are
+    exact."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

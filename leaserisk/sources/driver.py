@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaserisk.config import ACTION_TYPES, AS_OF
+from leaserisk.session import ensure_utc
 
 
 # Lease terms of the mapping are 12 or 24 months of 30 days.
@@ -308,11 +309,7 @@ def domain(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> Domain:
     lazy plans, so every query of an application reuses the same definitions
     instead of re-analysing them."""
     key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), str(as_of))
-    # Event times are stored without a zone (TIMESTAMP_NTZ); streams and
-    # windows need zoned timestamps.  With the session zone at UTC the cast
-    # keeps wall-clock values, window alignment and hour differences exact.
-    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_utc(spark)
     if key not in _DOMAINS:
         _DOMAINS[key] = Domain(spark, sf_dir, as_of)
     return _DOMAINS[key]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leaserisk.config import AS_OF, ENGAGEMENT_HIGH_THRESHOLD
-from leaserisk.session import checkpoint_dir
+from leaserisk.session import checkpoint_dir, ensure_utc
 
 DELAY = "1 hour"
 RESPONSE_HOURS = 48
@@ -40,6 +40,7 @@ def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> Dat
     """File-stream source over ``<sf_dir>/<table>.parquet``: a folder of part
     files is streamed as is; a single file is picked out of its folder with a
     glob filter."""
+    ensure_utc(spark)
     path = f"{sf_dir}/{table}.parquet"
     schema = spark.read.parquet(path).schema
     r = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000)
