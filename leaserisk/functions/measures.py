@@ -6,7 +6,7 @@ is evaluated in a single ``groupBy().agg(...)`` pass.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaserisk.config import TURNOVER_COST
@@ -42,7 +42,7 @@ MEASURES = {
     "average_risk_score": lambda: F.round(F.avg("risk_score"), 4),
     "average_churn_probability": lambda: F.round(F.avg("churn_probability"), 4),
     "average_days_to_expiration": lambda: F.round(F.avg("days_to_expiration"), 4),
-    "median_risk_score": lambda: F.median("risk_score"),
+    "median_risk_score": lambda: F.median("risk_score"),  # measure_frame uses the histogram form
     "total_monthly_rent_at_risk": lambda: F.sum(F.when(_lvl("HIGH"), F.col("rent_cents"))) / 100.0,
     "estimated_turnover_cost": lambda: count_level("HIGH") * TURNOVER_COST,
     "churn_rate": lambda: F.round(ratio(count_predicted_churn(), count()), 6),
@@ -62,3 +62,39 @@ ONTOLOGY_METRICS = {
     "average_risk_score": "average_risk_score",
     "churn_ratio": "churn_rate",
 }
+
+
+def median_small_domain(df: DataFrame, value: str, group_cols=(), name: str = "median") -> DataFrame:
+    """Exact (interpolated) median of an integer column with a small domain
+    (risk scores 0..100): count per value (partial aggregation, at most 101
+    rows per group), cumulative counts over those rows, then the one or two
+    middle values.  Memory does not grow with the rows, unlike ``median``."""
+    g = list(group_cols)
+    h = df.filter(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*g).orderBy(value)
+    h = h.withColumns({"_cum": F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                       "_n": F.sum("_c").over(Window.partitionBy(*g))})
+    lo = F.floor((F.col("_n") + 1) / 2)
+    hi = F.floor(F.col("_n") / 2) + 1
+    out = h.groupBy(*g).agg(F.min(F.when(F.col("_cum") >= lo, F.col(value))).alias("_lo"),
+                            F.min(F.when(F.col("_cum") >= hi, F.col(value))).alias("_hi"))
+    return out.select(*g, ((F.col("_lo") + F.col("_hi")) / 2.0).alias(name))
+
+
+def measure_frame(df: DataFrame, names, group_cols=()) -> DataFrame:
+    """Evaluate named measures in one aggregation; ``median_risk_score`` is
+    computed with ``median_small_domain`` and attached by group."""
+    from leaserisk.functions.stats import with_stats
+    g = list(group_cols)
+    plain = [n for n in names if n != "median_risk_score"]
+    agg = df.groupBy(*g).agg(*measures(*plain)) if g else df.agg(*measures(*plain))
+    if "median_risk_score" not in names:
+        return agg
+    med = median_small_domain(df, "risk_score", g, "median_risk_score")
+    if not g:
+        return with_stats(agg, med)
+    # null-safe on the group keys: a null dimension value is a group too
+    a, m = agg.alias("_a"), med.alias("_m")
+    cond = [F.col(f"_a.{c}").eqNullSafe(F.col(f"_m.{c}")) for c in g]
+    return a.join(m, cond, "left").select(*[F.col(f"_a.{c}") for c in g], *[F.col(f"_a.{n}") for n in plain],
+                                          F.col("_m.median_risk_score"))

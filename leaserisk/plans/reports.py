@@ -85,13 +85,13 @@ def msql(*names):
 
 
 register("a07_prediction_measures", q(f"SELECT {msql(*M.ALL)} FROM d_hist"), headline=True)(
-    lambda spark, sf: _hist(spark, sf).agg(*M.measures(*M.ALL)))
+    lambda spark, sf: M.measure_frame(_hist(spark, sf), M.ALL))
 
 _BY_DIMS = ("count", "average_risk_score", "total_monthly_rent_at_risk", "churn_rate",
             "median_risk_score")
 register("a15_measures_by_dims", q(f"""
 SELECT neighborhood, risk_level, {msql(*_BY_DIMS)} FROM d_hist GROUP BY neighborhood, risk_level
-"""))(lambda spark, sf: _hist(spark, sf).groupBy("neighborhood", "risk_level").agg(*M.measures(*_BY_DIMS)))
+"""))(lambda spark, sf: M.measure_frame(_hist(spark, sf), _BY_DIMS, ["neighborhood", "risk_level"]))
 
 _ONT = [("high_risk_tenant_count", "count_high_risk"), ("average_risk_score", "average_risk_score"),
         ("churn_ratio", "churn_rate")]

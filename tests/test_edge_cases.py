@@ -303,3 +303,17 @@ def test_split_target_requires_label(spark):
     assert X.columns == ["x"] and y.columns == ["y"]
     with pytest.raises(ValueError):
         P.split_target(df, "missing")
+
+
+def test_histogram_median_equals_exact_median(spark):
+    import numpy as np
+    from leaserisk.functions import measures as M
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randint(0, 100)) for _ in range(501)]
+    df = spark.createDataFrame(rows, "g string, risk_score int")
+    got = {r.g: r.median_risk_score for r in M.median_small_domain(df, "risk_score", ["g"], "median_risk_score")
+           .collect()}
+    for g in ("a", "b", None):
+        assert got[g] == float(np.median([v for k, v in rows if k == g]))
+    glob = M.median_small_domain(df, "risk_score").first()["median"]
+    assert glob == float(np.median([v for _, v in rows]))
