@@ -183,15 +183,28 @@ def counters_stream(spark, sf_dir) -> DataFrame:
         F.count_if((F.col("event_type") == "error") & (F.col("value") >= 60)).alias("complaint_count"))
 
 
-def _overwrite(batch: DataFrame, out: str, _i: int) -> None:
-    batch.write.mode("overwrite").parquet(out)
+def _append_delta(batch: DataFrame, out: str, batch_id: int) -> None:
+    """Append the rows a micro-batch changed, tagged with the batch id.  A
+    replayed batch (after a failure) appends identical rows with the same id,
+    which the read side collapses, so the sink is idempotent; no batch
+    rewrites the table."""
+    batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(f"{out}/deltas")
+
+
+def read_latest(spark: SparkSession, out: str, key: str, schema: str) -> DataFrame:
+    """Current table = latest delta row per key (R2 at read time)."""
+    d = _read(spark, f"{out}/deltas", schema + ", _batch long")
+    cols = [c for c in d.columns if c not in (key, "_batch")]
+    return (d.groupBy(key).agg(F.max_by(F.struct(*cols), "_batch").alias("_r")).select(key, "_r.*"))
+
+
+_T3_SCHEMA = "tenant_id long, portal_login_count long, last_login_at timestamp, complaint_count long"
 
 
 def counters(spark, sf_dir, run_id=None) -> DataFrame:
-    """Complete-mode counters; each batch rewrites the current table."""
-    path = run_batches(counters_stream(spark, sf_dir), "t3_counters", "complete", _overwrite, run_id)
-    return _read(spark, path, "tenant_id long, portal_login_count long, last_login_at timestamp, "
-                              "complaint_count long")
+    """Update-mode counters; each batch appends the changed tenants."""
+    path = run_batches(counters_stream(spark, sf_dir), "t3_counters", "update", _append_delta, run_id)
+    return read_latest(spark, path, "tenant_id", _T3_SCHEMA)
 
 
 def counters_batch(events: DataFrame) -> DataFrame:
@@ -221,37 +234,12 @@ def scoring_stream(spark, sf_dir, as_of=AS_OF) -> DataFrame:
                                         "predicted_churn")
 
 
-def _upsert_sink(batch: DataFrame, out: str, batch_id: int) -> None:
-    """R2 per micro-batch: new snapshot = latest row per lease of (previous
-    snapshot + batch), written to a new path; the path being read is never
-    overwritten."""
-    spark = batch.sparkSession
-    snap = f"{out}/snapshot={batch_id}"
-    prev = None
-    if batch_id > 0:
-        try:
-            prev = spark.read.parquet(f"{out}/snapshot={batch_id - 1}")
-        except Exception:  # noqa: BLE001
-            prev = None
-    cur = batch.withColumn("_v", F.lit(batch_id))
-    if prev is not None:
-        cur = prev.withColumn("_v", F.lit(batch_id - 1)).unionByName(cur)
-    cols = [c for c in batch.columns if c != "lease_id"]
-    (cur.groupBy("lease_id").agg(F.max_by(F.struct(*cols), "_v").alias("r")).select("lease_id", "r.*")
-     .write.mode("overwrite").parquet(snap))
-
-
 def continuous_scoring(spark, sf_dir, run_id=None) -> DataFrame:
-    path = run_batches(scoring_stream(spark, sf_dir), "t4_scoring", "append", _upsert_sink, run_id)
-    snaps = sorted(int(p.split("=")[-1]) for p in _list_dirs(spark, path) if "snapshot=" in p)
-    return spark.read.parquet(f"{path}/snapshot={snaps[-1]}")
-
-
-def _list_dirs(spark, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [str(s.getPath().toString()) for s in fs.listStatus(hp) if s.isDirectory()]
+    """T4: each micro-batch appends its scored leases to the delta log; the
+    current prediction table is the latest row per lease (keyed upsert)."""
+    path = run_batches(scoring_stream(spark, sf_dir), "t4_scoring", "append", _append_delta, run_id)
+    return read_latest(spark, path, "lease_id",
+                       "lease_id long, tenant_id long, risk_score int, risk_level string, predicted_churn boolean")
 
 
 # -- T6: sliding 7-day maintenance trend ----------------------------------------------------
