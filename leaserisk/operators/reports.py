@@ -25,9 +25,9 @@ def risk_summary(leases_pred: DataFrame, extended: bool = False) -> DataFrame:
                M.count_level("LOW").alias("low_risk"),
                F.count_if(F.col("risk_level").isNull()).alias("unpredicted"))
 
-    def pct(c):
+    def pct(c):  # (count / total) * 100, 0 when there is no active lease
         return F.when(F.col("total_active") == 0, F.lit(0.0)).otherwise(
-            F.round(F.col(c) * 100.0 / F.col("total_active"), 2))
+            F.col(c) / F.col("total_active") * 100)
 
     df = df.withColumn("high_risk_pct", pct("high_risk"))
     if extended:

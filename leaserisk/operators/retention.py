@@ -281,7 +281,7 @@ def campaign_metrics(camp: DataFrame, lease_risk: DataFrame) -> DataFrame:
         F.count_if(F.col("risk_level") == "LOW").alias("low_risk"),
         F.count_if(F.col("renewal_status") == "renewed").alias("renewed_leases"),
     ).withColumn("renewal_rate", F.when(F.col("leases_with_campaigns") > 0,
-                                        F.col("renewed_leases") * 100.0 / F.col("leases_with_campaigns"))
+                                        F.col("renewed_leases") / F.col("leases_with_campaigns") * 100)
                  .otherwise(F.lit(0.0)))
 
 

@@ -39,7 +39,7 @@ _SUMMARY_SQL = """
 
 def _pct(c):
     return (f"CASE WHEN total_active = 0 THEN CAST(0 AS DOUBLE) "
-            f"ELSE round(CAST({c} AS DOUBLE) * 100 / total_active, 2) END")
+            f"ELSE CAST({c} AS DOUBLE) / total_active * 100 END")
 
 
 register("a03_risk_summary", q(_SUMMARY_SQL + f"""

@@ -232,7 +232,7 @@ cm AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_campaigns, count(*) A
               count(*) FILTER (WHERE renewal_status = 'renewed') AS renewed_leases
        FROM pl),
 cmr AS (SELECT cm.*, CASE WHEN leases_with_campaigns > 0
-                          THEN CAST(renewed_leases AS DOUBLE) * 100 / leases_with_campaigns
+                          THEN CAST(renewed_leases AS DOUBLE) / leases_with_campaigns * 100
                           ELSE CAST(0 AS DOUBLE) END AS renewal_rate FROM cm)
 """
 
