@@ -145,9 +145,21 @@ def _t1_state(key, pdfs, state: GroupState):
         yield df[["action_id", "tenant_id", "action_ts", "response_ts", "outcome"]]
 
 
+BUCKET_HOURS = 24
+
+
 def response_monitor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State is keyed by (tenant, day bucket of the action), so a hot tenant is
+    split over its days.  A click can answer actions of the last 48 hours, so
+    it is sent to each bucket in [bucket(ts - 48 h), bucket(ts)] (three
+    buckets); every action still sees every click that could answer it."""
     ev = _events(spark, sf_dir, ["purchase", "click"])
-    return ev.groupBy("user_id").applyInPandasWithState(
+    width = BUCKET_HOURS * 3600
+    b_now = F.floor(F.unix_seconds("ts") / width).cast("long")
+    b_first = F.floor((F.unix_seconds("ts") - RESPONSE_HOURS * 3600) / width).cast("long")
+    buckets = F.when(F.col("event_type") == "purchase", F.array(b_now)).otherwise(F.sequence(b_first, b_now))
+    ev = ev.withColumn("_bucket", F.explode(buckets))
+    return ev.groupBy("user_id", "_bucket").applyInPandasWithState(
         _t1_state, T1_OUT, "pending string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
