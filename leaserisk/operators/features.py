@@ -55,7 +55,13 @@ def market_as_of_rows(rows: DataFrame, market: DataFrame, row_key: str, date_col
 
 def lease_context(dom, as_of=AS_OF, leases: DataFrame | None = None) -> DataFrame:
     """Leases (all, or the given subset) with tenant, property and as-of market
-    columns (J1, J2, J5)."""
+    columns (J1, J2, J5).  The all-leases form is built once per domain."""
+    if leases is None:
+        return dom._memo(("lease_context", str(as_of)), lambda: _lease_context(dom, as_of, None))
+    return _lease_context(dom, as_of, leases)
+
+
+def _lease_context(dom, as_of, leases) -> DataFrame:
     a = as_of_col(as_of)
     t = dom.tenants().select(*TENANT_COLS)
     p = dom.properties().select(*PROPERTY_COLS)
@@ -229,6 +235,10 @@ FEATURE_GROUPS = {
 
 def feature_input(dom, as_of=AS_OF) -> DataFrame:
     """E1 plus the columns the feature definitions read (tenure months)."""
+    return dom._memo(("feature_input", str(as_of)), lambda: _feature_input(dom, as_of))
+
+
+def _feature_input(dom, as_of) -> DataFrame:
     a = as_of_col(as_of)
     df = merged_sources(dom, as_of)
     start = F.col("start_date")

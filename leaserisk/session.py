@@ -48,13 +48,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     ``setCheckpointDir`` (``spark.checkpoint.dir`` itself is a static conf).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: the server owns the checkpoint dir)
+        sc = None
     if not d:
-        app = sc.applicationId
+        app = sc.applicationId if sc is not None else "connect"
         if app not in _LOCAL_CKPT:
             _LOCAL_CKPT[app] = tempfile.mkdtemp(prefix="leaserisk-ckpt-")
         d = _LOCAL_CKPT[app]
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d.rstrip("/")
 

@@ -308,7 +308,11 @@ def domain(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> Domain:
     """One Domain per (application, folder, as_of): its tables are immutable
     lazy plans, so every query of an application reuses the same definitions
     instead of re-analysing them."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), str(as_of))
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001  (Spark Connect sessions have no SparkContext)
+        app = spark.conf.get("spark.app.id", "connect")
+    key = (app, id(spark), sf_dir.rstrip("/"), str(as_of))
     ensure_utc(spark)
     if key not in _DOMAINS:
         _DOMAINS[key] = Domain(spark, sf_dir, as_of)
