@@ -136,3 +136,20 @@ def tenant_detail(tenants: DataFrame, leases: DataFrame, payments: DataFrame,
             .join(lp, F.col("current_lease.lease_id") == F.col("_lid"), "left").drop("_lid")
             .join(totals, "tenant_id", "left")
             .join(recent, "tenant_id", "left"))
+
+
+# -- J18: link registry --------------------------------------------------------------------
+# link name -> (target table builder on a Domain, join key)
+LINKS = {
+    "tenant_leases": (lambda dom: dom.leases().select("tenant_id", "lease_id", "property_id", "status"), "tenant_id"),
+    "lease_property": (lambda dom: dom.properties().select("property_id", "neighborhood", "zip_code"), "property_id"),
+    "lease_payments": (lambda dom: dom.payments().select("lease_id", "payment_date", "amount"), "lease_id"),
+    "property_maintenance": (lambda dom: dom.maintenance().select("property_id", "request_id", "priority"),
+                             "property_id"),
+    "tenant_actions": (lambda dom: dom.actions().select("tenant_id", "action_id", "action_type"), "tenant_id"),
+}
+
+
+def traverse_links(dom, start: DataFrame, path: list[str]) -> DataFrame:
+    """Follow named links from the registry (equi joins in order)."""
+    return traverse(start, [(LINKS[name][0](dom), LINKS[name][1]) for name in path])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leaserisk.operators import features as FE
 from leaserisk.operators import predictions as PR
+from leaserisk.operators import semantic as SM
 from leaserisk.operators import warehouse as WH
 from leaserisk.plans.features import _AGG_CTES
 from leaserisk.plans.oracle_prefix import q
@@ -141,3 +142,13 @@ FROM w
 register("w06_rolling_lateness", q(_PB_SQL + """
 SELECT lease_id, CAST(month AS VARCHAR) AS month, round(roll, 4) AS rolling_3m_days_late FROM w
 """))(lambda spark, sf: _pb(spark, sf).select("lease_id", "month", "rolling_3m_days_late"))
+
+
+register("j18_link_path_counts", q("""
+SELECT p.neighborhood, count(*) AS leases, count(DISTINCT l.tenant_id) AS tenants
+FROM d_tenant t JOIN d_lease l ON l.tenant_id = t.tenant_id JOIN d_property p ON p.property_id = l.property_id
+GROUP BY 1
+"""))(lambda spark, sf: SM.traverse_links(domain(spark, sf), domain(spark, sf).tenants().select("tenant_id"),
+                                          ["tenant_leases", "lease_property"])
+      .groupBy("neighborhood").agg(F.count(F.lit(1)).alias("leases"),
+                                   F.countDistinct("tenant_id").alias("tenants")))

@@ -208,3 +208,18 @@ def s07(spark, sf):
 
 
 register("s07_model_save_load")(s07)
+
+
+def s02_training(spark, sf):
+    """The training table written as a warehouse table, read back with the
+    ``training_set`` predicate pushed into the scan."""
+    tv = training_view(spark, sf).select("lease_id", "prediction_date", "churned", "training_set")
+    path = scratch_path(spark, "s02_training_table")
+    tv.write.mode("overwrite").parquet(path)
+    return IO.read_source(spark, "parquet", path, where="training_set").select("lease_id", "prediction_date",
+                                                                                "churned")
+
+
+register("s02_training_set_read", q(_TRAIN_SQL + """
+SELECT lease_id, CAST(prediction_date AS VARCHAR) AS prediction_date, churned FROM tv WHERE training_set
+"""))(s02_training)
