@@ -8,6 +8,7 @@ Model outputs cannot be reproduced by SQL, so these are checked rows-only
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from leaserisk.operators import features as FE
@@ -42,7 +43,12 @@ def _prepared(spark, sf):
         train_raw = data.filter(F.col("split") == "train")
         test_raw = data.filter(F.col("split") == "test")
         fp, train, test = ML.prepare(train_raw, test_raw)
-        _CACHE[key] = (fp, ML.class_weight_col(train), test)
+        # Iterative fits (LBFGS steps, boosting rounds, CV folds) reread the
+        # prepared rows; keep them in memory/disk.  Lost blocks are recomputed
+        # from the checkpoint above, so the lineage stays short.
+        train = ML.class_weight_col(train).persist(StorageLevel.MEMORY_AND_DISK)
+        test = test.persist(StorageLevel.MEMORY_AND_DISK)
+        _CACHE[key] = (fp, train, test)
     return _CACHE[key]
 
 
