@@ -13,10 +13,6 @@ from leaserisk.sources.driver import domain
 A = "DATE '1999-01-01'"
 
 
-def _drop_keys(df, *keys):
-    return df.drop(*keys)
-
-
 # -- D1 -------------------------------------------------------------------------
 register("d01_date_dim", q("""
 , r AS (SELECT min(start_date) AS lo, max(end_date) AS hi FROM d_lease),

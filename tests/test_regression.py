@@ -1,7 +1,6 @@
 """Regression numbers: the SURVEY dry run of the adapter + rule score at
 sf0.01, and the reference's own risk-summary service test."""
 
-import datetime as dt
 
 from pyspark.sql import functions as F
 
