@@ -15,8 +15,6 @@ Scale notes
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -304,7 +302,3 @@ def training_view(predictions: DataFrame, tenants_dim: DataFrame, properties_dim
 def fact_layout(df: DataFrame, date_key: str, level_col: str) -> DataFrame:
     """Cluster rows by (date key, level) before a partitioned write."""
     return df.repartition(date_key).sortWithinPartitions(date_key, level_col)
-
-
-def as_date(d) -> dt.date:
-    return d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d))
