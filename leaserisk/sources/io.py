@@ -100,10 +100,12 @@ def sync_documents(docs: DataFrame, updated_col: str, since, array_col: str, key
 
 
 # -- S13: market feed -------------------------------------------------------------------------------
-def market_feed(observations: DataFrame, zip_col: str, date_col: str, value_col: str) -> DataFrame:
-    """Per zip and month: count, mean and (lower) median of the observed value."""
+def market_feed(observations: DataFrame, zip_col: str, date_col: str, value_col: str,
+                accuracy: int = 10_000) -> DataFrame:
+    """Per zip and month: count, mean and (lower) median of the observed value.
+    One bounded quantile sketch per group (exact for small groups)."""
     return (observations.groupBy(F.col(zip_col).alias("zip_code"),
                                  F.trunc(date_col, "month").alias("month"))
             .agg(F.count(F.lit(1)).alias("observations"),
                  F.round(F.avg(value_col), 4).alias("avg_value"),
-                 F.percentile_approx(value_col, 0.5, 1_000_000).alias("median_value")))
+                 F.percentile_approx(value_col, 0.5, accuracy).alias("median_value")))
