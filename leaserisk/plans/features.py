@@ -25,7 +25,7 @@ _AGG_CTES = """
          CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / count(amount) / 100 AS avg_payment,
          stddev_samp(amount) AS payment_std, count(amount) AS payment_count,
          avg(days_late) AS avg_days_late, max(days_late) AS max_days_late,
-         sum(days_late) AS total_days_late, max(payment_date) AS last_payment_date,
+         CAST(sum(days_late) AS BIGINT) AS total_days_late, max(payment_date) AS last_payment_date,
          sum(late_fee) AS total_late_fees
   FROM d_payment GROUP BY lease_id),
 d_mnt AS (
@@ -130,7 +130,7 @@ SELECT lease_id, round(CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE)
        CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / count(amount) / 100 AS avg_payment,
        round(stddev_samp(amount), 4) AS payment_std, count(amount) AS payment_count,
        round(avg(days_late), 4) AS avg_days_late, max(days_late) AS max_days_late,
-       sum(days_late) AS total_days_late, CAST(max(payment_date) AS VARCHAR) AS last_payment_date,
+       CAST(sum(days_late) AS BIGINT) AS total_days_late, CAST(max(payment_date) AS VARCHAR) AS last_payment_date,
        sum(late_fee) AS total_late_fees
 FROM d_payment GROUP BY lease_id
 """))(lambda spark, sf: _rounded(FE.payment_aggregates(domain(spark, sf).payments())

@@ -163,8 +163,8 @@ _EVENTS_SQL = f"""
           lag(monthly_rent) OVER (PARTITION BY tenant_id ORDER BY start_date, lease_id) AS prev_rent,
           count(*) OVER (PARTITION BY tenant_id ORDER BY start_date, lease_id
                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_leases,
-          coalesce(sum(lease_term_months) OVER (PARTITION BY tenant_id ORDER BY start_date, lease_id
-                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior_months
+          CAST(coalesce(sum(lease_term_months) OVER (PARTITION BY tenant_id ORDER BY start_date, lease_id
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_months
         FROM d_lease l),
 e AS (SELECT b.*, start_date AS event_date, 'NEW' AS event_type FROM b
       UNION ALL
