@@ -69,10 +69,16 @@ def _assembler():
     return VectorAssembler(inputCols=MODEL_INPUTS, outputCol="features", handleInvalid="keep")
 
 
-def gbt(max_iter: int = 200, weighted: bool = True, seed: int = 42) -> GBTClassifier:
-    """M7: the boosted model with the reference's hyper-parameters."""
+def gbt(max_iter: int = 200, weighted: bool = True, seed: int = 42,
+        validation_col: str | None = None, validation_tol: float = 0.01) -> GBTClassifier:
+    """M7: the boosted model with the reference's hyper-parameters.
+
+    ``validation_col`` (Q10): a boolean column marking validation rows turns
+    on early stopping (the reference accepted the setting but never used it)."""
     m = GBTClassifier(labelCol="label", featuresCol="features", maxDepth=6, stepSize=0.1, maxIter=max_iter,
                       subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+    if validation_col:
+        m = m.setValidationIndicatorCol(validation_col).setValidationTol(validation_tol)
     return m.setWeightCol("weight") if weighted else m
 
 

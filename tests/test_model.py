@@ -94,3 +94,10 @@ def test_one_row_scores_like_the_batch(trained):
 def test_metadata_row(spark):
     r = ML.metadata_row(spark, "v1", "GBTClassifier", 800, 0.9, 49).first()
     assert r.model_version == "v1" and r.feature_count == 49
+
+
+def test_early_stopping_with_validation_column(trained):
+    fp, model, tr, te = trained
+    v = tr.withColumn("is_val", F.pmod(F.col("lease_id"), F.lit(5)) == 0)
+    m, _ = ML.fit(ML.gbt(40, validation_col="is_val", validation_tol=0.5), v)
+    assert m.stages[-1].getNumTrees <= 40
