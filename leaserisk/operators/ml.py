@@ -78,7 +78,8 @@ def gbt(max_iter: int = 200, weighted: bool = True, seed: int = 42,
     m = GBTClassifier(labelCol="label", featuresCol="features", maxDepth=6, stepSize=0.1, maxIter=max_iter,
                       subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
     if validation_col:
-        m = m.setValidationIndicatorCol(validation_col).setValidationTol(validation_tol)
+        m = m.setValidationIndicatorCol(validation_col)
+        m._set(validationTol=validation_tol)
     return m.setWeightCol("weight") if weighted else m
 
 
