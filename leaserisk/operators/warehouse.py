@@ -232,21 +232,28 @@ def payment_behavior(payments: DataFrame, leases: DataFrame,
 
 
 # -- D7 / W2 / W7: lease events ---------------------------------------------------
-def lease_events(leases: DataFrame, history: DataFrame | None = None, as_of=AS_OF) -> DataFrame:
+def lease_events(leases: DataFrame, history: DataFrame | None = None, as_of=AS_OF,
+                 with_context: bool = True) -> DataFrame:
     """NEW at start; at end (if end <= as_of) RENEWAL when renewed else EXPIRATION.
 
     Rent change vs the tenant's previous lease (W2) and renewals/tenure so far
-    (W7) are windows partitioned by tenant.  Risk at the event is the latest
+    (W7) are skew-safe ordered windows per tenant (``with_context=False``
+    skips them for callers that only need the outcome events).  Risk at the event is the latest
     prediction made on or before the event date (as-of join per lease).
     """
     a = _a(as_of)
-    # lag / running count / running sum per tenant, skew safe (monthly buckets)
-    base = (ordered_neighbors(leases, "tenant_id", F.trunc("start_date", "month"), ["start_date", "lease_id"],
-                              prev_cols=["monthly_rent"],
-                              prior_sums={"prior_months": F.col("lease_term_months")},
-                              prior_count="prior_leases")
-            .withColumnRenamed("prev_monthly_rent", "prev_rent")
-            .withColumn("prior_months", F.coalesce(F.col("prior_months"), F.lit(0))))
+    if with_context:
+        # lag / running count / running sum per tenant, skew safe (monthly buckets)
+        base = (ordered_neighbors(leases, "tenant_id", F.trunc("start_date", "month"), ["start_date", "lease_id"],
+                                  prev_cols=["monthly_rent"],
+                                  prior_sums={"prior_months": F.col("lease_term_months")},
+                                  prior_count="prior_leases")
+                .withColumnRenamed("prev_monthly_rent", "prev_rent")
+                .withColumn("prior_months", F.coalesce(F.col("prior_months"), F.lit(0))))
+    else:  # outcome-only callers (training view, explores) skip the tenant ordering
+        base = leases.withColumns({"prev_rent": F.lit(None).cast("double"),
+                                   "prior_leases": F.lit(None).cast("long"),
+                                   "prior_months": F.lit(None).cast("long")})
     end_type = F.when(F.col("renewal_status") == "renewed", "RENEWAL").otherwise("EXPIRATION")
     ev = F.array(
         F.struct(F.col("start_date").alias("event_date"), F.lit("NEW").alias("event_type")),

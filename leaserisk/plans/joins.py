@@ -82,7 +82,7 @@ FROM d_hist h LEFT JOIN d_market m
 
 def j08(spark, sf):
     dom = domain(spark, sf)
-    ev = WH.lease_events(dom.leases(), None)
+    ev = WH.lease_events(dom.leases(), None, with_context=False)
     return (ev.filter(F.col("event_type").isin("RENEWAL", "TERMINATION", "EXPIRATION"))
             .groupBy("lease_id")
             .agg(F.max_by(F.struct("event_type", "event_date"), "event_date").alias("o"))

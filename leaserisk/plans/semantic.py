@@ -49,7 +49,8 @@ FROM j GROUP BY 1, 2
 def j11(spark, sf):
     dom = domain(spark, sf)
     hist = PR.prediction_history(dom)
-    ev = WH.lease_events(dom.leases(), hist).select("event_key", "lease_id", "property_id", "event_type")
+    ev = WH.lease_events(dom.leases(), None, with_context=False).select("event_key", "lease_id", "property_id",
+                                                                       "event_type")
     ex = SM.Explore(ev, "event_key", [
         SM.Join("properties", dom.properties().select("property_id", "property_type"), ["property_id"]),
         SM.Join("predictions", hist.select("lease_id", "risk_level"), ["lease_id"], "one_to_many"),

@@ -231,7 +231,7 @@ def training_view(spark, sf):
     hist = PR.prediction_history(dom)
     preds = hist.select(*PR.PRED_COLS)
     return WH.training_view(preds, WH.tenant_dim(dom.tenants()), WH.property_dim(dom.properties()),
-                            dom.market_data(), WH.lease_events(dom.leases(), hist))
+                            dom.market_data(), WH.lease_events(dom.leases(), None, with_context=False))
 
 
 _TV_COLS = ["lease_id", "tenant_id", "property_id", "prediction_date", "risk_score", "churn_probability",
