@@ -94,3 +94,11 @@ def ab_metrics(df: DataFrame, key: str = "lease_id", label: str = "churned",
             .groupBy("variant")
             .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("risk_score"), 4).alias("avg_risk_score"),
                  F.round(F.count_if(ok) / F.count(F.lit(1)), 6).alias("accuracy")))
+
+
+def calibration(df: DataFrame, bucket: Column, prob: str = "churn_probability", label: str = "churned") -> DataFrame:
+    """Per score bucket, mean predicted probability vs observed churn rate."""
+    return (df.groupBy(bucket.alias("bucket"))
+            .agg(F.count(F.lit(1)).alias("n"),
+                 F.round(F.avg(prob), 6).alias("mean_predicted"),
+                 F.round(F.avg(F.col(label).cast("double")), 6).alias("observed_rate")))

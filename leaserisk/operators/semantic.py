@@ -153,3 +153,24 @@ LINKS = {
 def traverse_links(dom, start: DataFrame, path: list[str]) -> DataFrame:
     """Follow named links from the registry (equi joins in order)."""
     return traverse(start, [(LINKS[name][0](dom), LINKS[name][1]) for name in path])
+
+
+def property_detail(properties: DataFrame, leases: DataFrame, latest: DataFrame, maintenance: DataFrame,
+                    n_requests: int = 3) -> DataFrame:
+    """J19 (property view): lease and risk roll-up plus the last ``n_requests``
+    maintenance requests (bounded per property by the salted top-k)."""
+    lr = (leases.select("lease_id", "property_id", "status")
+          .join(latest.select("lease_id", "risk_score", "risk_level"), "lease_id", "left")
+          .groupBy("property_id")
+          .agg(F.count_if(F.col("status") == "active").alias("active_leases"),
+               F.round(F.avg("risk_score"), 4).alias("avg_risk_score"),
+               F.count_if(F.col("risk_level") == "HIGH").alias("high_risk_leases")))
+    mc = maintenance.groupBy("property_id").agg(F.count(F.lit(1)).alias("maintenance_requests"))
+    last = top_k_per_group(maintenance.select("property_id", "request_id", "request_date", "priority"),
+                           "property_id", [F.col("request_date").desc(), F.col("request_id").desc()], n_requests)
+    recent = (last.groupBy("property_id")
+              .agg(F.array_sort(F.collect_list(F.struct("rank", "request_date", "priority"))).alias("r"))
+              .select("property_id", F.array_join(F.transform("r", lambda x: F.concat(
+                  x["request_date"].cast("string"), F.lit(":"), x["priority"])), ";").alias("recent_requests")))
+    return (properties.select("property_id", "address", "neighborhood")
+            .join(lr, "property_id", "left").join(mc, "property_id", "left").join(recent, "property_id", "left"))

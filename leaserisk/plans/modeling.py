@@ -171,3 +171,10 @@ SELECT CASE WHEN (lease_id * 7919) % 100 < 50 THEN 'A' ELSE 'B' END AS variant,
        round(CAST(count(*) FILTER (WHERE (churned = 1) = predicted_churn) AS DOUBLE) / count(*), 6) AS accuracy
 FROM tr GROUP BY 1
 """))(lambda spark, sf: EV.ab_metrics(_train(spark, sf)))
+
+
+register("m17_calibration", q(_TRAINED + f"""
+SELECT {TI.tier_sql('risk_score', SCORE_TIERS)} AS bucket, count(*) AS n,
+       round(avg(churn_probability), 6) AS mean_predicted, round(avg(CAST(churned AS DOUBLE)), 6) AS observed_rate
+FROM tr GROUP BY 1
+"""))(lambda spark, sf: EV.calibration(_train(spark, sf), TI.tier(F.col("risk_score"), SCORE_TIERS)))

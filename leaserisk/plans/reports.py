@@ -262,3 +262,17 @@ WHERE status = 'active' AND lease_id > 1000 ORDER BY lease_id LIMIT 50
 """))(lambda spark, sf: R.keyset_page(domain(spark, sf).leases().filter(F.col("status") == "active")
                                       .select("lease_id", "tenant_id", "end_date", "monthly_rent"),
                                       "lease_id", after=1000, limit=50))
+
+
+# -- A16 weekly grain within the last 90 days ------------------------------------------------
+register("a16_risk_trend_weekly_90d", q("""
+SELECT CAST(CAST(date_trunc('week', prediction_date) AS DATE) AS VARCHAR) AS period,
+       count(*) AS predictions,
+       round(avg(risk_score), 4) AS avg_risk_score,
+       count(*) FILTER (WHERE risk_level = 'HIGH') AS high_risk,
+       count(*) FILTER (WHERE risk_level = 'MEDIUM') AS medium_risk,
+       count(*) FILTER (WHERE risk_level = 'LOW') AS low_risk,
+       round(CAST(count(*) FILTER (WHERE predicted_churn) AS DOUBLE) / nullif(count(*), 0), 6)
+         AS predicted_churn_rate
+FROM d_hist WHERE prediction_date >= DATE '1999-01-01' - 90 AND prediction_date <= DATE '1999-01-01' GROUP BY 1
+"""))(lambda spark, sf: R.trend(_hist(spark, sf), "week", since="1998-10-03", until="1999-01-01"))

@@ -154,3 +154,23 @@ LEFT JOIN d_latest lt ON lt.lease_id = c.lease_id
 LEFT JOIN tot ON tot.tenant_id = t.tenant_id
 LEFT JOIN rec ON rec.tenant_id = t.tenant_id
 """))(j19)
+
+
+register("j19_property_detail", q("""
+, lr AS (SELECT l.property_id, count(*) FILTER (WHERE l.status = 'active') AS active_leases,
+                round(avg(lt.risk_score), 4) AS avg_risk_score,
+                count(*) FILTER (WHERE lt.risk_level = 'HIGH') AS high_risk_leases
+         FROM d_lease l LEFT JOIN d_latest lt ON lt.lease_id = l.lease_id GROUP BY 1),
+mc AS (SELECT property_id, count(*) AS maintenance_requests FROM d_maint GROUP BY 1),
+rk AS (SELECT property_id, request_date, priority,
+              row_number() OVER (PARTITION BY property_id ORDER BY request_date DESC, request_id DESC) AS rn
+       FROM d_maint),
+rec AS (SELECT property_id, string_agg(CAST(request_date AS VARCHAR) || ':' || priority, ';' ORDER BY rn)
+               AS recent_requests FROM rk WHERE rn <= 3 GROUP BY 1)
+SELECT p.property_id, p.address, p.neighborhood, lr.active_leases, lr.avg_risk_score, lr.high_risk_leases,
+       mc.maintenance_requests, rec.recent_requests
+FROM d_property p LEFT JOIN lr ON lr.property_id = p.property_id
+LEFT JOIN mc ON mc.property_id = p.property_id LEFT JOIN rec ON rec.property_id = p.property_id
+"""))(lambda spark, sf: SM.property_detail(domain(spark, sf).properties(), domain(spark, sf).leases(),
+                                           PR.latest_predictions(PR.prediction_history(domain(spark, sf))),
+                                           domain(spark, sf).maintenance()))
