@@ -1,0 +1 @@
+"""Column builders: scalars, tiers, named measures, statistics attachment."""

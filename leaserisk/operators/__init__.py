@@ -1,0 +1,2 @@
+"""Operators: features, scoring, predictions, filters, validation, reports,
+warehouse, retention, semantic layer, preparation, evaluation, ML, windows."""

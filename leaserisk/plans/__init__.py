@@ -1,0 +1 @@
+"""Registered queries and their DuckDB oracle SQL."""

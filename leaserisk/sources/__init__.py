@@ -1,0 +1 @@
+"""Sources: the driver-table adapter and readers / writers / layers."""

@@ -1,0 +1 @@
+"""Structured Streaming monitors with batch twins."""

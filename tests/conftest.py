@@ -1,3 +1,6 @@
+"""Shared fixtures: one local Spark session (checkpoint folder from the
+session, a scratch one only when unset) and DuckDB views over sf0.001."""
+
 import os
 import sys
 
