@@ -54,3 +54,22 @@ def test_rerun_is_incremental(spark, event_dir):
     first = sorted(T.counters(spark, event_dir, rid).collect())
     second = sorted(T.counters(spark, event_dir, rid).collect())
     assert first == second
+
+
+def test_response_monitor_equals_batch_twin(spark):
+    """T1 stream vs its batch twin on driver data: every answered action has
+    the same first response; every escalated one has none in the batch."""
+    from pyspark.sql import functions as F
+    from leaserisk.operators import retention as RT
+    sf = "/root/testdata/sf0.001"
+    ev = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    acts = ev.filter(F.col("event_type") == "purchase").select(F.col("event_id").alias("action_id"),
+                                                               F.col("user_id").alias("tenant_id"), "ts")
+    clicks = ev.filter(F.col("event_type") == "click").select(F.col("user_id").alias("tenant_id"), "ts")
+    batch = {r.action_id: r.response_ts for r in RT.first_response_within(acts, clicks, 48).collect()}
+    stream = T.response_monitor(spark, sf).collect()
+    assert stream
+    for r in stream:
+        assert batch[r.action_id] == r.response_ts
+    answered = {a for a, t in batch.items() if t is not None}
+    assert answered == {r.action_id for r in stream if r.outcome == "RESPONDED"}
