@@ -289,3 +289,26 @@ SELECT h.lease_id, CAST(h.prediction_date AS VARCHAR) AS prediction_date, CAST(h
        dayname(h.end_date) AS end_day_name, isodow(h.end_date) >= 6 AS end_is_weekend
 FROM d_hist h
 """))(j16)
+
+
+# -- D2 for the property dimension ---------------------------------------------------------
+def property_versions(spark, sf):
+    """Property snapshots at each maintenance request; the tracked attribute is
+    the latest request priority (our rule).  Same skew-safe SCD2 builder."""
+    m = domain(spark, sf).maintenance().select("property_id", F.col("request_date").alias("snapshot_date"),
+                                               F.col("priority").alias("last_priority"))
+    return WH.scd2_from_history(m, "property_id", "snapshot_date", ["last_priority"])
+
+
+register("d02_scd2_property_versions", q("""
+, s1 AS (SELECT property_id, request_date AS snapshot_date, priority AS last_priority FROM d_maint
+         QUALIFY row_number() OVER (PARTITION BY property_id, request_date ORDER BY priority) = 1),
+s2 AS (SELECT s1.*, lag(last_priority) OVER (PARTITION BY property_id ORDER BY snapshot_date) AS prev,
+              row_number() OVER (PARTITION BY property_id ORDER BY snapshot_date) AS rn FROM s1),
+v AS (SELECT property_id, last_priority, snapshot_date AS effective_date,
+             lead(snapshot_date) OVER (PARTITION BY property_id ORDER BY snapshot_date) AS end_date
+      FROM s2 WHERE rn = 1 OR prev IS DISTINCT FROM last_priority)
+SELECT property_id, last_priority, CAST(effective_date AS VARCHAR) AS effective_date,
+       CAST(end_date AS VARCHAR) AS end_date, end_date IS NULL AS is_current
+FROM v
+"""))(lambda spark, sf: property_versions(spark, sf).drop("version_key"))
