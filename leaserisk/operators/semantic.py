@@ -107,15 +107,22 @@ def lease_documents(leases: DataFrame, tenants: DataFrame, properties: DataFrame
 
 
 # -- skew-safe top-k per group ------------------------------------------------------------
-def top_k_per_group(df: DataFrame, key: str, order_cols, k: int, salt_buckets: int = 16) -> DataFrame:
+def top_k_per_group(df: DataFrame, key: str, order_cols, k: int, rows_per_task: int = 1_000_000) -> DataFrame:
     """Top-k rows per key without putting a hot key into one task.
 
-    Phase 1 ranks inside (key, salt) sub-groups, keeping k each; phase 2 ranks
-    the at most k * salt_buckets survivors per key.
+    Each key gets ``ceil(rows / rows_per_task)`` salt values (counted with a
+    map-side partial aggregate), so every (key, salt) sub-group holds at most
+    about ``rows_per_task`` rows however large the key is.  Phase 1 ranks
+    inside (key, salt) and keeps k rows; phase 2 ranks the at most
+    k * salts survivors per key.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salt_buckets))
+    salts = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+             .select(key, F.greatest(F.lit(1), F.ceil(F.col("_n") / rows_per_task)).cast("long").alias("_s")))
+    cols = df.columns
+    salted = (df.join(salts, key)
+              .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.col("_s"))).drop("_s"))
     w1 = Window.partitionBy(key, "_salt").orderBy(*order_cols)
-    cand = (df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w1))
+    cand = (salted.withColumn("_r", F.row_number().over(w1))
             .filter(F.col("_r") <= k).drop("_r", "_salt"))
     w2 = Window.partitionBy(key).orderBy(*order_cols)
     return cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
