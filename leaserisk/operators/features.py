@@ -44,13 +44,13 @@ def market_as_of(market: DataFrame, as_of=AS_OF) -> DataFrame:
 
 def market_as_of_rows(rows: DataFrame, market: DataFrame, row_key: str, date_col: str) -> DataFrame:
     """General J5 form: per row, the latest market row of its zip with
-    data_date <= the row's own date (as-of scan per (zip, month); no row is
+    data_date <= the row's own date (as-of scan per (zip, day); no row is
     paired with every market month of its zip)."""
     from leaserisk.operators.windows import asof_lookup
     cols = [c for c in MARKET_COLS if c != "zip_code"]
     m = market.select("zip_code", F.col("data_date").alias("_md"), *cols)
     return asof_lookup(rows.select(row_key, "zip_code", date_col), m, "zip_code", date_col, "_md", cols,
-                       lambda c: F.trunc(c, "month"))
+                       lambda c: c.cast("date"))
 
 
 def lease_context(dom, as_of=AS_OF, leases: DataFrame | None = None) -> DataFrame:

@@ -149,7 +149,7 @@ def scd2_from_history(snap: DataFrame, key: str = "tenant_id", date_col: str = "
     the previous snapshot, then end_date = next version's effective date (W4)."""
     # one snapshot per (key, date): the smallest attribute tuple wins
     dedup = (snap.groupBy(key, date_col).agg(F.min(F.struct(*tracked)).alias("attrs")))
-    bucket = F.trunc(date_col, "month")
+    bucket = F.col(date_col)  # day buckets: a hot key is split by day
     # previous snapshot's attributes and the next change date, both skew safe
     prev = ordered_neighbors(dedup, key, bucket, [date_col], prev_cols=["attrs"])
     changes = prev.filter(F.col("prev_attrs").isNull() | (F.col("prev_attrs") != F.col("attrs")))
@@ -189,12 +189,12 @@ def scd2_lookup(facts: DataFrame, versions: DataFrame, key: str, date_col: str)
 
     Versions of a key are contiguous (end = next version's effective date),
     so the valid version is the latest one with effective_date <= d: an as-of
-    scan per (key, month) (``windows.asof_lookup``) instead of a range join,
+    scan per (key, day) (``windows.asof_lookup``) instead of a range join,
     which would pair every fact of a hot key with every version of that key.
     """
     cols = ["version_key", "effective_date", "end_date"] + [c for c in versions.columns if c in SCD_TRACKED]
     v = versions.select(key, F.col("effective_date").alias("_eff"), *cols)
-    out = asof_lookup(facts, v, key, date_col, "_eff", cols, lambda c: F.trunc(c, "month"))
+    out = asof_lookup(facts, v, key, date_col, "_eff", cols, lambda c: c.cast("date"))
     return out.withColumnRenamed("end_date", "version_end_date")
 
 
@@ -243,8 +243,8 @@ def lease_events(leases: DataFrame, history: DataFrame | None = None, as_of=AS_O
     """
     a = _a(as_of)
     if with_context:
-        # lag / running count / running sum per tenant, skew safe (monthly buckets)
-        base = (ordered_neighbors(leases, "tenant_id", F.trunc("start_date", "month"), ["start_date", "lease_id"],
+        # lag / running count / running sum per tenant, skew safe (day buckets)
+        base = (ordered_neighbors(leases, "tenant_id", F.col("start_date"), ["start_date", "lease_id"],
                                   prev_cols=["monthly_rent"],
                                   prior_sums={"prior_months": F.col("lease_term_months")},
                                   prior_count="prior_leases")
