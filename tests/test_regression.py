@@ -33,3 +33,38 @@ def test_reference_risk_summary_case(spark):
                                "lease_id long, status string, risk_level string")
     r = R.risk_summary(df).first()
     assert (r.total_active, r.high_risk, r.medium_risk, r.low_risk, r.high_risk_pct) == (1000, 150, 300, 550, 15.0)
+
+
+def test_leases_ending_equals_filtered_leases(spark):
+    """The pushed-down window builder returns exactly the leases a plain
+    end-date filter over all leases returns (same columns, same values)."""
+    import datetime as dt
+    from leaserisk.sources.driver import domain
+    dom = domain(spark, SF)
+    lo, hi = dt.date(1998, 11, 1), dt.date(1999, 4, 1)
+    a = dom.leases_ending(lo, hi)
+    b = dom.leases().filter((F.col("end_date") > F.lit(str(lo)).cast("date"))
+                            & (F.col("end_date") <= F.lit(str(hi)).cast("date")))
+    assert a.columns == b.columns
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert a.count() > 0
+
+
+def test_first_response_bucket_width_does_not_matter(spark):
+    from leaserisk.operators import retention as RT
+    from leaserisk.sources.driver import domain
+    dom = domain(spark, "/root/testdata/sf0.001")
+    acts = dom.actions().select("action_id", "tenant_id", F.col("triggered_at").alias("ts"))
+    clicks = dom.engagement().filter(F.col("event_type") == "click").select("tenant_id", "ts")
+    res = [{r.action_id: r.response_ts for r in RT.first_response_within(acts, clicks, 48, bucket_hours=b).collect()}
+           for b in (1, 6, 24, 72)]
+    assert res[0] == res[1] == res[2] == res[3]
+
+
+def test_checkpoint_dir_comes_from_the_session(spark):
+    from leaserisk.session import checkpoint_dir
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    d = checkpoint_dir(spark)
+    if conf:
+        assert d == conf.rstrip("/")
+    assert spark.sparkContext.getCheckpointDir() is not None
