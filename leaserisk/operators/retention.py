@@ -93,7 +93,7 @@ def auto_trigger(leases_pred: DataFrame, as_of=C.AS_OF) -> DataFrame:
         .when(lvl == "MEDIUM", F.concat(F.lit(MEDIUM_NOTE_PREFIX), F.col("incentive_description")))
         .otherwise(F.lit("Standard renewal notice")).alias("notes"),
         F.when(lvl == "HIGH", F.array(*[F.lit(x) for x in
-                                        ("manager-alert", "concierge-call", "email", "aip-workflow")]))
+                                        ("manager-alert", "concierge-call", "email", "workflow")]))
         .when(lvl == "MEDIUM", F.array(F.lit("email-campaign"), F.lit("incentive-offer")))
         .otherwise(F.array(F.lit("email"))).alias("actions_taken"),
         F.when(lvl == "MEDIUM", F.col("incentive_type")).alias("incentive_type"),

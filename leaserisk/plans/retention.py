@@ -81,7 +81,7 @@ tr AS (
          CASE risk_level WHEN 'HIGH' THEN 'High risk - immediate intervention required'
               WHEN 'MEDIUM' THEN 'Sent renewal incentive: ' || {_INC_DESC}
               ELSE 'Standard renewal notice' END AS notes,
-         CASE risk_level WHEN 'HIGH' THEN 'manager-alert,concierge-call,email,aip-workflow'
+         CASE risk_level WHEN 'HIGH' THEN 'manager-alert,concierge-call,email,workflow'
               WHEN 'MEDIUM' THEN 'email-campaign,incentive-offer' ELSE 'email' END AS actions_taken,
          CASE WHEN risk_level = 'MEDIUM' THEN {_INC_SQL} END AS incentive_type,
          CASE WHEN risk_level = 'MEDIUM' THEN {_INC_VAL} END AS incentive_value,
