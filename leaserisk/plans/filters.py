@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from leaserisk.config import AS_OF
 from leaserisk.operators import features as FE
 from leaserisk.operators import filters as P
 from leaserisk.operators import predictions as PR
@@ -22,8 +23,8 @@ def _dom(spark, sf):
 register("p02_expiring_within_60", q("""
 SELECT lease_id, tenant_id, CAST(end_date AS VARCHAR) AS end_date FROM d_lease
 WHERE status = 'active' AND end_date BETWEEN DATE '1999-01-01' AND DATE '1999-01-01' + 60
-"""))(lambda spark, sf: _dom(spark, sf).leases().filter(P.expiring_within(days=60))
-      .select("lease_id", "tenant_id", "end_date"))
+"""))(lambda spark, sf: _dom(spark, sf).leases_ending(AS_OF, AS_OF + dt.timedelta(days=60))
+      .filter(P.expiring_within(days=60)).select("lease_id", "tenant_id", "end_date"))
 
 for _lvl, _id in (("HIGH", "p04_high_risk_active"), ("MEDIUM", "p05_medium_risk_active")):
     register(_id, q(f"""
