@@ -11,7 +11,7 @@ ORACLES = E.oracle_sql()
 
 def test_names_follow_id_slug_convention():
     for name in QUERIES:
-        assert re.fullmatch(r"([a-z]\d{2}|f|e\d)_[a-z0-9_]+", name), name
+        assert re.fullmatch(r"([a-z]\d{2}|f|e\d|op\d+)_[a-z0-9_]+|pipeline", name), name
 
 
 def test_oracles_pair_with_queries():
