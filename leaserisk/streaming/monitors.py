@@ -14,36 +14,39 @@ is emitted once the watermark (max event time - delay) has passed its end.
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections import deque
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leaserisk.config import AS_OF, ENGAGEMENT_HIGH_THRESHOLD
-from leaserisk.session import checkpoint_dir, ensure_utc
+from leaserisk.session import checkpoint_dir, ensure_utc, scratch_path
 
 DELAY = "1 hour"
 RESPONSE_HOURS = 48
 
 
+FILES_PER_TRIGGER = 1000
+
+
+def _fs(spark: SparkSession, path: str):
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hp
+
+
 def _is_dir(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hp).isDirectory()
+    fs, hp = _fs(spark, path)
+    return fs.getFileStatus(hp).isDirectory()
 
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
     """File-stream source over ``<sf_dir>/<table>.parquet``: a folder of part
     files is streamed as is; a single file is picked out of its folder with a
-    glob filter."""
+    glob filter.  A trigger takes up to ``FILES_PER_TRIGGER`` files."""
     ensure_utc(spark)
     path = f"{sf_dir}/{table}.parquet"
     schema = spark.read.parquet(path).schema
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000)
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
     if _is_dir(spark, path):
         return r.parquet(path)
     return r.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
@@ -61,106 +64,67 @@ def stream_paths(spark: SparkSession, name: str, run_id: str | None = None) -> t
     return f"{base}/out", f"{base}/checkpoint"
 
 
-def run_append(df: DataFrame, name: str, run_id: str | None = None, timeout_s: int = 600) -> str:
-    """Run a streaming frame to completion into a parquet sink; return its path."""
+def run_append(df: DataFrame, name: str, run_id: str | None = None) -> str:
+    """Run a streaming frame until all available input is processed, however
+    long that takes, into a parquet sink; return its path.  A failed stream raises."""
     spark = df.sparkSession
     out, ck = stream_paths(spark, name, run_id)
     q = (df.writeStream.outputMode("append").format("parquet").option("path", out)
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    q.stop()
+    q.awaitTermination()
     return out
 
 
-def run_batches(df: DataFrame, name: str, mode: str, sink, run_id: str | None = None,
-                timeout_s: int = 600) -> str:
+def run_batches(df: DataFrame, name: str, mode: str, sink, run_id: str | None = None) -> str:
     """foreachBatch form for update / complete modes; ``sink(batch_df, out_path, batch_id)``."""
     spark = df.sparkSession
     out, ck = stream_paths(spark, name, run_id)
     q = (df.writeStream.outputMode(mode).foreachBatch(lambda b, i: sink(b, out, i))
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    q.stop()
+    q.awaitTermination()
     return out
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  (no batch emitted anything)
+    """The sink's table; empty only if no batch has made it."""
+    fs, hp = _fs(spark, path)
+    if not fs.exists(hp):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
-# -- T1: 48-hour response monitor (custom state, event-time timeout) -----------------
+# -- T1: 48-hour response monitor (left outer join of two streams) -------------------
 T1_OUT = ("action_id long, tenant_id long, action_ts timestamp, response_ts timestamp, outcome string")
-_H_US = RESPONSE_HOURS * 3600 * 1_000_000
-
-
-def _t1_state(key, pdfs, state: GroupState):
-    """Per tenant: the first click inside [t, t + 48 h] answers an action; once
-    the watermark passes t + 48 h an unanswered action escalates (NO_RESPONSE).
-
-    State = ``waiting`` (time-ordered actions that a later click can still
-    answer) and ``expired`` (past their window, emitted when the watermark
-    passes).  Rows are handled in time order, so a click pops expired actions
-    from the front and answers all the rest: linear per micro-batch.
-    """
-    tenant = int(key[0])
-    st = json.loads(state.get[0]) if state.exists else {"w": [], "x": []}
-    waiting, expired = deque(st["w"]), st["x"]
-    out = []
-    if state.hasTimedOut:
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        keep_x = []
-        for aid, t in list(expired) + list(waiting):
-            if t + _H_US < wm_us:
-                out.append((aid, tenant, t, None, "NO_RESPONSE"))
-            else:
-                keep_x.append([aid, t])
-        waiting, expired = deque(), keep_x
-    else:
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        pdf["t"] = pdf["ts"].astype("datetime64[us]").astype("int64")
-        pdf["k"] = (pdf["event_type"] == "click").astype(int)
-        pdf = pdf.sort_values(["t", "k", "event_id"])
-        for aid, t, k in zip(pdf["event_id"].tolist(), pdf["t"].tolist(), pdf["k"].tolist()):
-            if k == 0:
-                waiting.append([int(aid), int(t)])
-                continue
-            while waiting and waiting[0][1] + _H_US < t:
-                expired.append(waiting.popleft())
-            while waiting:
-                a, ta = waiting.popleft()
-                out.append((a, tenant, ta, int(t), "RESPONDED"))
-    if waiting or expired:
-        state.update((json.dumps({"w": list(waiting), "x": expired}),))
-        first = min(t for _, t in list(waiting) + list(expired))
-        state.setTimeoutTimestamp(first // 1000 + RESPONSE_HOURS * 3600 * 1000)
-    else:
-        state.remove()
-    if out:
-        df = pd.DataFrame(out, columns=["action_id", "tenant_id", "a", "r", "outcome"])
-        df["action_ts"] = pd.to_datetime(df["a"], unit="us")
-        df["response_ts"] = pd.to_datetime(df["r"], unit="us")
-        yield df[["action_id", "tenant_id", "action_ts", "response_ts", "outcome"]]
-
-
 BUCKET_HOURS = 24
 
 
 def response_monitor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State is keyed by (tenant, day bucket of the action), so a hot tenant is
-    split over its days.  A click can answer actions of the last 48 hours, so
-    it is sent to each bucket in [bucket(ts - 48 h), bucket(ts)] (three
-    buckets); every action still sees every click that could answer it."""
-    ev = _events(spark, sf_dir, ["purchase", "click"])
+    """Actions left-joined with the clicks of the same tenant in [t, t + 48 h],
+    then the first click of each action.  Both sides carry a watermark, so an
+    action leaves the state, and is emitted with its first response or as
+    NO_RESPONSE, once the watermark has passed its 48 hours, in whatever
+    batches and order its events came.
+
+    The join key is (tenant, day bucket of the action), so a hot tenant's state
+    is split over its days; a click goes to the buckets whose actions it can
+    answer: those of [ts - 48 h, ts]."""
     width = BUCKET_HOURS * 3600
-    b_now = F.floor(F.unix_seconds("ts") / width).cast("long")
-    b_first = F.floor((F.unix_seconds("ts") - RESPONSE_HOURS * 3600) / width).cast("long")
-    buckets = F.when(F.col("event_type") == "purchase", F.array(b_now)).otherwise(F.sequence(b_first, b_now))
-    ev = ev.withColumn("_bucket", F.explode(buckets))
-    return ev.groupBy("user_id", "_bucket").applyInPandasWithState(
-        _t1_state, T1_OUT, "pending string", "append", GroupStateTimeout.EventTimeTimeout)
+    bucket = lambda c: F.floor(c / width).cast("long")
+    ts = F.col("ts").cast("timestamp")
+    actions = (event_stream(spark, sf_dir).filter(F.col("event_type") == "purchase")
+               .select(F.col("event_id").alias("action_id"), F.col("user_id").alias("tenant_id"), ts.alias("action_ts"))
+               .withWatermark("action_ts", DELAY)
+               .withColumn("bucket", bucket(F.unix_seconds("action_ts"))))
+    clicks = (event_stream(spark, sf_dir).filter(F.col("event_type") == "click")
+              .select(F.col("user_id").alias("click_tenant"), ts.alias("click_ts"))
+              .withWatermark("click_ts", DELAY)
+              .select("click_tenant", "click_ts", F.explode(F.sequence(
+                  bucket(F.unix_seconds("click_ts") - RESPONSE_HOURS * 3600), bucket(F.unix_seconds("click_ts")))).alias("click_bucket")))
+    in_time = F.expr(f"click_ts >= action_ts AND click_ts <= action_ts + INTERVAL {RESPONSE_HOURS} HOURS")
+    joined = actions.join(clicks, (F.col("tenant_id") == F.col("click_tenant"))
+                          & (F.col("bucket") == F.col("click_bucket")) & in_time, "leftOuter")
+    return (joined.groupBy("action_id", "tenant_id", "action_ts").agg(F.min("click_ts").alias("response_ts"))
+            .withColumn("outcome", F.when(F.col("response_ts").isNull(), "NO_RESPONSE").otherwise("RESPONDED")))
 
 
 def response_monitor(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
@@ -235,11 +199,14 @@ def scoring_stream(spark, sf_dir, as_of=AS_OF) -> DataFrame:
     from leaserisk.sources.driver import domain, leases_from_orders
     dom = domain(spark, sf_dir, as_of)
     orders = event_stream(spark, sf_dir, "orders")
-    leases = leases_from_orders(orders, dom.lease_property(), as_of)
+    # Written once: micro-batches join the table, not its aggregate over all line items.
+    path = scratch_path(spark, "lease_property")
+    dom.lease_property().write.parquet(path)
+    leases = leases_from_orders(orders, spark.read.parquet(path), as_of)
     a = FE.as_of_col(as_of)
     ctx = (leases.join(dom.tenants().select(*FE.TENANT_COLS), "tenant_id", "left")
            .join(dom.properties().select(*FE.PROPERTY_COLS), "property_id", "left")
-           .join(F.broadcast(FE.market_as_of(dom.market_data(), as_of)), "zip_code", "left")
+           .join(FE.market_as_of(dom.market_data(), as_of), "zip_code", "left")
            .withColumns({"property_age": F.year(a) - F.col("year_built"),
                          "tenure_days": F.datediff(a, F.col("start_date"))}))
     return S.with_rule_risk(ctx).select("lease_id", "tenant_id", "risk_score", "risk_level",
@@ -284,11 +251,15 @@ def sessions(spark, sf_dir, run_id=None) -> DataFrame:
 
 
 # -- T8: duplicates and late rows -------------------------------------------------------------
-def dedup_stream(spark, sf_dir) -> DataFrame:
-    s = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", DELAY)
+def dedup_stream(spark, sf_dir, deliveries: int = 1) -> DataFrame:
+    """``deliveries`` above 1 reads every event that often, as an at-least-once source would."""
+    s = event_stream(spark, sf_dir)
+    for _ in range(deliveries - 1):
+        s = s.union(event_stream(spark, sf_dir))
+    s = s.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", DELAY)
     return s.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type", "ts")
 
 
-def deduplicated(spark, sf_dir, run_id=None) -> DataFrame:
-    return _read(spark, run_append(dedup_stream(spark, sf_dir), "t8_dedup", run_id),
+def deduplicated(spark, sf_dir, run_id=None, deliveries: int = 1) -> DataFrame:
+    return _read(spark, run_append(dedup_stream(spark, sf_dir, deliveries), "t8_dedup", run_id),
                  "event_id long, event_type string, ts timestamp")
