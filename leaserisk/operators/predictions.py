@@ -13,20 +13,20 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaserisk.config import AS_OF, RENEWAL_WINDOW_DAYS
+from leaserisk.config import AS_OF, HISTORY_START, RENEWAL_WINDOW_DAYS
 from leaserisk.operators import features as FE
 from leaserisk.operators import scoring as S
 
 MODEL_VERSION = "rules-1.0"
 
 
-def default_runs(as_of=AS_OF, n: int = 3) -> list[dt.date]:
-    """First-of-month run dates ending at ``as_of`` (monthly schedule)."""
-    out, y, m = [], as_of.year, as_of.month
-    for _ in range(n):
+def default_runs(as_of=AS_OF, first: dt.date = HISTORY_START) -> list[dt.date]:
+    """First-of-month run dates from ``first`` up to ``as_of`` (monthly schedule)."""
+    out, y, m = [], first.year, first.month
+    while dt.date(y, m, 1) <= as_of:
         out.append(dt.date(y, m, 1))
-        y, m = (y, m - 1) if m > 1 else (y - 1, 12)
-    return sorted(out)
+        y, m = (y, m + 1) if m < 12 else (y + 1, 1)
+    return out
 
 
 def market_for_runs(market: DataFrame, runs: list) -> DataFrame:
@@ -47,15 +47,15 @@ def prediction_history(dom, runs: list | None = None, days: int = RENEWAL_WINDOW
 
 
 def _prediction_history(dom, runs: list, days: int) -> DataFrame:
-    r = F.explode(F.array(*[F.lit(str(d)).cast("date") for d in runs])).alias("run_date")
-    end = F.col("end_date")
-    rd = F.col("run_date")
+    end, rd = F.col("end_date"), F.col("run_date")
     lo, hi = min(runs), max(runs) + dt.timedelta(days=days)
-    leases = (dom.leases_ending(lo, hi).select("*", r)
-              .filter((end > rd) & (end <= F.date_add(rd, days))))
+    dates = F.array(*[F.lit(str(d)).cast("date") for d in runs])
+    # Only the runs whose window holds the lease's end are exploded.
+    in_window = F.filter(dates, lambda r: (end > r) & (end <= F.date_add(r, days)))
+    leases = dom.leases_ending(lo, hi).select("*", F.explode(in_window).alias("run_date"))
     t = dom.tenants().select(*FE.TENANT_COLS)
     p = dom.properties().select(*FE.PROPERTY_COLS)
-    m = F.broadcast(market_for_runs(dom.market_data(), runs))  # zips x runs rows
+    m = market_for_runs(dom.market_data(), runs)
     ctx = (leases.join(t, "tenant_id", "left")
            .join(p, "property_id", "left")
            .join(m, ["zip_code", "run_date"], "left")
