@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaserisk.llm.pretokens import PretokenCache
-from leaserisk.llm.text import chunks, text_column
+from leaserisk.llm.text import chunks, map_arrow, text_column
 
 LONGEST = 128
 ROWS = 8192
@@ -219,5 +219,5 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_column(text_col).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_arrow(plain, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
                             + ", ids array<int>" * with_ids)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaserisk.llm.pretokens import PretokenCache
-from leaserisk.llm.text import chunks, row_key, text_column
+from leaserisk.llm.text import chunks, map_arrow, row_key, text_column
 from leaserisk.session import checkpoint_dir
 
 ROWS_PER_SALT = 200_000
@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, path: str, length: int = 1024, end_id: int = 2
 
     plain = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                         text_column(text_col).alias("text"))
-    return plain.mapInArrow(run, "key struct<a: long, b: long>, doc_id long, piece int, start long, length long, "
+    return map_arrow(plain, run, "key struct<a: long, b: long>, doc_id long, piece int, start long, length long, "
                             "ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
@@ -193,7 +193,7 @@ def place(pieces: DataFrame, length: int = 1024) -> DataFrame:
                  pa.array(r[:, 3] + nth // r[:, 4]), pa.array(r[:, 5] + nth % r[:, 4] * size)], [*keep, "sequence_id", "offset"])
 
     schema = ranked.select(*keep, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    return ranked.mapInArrow(run, schema)
+    return map_arrow(ranked, run, schema)
 
 
 def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",

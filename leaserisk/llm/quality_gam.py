@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaserisk.llm.text import chunks, text_column
+from leaserisk.llm.text import chunks, map_arrow, text_column
 
 SAMPLE_ROWS = 20_000
 BINS, PAIR_BINS = 48, 12
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(list(x), pa.list_(pa.float64()))],
                                              ["id", "y", "x"])
 
-    found = (sample.mapInArrow(run, "id long, y int, x array<double>").groupBy("id", "x").agg(F.max("y").alias("y"))
+    found = (map_arrow(sample, run, "id long, y int, x array<double>").groupBy("id", "x").agg(F.max("y").alias("y"))
              .orderBy(F.xxhash64("id"), "id", "x").limit(sample_rows).select("y", "x").toArrow())
     y = found.column("y").to_numpy().astype(float)
     x = found.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), len(FEATURES)) if len(y) else np.zeros((0, len(FEATURES)))
@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(id_col).alias("held_out"),
                         text_column(text_col).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(plain, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -231,4 +231,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     # Renamed by place on the way, so columns of any name pass through.
     kept = docs.select(text_column(text_col).alias("c0"), *[F.col(f"`{c}`").alias(f"c{i + 1}") for i, c in enumerate(names)])
     schema = kept.drop("c0").schema
-    return kept.mapInArrow(run, schema).toDF(*names)
+    return map_arrow(kept, run, schema).toDF(*names)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaserisk.llm.text import chunks, text_column
+from leaserisk.llm.text import chunks, map_arrow, text_column
 
 # The shapes.
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -130,7 +130,7 @@ def scan(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, pa.int64()) for c in n), pa.array(base), pa.array(all_)], names)
 
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_column(text_col).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    return map_arrow(plain, run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
 
 def redact_bytes(text: bytes, spans: list[tuple[int, int, int]], mark: bytes) -> bytes:
@@ -172,4 +172,4 @@ def redacted(docs: DataFrame, path: str, text_col: str = "text", mark: str = "[S
 
     # Renamed by place on the way, so columns of any name pass through.
     kept = docs.select(text_column(text_col).alias("c0"), *[F.col(f"`{c}`").alias(f"c{i + 1}") for i, c in enumerate(names)])
-    return kept.mapInArrow(run, kept.drop("c0").schema).toDF(*names)
+    return map_arrow(kept, run, kept.drop("c0").schema).toDF(*names)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaserisk.llm.graph import connected_components
-from leaserisk.llm.text import chunks, row_key, text_column
+from leaserisk.llm.text import CHUNK_BYTES, chunks, map_arrow, row_key, text_column
 from leaserisk.session import checkpoint_dir
 
 PIVOTS = 24
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     """(key, doc_id, fp) per row; null text counts as empty, whose fingerprint is zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in chunks(batches):
+        for rows, data, at in chunks(batches, most=CHUNK_BYTES // 4):  # each word becomes a few Python objects
             raw, hashes, counts = data.tobytes(), [], []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
                 own = document_hashes(raw[i:j], shingle)
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
 
     plain = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                         text_column(text_col).alias("text"))
-    return plain.mapInArrow(run, "key struct<a: long, b: long>, doc_id long, fp long")
+    return map_arrow(plain, run, "key struct<a: long, b: long>, doc_id long, fp long")
 
 
 def block_masks(max_bits: int, blocks: int) -> list[int]:

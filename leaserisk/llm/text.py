@@ -9,7 +9,7 @@ its partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,20 @@ from pyspark.sql import functions as F
 from leaserisk.session import scratch_path
 
 CHUNK_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes: 10,000 long texts in one would fill an executor."""
+    df.sparkSession.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, compressed."""
     path = scratch_path(df.sparkSession, name)
