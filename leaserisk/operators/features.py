@@ -65,7 +65,7 @@ def _lease_context(dom, as_of, leases) -> DataFrame:
     a = as_of_col(as_of)
     t = dom.tenants().select(*TENANT_COLS)
     p = dom.properties().select(*PROPERTY_COLS)
-    m = F.broadcast(market_as_of(dom.market_data(), as_of))  # one row per zip
+    m = market_as_of(dom.market_data(), as_of)  # one row per zip
     return ((leases if leases is not None else dom.leases())
             .join(t, "tenant_id", "left")
             .join(p, "property_id", "left")

@@ -19,7 +19,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaserisk.functions.stats import with_stats
@@ -42,12 +42,25 @@ CATEGORICAL_FEATURES = ["neighborhood_type", "payment_method"]
 MODEL_INPUTS = NUMERIC_FEATURES + [c + "_idx" for c in CATEGORICAL_FEATURES]
 
 
-def split(df: DataFrame, key: str = "lease_id", seed: int = 42, test_pct: int = 20) -> DataFrame:
-    """M6: deterministic 80/20 split by hashed key (stable under re-runs and
-    executor loss; each label stratum splits in the same proportion in
-    expectation)."""
-    b = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10000))
-    return df.withColumn("split", F.when(b < test_pct * 100, "test").otherwise("train"))
+SPLIT_CELLS = 100_003
+
+
+def split(df: DataFrame, key: str = "lease_id", seed: int = 42, test_pct: int = 20, label: str = "label") -> DataFrame:
+    """M6: stratified split, the same rows on every run: within each label the
+    rows of the lowest cells of an arithmetic hash of the key, as many whole cells
+    as stay within ``test_pct`` per cent of the label's rows, are the test rows.
+
+    Rows are counted by (label, cell) and only those counts, a fixed number
+    per label, are ranked."""
+    cell = F.pmod(F.col(key) * 48271 + seed, F.lit(SPLIT_CELLS))
+    d = df.withColumn("_cell", cell)
+    n = d.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(label).orderBy("_cell"))
+    total = F.sum("_n").over(Window.partitionBy(label))
+    cells = n.select(label, "_cell", (upto * 100 <= total * test_pct).alias("_test"))
+    return (d.join(cells, [label, "_cell"])
+            .withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_cell", "_test")
+            .select(*df.columns, "split"))
 
 
 def class_weight_col(df: DataFrame, label: str = "label") -> DataFrame:

@@ -12,14 +12,14 @@ import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leaserisk.functions.stats import with_stats
 
-# percentile_approx accuracy: 1/ACCURACY relative rank error; exact on small data.
-MEDIAN_ACCURACY = 1_000_000
+# Sketch accuracy (rank error 1 / 10,000) and the ranks that bracket a median.
+BRACKET_ACCURACY, BRACKET = 10_000, (0.499, 0.501)
 
 
 def _numeric(df: DataFrame, cols):
@@ -27,15 +27,41 @@ def _numeric(df: DataFrame, cols):
 
 
 # -- M2: impute ---------------------------------------------------------------
+def medians(df: DataFrame, cols) -> DataFrame:
+    """One row ``median_<c>``: the exact median, the mean of the two middle
+    values for an even count, nulls left out.
+
+    A small sketch brackets each column's median; rows below the bracket are only
+    counted, and the values inside (about a 500th of the rows) are counted
+    by value and ranked.  So no task holds a column's values.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols]))
+    long = df.select(pairs.alias("p")).select("p.*").filter(F.col("v").isNotNull())
+    cuts = long.groupBy("c").agg(F.percentile_approx("v", list(BRACKET), BRACKET_ACCURACY).alias("q"),
+                                 F.count(F.lit(1)).alias("n"))
+    cuts = cuts.select("c", "n", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    near = long.join(cuts, "c").filter(F.col("v") <= F.col("hi"))
+    by_value = (near.groupBy("c", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))  # null: below the bracket
+                .agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")))
+    upto = F.sum("m").over(Window.partitionBy("c").orderBy(F.col("v").asc_nulls_first()))
+    ranked = by_value.withColumn("upto", upto)
+    holds = lambda k: ((F.col("upto") - F.col("m") <= k) & (k < F.col("upto"))).cast("int")
+    weight = holds(F.expr("(n - 1) div 2")) + holds(F.expr("n div 2"))
+    found = ranked.groupBy("c").agg((F.sum(F.col("v") * weight) / 2).alias("median"))
+    return found.agg(*[F.max(F.when(F.col("c") == c, F.col("median"))).alias(f"median_{c}") for c in cols])
+
+
 def fit_imputer(df: DataFrame, cols) -> dict:
-    """Median (lower median, scalable ``percentile_approx``) for numeric columns,
-    smallest most-frequent value for the others; one aggregation pass."""
+    """Median for numeric columns, smallest most-frequent value for the others."""
     num = _numeric(df, cols)
     other = [c for c in cols if c not in num]
-    aggs = [F.percentile_approx(c, 0.5, MEDIAN_ACCURACY).alias(c) for c in num]
-    aggs += [F.mode(c, deterministic=True).alias(c) for c in other]
-    row = df.agg(*aggs).first().asDict() if aggs else {}
-    return {c: row[c] for c in cols}
+    out = {}
+    if num:
+        row = medians(df, num).first()
+        out.update({c: row[f"median_{c}"] for c in num})
+    if other:
+        out.update(df.agg(*[F.mode(c, deterministic=True).alias(c) for c in other]).first().asDict())
+    return {c: out[c] for c in cols}
 
 
 def apply_imputer(df: DataFrame, state: dict) -> DataFrame:
@@ -58,29 +84,20 @@ def fit_label_encoder(df: DataFrame, cols) -> dict:
     return state
 
 
-MAP_LIMIT = 10_000  # vocabularies above this are joined instead of inlined
-
-
 def apply_label_encoder(df: DataFrame, state: dict, suffix: str = "_idx") -> DataFrame:
     """Seen label -> its alphabetical index, unseen or null -> -1, absent column -> -1.
 
-    Small vocabularies become a literal map (no join); large ones are joined
-    as a (label, index) table, which Spark broadcasts only when its size
-    allows."""
+    Labels are joined as a (label, index) table, which Spark broadcasts only
+    when its size allows."""
     out = {}
     for c, labels in state.items():
         if c not in df.columns or not labels:
             out[c + suffix] = F.lit(-1)
             continue
-        if len(labels) > MAP_LIMIT:
-            spark = df.sparkSession
-            vocab = spark.createDataFrame(list(enumerate(labels)), f"{c}__i int, {c}__l string")
-            df = (df.join(vocab, F.col(c) == F.col(f"{c}__l"), "left")
-                  .withColumn(c + suffix, F.coalesce(F.col(f"{c}__i"), F.lit(-1)))
-                  .drop(f"{c}__i", f"{c}__l"))
-            continue
-        m = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
-        out[c + suffix] = F.coalesce(m[F.col(c)], F.lit(-1))
+        vocab = df.sparkSession.createDataFrame(list(enumerate(labels)), f"{c}__i int, {c}__l string")
+        df = (df.join(vocab, F.col(c) == F.col(f"{c}__l"), "left")
+              .withColumn(c + suffix, F.coalesce(F.col(f"{c}__i"), F.lit(-1)))
+              .drop(f"{c}__i", f"{c}__l"))
     return df.withColumns(out)
 
 
@@ -137,8 +154,10 @@ def fit_pipeline(df: DataFrame, numeric_cols, categorical_cols) -> FeaturePipeli
     imp = fit_imputer(df, list(numeric_cols) + list(categorical_cols))
     filled = apply_imputer(df, imp)
     enc = fit_label_encoder(filled, categorical_cols)
-    to_scale = [c for c, ok in columns_to_scale(filled, numeric_cols).items() if ok]
-    return FeaturePipelineModel(imp, enc, fit_scaler(filled, to_scale))
+    coded = apply_label_encoder(filled, enc)
+    # Encoded columns are numbers like any other: scaled if they have more than two values.
+    to_scale = [c for c, ok in columns_to_scale(coded, [*numeric_cols, *(c + "_idx" for c in enc)]).items() if ok]
+    return FeaturePipelineModel(imp, enc, fit_scaler(coded, to_scale))
 
 
 # ---------------------------------------------------------------------------
@@ -151,8 +170,9 @@ def _attach(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 def impute_plan(df: DataFrame, numeric_cols, categorical_cols=()) -> tuple[DataFrame, DataFrame]:
     """M2: (imputed frame, one-row statistics frame)."""
-    stats = df.agg(*[F.percentile_approx(c, 0.5, MEDIAN_ACCURACY).alias(f"median_{c}") for c in numeric_cols],
-                   *[F.mode(c, deterministic=True).alias(f"mode_{c}") for c in categorical_cols])
+    stats = medians(df, numeric_cols)
+    if categorical_cols:
+        stats = _attach(stats, df.agg(*[F.mode(c, deterministic=True).alias(f"mode_{c}") for c in categorical_cols]))
     j = _attach(df, stats)
     fills = {c: F.coalesce(F.col(c), F.col(f"median_{c}")) for c in numeric_cols}
     fills.update({c: F.coalesce(F.col(c), F.col(f"mode_{c}")) for c in categorical_cols})

@@ -96,8 +96,8 @@ def page(df: DataFrame, key: str, page_no: int = 1, limit: int = 50, max_limit:
 
     The total is one count aggregate attached as a scalar subquery.  For deep paging use ``keyset_page``.
     """
-    limit = max(1, min(limit, max_limit))
-    page_no = max(1, page_no)
+    if not 1 <= limit <= max_limit or page_no < 1:
+        raise ValueError(f"page from 1 and limit from 1 to {max_limit}, not {page_no} and {limit}")
     rows = df.orderBy(F.col(key)).offset((page_no - 1) * limit).limit(limit)
     total = df.agg(F.count(F.lit(1)).alias("total"))
     return (with_stats(rows, total)

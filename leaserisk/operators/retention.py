@@ -26,6 +26,12 @@ SUBJECT_HIGH = "We'd Love to Keep You as a Resident!"
 SUBJECT_OTHER = "Time to Renew Your Lease - Special Offers Inside"
 SUBJECT_INCENTIVE = "\U0001F381 Exclusive Renewal Offer Just For You!"
 MANAGER_TEMPLATE = "property-manager-alert"
+LOW_ACTION = ("renewal-notice", "Standard renewal notice")  # ours
+ACTIONS_TAKEN = {
+    "HIGH": ["manager-alert", "concierge-call", "email", "aip-workflow"],
+    "MEDIUM": ["email-campaign", "incentive-offer"],
+    "LOW": ["email"],
+}
 INCENTIVE_TEXT = {
     "rent-discount": "5% rent discount for first 3 months of renewal",
     "upgrade": "$500 credit for property upgrades or repairs",
@@ -85,17 +91,16 @@ def auto_trigger(leases_pred: DataFrame, as_of=C.AS_OF) -> DataFrame:
     in_window = (F.col("end_date") > F.lit(str(as_of)).cast("date")) & \
         (F.col("end_date") <= F.date_add(F.lit(str(as_of)).cast("date"), C.RENEWAL_WINDOW_DAYS))
     a = a.filter((lvl != "LOW") | in_window)
+    taken = lambda level: F.array(*[F.lit(x) for x in ACTIONS_TAKEN[level]])
     return a.select(
         "lease_id", "tenant_id", "property_id", "risk_level", "risk_score",
         F.when(lvl == "HIGH", HIGH_ACTION[0]).when(lvl == "MEDIUM", MEDIUM_ACTION_TYPE)
-        .otherwise("renewal-notice").alias("action_type"),
+        .otherwise(LOW_ACTION[0]).alias("action_type"),
         F.when(lvl == "HIGH", HIGH_ACTION[1])
         .when(lvl == "MEDIUM", F.concat(F.lit(MEDIUM_NOTE_PREFIX), F.col("incentive_description")))
-        .otherwise(F.lit("Standard renewal notice")).alias("notes"),
-        F.when(lvl == "HIGH", F.array(*[F.lit(x) for x in
-                                        ("manager-alert", "concierge-call", "email", "workflow")]))
-        .when(lvl == "MEDIUM", F.array(F.lit("email-campaign"), F.lit("incentive-offer")))
-        .otherwise(F.array(F.lit("email"))).alias("actions_taken"),
+        .otherwise(F.lit(LOW_ACTION[1])).alias("notes"),
+        F.when(lvl == "HIGH", taken("HIGH")).when(lvl == "MEDIUM", taken("MEDIUM"))
+        .otherwise(taken("LOW")).alias("actions_taken"),
         F.when(lvl == "MEDIUM", F.col("incentive_type")).alias("incentive_type"),
         F.when(lvl == "MEDIUM", F.col("incentive_value")).alias("incentive_value"),
         _ts(as_of).alias("triggered_at"),

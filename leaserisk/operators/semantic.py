@@ -106,26 +106,12 @@ def lease_documents(leases: DataFrame, tenants: DataFrame, properties: DataFrame
     return df
 
 
-# -- skew-safe top-k per group ------------------------------------------------------------
-def top_k_per_group(df: DataFrame, key: str, order_cols, k: int, rows_per_task: int = 1_000_000) -> DataFrame:
-    """Top-k rows per key without putting a hot key into one task.
-
-    Each key gets ``ceil(rows / rows_per_task)`` salt values (counted with a
-    map-side partial aggregate), so every (key, salt) sub-group holds at most
-    about ``rows_per_task`` rows however large the key is.  Phase 1 ranks
-    inside (key, salt) and keeps k rows; phase 2 ranks the at most
-    k * salts survivors per key.
-    """
-    salts = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-             .select(key, F.greatest(F.lit(1), F.ceil(F.col("_n") / rows_per_task)).cast("long").alias("_s")))
-    cols = df.columns
-    salted = (df.join(salts, key)
-              .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.col("_s"))).drop("_s"))
-    w1 = Window.partitionBy(key, "_salt").orderBy(*order_cols)
-    cand = (salted.withColumn("_r", F.row_number().over(w1))
-            .filter(F.col("_r") <= k).drop("_r", "_salt"))
-    w2 = Window.partitionBy(key).orderBy(*order_cols)
-    return cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
+# -- top-k per group -----------------------------------------------------------------------
+def top_k_per_group(df: DataFrame, key: str, order_cols, k: int) -> DataFrame:
+    """Top-k rows per key.  Spark trims every map task to k rows per key before
+    the shuffle (``WindowGroupLimit``), so a hot key sends k rows per task."""
+    w = Window.partitionBy(key).orderBy(*order_cols)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 # -- J19 ----------------------------------------------------------------------------------
@@ -137,14 +123,16 @@ def tenant_detail(tenants: DataFrame, leases: DataFrame, payments: DataFrame,
            .agg(F.max_by(F.struct("lease_id", "monthly_rent", "end_date", "status"),
                          F.struct("start_date", "lease_id")).alias("current_lease"),
                 F.count(F.lit(1)).alias("lease_count")))
-    pay = payments.join(leases.select("lease_id", "tenant_id"), "lease_id")
+    order = [F.col("payment_date").desc(), F.col("amount").desc()]
+    of_lease = top_k_per_group(payments.select("lease_id", "payment_date", "amount"), "lease_id", order, n_payments).drop("rank")
     per_lease = payments.groupBy("lease_id").agg(F.count(F.lit(1)).alias("n"),
                                                  F.count_if(F.col("days_late") <= 0).alias("on_time"))
     totals = (per_lease.join(leases.select("lease_id", "tenant_id"), "lease_id")
               .groupBy("tenant_id").agg(F.sum("n").alias("total_payments"),
                                         F.sum("on_time").alias("on_time_payments")))
-    last = top_k_per_group(pay.select("tenant_id", "payment_date", "amount"), "tenant_id",
-                           [F.col("payment_date").desc(), F.col("amount").desc()], n_payments)
+    # k payments per lease first, so the join to tenants carries no more.
+    last = top_k_per_group(of_lease.join(leases.select("lease_id", "tenant_id"), "lease_id")
+                           .select("tenant_id", "payment_date", "amount"), "tenant_id", order, n_payments)
     recent = (last.groupBy("tenant_id")
               .agg(F.array_sort(F.collect_list(F.struct("rank", "payment_date", "amount"))).alias("r"))
               .select("tenant_id", F.transform("r", lambda x: F.struct(x["payment_date"].alias("date"),
@@ -178,7 +166,7 @@ def traverse_links(dom, start: DataFrame, path: list[str]) -> DataFrame:
 def property_detail(properties: DataFrame, leases: DataFrame, latest: DataFrame, maintenance: DataFrame,
                     n_requests: int = 3) -> DataFrame:
     """J19 (property view): lease and risk roll-up plus the last ``n_requests``
-    maintenance requests (bounded per property by the salted top-k)."""
+    maintenance requests (bounded per property)."""
     lr = (leases.select("lease_id", "property_id", "status")
           .join(latest.select("lease_id", "risk_score", "risk_level"), "lease_id", "left")
           .groupBy("property_id")

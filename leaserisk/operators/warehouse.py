@@ -149,11 +149,11 @@ def scd2_from_history(snap: DataFrame, key: str = "tenant_id", date_col: str = "
     the previous snapshot, then end_date = next version's effective date (W4)."""
     # one snapshot per (key, date): the smallest attribute tuple wins
     dedup = (snap.groupBy(key, date_col).agg(F.min(F.struct(*tracked)).alias("attrs")))
-    bucket = F.col(date_col)  # day buckets: a hot key is split by day
-    # previous snapshot's attributes and the next change date, both skew safe
-    prev = ordered_neighbors(dedup, key, bucket, [date_col], prev_cols=["attrs"])
-    changes = prev.filter(F.col("prev_attrs").isNull() | (F.col("prev_attrs") != F.col("attrs")))
-    nxt = ordered_neighbors(changes.select(key, date_col, "attrs"), key, bucket, [date_col], next_cols=[date_col])
+    # One row per key and day is left, so a key's window holds its days at most.
+    w = Window.partitionBy(key).orderBy(date_col)
+    prev = F.lag("attrs").over(w)
+    changes = dedup.withColumn("prev_attrs", prev).filter(F.col("prev_attrs").isNull() | (F.col("prev_attrs") != F.col("attrs")))
+    nxt = changes.withColumn(f"next_{date_col}", F.lead(date_col).over(w))
     return (nxt.select(F.xxhash64(key, date_col).alias("version_key"), key,
                        *[F.col(f"attrs.{c}").alias(c) for c in tracked],
                        F.col(date_col).alias("effective_date"),
@@ -243,8 +243,8 @@ def lease_events(leases: DataFrame, history: DataFrame | None = None, as_of=AS_O
     """
     a = _a(as_of)
     if with_context:
-        # lag / running count / running sum per tenant, skew safe (day buckets)
-        base = (ordered_neighbors(leases, "tenant_id", F.col("start_date"), ["start_date", "lease_id"],
+        # lag / running count / running sum per tenant, skew safe (month buckets)
+        base = (ordered_neighbors(leases, "tenant_id", F.trunc("start_date", "month"), ["start_date", "lease_id"],
                                   prev_cols=["monthly_rent"],
                                   prior_sums={"prior_months": F.col("lease_term_months")},
                                   prior_count="prior_leases")
@@ -305,7 +305,3 @@ def training_view(predictions: DataFrame, tenants_dim: DataFrame, properties_dim
             .withColumn("churned", X.churn_label(F.col("outcome_type")))
             .withColumn("training_set", F.col("outcome_type").isNotNull()))
 
-
-def fact_layout(df: DataFrame, date_key: str, level_col: str) -> DataFrame:
-    """Cluster rows by (date key, level) before a partitioned write."""
-    return df.repartition(date_key).sortWithinPartitions(date_key, level_col)

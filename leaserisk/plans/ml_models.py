@@ -15,6 +15,8 @@ from leaserisk.operators import features as FE
 from leaserisk.operators import filters as P
 from leaserisk.operators import ml as ML
 from leaserisk.operators import scoring as S
+from leaserisk.plans.features import _rounded
+from leaserisk.plans.modeling import PIPELINE_SQL, SPLIT_SQL
 from leaserisk.plans.oracle_prefix import q
 from leaserisk.plans.registry import register
 from leaserisk.plans.warehouse import training_view
@@ -27,14 +29,14 @@ _CACHE: dict = {}
 
 def labelled(spark, sf):
     """Feature matrix rows of the leases with an outcome, label = churned."""
-    fm = FE.feature_matrix(FE.feature_input(domain(spark, sf)))
+    fm = _rounded(FE.feature_matrix(FE.feature_input(domain(spark, sf))))
     lab = (training_view(spark, sf).filter("training_set")
            .groupBy("lease_id").agg(F.max("churned").cast("double").alias("label")))
     return ML.split(fm.join(lab, "lease_id"))
 
 
 def _prepared(spark, sf):
-    key = ("prep", id(spark), sf)
+    key = ("prep", spark.sparkContext.applicationId, sf)
     if key not in _CACHE:
         # Many fits and CV folds reuse these rows: materialise them once in the
         # shared checkpoint folder (cuts the lineage; survives executor loss).
@@ -53,7 +55,7 @@ def _prepared(spark, sf):
 
 
 def _model(spark, sf, name):
-    key = (name, id(spark), sf)
+    key = (name, spark.sparkContext.applicationId, sf)
     if key not in _CACHE:
         fp, train, test = _prepared(spark, sf)
         est = {"gbt": ML.gbt(TREES), "logistic": ML.logistic(), "random_forest": ML.random_forest(TREES)}[name]
@@ -61,16 +63,16 @@ def _model(spark, sf, name):
     return _CACHE[key]
 
 
-register("m06_split")(lambda spark, sf: labelled(spark, sf).select("lease_id", "label", "split"))
+register("m06_split", SPLIT_SQL)(lambda spark, sf: labelled(spark, sf).select("lease_id", "label", "split"))
 
 
 def m05(spark, sf):
     fp, train, test = _prepared(spark, sf)
-    return test.select("lease_id", "monthly_rent", "days_to_expiration", "payment_method_idx",
-                       "neighborhood_type_idx", "days_since_last_payment")
+    return test.select("lease_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ML.MODEL_INPUTS]).select(
+        "lease_id", *[(F.col(c) + F.lit(0.0)).alias(c) for c in ML.MODEL_INPUTS])
 
 
-register("m05_feature_pipeline")(m05)
+register("m05_feature_pipeline", PIPELINE_SQL)(m05)
 
 
 def _pred_query(name):

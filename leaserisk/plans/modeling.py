@@ -12,7 +12,8 @@ from leaserisk.operators import evaluate as EV
 from leaserisk.operators import features as FE
 from leaserisk.operators import predictions as PR
 from leaserisk.operators import prep as PP
-from leaserisk.plans.features import GROUP_SQL, _AGG_CTES
+from leaserisk.operators.ml import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from leaserisk.plans.features import GROUP_SQL, _AGG_CTES, _rounded
 from leaserisk.plans.oracle_prefix import q
 from leaserisk.plans.registry import register
 from leaserisk.plans.warehouse import _TRAIN_SQL, training_view
@@ -20,7 +21,7 @@ from leaserisk.sources.driver import domain
 
 
 def _matrix(spark, sf):
-    return FE.feature_matrix(FE.feature_input(domain(spark, sf)))
+    return _rounded(FE.feature_matrix(FE.feature_input(domain(spark, sf))))
 
 
 def _train(spark, sf):
@@ -30,46 +31,81 @@ def _train(spark, sf):
 _FM_SQL = _AGG_CTES + ", fm AS (SELECT lease_id, tenant_id, property_id, " + ",\n  ".join(
     c for g in GROUP_SQL.values() for c in g) + " FROM d_fin)"
 
-# -- M2 ---------------------------------------------------------------------------
-_IMP_NUM = ["days_since_last_payment", "property_age"]
-_IMP_CAT = ["payment_method"]
-
-register("m02_impute_stats", q(_FM_SQL + """
-SELECT quantile_disc(days_since_last_payment, 0.5) AS median_days_since_last_payment,
-       quantile_disc(property_age, 0.5) AS median_property_age,
-       (SELECT payment_method FROM fm WHERE payment_method IS NOT NULL GROUP BY 1
-        ORDER BY count(*) DESC, payment_method LIMIT 1) AS mode_payment_method
-FROM fm
-"""))(lambda spark, sf: PP.impute_plan(_matrix(spark, sf), _IMP_NUM, _IMP_CAT)[1])
-
-register("m02_imputed_features", q(_FM_SQL + """
-, st AS (SELECT quantile_disc(days_since_last_payment, 0.5) AS md, quantile_disc(property_age, 0.5) AS mp FROM fm)
-SELECT lease_id, coalesce(days_since_last_payment, md) AS days_since_last_payment,
-       coalesce(property_age, mp) AS property_age
+# -- M2: medians (mean of the middle two), modes; every column of the matrix ----------
+def _median_sql(cols, prefix, table="fm"):
+    return ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {prefix}{c}" for c in cols)
+
+
+def _mode_sql(c, table="fm"):
+    return (f"(SELECT {c} FROM {table} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 1)")
+
+
+def _zero(c):
+    """-0.0 as 0.0."""
+    return F.col(c) + F.lit(0.0)
+
+
+register("m02_impute_stats", q(_FM_SQL + f"""
+, st AS (SELECT {_median_sql(NUMERIC_FEATURES, 'median_')} FROM fm)
+SELECT {", ".join(f"round(median_{c}, 6) AS median_{c}" for c in NUMERIC_FEATURES)},
+       {", ".join(f"{_mode_sql(c)} AS mode_{c}" for c in CATEGORICAL_FEATURES)}
+FROM st
+"""))(lambda spark, sf: PP.impute_plan(_matrix(spark, sf), NUMERIC_FEATURES, CATEGORICAL_FEATURES)[1].select(
+    *[F.round(f"median_{c}", 6).alias(f"median_{c}") for c in NUMERIC_FEATURES], *[f"mode_{c}" for c in CATEGORICAL_FEATURES]))
+
+register("m02_imputed_features", q(_FM_SQL + f"""
+, st AS (SELECT {_median_sql(NUMERIC_FEATURES, 'md_')} FROM fm)
+SELECT lease_id, {", ".join(f"round(coalesce(CAST({c} AS DOUBLE), md_{c}), 6) AS {c}" for c in NUMERIC_FEATURES)},
+       {", ".join(f"coalesce({c}, {_mode_sql(c)}) AS {c}" for c in CATEGORICAL_FEATURES)}
 FROM fm, st
-"""))(lambda spark, sf: PP.impute_plan(_matrix(spark, sf), _IMP_NUM)[0]
-      .select("lease_id", *_IMP_NUM))
-
-# -- M3 / M4 ---------------------------------------------------------------------------
-_SCALE = ["monthly_rent", "square_feet", "days_to_expiration"]
-register("m03_standard_scale", q(_FM_SQL + """
-, st AS (SELECT avg(monthly_rent) AS m1, stddev_pop(monthly_rent) AS s1, avg(square_feet) AS m2,
-                stddev_pop(square_feet) AS s2, avg(days_to_expiration) AS m3, stddev_pop(days_to_expiration) AS s3
-         FROM fm)
+"""))(lambda spark, sf: PP.impute_plan(_matrix(spark, sf), NUMERIC_FEATURES, CATEGORICAL_FEATURES)[0].select(
+    "lease_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in NUMERIC_FEATURES], *CATEGORICAL_FEATURES))
+
+# -- M3 / M4: every numeric column ---------------------------------------------------
+register("m03_standard_scale", q(_FM_SQL + f"""
+, st AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUMERIC_FEATURES)} FROM fm)
 SELECT lease_id,
-       round((monthly_rent - m1) / CASE WHEN s1 IS NULL OR s1 = 0 THEN 1 ELSE s1 END, 6) AS monthly_rent,
-       round((square_feet - m2) / CASE WHEN s2 IS NULL OR s2 = 0 THEN 1 ELSE s2 END, 6) AS square_feet,
-       round((days_to_expiration - m3) / CASE WHEN s3 IS NULL OR s3 = 0 THEN 1 ELSE s3 END, 6)
-         AS days_to_expiration
+       {", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1 ELSE s_{c} END, 6) + CAST(0 AS DOUBLE) AS {c}" for c in NUMERIC_FEATURES)}
 FROM fm, st
-"""))(lambda spark, sf: PP.scale_plan(_matrix(spark, sf), _SCALE)
-      .select("lease_id", *[F.round(c, 6).alias(c) for c in _SCALE]))
+"""))(lambda spark, sf: PP.scale_plan(_matrix(spark, sf), NUMERIC_FEATURES)
+      .select("lease_id", *[F.round(c, 6).alias(c) for c in NUMERIC_FEATURES])
+      .select("lease_id", *[_zero(c).alias(c) for c in NUMERIC_FEATURES]))
 
-_M4 = ["has_autopay", "is_summer_expiration", "lease_term_months", "monthly_rent", "bedrooms",
-       "years_since_renovation", "property_condition"]
 register("m04_scale_columns", q(_FM_SQL + "\n" + "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) > 2 AS scale FROM fm" for c in _M4)))(
-    lambda spark, sf: PP.scale_columns_plan(_matrix(spark, sf), _M4))
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) > 2 AS scale FROM fm" for c in NUMERIC_FEATURES)))(
+    lambda spark, sf: PP.scale_columns_plan(_matrix(spark, sf), NUMERIC_FEATURES))
+
+# -- M5 / M6: stratified split, statistics of the train rows applied to the test rows -----
+_LABELLED_SQL = _FM_SQL + _TRAIN_SQL + """
+, lab AS (SELECT lease_id, CAST(max(churned) AS DOUBLE) AS label FROM tv WHERE training_set GROUP BY 1),
+lf AS (SELECT fm.*, lab.label, (fm.lease_id * 48271 + 42) % 100003 AS cell FROM fm JOIN lab ON lab.lease_id = fm.lease_id),
+cn AS (SELECT label, cell, count(*) AS n FROM lf GROUP BY 1, 2),
+ct AS (SELECT label, cell, sum(n) OVER (PARTITION BY label ORDER BY cell) * 100
+              <= sum(n) OVER (PARTITION BY label) * 20 AS test FROM cn),
+sp AS (SELECT lf.*, ct.test FROM lf JOIN ct ON ct.label = lf.label AND ct.cell = lf.cell),
+train AS (SELECT * FROM sp WHERE NOT test)
+"""
+_IDX = [c + "_idx" for c in CATEGORICAL_FEATURES]
+_INPUTS = NUMERIC_FEATURES + _IDX
+
+SPLIT_SQL = q(_LABELLED_SQL + "SELECT lease_id, label, CASE WHEN test THEN 'test' ELSE 'train' END AS split FROM sp")
+
+PIPELINE_SQL = q(_LABELLED_SQL + f"""
+, st AS (SELECT {_median_sql(NUMERIC_FEATURES, 'md_')} FROM train),
+im AS (SELECT lease_id, test, {", ".join(f"coalesce(CAST({c} AS DOUBLE), md_{c}) AS {c}" for c in NUMERIC_FEATURES)},
+              {", ".join(f"coalesce({c}, {_mode_sql(c, 'train')}) AS {c}" for c in CATEGORICAL_FEATURES)} FROM sp, st),
+""" + ",\n".join(f"v_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS i "
+                 f"FROM (SELECT DISTINCT {c} FROM im WHERE NOT test AND {c} IS NOT NULL))" for c in CATEGORICAL_FEATURES) + f""",
+en AS (SELECT im.lease_id, im.test, {", ".join(f"im.{c}" for c in NUMERIC_FEATURES)},
+              {", ".join(f"CAST(coalesce(v_{c}.i, -1) AS DOUBLE) AS {c}_idx" for c in CATEGORICAL_FEATURES)}
+       FROM im {" ".join(f"LEFT JOIN v_{c} ON v_{c}.v = im.{c}" for c in CATEGORICAL_FEATURES)}),
+sc AS (SELECT {", ".join(f"count(DISTINCT {c}) > 2 AS k_{c}, avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _INPUTS)}
+       FROM en WHERE NOT test)
+SELECT lease_id, {", ".join(
+    f"round(CASE WHEN k_{c} THEN ({c} - m_{c}) / CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1 ELSE s_{c} END ELSE {c} END, 6) + CAST(0 AS DOUBLE) AS {c}"
+    for c in _INPUTS)}
+FROM en, sc WHERE test
+""")
 
 # -- M1 ------------------------------------------------------------------------------------
 _ENC = ["property_type", "payment_method", "neighborhood_type_raw"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leaserisk.functions import measures as M
 from leaserisk.operators import predictions as PR
 from leaserisk.operators import reports as R
+from leaserisk.operators.ml import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from leaserisk.plans.oracle_prefix import q
 from leaserisk.plans.registry import register
 from leaserisk.plans.warehouse import _TRAIN_SQL
@@ -228,8 +229,7 @@ FROM k1, k2, k3, k4
 
 
 # -- A25: per-column profile in one pass ------------------------------------------------------
-_PROFILE = ["avg_days_late", "days_since_last_payment", "property_age", "rent_to_income_ratio", "square_feet",
-            "payment_method", "market_rent_median", "total_late_fees"]
+_PROFILE = NUMERIC_FEATURES + CATEGORICAL_FEATURES
 
 
 def a25(spark, sf):

@@ -76,13 +76,14 @@ _TRIGGER_SQL = f"""
           AND (risk_level <> 'LOW' OR (end_date > {A} AND end_date <= {A} + 90))),
 tr AS (
   SELECT lease_id, tenant_id, property_id, risk_level, risk_score,
-         CASE risk_level WHEN 'HIGH' THEN 'property-manager-visit' WHEN 'MEDIUM' THEN 'email-campaign'
-              ELSE 'renewal-notice' END AS action_type,
-         CASE risk_level WHEN 'HIGH' THEN 'High risk - immediate intervention required'
-              WHEN 'MEDIUM' THEN 'Sent renewal incentive: ' || {_INC_DESC}
-              ELSE 'Standard renewal notice' END AS notes,
-         CASE risk_level WHEN 'HIGH' THEN 'manager-alert,concierge-call,email,workflow'
-              WHEN 'MEDIUM' THEN 'email-campaign,incentive-offer' ELSE 'email' END AS actions_taken,
+         CASE risk_level WHEN 'HIGH' THEN '{RT.HIGH_ACTION[0]}' WHEN 'MEDIUM' THEN '{RT.MEDIUM_ACTION_TYPE}'
+              ELSE '{RT.LOW_ACTION[0]}' END AS action_type,
+         CASE risk_level WHEN 'HIGH' THEN '{RT.HIGH_ACTION[1]}'
+              WHEN 'MEDIUM' THEN '{RT.MEDIUM_NOTE_PREFIX}' || {_INC_DESC}
+              ELSE '{RT.LOW_ACTION[1]}' END AS notes,
+         CASE risk_level WHEN 'HIGH' THEN '{",".join(RT.ACTIONS_TAKEN["HIGH"])}'
+              WHEN 'MEDIUM' THEN '{",".join(RT.ACTIONS_TAKEN["MEDIUM"])}'
+              ELSE '{",".join(RT.ACTIONS_TAKEN["LOW"])}' END AS actions_taken,
          CASE WHEN risk_level = 'MEDIUM' THEN {_INC_SQL} END AS incentive_type,
          CASE WHEN risk_level = 'MEDIUM' THEN {_INC_VAL} END AS incentive_value,
          {TS0} AS triggered_at, 'pending' AS status,
@@ -290,12 +291,12 @@ FROM r
 register("r10_outbox", q(_TRIGGER_SQL + """
 , ok AS (SELECT tr.*, t.email FROM tr LEFT JOIN d_tenant t ON t.tenant_id = tr.tenant_id WHERE error IS NULL)
 SELECT lease_id, 'email' AS channel, email AS recipient,
-       CASE risk_level WHEN 'HIGH' THEN 'retention-high-risk' WHEN 'MEDIUM' THEN 'retention-medium-risk'
-            ELSE 'retention-standard' END AS template,
-       CASE WHEN risk_level = 'HIGH' THEN 'We''d Love to Keep You as a Resident!'
-            ELSE 'Time to Renew Your Lease - Special Offers Inside' END AS subject
+       CASE risk_level WHEN 'HIGH' THEN '""" + RT.TEMPLATES["HIGH"] + """' WHEN 'MEDIUM' THEN '""" + RT.TEMPLATES["MEDIUM"] + """'
+            ELSE '""" + RT.TEMPLATES["LOW"] + """' END AS template,
+       CASE WHEN risk_level = 'HIGH' THEN '""" + RT.SUBJECT_HIGH.replace("'", "''") + """'
+            ELSE '""" + RT.SUBJECT_OTHER + """' END AS subject
 FROM ok WHERE email IS NOT NULL
 UNION ALL
-SELECT lease_id, 'email', email, 'incentive-offer', chr(127873) || ' Exclusive Renewal Offer Just For You!'
+SELECT lease_id, 'email', email, 'incentive-offer', '""" + RT.SUBJECT_INCENTIVE + """'
 FROM ok WHERE risk_level = 'MEDIUM' AND email IS NOT NULL
 """))(lambda spark, sf: RT.outbox(_trigger(spark, sf), domain(spark, sf).tenants()))

@@ -272,12 +272,10 @@ SELECT round(rate, 6) AS positive_rate, round((1 - rate) / nullif(rate, 0), 6) A
 def j16(spark, sf):
     dom = domain(spark, sf)
     dd = WH.date_dim(dom.leases())
-    pdim = F.broadcast(dd.select(F.col("date").alias("prediction_date"),
-                                 F.col("day_name").alias("prediction_day_name"),
-                                 F.col("fiscal_quarter").alias("prediction_fiscal_quarter")))
-    edim = F.broadcast(dd.select(F.col("date").alias("end_date"),
-                                 F.col("day_name").alias("end_day_name"),
-                                 F.col("is_weekend").alias("end_is_weekend")))
+    pdim = dd.select(F.col("date").alias("prediction_date"), F.col("day_name").alias("prediction_day_name"),
+                     F.col("fiscal_quarter").alias("prediction_fiscal_quarter"))
+    edim = dd.select(F.col("date").alias("end_date"), F.col("day_name").alias("end_day_name"),
+                     F.col("is_weekend").alias("end_is_weekend"))
     h = PR.prediction_history(dom).select("lease_id", "prediction_date", "end_date")
     return h.join(pdim, "prediction_date", "left").join(edim, "end_date", "left")
 

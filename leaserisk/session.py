@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,19 +46,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, stream state and intermediate tables.
 
     On a cluster this is ``spark.checkpoint.dir`` (a shared file system path
-    named by the cluster).  Only when it is unset (local tests) a fresh
-    scratch folder is created once per application and registered with
-    ``setCheckpointDir`` (``spark.checkpoint.dir`` itself is a static conf).
+    named by the cluster).  Only when it is unset and the master is local
+    (tests) a fresh scratch folder is created once per application and
+    registered with ``setCheckpointDir`` (``spark.checkpoint.dir`` itself is a
+    static conf); it goes when the process ends.  Any other master raises: executors
+    don't share the driver's folders.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001  (Spark Connect: the server owns the checkpoint dir)
         sc = None
+    if not d and sc is not None and sc.getCheckpointDir():
+        d = sc.getCheckpointDir()
     if not d:
-        app = sc.applicationId if sc is not None else "connect"
+        if sc is None or not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = sc.applicationId
         if app not in _LOCAL_CKPT:
             _LOCAL_CKPT[app] = tempfile.mkdtemp(prefix="leaserisk-ckpt-")
+            atexit.register(shutil.rmtree, _LOCAL_CKPT[app], ignore_errors=True)
         d = _LOCAL_CKPT[app]
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)

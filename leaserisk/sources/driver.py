@@ -304,16 +304,29 @@ def leases_from_orders(orders: DataFrame, lease_property: DataFrame, as_of=AS_OF
 _DOMAINS: dict = {}
 
 
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the tables' files as they are now."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for table in fs.listStatus(path):
+        for f in (fs.listStatus(table.getPath()) if table.isDirectory() else [table]):
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def domain(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> Domain:
-    """One Domain per (application, folder, as_of): its tables are immutable
-    lazy plans, so every query of an application reuses the same definitions
-    instead of re-analysing them."""
+    """One Domain per (application, folder, as_of) as long as the folder's files
+    stay the same: its tables are immutable lazy plans, so queries reuse the same
+    definitions instead of re-analysing them.  New or changed files make a new one."""
     try:
         app = spark.sparkContext.applicationId
     except Exception:  # noqa: BLE001  (Spark Connect sessions have no SparkContext)
         app = spark.conf.get("spark.app.id", "connect")
-    key = (app, id(spark), sf_dir.rstrip("/"), str(as_of))
+    key = (app, sf_dir.rstrip("/"), str(as_of))
     ensure_utc(spark)
-    if key not in _DOMAINS:
-        _DOMAINS[key] = Domain(spark, sf_dir, as_of)
-    return _DOMAINS[key]
+    files = _files(spark, sf_dir)
+    kept = _DOMAINS.get(key)
+    if kept is None or kept[0] != files or kept[1].spark is not spark:
+        _DOMAINS[key] = kept = (files, Domain(spark, sf_dir, as_of))
+    return kept[1]
