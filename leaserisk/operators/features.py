@@ -108,10 +108,14 @@ def maintenance_aggregates(maint: DataFrame) -> DataFrame:
     )
 
 
-def merged_sources(dom, as_of=AS_OF) -> DataFrame:
-    """Lease context + payment aggregate (J3) + maintenance aggregate."""
-    return (lease_context(dom, as_of)
-            .join(payment_aggregates(dom.payments()), "lease_id", "left")
+def merged_sources(dom, as_of=AS_OF, leases: DataFrame | None = None) -> DataFrame:
+    """Lease context + payment aggregate (J3) + maintenance aggregate (J4), for
+    all leases or the given ones, whose payments alone are then aggregated."""
+    payments = dom.payments()
+    if leases is not None:
+        payments = payments.join(leases.select("lease_id"), "lease_id", "left_semi")
+    return (lease_context(dom, as_of, leases)
+            .join(payment_aggregates(payments), "lease_id", "left")
             .join(maintenance_aggregates(dom.maintenance()), "property_id", "left"))
 
 
@@ -233,14 +237,16 @@ FEATURE_GROUPS = {
 }
 
 
-def feature_input(dom, as_of=AS_OF) -> DataFrame:
+def feature_input(dom, as_of=AS_OF, leases: DataFrame | None = None) -> DataFrame:
     """E1 plus the columns the feature definitions read (tenure months)."""
-    return dom._memo(("feature_input", str(as_of)), lambda: _feature_input(dom, as_of))
+    if leases is not None:
+        return _feature_input(dom, as_of, leases)
+    return dom._memo(("feature_input", str(as_of)), lambda: _feature_input(dom, as_of, None))
 
 
-def _feature_input(dom, as_of) -> DataFrame:
+def _feature_input(dom, as_of, leases) -> DataFrame:
     a = as_of_col(as_of)
-    df = merged_sources(dom, as_of)
+    df = merged_sources(dom, as_of, leases)
     start = F.col("start_date")
     return df.withColumn(
         "tenure_months",

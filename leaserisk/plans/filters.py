@@ -97,41 +97,52 @@ SELECT lease_id, CAST(start_date AS VARCHAR) AS start_date FROM d_lease WHERE st
 
 
 # -- P7: scoring rows with null-only defaults -----------------------------------
-SCORING_DEFAULTS = [("avg_days_late", 0.0), ("payment_count", 0), ("tenure_months", 12),
-                    ("monthly_rent", 2000.0), ("property_age", 20), ("condition_rating", 3),
-                    ("complaint_count", 0), ("autopay_enabled", False), ("portal_login_count", 0),
-                    ("days_to_expiration", 90), ("market_rent_median", 2000.0),
-                    ("vacancy_rate", 0.05)]
+# The request's fields and the defaults of missing ones.
+SCORING_DEFAULTS = [
+    ("avg_days_late", 0.0), ("max_days_late", 0), ("payment_count", 12), ("autopay_enabled", False),
+    ("portal_login_count", 0), ("maintenance_count", 0), ("complaint_count", 0), ("tenure_months", 12),
+    ("square_feet", 1500), ("bedrooms", 3), ("bathrooms", 2.0), ("year_built", 2010), ("location_score", 7),
+    ("has_garage", False), ("property_condition", 4),
+    ("monthly_rent", 2000.0), ("annual_income", None), ("last_rent_increase_pct", 0.03), ("payment_method", "ach"),
+    ("market_rent_median", 2100), ("vacancy_rate", 0.05), ("rent_growth_1yr_pct", 0.03),
+    ("lease_end_date", None), ("lease_term_months", 12),
+]
 
 
 def p07(spark, sf):
-    df = FE.feature_input(_dom(spark, sf)).filter(P.renewal_window())
+    dom = _dom(spark, sf)
+    window = dom.leases_ending(AS_OF, AS_OF + dt.timedelta(days=90)).filter(P.renewal_window())
+    df = FE.feature_input(dom, leases=window).withColumns({
+        "payment_count": F.coalesce("payment_count", "tenure_months"), "property_condition": F.col("condition_rating"),
+        "payment_method": F.col("primary_payment_method"), "lease_end_date": F.col("end_date").cast("string")})
     return (V.with_defaults(df, SCORING_DEFAULTS, keys=("lease_id", "tenant_id", "property_id"))
             .withColumn("avg_days_late", F.round("avg_days_late", 4)))
 
 
+_P07_SQL = {
+    "avg_days_late": "round(coalesce(pa.avg_days_late, CAST(0 AS DOUBLE)), 4)",
+    "max_days_late": "coalesce(pa.max_days_late, 0)",
+    "payment_count": "coalesce(pa.payment_count, (1999 - year(c.start_date)) * 12 + 1 - month(c.start_date), 12)",
+    "maintenance_count": "coalesce(mt.maintenance_count, 0)",
+    "tenure_months": "coalesce((1999 - year(c.start_date)) * 12 + 1 - month(c.start_date), 12)",
+    "property_condition": "coalesce(c.condition_rating, 4)",
+    "payment_method": "coalesce(c.primary_payment_method, 'ach')",
+    "annual_income": "c.annual_income",
+    "lease_end_date": "CAST(c.end_date AS VARCHAR)",
+}
+
+
 def _default_sql(c, v):
-    if isinstance(v, bool):
-        lit = "false" if not v else "true"
-    elif isinstance(v, float):
-        lit = f"CAST({v} AS DOUBLE)"
-    else:
-        lit = str(v)
-    if c == "avg_days_late":
-        return f"round(coalesce(pa.avg_days_late, {lit}), 4) AS avg_days_late"
-    if c == "payment_count":
-        return f"coalesce(pa.payment_count, {lit}) AS payment_count"
-    return f"coalesce({c}, {lit}) AS {c}"
+    lit = str(v).lower() if isinstance(v, bool) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
+    return f"{_P07_SQL.get(c, f'coalesce(c.{c}, {lit})')} AS {c}"
 
 
 register("p07_scoring_rows", q("""
-, d_pay AS (SELECT lease_id, avg(days_late) AS avg_days_late, count(*) AS payment_count
-            FROM d_payment GROUP BY lease_id)
-SELECT c.lease_id, c.tenant_id, c.property_id, """ + ", ".join(
-    _default_sql(c, v) if c != "tenure_months" else
-    "coalesce((1999 - year(c.start_date)) * 12 + 1 - month(c.start_date), 12) AS tenure_months"
-    for c, v in SCORING_DEFAULTS) + """
-FROM d_ctx c LEFT JOIN d_pay pa ON pa.lease_id = c.lease_id
+, d_pay AS (SELECT lease_id, avg(days_late) AS avg_days_late, max(days_late) AS max_days_late, count(*) AS payment_count
+            FROM d_payment GROUP BY lease_id),
+d_mt AS (SELECT property_id, count(*) AS maintenance_count FROM d_maint GROUP BY property_id)
+SELECT c.lease_id, c.tenant_id, c.property_id, """ + ", ".join(_default_sql(c, v) for c, v in SCORING_DEFAULTS) + """
+FROM d_ctx c LEFT JOIN d_pay pa ON pa.lease_id = c.lease_id LEFT JOIN d_mt mt ON mt.property_id = c.property_id
 WHERE c.status = 'active' AND c.end_date > DATE '1999-01-01' AND c.end_date <= DATE '1999-01-01' + 90
 """))(p07)
 

@@ -8,9 +8,12 @@ Model outputs cannot be reproduced by SQL, so these are checked rows-only
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from leaserisk.config import AS_OF, RENEWAL_WINDOW_DAYS
 from leaserisk.operators import features as FE
 from leaserisk.operators import filters as P
 from leaserisk.operators import ml as ML
@@ -29,9 +32,11 @@ _CACHE: dict = {}
 
 def labelled(spark, sf):
     """Feature matrix rows of the leases with an outcome, label = churned."""
-    fm = _rounded(FE.feature_matrix(FE.feature_input(domain(spark, sf))))
+    dom = domain(spark, sf)
     lab = (training_view(spark, sf).filter("training_set")
            .groupBy("lease_id").agg(F.max("churned").cast("double").alias("label")))
+    leases = dom.leases().join(lab.select("lease_id"), "lease_id", "left_semi")
+    fm = _rounded(FE.feature_matrix(FE.feature_input(dom, leases=leases)))
     return ML.split(fm.join(lab, "lease_id"))
 
 
@@ -125,11 +130,16 @@ def m12(spark, sf):
 register("m12_grid_search")(m12)
 
 
+def _window(dom):
+    """Leases of the renewal window, from the orders that can end in it."""
+    return dom.leases_ending(AS_OF, AS_OF + dt.timedelta(days=RENEWAL_WINDOW_DAYS)).filter(P.renewal_window())
+
+
 def m13(spark, sf):
     """Score every lease in the renewal window with the boosted model."""
     model, _ = _model(spark, sf, "gbt")
     fp, _, _ = _prepared(spark, sf)
-    rows = FE.feature_input(domain(spark, sf)).filter(P.renewal_window())
+    rows = FE.feature_input(domain(spark, sf), leases=_window(domain(spark, sf)))
     x = fp.transform(FE.feature_matrix(rows))
     return ML.predict(model, x).select("lease_id", "churn_probability", "risk_score", "risk_level",
                                        "predicted_churn", "confidence")
@@ -194,11 +204,9 @@ register("m21_model_metadata")(m21)
 
 
 def m22(spark, sf):
-    """Score an id list (the leases of the renewal-window work list) by
-    semi join, then rule score."""
+    """Score the renewal-window work list: context of those leases only, then rule score."""
     dom = domain(spark, sf)
-    ids = dom.leases().filter(P.renewal_window()).select("lease_id")
-    ctx = FE.lease_context(dom).join(ids, "lease_id", "left_semi")
+    ctx = FE.lease_context(dom, leases=_window(dom))
     return S.with_rule_risk(ctx).select("lease_id", "risk_score", "risk_level", "predicted_churn")
 
 
