@@ -319,12 +319,15 @@ def test_histogram_median_equals_exact_median(spark):
     assert glob == float(np.median([v for _, v in rows]))
 
 
-def test_top_k_with_many_salts_matches_brute_force(spark):
+def test_top_k_of_a_hot_key_matches_brute_force_and_is_trimmed_before_the_shuffle(spark):
     rnd = random.Random(4)
     rows = [(0 if rnd.random() < 0.4 else rnd.randint(1, 5), rnd.randint(0, 50), i) for i in range(600)]
     df = spark.createDataFrame(rows, "k long, v long, id long")
     got = {}
-    for r in SM.top_k_per_group(df, "k", [F.col("v").desc(), F.col("id")], 4, rows_per_task=20).collect():
+    top = SM.top_k_per_group(df, "k", [F.col("v").desc(), F.col("id")], 4)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("WindowGroupLimit") > plan.index("Exchange")
+    for r in top.collect():
         got.setdefault(r.k, []).append((r.rank, r.v, r.id))
     for k in got:
         exp = sorted([(v, i) for kk, v, i in rows if kk == k], key=lambda t: (-t[0], t[1]))[:4]
