@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leaserisk import config as C
+from leaserisk.functions.stats import with_stats
 
 # ---------------------------------------------------------------------------
 # Texts, templates and workflow steps of the retention rules.
@@ -53,6 +54,22 @@ WORKFLOW_STEPS = [
     ("MEDIUM", 4, "SEND_REMINDER_EMAIL", None, None, True),
     ("MEDIUM", 5, "FLAG_FOR_FOLLOW_UP", None, None, True),
 ]
+# (level, step_id) -> the step's constant parameters
+STEP_PARAMETERS = {
+    ("HIGH", 1): {"urgency": "HIGH", "slaHours": "24"},
+    ("HIGH", 2): {"preferredTimeWindow": "business_hours", "callScript": "high_risk_retention", "maxAttempts": "3"},
+    ("HIGH", 3): {"offerType": "personalized", "aiGenerated": "true"},
+    ("HIGH", 4): {"emailTemplate": "high_risk_personalized", "includeOffer": "true", "trackResponse": "true"},
+    ("HIGH", 5): {"monitoringWindowHours": "48", "responseChannels": "email,phone,portal", "escalateIfNoResponse": "true"},
+    ("HIGH", 6): {"reason": "no_response_high_risk", "escalationLevel": "2"},
+    ("HIGH", 7): {"initiateRenewalProcess": "true", "applyApprovedOffer": "true"},
+    ("HIGH", 8): {"meetingType": "property_manager_visit", "urgency": "HIGH"},
+    ("MEDIUM", 1): {"emailTemplate": "medium_risk_campaign", "aiPersonalization": "true"},
+    ("MEDIUM", 2): {"offerTier": "standard", "expirationDays": "30"},
+    ("MEDIUM", 3): {"monitoringWindowDays": "7", "engagementMetrics": "email_open,link_click,portal_login"},
+    ("MEDIUM", 4): {"reminderType": "gentle", "emphasizeIncentive": "true"},
+    ("MEDIUM", 5): {"followUpType": "phone_call", "scheduleDays": "14"},
+}
 WORKFLOW_PRIORITY = {"HIGH": "URGENT", "MEDIUM": "NORMAL"}
 # Branch -> final step
 BRANCH_STEP = {"NO_RESPONSE": 6, "POSITIVE_RESPONSE": 7, "NEGATIVE_RESPONSE": 8,
@@ -108,6 +125,13 @@ def auto_trigger(leases_pred: DataFrame, as_of=C.AS_OF) -> DataFrame:
         F.when(F.col("property_id").isNull(), F.lit("lease has no property")).alias("error"))
 
 
+def action_rows(actions: DataFrame) -> DataFrame:
+    """One row for each action taken on a lease, in order; leases with an error have none."""
+    return (actions.filter(F.col("error").isNull())
+            .select("lease_id", "tenant_id", "risk_level", F.posexplode("actions_taken").alias("step", "action"),
+                    "triggered_at", "status"))
+
+
 def trigger_summary(actions: DataFrame) -> DataFrame:
     """R5 counts: processed per level, actions triggered, errors (one pass)."""
     ok = F.col("error").isNull()
@@ -130,13 +154,14 @@ def record_actions(log: DataFrame, new_actions: DataFrame) -> DataFrame:
 # -- R8 ---------------------------------------------------------------------
 def workflow_steps(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
-        WORKFLOW_STEPS,
+        [(*step, STEP_PARAMETERS[step[:2]]) for step in WORKFLOW_STEPS],
         "risk_level string, step_id int, action string, next_step int, conditional_next string, "
-        "terminal boolean")
+        "terminal boolean, parameters map<string, string>")
 
 
 def workflow_plan(leases_pred: DataFrame, spark: SparkSession) -> DataFrame:
-    """One row per (lease, step) for active HIGH / MEDIUM leases.
+    """One row per (lease, step) for active HIGH / MEDIUM leases; ``parameters``
+    holds the step's constants, the lease's own values are columns.
 
     The steps table has 13 rows and is broadcast; the join is an equi-join
     on risk level (each lease meets 5 or 8 rows)."""
@@ -197,14 +222,15 @@ def engagement_counts(starts: DataFrame, engagement: DataFrame, days: int = 7,
 
 # -- R9 / A27 -------------------------------------------------------------------------
 def workflow_status(plan: DataFrame, actions: DataFrame, responses: DataFrame, engagement: DataFrame,
-                    threshold: int = C.ENGAGEMENT_HIGH_THRESHOLD) -> DataFrame:
-    """Workflow state per lease from the event log.
+                    now: DataFrame, threshold: int = C.ENGAGEMENT_HIGH_THRESHOLD) -> DataFrame:
+    """Workflow state per lease from the event log, as of ``now`` (one row, one timestamp).
 
     The workflow starts at the tenant's first retention action (a sent
     message).  HIGH: a response within 48 h -> POSITIVE_RESPONSE, otherwise
     NO_RESPONSE.  MEDIUM: engagement events within 7 days >= threshold ->
-    HIGH_ENGAGEMENT, else LOW_ENGAGEMENT.  Leases whose tenant has no action
-    yet stay at step 1.
+    HIGH_ENGAGEMENT, else LOW_ENGAGEMENT.  While the window is open and
+    nothing has decided it, the workflow is IN_PROGRESS at its monitoring step.
+    Leases whose tenant has no action yet stay at step 1.
     """
     wf = plan.select("lease_id", "tenant_id", "risk_level", "priority").dropDuplicates(["lease_id"])
     start = (actions.groupBy("tenant_id")
@@ -217,21 +243,25 @@ def workflow_status(plan: DataFrame, actions: DataFrame, responses: DataFrame, e
     j = (wf.join(start, "tenant_id", "left")
          .join(resp, "action_id", "left")
          .join(eng.drop("started_at"), "tenant_id", "left"))
+    j = with_stats(j, now.toDF("_now"))
+    closed = lambda window: F.col("started_at") + F.expr(f"INTERVAL {window}") < F.col("_now")
     branch = (F.when(F.col("started_at").isNull(), F.lit(None))
               .when(F.col("risk_level") == "HIGH",
-                    F.when(F.col("response_ts").isNotNull(), "POSITIVE_RESPONSE").otherwise("NO_RESPONSE"))
+                    F.when(F.col("response_ts").isNotNull(), "POSITIVE_RESPONSE").when(closed("48 HOURS"), "NO_RESPONSE"))
               .otherwise(F.when(F.coalesce("engagement_count", F.lit(0)) >= threshold, "HIGH_ENGAGEMENT")
-                         .otherwise("LOW_ENGAGEMENT")))
+                         .when(closed("7 DAYS"), "LOW_ENGAGEMENT")))
     step_map = F.create_map(*[x for k, v in BRANCH_STEP.items() for x in (F.lit(k), F.lit(v))])
     monitor = F.when(F.col("risk_level") == "HIGH", 5).otherwise(3)
     return (j.withColumn("branch", branch)
             .select("lease_id", "tenant_id", "risk_level", "priority", "started_at",
                     "response_ts", F.coalesce("engagement_count", F.lit(0)).alias("engagement_count"),
                     "branch",
-                    F.when(F.col("branch").isNull(), F.lit(1)).otherwise(step_map[F.col("branch")])
-                    .alias("current_step"),
-                    F.when(F.col("branch").isNull(), F.lit(0)).otherwise(monitor + 1).alias("completed_steps"),
-                    F.when(F.col("branch").isNull(), "PENDING").otherwise("COMPLETED").alias("status"),
+                    F.when(F.col("started_at").isNull(), F.lit(1)).when(F.col("branch").isNull(), monitor)
+                    .otherwise(step_map[F.col("branch")]).alias("current_step"),
+                    F.when(F.col("started_at").isNull(), F.lit(0)).when(F.col("branch").isNull(), monitor - 1)
+                    .otherwise(monitor + 1).alias("completed_steps"),
+                    F.when(F.col("started_at").isNull(), "PENDING").when(F.col("branch").isNull(), "IN_PROGRESS")
+                    .otherwise("COMPLETED").alias("status"),
                     F.when(F.col("response_ts").isNotNull(),
                            (F.unix_micros("response_ts") - F.unix_micros("started_at")) / 3.6e9)
                     .alias("hours_to_response")))
@@ -239,7 +269,7 @@ def workflow_status(plan: DataFrame, actions: DataFrame, responses: DataFrame, e
 
 def workflow_metrics(status: DataFrame) -> DataFrame:
     """By priority and status: count, outcome counts, success rate, avg hours."""
-    success = F.col("branch").isin("POSITIVE_RESPONSE", "HIGH_ENGAGEMENT")
+    success = F.coalesce(F.col("branch").isin("POSITIVE_RESPONSE", "HIGH_ENGAGEMENT"), F.lit(False))
     return status.groupBy("priority", "status").agg(
         F.count(F.lit(1)).alias("workflows"),
         F.count_if(success).alias("successful"),

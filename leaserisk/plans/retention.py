@@ -138,23 +138,30 @@ register("r03_record_actions", q(_TRIGGER_SQL + """
 SELECT action_type, status, count(*) AS actions, count(action_id) AS logged_before FROM u GROUP BY 1, 2
 """))(r03)
 
+register("r05_action_rows", q(_TRIGGER_SQL + """
+SELECT lease_id, tenant_id, risk_level, CAST(unnest(generate_series(1, len(string_split(actions_taken, ',')))) - 1 AS INTEGER) AS step,
+       unnest(string_split(actions_taken, ',')) AS action, triggered_at, status
+FROM tr WHERE error IS NULL
+"""))(lambda spark, sf: RT.action_rows(_trigger(spark, sf)))
+
 # -- R8 ---------------------------------------------------------------------------------
 _STEPS_SQL = ", ".join(
-    "('{0}', {1}, '{2}', {3}, {4}, {5})".format(
+    "('{0}', {1}, '{2}', {3}, {4}, {5}, '{6}')".format(
         lv, sid, act, "NULL" if nxt is None else nxt, "NULL" if cn is None else f"'{cn}'",
-        "true" if term else "false")
+        "true" if term else "false", ";".join(f"{k}={v}" for k, v in sorted(RT.STEP_PARAMETERS[lv, sid].items())))
     for lv, sid, act, nxt, cn, term in RT.WORKFLOW_STEPS)
 
 register("r08_workflow_plan", q(f"""
 , steps AS (SELECT * FROM (VALUES {_STEPS_SQL})
-            v(risk_level, step_id, action, next_step, conditional_next, terminal))
+            v(risk_level, step_id, action, next_step, conditional_next, terminal, parameters))
 SELECT l.lease_id, l.tenant_id, l.risk_level, l.risk_score, s.step_id, s.action,
-       CAST(s.next_step AS INTEGER) AS next_step, s.conditional_next, s.terminal,
+       CAST(s.next_step AS INTEGER) AS next_step, s.conditional_next, s.terminal, s.parameters,
        CASE WHEN l.risk_level = 'HIGH' THEN 'URGENT' ELSE 'NORMAL' END AS priority,
        4000 AS estimated_turnover_cost, l.risk_score * 40 AS risk_mitigation_value
 FROM d_lease_pred l JOIN steps s ON s.risk_level = l.risk_level
 WHERE l.status = 'active' AND l.risk_level IN ('HIGH', 'MEDIUM')
-"""))(lambda spark, sf: RT.workflow_plan(_lp(spark, sf), spark))
+"""))(lambda spark, sf: RT.workflow_plan(_lp(spark, sf), spark).withColumn("parameters", F.array_join(F.transform(
+    F.array_sort(F.map_entries("parameters")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")))
 
 # -- R9 / A27 ----------------------------------------------------------------------------
 _STATUS_SQL = """
@@ -173,18 +180,21 @@ en AS (SELECT st.tenant_id, count(g.event_id) AS engagement_count FROM st LEFT J
 ws0 AS (SELECT wf.*, st.started_at, rs.response_ts, coalesce(en.engagement_count, 0) AS engagement_count,
                CASE WHEN st.started_at IS NULL THEN NULL
                     WHEN wf.risk_level = 'HIGH' THEN
-                      CASE WHEN rs.response_ts IS NOT NULL THEN 'POSITIVE_RESPONSE' ELSE 'NO_RESPONSE' END
+                      CASE WHEN rs.response_ts IS NOT NULL THEN 'POSITIVE_RESPONSE'
+                           WHEN st.started_at + INTERVAL 48 HOUR < (SELECT max(ts) FROM events) THEN 'NO_RESPONSE' END
                     ELSE CASE WHEN coalesce(en.engagement_count, 0) >= 3 THEN 'HIGH_ENGAGEMENT'
-                              ELSE 'LOW_ENGAGEMENT' END END AS branch
+                              WHEN st.started_at + INTERVAL 7 DAY < (SELECT max(ts) FROM events) THEN 'LOW_ENGAGEMENT' END
+                    END AS branch
         FROM wf LEFT JOIN st ON st.tenant_id = wf.tenant_id
                 LEFT JOIN rs ON rs.tenant_id = wf.tenant_id
                 LEFT JOIN en ON en.tenant_id = wf.tenant_id),
 ws AS (SELECT ws0.*,
               CASE branch WHEN 'NO_RESPONSE' THEN 6 WHEN 'POSITIVE_RESPONSE' THEN 7
                    WHEN 'NEGATIVE_RESPONSE' THEN 8 WHEN 'HIGH_ENGAGEMENT' THEN 5 WHEN 'LOW_ENGAGEMENT' THEN 4
-                   ELSE 1 END AS current_step,
-              CASE WHEN branch IS NULL THEN 0 WHEN risk_level = 'HIGH' THEN 6 ELSE 4 END AS completed_steps,
-              CASE WHEN branch IS NULL THEN 'PENDING' ELSE 'COMPLETED' END AS status,
+                   ELSE CASE WHEN started_at IS NULL THEN 1 WHEN risk_level = 'HIGH' THEN 5 ELSE 3 END END AS current_step,
+              CASE WHEN started_at IS NULL THEN 0 WHEN branch IS NULL AND risk_level = 'HIGH' THEN 4
+                   WHEN branch IS NULL THEN 2 WHEN risk_level = 'HIGH' THEN 6 ELSE 4 END AS completed_steps,
+              CASE WHEN started_at IS NULL THEN 'PENDING' WHEN branch IS NULL THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS status,
               CASE WHEN response_ts IS NOT NULL
                    THEN CAST(epoch_us(response_ts) - epoch_us(started_at) AS DOUBLE) / 3600000000 END AS hours_to_response
        FROM ws0)
@@ -195,7 +205,8 @@ def _status(spark, sf):
     dom = domain(spark, sf)
     lp = PR.leases_with_prediction(dom)
     resp = dom.engagement().filter(F.col("event_type") == "click")
-    return RT.workflow_status(RT.workflow_plan(lp, spark), dom.actions(), resp, dom.engagement())
+    now = dom.raw("events").agg(F.max(F.col("ts").cast("timestamp")))  # the log's last event
+    return RT.workflow_status(RT.workflow_plan(lp, spark), dom.actions(), resp, dom.engagement(), now)
 
 
 register("r09_workflow_status", q(_STATUS_SQL + """

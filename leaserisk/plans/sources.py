@@ -58,10 +58,13 @@ LEFT JOIN d_property p ON p.property_id = l.property_id
 _RAW_TYPES = {"c_custkey": "bigint", "c_acctbal": "decimal(12,2)", "c_nationkey": "int"}
 
 
+def _text_rows(spark, sf, table):
+    c = domain(spark, sf).raw(table)
+    return c.select(*[F.col(x).cast("string").alias(x) for x in c.columns])
+
+
 def s05(spark, sf):
-    c = domain(spark, sf).raw("customer")
-    raw = c.select(*[F.col(x).cast("string").alias(x) for x in c.columns])
-    return IO.ingest_raw(raw, _RAW_TYPES, "property-system")
+    return IO.ingest_raw(_text_rows(spark, sf, "customer"), _RAW_TYPES, "property-system")
 
 
 register("s05_raw_ingest", q("""
@@ -70,6 +73,59 @@ SELECT c_custkey, c_name, CAST(CAST(CAST(c_acctbal AS VARCHAR) AS DECIMAL(12, 2)
 FROM customer
 """))(s05)
 
+# Six entities as text: (table, id column, typed columns); each has one column whose text isn't of its type.
+_ENTITIES = [
+    ("customer", {"c_custkey": "bigint", "c_nationkey": "int", "c_mktsegment": "int"}),
+    ("part", {"p_partkey": "bigint", "p_size": "int", "p_brand": "int"}),
+    ("orders", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "int"}),
+    ("lineitem", {"l_orderkey": "bigint", "l_linenumber": "int", "l_returnflag": "int"}),
+    ("events", {"event_id": "bigint", "user_id": "bigint", "event_type": "int"}),
+    ("supplier", {"s_suppkey": "bigint", "s_nationkey": "int", "s_name": "int"}),
+]
+
+
+def s05_entities(spark, sf):
+    """Per entity and typed column: rows ingested and values that no cast could take."""
+    out = None
+    for table, types in _ENTITIES:
+        raw = IO.ingest_raw(_text_rows(spark, sf, table), types, "property-system")
+        n = raw.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in types])
+        pairs = ", ".join(f"'{c}', `{c}`" for c in types)
+        n = n.select(F.lit(table).alias("entity"), "rows", F.expr(f"stack({len(types)}, {pairs}) AS (column_name, nulls)"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+register("s05_raw_ingest_entities", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS entity, count(*) AS rows, '{c}' AS column_name, "
+    f"count(*) - count(TRY_CAST(CAST({c} AS VARCHAR) AS {k})) AS nulls FROM {t}" for t, cs in _ENTITIES for c, k in cs.items()))(
+    s05_entities)
+
+
+def s04_entities(spark, sf):
+    """The five entity tables written as CSV with header and read back."""
+    dom = domain(spark, sf)
+    tables = {"tenants": (dom.tenants(), "tenant_id"), "properties": (dom.properties(), "property_id"),
+              "leases": (dom.leases(), "lease_id"), "payments": (dom.payments(), "lease_id"),
+              "maintenance": (dom.maintenance(), "request_id")}
+    out = None
+    for name, (df, key) in tables.items():
+        path = scratch_path(spark, f"s04_{name}")
+        IO.write_csv(df, path)
+        back = IO.read_csv(spark, path, df.schema)
+        n = back.agg(F.lit(name).alias("entity"), F.count(F.lit(1)).alias("rows"), F.sum(key).alias("key_sum"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+register("s04_entity_csv", q("""
+SELECT 'tenants' AS entity, count(*) AS rows, CAST(sum(tenant_id) AS BIGINT) AS key_sum FROM d_tenant
+UNION ALL SELECT 'properties', count(*), CAST(sum(property_id) AS BIGINT) FROM d_property
+UNION ALL SELECT 'leases', count(*), CAST(sum(lease_id) AS BIGINT) FROM d_lease
+UNION ALL SELECT 'payments', count(*), CAST(sum(lease_id) AS BIGINT) FROM d_payment
+UNION ALL SELECT 'maintenance', count(*), CAST(sum(request_id) AS BIGINT) FROM d_maint
+"""))(s04_entities)
+
 # -- S6 / S12 --------------------------------------------------------------------------
 _LI_KEY = ["l_orderkey", "l_linenumber"]
 _LI_RULES = [("discount_cap", "l_discount <= 0.08"), ("positive_price", "l_extendedprice > 0")]
@@ -145,10 +201,16 @@ def d11(spark, sf):
     path = scratch_path(spark, "d11_layout")
     IO.append_fact(h, path, "prediction_date_key", "risk_level")
     return (spark.read.parquet(path).withColumn("_file", F.input_file_name()).groupBy("month_key")
-            .agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("_file").alias("files")))
+            .agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("_file").alias("files"),
+                 F.min("prediction_date_key").alias("first_key"), F.max("prediction_date_key").alias("last_key")))
 
 
-register("d11_fact_layout")(d11)
+register("d11_fact_layout", q("""
+, f AS (SELECT CAST(strftime(prediction_date, '%Y%m%d') AS INTEGER) AS k FROM d_hist)
+SELECT CAST(k // 100 AS INTEGER) AS month_key, count(*) AS rows, CAST(ceil(count(*) / 5000000) AS BIGINT) AS files,
+       min(k) AS first_key, max(k) AS last_key
+FROM f GROUP BY 1
+"""))(d11)
 
 
 # -- S11 / S13 ---------------------------------------------------------------------------------

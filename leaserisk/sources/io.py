@@ -71,17 +71,20 @@ def stage(df: DataFrame, key, version: str, rules, trim_lower=()) -> tuple[DataF
 
 # -- S9 / D11: partitioned fact append ----------------------------------------------------------
 def append_fact(df: DataFrame, path: str, date_key: str, cluster_col: str | None = None,
-                files_per_month: int = 16, max_records_per_file: int = 5_000_000) -> None:
+                rows_per_file: int = 5_000_000) -> None:
     """Append to a fact table partitioned by a month key.  Each month is
-    spread over ``files_per_month`` tasks (hash of the row), so a large month
-    is never a single task; rows are clustered by (date key, cluster column)
-    inside each file for min/max pruning."""
-    month = (F.col(date_key) / 100).cast("int").alias("month_key")
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_month))
-    out = df.withColumn("month_key", month).withColumn("_file", bucket).repartition("month_key", "_file")
+    spread (by a hash of the row) over as many tasks as it has
+    ``rows_per_file``, so a large month is never a single task and a small one
+    a single file; rows are clustered by (date key, cluster column) inside each
+    file for min/max pruning."""
+    rows = df.withColumn("month_key", (F.col(date_key) / 100).cast("int"))
+    files = rows.groupBy("month_key").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("long").alias("_files"))
+    out = (rows.join(files, "month_key")
+           .withColumn("_file", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_files")))
+           .repartition("month_key", "_file"))
     if cluster_col:
         out = out.sortWithinPartitions(date_key, cluster_col)
-    (out.drop("_file").write.mode("append").option("maxRecordsPerFile", max_records_per_file)
+    (out.select(*df.columns, "month_key").write.mode("append").option("maxRecordsPerFile", rows_per_file)
      .partitionBy("month_key").parquet(path))
 
 
