@@ -44,13 +44,15 @@ def market_as_of(market: DataFrame, as_of=AS_OF) -> DataFrame:
 
 def market_as_of_rows(rows: DataFrame, market: DataFrame, row_key: str, date_col: str) -> DataFrame:
     """General J5 form: per row, the latest market row of its zip with
-    data_date <= the row's own date (as-of scan per (zip, day); no row is
-    paired with every market month of its zip)."""
+    data_date <= the row's own date.  The as-of scan runs over the distinct
+    (zip, date) pairs, so neither a hot zip nor a hot day sends its rows to
+    one task; rows without a zip or date have no market row."""
     from leaserisk.operators.windows import asof_lookup
     cols = [c for c in MARKET_COLS if c != "zip_code"]
     m = market.select("zip_code", F.col("data_date").alias("_md"), *cols)
-    return asof_lookup(rows.select(row_key, "zip_code", date_col), m, "zip_code", date_col, "_md", cols,
-                       lambda c: c.cast("date"))
+    pairs = rows.select("zip_code", date_col).filter(F.col("zip_code").isNotNull() & F.col(date_col).isNotNull()).distinct()
+    found = asof_lookup(pairs, m, "zip_code", date_col, "_md", cols, lambda c: F.trunc(c, "year"))
+    return rows.select(row_key, "zip_code", date_col).join(found, ["zip_code", date_col], "left")
 
 
 def lease_context(dom, as_of=AS_OF, leases: DataFrame | None = None) -> DataFrame:

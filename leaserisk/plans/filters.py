@@ -67,6 +67,25 @@ WHERE status = 'completed' AND triggered_at >= TIMESTAMP '2024-01-10 00:00:00'
       .select("action_id", "tenant_id", "action_type", "status", "triggered_at"))
 
 
+def p11_by_level(spark, sf):
+    """P11 with the risk level of the tenant's current lease."""
+    from leaserisk.operators import retention as RT
+    dom = _dom(spark, sf)
+    level = PR.latest_predictions(PR.prediction_history(dom)).select("lease_id", "risk_level")
+    acts = RT.action_leases(dom.actions(), dom.leases()).join(level, "lease_id", "left")
+    return acts.filter(P.campaign_list(status="completed", risk_level="HIGH")).select(
+        "action_id", "tenant_id", "action_type", "lease_id", "risk_level")
+
+
+register("p11_campaign_list_by_level", q("""
+, cur AS (SELECT tenant_id, lease_id FROM d_lease
+          QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY start_date DESC, lease_id DESC) = 1)
+SELECT a.action_id, a.tenant_id, a.action_type, cur.lease_id, lt.risk_level
+FROM d_action a JOIN cur ON cur.tenant_id = a.tenant_id JOIN d_latest lt ON lt.lease_id = cur.lease_id
+WHERE a.status = 'completed' AND lt.risk_level = 'HIGH'
+"""))(p11_by_level)
+
+
 def p13(spark, sf):
     dom = _dom(spark, sf)
     lp = PR.leases_with_prediction(dom).join(dom.properties().select("property_id", "neighborhood"),

@@ -62,6 +62,20 @@ SELECT lease_id, zip_code, CAST(data_date AS VARCHAR) AS data_date, market_rent_
     "lease_id", "zip_code", "data_date", "market_rent_median", "vacancy_rate"))
 
 
+register("j05_market_asof_rows", q("""
+SELECT h.lease_id, h.zip_code, CAST(h.prediction_date AS VARCHAR) AS prediction_date, m.market_rent_median, m.vacancy_rate
+FROM (SELECT lease_id, zip_code, prediction_date FROM d_hist) h
+LEFT JOIN (SELECT p.zip_code, p.prediction_date, m.market_rent_median, m.vacancy_rate
+           FROM (SELECT DISTINCT zip_code, prediction_date FROM d_hist) p
+           JOIN d_market m ON m.zip_code = p.zip_code AND m.data_date <= p.prediction_date
+           QUALIFY row_number() OVER (PARTITION BY p.zip_code, p.prediction_date ORDER BY m.data_date DESC) = 1) m
+  ON m.zip_code = h.zip_code AND m.prediction_date = h.prediction_date
+"""))(lambda spark, sf: FE.market_as_of_rows(
+    PR.prediction_history(domain(spark, sf)).select("lease_id", "zip_code", "prediction_date"),
+    domain(spark, sf).market_data(), "lease_id", "prediction_date").select(
+        "lease_id", "zip_code", "prediction_date", "market_rent_median", "vacancy_rate"))
+
+
 def j07(spark, sf):
     dom = domain(spark, sf)
     h = PR.prediction_history(dom).select("lease_id", "prediction_date", "zip_code")

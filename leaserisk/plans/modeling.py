@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from leaserisk.config import SCORE_TIERS
 from leaserisk.functions import tiers as TI
 from leaserisk.operators import evaluate as EV
+from leaserisk.functions.stats import with_stats
 from leaserisk.operators import features as FE
+from leaserisk.operators import filters as P
 from leaserisk.operators import predictions as PR
 from leaserisk.operators import prep as PP
 from leaserisk.operators.ml import CATEGORICAL_FEATURES, NUMERIC_FEATURES
@@ -107,6 +109,34 @@ SELECT lease_id, {", ".join(
 FROM en, sc WHERE test
 """)
 
+# -- P1 / E4 ------------------------------------------------------------------------------
+def p01(spark, sf):
+    """The feature frame without ids and target, and the target, each summed up."""
+    lab = _train(spark, sf).groupBy("lease_id").agg(F.max("churned").cast("double").alias("label"))
+    x, y = P.split_target(_matrix(spark, sf).join(lab, "lease_id"), "label")
+    sums = x.agg(F.count(F.lit(1)).alias("rows"), *[F.round(F.sum(F.col(c).cast("double")), 2).alias(c) for c in NUMERIC_FEATURES])
+    return with_stats(sums, y.agg(F.sum("label").alias("positives")))
+
+
+register("p01_split_target", q(_FM_SQL + _TRAIN_SQL + f"""
+, lab AS (SELECT lease_id, CAST(max(churned) AS DOUBLE) AS label FROM tv WHERE training_set GROUP BY 1),
+x AS (SELECT fm.*, lab.label FROM fm JOIN lab ON lab.lease_id = fm.lease_id)
+SELECT count(*) AS rows, sum(label) AS positives,
+       {", ".join(f"round(sum(CAST({c} AS DOUBLE)), 2) AS {c}" for c in NUMERIC_FEATURES)} FROM x
+"""))(p01)
+
+
+def e04(spark, sf):
+    """Every feature with its category and its number of values in the matrix."""
+    catalog = FE.feature_catalog()
+    n = _matrix(spark, sf).agg(*[F.count(f).alias(f) for f, _ in catalog])
+    return n.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(g).alias("category"),
+                                                F.col(f).alias("n_values")) for f, g in catalog])))
+
+
+register("e4_feature_catalog", q(_FM_SQL + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{f}' AS feature, '{g}' AS category, count({f}) AS n_values FROM fm" for f, g in FE.feature_catalog())))(e04)
+
 # -- M1 ------------------------------------------------------------------------------------
 _ENC = ["property_type", "payment_method", "neighborhood_type_raw"]
 

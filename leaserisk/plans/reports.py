@@ -264,6 +264,28 @@ WHERE status = 'active' AND lease_id > 1000 ORDER BY lease_id LIMIT 50
                                       "lease_id", after=1000, limit=50))
 
 
+# -- A16: the other grains and ranges ---------------------------------------------------------
+def _trend_sql(bucket, since):
+    return q(f"""
+SELECT CAST({bucket} AS VARCHAR) AS period,
+       count(*) AS predictions,
+       round(avg(risk_score), 4) AS avg_risk_score,
+       count(*) FILTER (WHERE risk_level = 'HIGH') AS high_risk,
+       count(*) FILTER (WHERE risk_level = 'MEDIUM') AS medium_risk,
+       count(*) FILTER (WHERE risk_level = 'LOW') AS low_risk,
+       round(CAST(count(*) FILTER (WHERE predicted_churn) AS DOUBLE) / nullif(count(*), 0), 6)
+         AS predicted_churn_rate
+FROM d_hist WHERE prediction_date >= DATE '{since}' AND prediction_date <= DATE '1999-01-01' GROUP BY 1
+""")
+
+
+for _name, _grain, _since in (("daily_7d", "day", "1998-12-25"), ("daily_30d", "day", "1998-12-02"),
+                              ("monthly_1y", "month", "1998-01-01")):
+    register(f"a16_risk_trend_{_name}", _trend_sql(
+        "prediction_date" if _grain == "day" else "CAST(date_trunc('month', prediction_date) AS DATE)", _since))(
+        lambda spark, sf, g=_grain, d=_since: R.trend(_hist(spark, sf), g, since=d, until="1999-01-01"))
+
+
 # -- A16 weekly grain within the last 90 days ------------------------------------------------
 register("a16_risk_trend_weekly_90d", q("""
 SELECT CAST(CAST(date_trunc('week', prediction_date) AS DATE) AS VARCHAR) AS period,

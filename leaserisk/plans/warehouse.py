@@ -114,6 +114,36 @@ FROM v
 """))(lambda spark, sf: _versions(spark, sf).drop("version_key"))
 
 
+def d02_merge(spark, sf):
+    """D2 incremental: versions up to a cut-off merged with each tenant's last snapshot."""
+    dom = domain(spark, sf)
+    snap = WH.tenant_snapshots(dom.tenants(), dom.leases())
+    current = WH.scd2_from_history(snap.filter(F.col("snapshot_date") <= F.lit(MERGE_CUT).cast("date")))
+    last = (snap.groupBy("tenant_id").agg(F.max_by(F.struct(*WH.SCD_TRACKED), F.struct("snapshot_date", *[
+        F.col(c) for c in WH.SCD_TRACKED])).alias("r")).select("tenant_id", "r.*"))
+    return WH.scd2_merge(current, last, "tenant_id", WH.SCD_TRACKED).drop("version_key")
+
+
+MERGE_CUT = "1996-12-31"
+register("d02_scd2_merge", q(_SNAP_SQL.replace(
+    "JOIN d_tenant t ON t.tenant_id = l.tenant_id)", f"JOIN d_tenant t ON t.tenant_id = l.tenant_id WHERE l.start_date <= DATE '{MERGE_CUT}')") + f"""
+, inc AS (SELECT l.tenant_id, CAST(1 + l.lease_id % 5 AS INTEGER) AS household_size, t.employment_status, t.primary_payment_method
+          FROM d_lease l JOIN d_tenant t ON t.tenant_id = l.tenant_id
+          QUALIFY row_number() OVER (PARTITION BY l.tenant_id ORDER BY l.start_date DESC, 1 + l.lease_id % 5 DESC) = 1),
+ch AS (SELECT inc.*, v.tenant_id IS NOT NULL AS known FROM inc LEFT JOIN v ON v.tenant_id = inc.tenant_id AND v.end_date IS NULL
+       WHERE v.tenant_id IS NULL OR v.household_size IS DISTINCT FROM inc.household_size
+          OR v.employment_status IS DISTINCT FROM inc.employment_status
+          OR v.primary_payment_method IS DISTINCT FROM inc.primary_payment_method),
+m AS (SELECT v.tenant_id, v.household_size, v.employment_status, v.primary_payment_method, v.effective_date,
+             CASE WHEN v.end_date IS NULL AND ch.known THEN DATE '1999-01-01' ELSE v.end_date END AS end_date,
+             v.end_date IS NULL AND NOT coalesce(ch.known, false) AS is_current
+      FROM v LEFT JOIN ch ON ch.tenant_id = v.tenant_id
+      UNION ALL SELECT tenant_id, household_size, employment_status, primary_payment_method, DATE '1999-01-01', NULL, true FROM ch)
+SELECT tenant_id, household_size, employment_status, primary_payment_method, CAST(effective_date AS VARCHAR) AS effective_date,
+       CAST(end_date AS VARCHAR) AS end_date, is_current FROM m
+"""))(d02_merge)
+
+
 def j17(spark, sf):
     dom = domain(spark, sf)
     pay = dom.payments().join(dom.leases().select("lease_id", "tenant_id"), "lease_id")
