@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import os
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -75,17 +75,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", f"{name}-{os.getpid()}-{next(_counter)}")
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+    return f"{base}/tables/{name}-{uuid.uuid4().hex}"
 
 
 def ensure_utc(spark: SparkSession) -> None:
