@@ -27,6 +27,9 @@ SUBJECT_HIGH = "We'd Love to Keep You as a Resident!"
 SUBJECT_OTHER = "Time to Renew Your Lease - Special Offers Inside"
 SUBJECT_INCENTIVE = "\U0001F381 Exclusive Renewal Offer Just For You!"
 MANAGER_TEMPLATE = "property-manager-alert"
+SUBJECT_MANAGER = "\u26a0\ufe0f HIGH RISK: Tenant "
+SMS_TEXT = ("Hi ", ", we'd love to discuss your upcoming lease renewal. Our team will call you within 24 hours. "
+            "Reply STOP to opt out.")
 LOW_ACTION = ("renewal-notice", "Standard renewal notice")  # ours
 ACTIONS_TAKEN = {
     "HIGH": ["manager-alert", "concierge-call", "email", "aip-workflow"],
@@ -385,26 +388,29 @@ def upsert(snapshot: DataFrame, updates: DataFrame, key: str, version: str) -> D
 
 
 # -- R10 -----------------------------------------------------------------------------
-def outbox(actions: DataFrame, tenants: DataFrame, default_manager_email: str | None = None,
+def outbox(actions: DataFrame, tenants: DataFrame, properties: DataFrame, default_manager_email: str | None = None,
            sms_enabled: bool = False) -> DataFrame:
-    """Message work list (no sending).  Rows without a recipient are dropped."""
+    """Message work list (no sending): retention e-mails, incentive offers,
+    manager alerts for HIGH leases (to the default address, as properties name
+    none) and, if enabled, the concierge's text message.  Rows without a
+    recipient are dropped."""
     a = (actions.filter(F.col("error").isNull())
-         .join(tenants.select("tenant_id", "email", "phone", "first_name"), "tenant_id", "left"))
+         .join(tenants.select("tenant_id", "email", "phone", "first_name", "full_name"), "tenant_id", "left")
+         .join(properties.select("property_id", "address"), "property_id", "left"))
     lvl = F.col("risk_level")
-    parts = [a.select("lease_id", F.lit("email").alias("channel"), F.col("email").alias("recipient"),
-                      F.when(lvl == "HIGH", TEMPLATES["HIGH"]).when(lvl == "MEDIUM", TEMPLATES["MEDIUM"])
-                      .otherwise(TEMPLATES["LOW"]).alias("template"),
-                      F.when(lvl == "HIGH", SUBJECT_HIGH).otherwise(SUBJECT_OTHER).alias("subject")),
-             a.filter(lvl == "MEDIUM").select(
-                 "lease_id", F.lit("email").alias("channel"), F.col("email").alias("recipient"),
-                 F.lit("incentive-offer").alias("template"), F.lit(SUBJECT_INCENTIVE).alias("subject"))]
+
+    def rows(of, channel, recipient, template, subject, message=None):
+        return of.select("lease_id", F.lit(channel).alias("channel"), recipient.alias("recipient"), template.alias("template"),
+                         subject.alias("subject"), (F.lit(None).cast("string") if message is None else message).alias("message"))
+
+    parts = [rows(a, "email", F.col("email"), F.when(lvl == "HIGH", TEMPLATES["HIGH"]).when(lvl == "MEDIUM", TEMPLATES["MEDIUM"])
+                  .otherwise(TEMPLATES["LOW"]), F.when(lvl == "HIGH", SUBJECT_HIGH).otherwise(SUBJECT_OTHER)),
+             rows(a.filter(lvl == "MEDIUM"), "email", F.col("email"), F.lit("incentive-offer"), F.lit(SUBJECT_INCENTIVE))]
+    high = a.filter(lvl == "HIGH")
     if default_manager_email:
-        parts.append(a.filter(lvl == "HIGH").select(
-            "lease_id", F.lit("email").alias("channel"), F.lit(default_manager_email).alias("recipient"),
-            F.lit(MANAGER_TEMPLATE).alias("template"),
-            F.concat(F.lit("HIGH RISK: Tenant "), F.col("first_name")).alias("subject")))
+        parts.append(rows(high, "email", F.lit(default_manager_email), F.lit(MANAGER_TEMPLATE),
+                          F.concat(F.lit(SUBJECT_MANAGER), F.col("full_name"), F.lit(" - "), F.col("address"))))
     if sms_enabled:
-        parts.append(a.filter(lvl == "HIGH").select(
-            "lease_id", F.lit("sms").alias("channel"), F.col("phone").alias("recipient"),
-            F.lit("concierge-call").alias("template"), F.lit(None).cast("string").alias("subject")))
+        parts.append(rows(high, "sms", F.col("phone"), F.lit("concierge-call"), F.lit(None).cast("string"),
+                          F.concat(F.lit(SMS_TEXT[0]), F.col("first_name"), F.lit(SMS_TEXT[1]))))
     return reduce(DataFrame.unionByName, parts).filter(F.col("recipient").isNotNull())

@@ -146,6 +146,23 @@ def tenant_detail(tenants: DataFrame, leases: DataFrame, payments: DataFrame,
             .join(recent, "tenant_id", "left"))
 
 
+def lease_detail(leases: DataFrame, tenants: DataFrame, properties: DataFrame, payments: DataFrame,
+                 latest: DataFrame, n_payments: int = 5) -> DataFrame:
+    """Lease with tenant, property, latest prediction, payment totals and its last ``n_payments`` payments."""
+    totals = payments.groupBy("lease_id").agg(F.count(F.lit(1)).alias("total_payments"),
+                                              F.count_if(F.col("days_late") <= 0).alias("on_time_payments"))
+    last = top_k_per_group(payments.select("lease_id", "payment_date", "amount"), "lease_id",
+                           [F.col("payment_date").desc(), F.col("amount").desc()], n_payments)
+    recent = (last.groupBy("lease_id").agg(F.array_sort(F.collect_list(F.struct("rank", "payment_date", "amount"))).alias("r"))
+              .select("lease_id", F.transform("r", lambda x: F.struct(x["payment_date"].alias("date"), x["amount"].alias("amount")))
+                      .alias("recent_payments")))
+    return (leases.select("lease_id", "tenant_id", "property_id", "start_date", "end_date", "monthly_rent", "status", "renewal_status")
+            .join(tenants.select("tenant_id", "full_name", "email"), "tenant_id", "left")
+            .join(properties.select("property_id", "address", "neighborhood"), "property_id", "left")
+            .join(latest.select("lease_id", "risk_score", "risk_level"), "lease_id", "left")
+            .join(totals, "lease_id", "left").join(recent, "lease_id", "left"))
+
+
 # -- J18: link registry --------------------------------------------------------------------
 # link name -> (target table builder on a Domain, join key)
 LINKS = {

@@ -299,15 +299,26 @@ FROM r
     F.size("rent_increase_history").alias("history_size"),
     F.element_at("rent_increase_history", -1)["increasePercent"].alias("last_increase_pct")))
 
-register("r10_outbox", q(_TRIGGER_SQL + """
-, ok AS (SELECT tr.*, t.email FROM tr LEFT JOIN d_tenant t ON t.tenant_id = tr.tenant_id WHERE error IS NULL)
+MANAGER = "managers@example.com"
+_SQL_TEXT = lambda s: s.replace("'", "''")
+register("r10_outbox", q(_TRIGGER_SQL + f"""
+, ok AS (SELECT tr.*, t.email, t.phone, t.first_name, t.full_name, p.address FROM tr
+         LEFT JOIN d_tenant t ON t.tenant_id = tr.tenant_id LEFT JOIN d_property p ON p.property_id = tr.property_id
+         WHERE error IS NULL)
 SELECT lease_id, 'email' AS channel, email AS recipient,
-       CASE risk_level WHEN 'HIGH' THEN '""" + RT.TEMPLATES["HIGH"] + """' WHEN 'MEDIUM' THEN '""" + RT.TEMPLATES["MEDIUM"] + """'
-            ELSE '""" + RT.TEMPLATES["LOW"] + """' END AS template,
-       CASE WHEN risk_level = 'HIGH' THEN '""" + RT.SUBJECT_HIGH.replace("'", "''") + """'
-            ELSE '""" + RT.SUBJECT_OTHER + """' END AS subject
+       CASE risk_level WHEN 'HIGH' THEN '{RT.TEMPLATES["HIGH"]}' WHEN 'MEDIUM' THEN '{RT.TEMPLATES["MEDIUM"]}'
+            ELSE '{RT.TEMPLATES["LOW"]}' END AS template,
+       CASE WHEN risk_level = 'HIGH' THEN '{_SQL_TEXT(RT.SUBJECT_HIGH)}' ELSE '{RT.SUBJECT_OTHER}' END AS subject,
+       CAST(NULL AS VARCHAR) AS message
 FROM ok WHERE email IS NOT NULL
 UNION ALL
-SELECT lease_id, 'email', email, 'incentive-offer', '""" + RT.SUBJECT_INCENTIVE + """'
+SELECT lease_id, 'email', email, 'incentive-offer', '{RT.SUBJECT_INCENTIVE}', NULL
 FROM ok WHERE risk_level = 'MEDIUM' AND email IS NOT NULL
-"""))(lambda spark, sf: RT.outbox(_trigger(spark, sf), domain(spark, sf).tenants()))
+UNION ALL
+SELECT lease_id, 'email', '{MANAGER}', '{RT.MANAGER_TEMPLATE}', '{RT.SUBJECT_MANAGER}' || full_name || ' - ' || address, NULL
+FROM ok WHERE risk_level = 'HIGH'
+UNION ALL
+SELECT lease_id, 'sms', phone, 'concierge-call', NULL, '{RT.SMS_TEXT[0]}' || first_name || '{_SQL_TEXT(RT.SMS_TEXT[1])}'
+FROM ok WHERE risk_level = 'HIGH' AND phone IS NOT NULL
+"""))(lambda spark, sf: RT.outbox(_trigger(spark, sf), domain(spark, sf).tenants(), domain(spark, sf).properties(),
+                                  default_manager_email=MANAGER, sms_enabled=True))

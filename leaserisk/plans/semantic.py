@@ -174,3 +174,31 @@ LEFT JOIN mc ON mc.property_id = p.property_id LEFT JOIN rec ON rec.property_id
 """))(lambda spark, sf: SM.property_detail(domain(spark, sf).properties(), domain(spark, sf).leases(),
                                            PR.latest_predictions(PR.prediction_history(domain(spark, sf))),
                                            domain(spark, sf).maintenance()))
+
+
+def j19_lease(spark, sf):
+    dom = domain(spark, sf)
+    d = SM.lease_detail(dom.leases(), dom.tenants(), dom.properties(), dom.payments(),
+                        PR.latest_predictions(PR.prediction_history(dom)))
+    item = lambda x: F.concat(x["date"].cast("string"), F.lit(":"),
+                              F.round(x["amount"] * 100).cast("long").cast("string"))
+    return d.select("lease_id", "full_name", "address", "end_date", "monthly_rent", "status", "renewal_status", "risk_score",
+                    "risk_level", "total_payments", "on_time_payments",
+                    F.array_join(F.transform("recent_payments", item), ";").alias("recent_payments"))
+
+
+register("j19_lease_detail", q("""
+, tot AS (SELECT lease_id, count(*) AS total_payments, count(*) FILTER (WHERE days_late <= 0) AS on_time_payments
+          FROM d_payment GROUP BY 1),
+rk AS (SELECT lease_id, payment_date, amount,
+              row_number() OVER (PARTITION BY lease_id ORDER BY payment_date DESC, amount DESC) AS rn FROM d_payment),
+rec AS (SELECT lease_id,
+               string_agg(CAST(payment_date AS VARCHAR) || ':' || CAST(CAST(round(amount * 100) AS BIGINT) AS VARCHAR),
+                          ';' ORDER BY rn) AS recent_payments
+        FROM rk WHERE rn <= 5 GROUP BY 1)
+SELECT l.lease_id, t.full_name, p.address, CAST(l.end_date AS VARCHAR) AS end_date, l.monthly_rent, l.status, l.renewal_status,
+       lt.risk_score, lt.risk_level, tot.total_payments, tot.on_time_payments, rec.recent_payments
+FROM d_lease l LEFT JOIN d_tenant t ON t.tenant_id = l.tenant_id LEFT JOIN d_property p ON p.property_id = l.property_id
+LEFT JOIN d_latest lt ON lt.lease_id = l.lease_id LEFT JOIN tot ON tot.lease_id = l.lease_id
+LEFT JOIN rec ON rec.lease_id = l.lease_id
+"""))(j19_lease)
