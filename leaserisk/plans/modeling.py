@@ -34,8 +34,10 @@ _FM_SQL = _AGG_CTES + ", fm AS (SELECT lease_id, tenant_id, property_id, " + ",\
     c for g in GROUP_SQL.values() for c in g) + " FROM d_fin)"
 
 # -- M2: medians (mean of the middle two), modes; every column of the matrix ----------
-def _median_sql(cols, prefix, table="fm"):
-    return ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {prefix}{c}" for c in cols)
+def _median_sql(cols, prefix):
+    """(lower middle + upper middle) / 2, without interpolation's rounding."""
+    return ", ".join(f"(quantile_disc(CAST({c} AS DOUBLE), 0.5) - quantile_disc(-CAST({c} AS DOUBLE), 0.5)) / 2 AS {prefix}{c}"
+                     for c in cols)
 
 
 def _mode_sql(c, table="fm"):
@@ -49,19 +51,19 @@ def _zero(c):
 
 register("m02_impute_stats", q(_FM_SQL + f"""
 , st AS (SELECT {_median_sql(NUMERIC_FEATURES, 'median_')} FROM fm)
-SELECT {", ".join(f"round(median_{c}, 6) AS median_{c}" for c in NUMERIC_FEATURES)},
+SELECT {", ".join(f"median_{c}" for c in NUMERIC_FEATURES)},
        {", ".join(f"{_mode_sql(c)} AS mode_{c}" for c in CATEGORICAL_FEATURES)}
 FROM st
 """))(lambda spark, sf: PP.impute_plan(_matrix(spark, sf), NUMERIC_FEATURES, CATEGORICAL_FEATURES)[1].select(
-    *[F.round(f"median_{c}", 6).alias(f"median_{c}") for c in NUMERIC_FEATURES], *[f"mode_{c}" for c in CATEGORICAL_FEATURES]))
+    *[f"median_{c}" for c in NUMERIC_FEATURES], *[f"mode_{c}" for c in CATEGORICAL_FEATURES]))
 
 register("m02_imputed_features", q(_FM_SQL + f"""
 , st AS (SELECT {_median_sql(NUMERIC_FEATURES, 'md_')} FROM fm)
-SELECT lease_id, {", ".join(f"round(coalesce(CAST({c} AS DOUBLE), md_{c}), 6) AS {c}" for c in NUMERIC_FEATURES)},
+SELECT lease_id, {", ".join(f"coalesce(CAST({c} AS DOUBLE), md_{c}) AS {c}" for c in NUMERIC_FEATURES)},
        {", ".join(f"coalesce({c}, {_mode_sql(c)}) AS {c}" for c in CATEGORICAL_FEATURES)}
 FROM fm, st
 """))(lambda spark, sf: PP.impute_plan(_matrix(spark, sf), NUMERIC_FEATURES, CATEGORICAL_FEATURES)[0].select(
-    "lease_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in NUMERIC_FEATURES], *CATEGORICAL_FEATURES))
+    "lease_id", *[F.col(c).cast("double").alias(c) for c in NUMERIC_FEATURES], *CATEGORICAL_FEATURES))
 
 # -- M3 / M4: every numeric column ---------------------------------------------------
 register("m03_standard_scale", q(_FM_SQL + f"""
