@@ -29,7 +29,7 @@ from leaserisk.llm.pretokens import PretokenCache
 from leaserisk.llm.text import chunks, map_arrow, row_key, text_column
 from leaserisk.session import checkpoint_dir
 
-ROWS_PER_SALT = 200_000
+ROWS_PER_SALT = 20_000
 
 
 @lru_cache(maxsize=2)
