@@ -39,12 +39,12 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaserisk.llm.text import chunks, mix, prefix_hash, row_key, span_hash, stored, text_column
+from leaserisk.llm.text import CHUNK_BYTES, chunks, map_arrow, mix, prefix_hash, row_key, span_hash, stored, text_column
 
 LENGTH, GRAM, SYMBOL = 200, 64, 50
 MOST_STRETCHES = 2000
-BYTES_PER_TASK, BYTES_PER_SHARD = 2 << 20, 1 << 19
-_STRETCH = "key struct<a: long, b: long>, start int, strings int, before int, anchor long, whole long"
+BYTES_PER_TASK, BYTES_PER_SHARD = 1 << 20, 1 << 18
+_STRETCH = "key struct<a: long, b: long>, start int, strings int, before int, anchor long, whole long, more array<int>"
 _INDEX_BITS = 22
 _BLOCK = 1 << (_INDEX_BITS - 1)
 
@@ -92,22 +92,31 @@ def stretches(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int
     return text, start, strings, before, grams[anchor], whole
 
 
-def _stretch_batch(rows: pa.RecordBatch, at: np.ndarray, found, of: np.ndarray) -> pa.RecordBatch:
+def _stretch_batch(rows: pa.RecordBatch, at: np.ndarray, found) -> pa.RecordBatch:
+    """A row for each different stretch of a text; ``more`` has the starts of its other copies there, so a
+    text that repeats one line a thousand times is a few rows."""
     text, start, strings, before, anchor, whole = found
+    order = np.lexsort((start, whole, anchor, text))
+    text, start, strings, before, anchor, whole = (x[order] for x in found)
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
+    first = np.flatnonzero(new)
+    start = (start - at[text]).astype(np.int32)
+    more = pa.ListArray.from_arrays(pa.array(np.append(first, len(new)) - np.arange(len(first) + 1), pa.int32()), pa.array(start[~new]))
     return pa.RecordBatch.from_arrays(
-        [rows.column(0).take(pa.array(of[text])), pa.array((start - at[text]).astype(np.int32)), pa.array(strings.astype(np.int32)),
-         pa.array(before.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))],
-        ["key", "start", "strings", "before", "anchor", "whole"])
+        [rows.column(0).take(pa.array(text[first])), pa.array(start[first]), pa.array(strings[first].astype(np.int32)),
+         pa.array(before[first].astype(np.int32)), pa.array(anchor[first].view(np.int64)), pa.array(whole[first].view(np.int64)), more],
+        ["key", "start", "strings", "before", "anchor", "whole", "more"])
 
 
 def find_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """The stretches of all texts of ``docs`` (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in chunks(batches):
-            yield _stretch_batch(rows, at, stretches(data, at, length, gram), np.arange(len(at) - 1))
+        for rows, data, at in chunks(batches, most=CHUNK_BYTES // 2):
+            yield _stretch_batch(rows, at, stretches(data, at, length, gram))
 
-    return docs.mapInArrow(run, _STRETCH)
+    return map_arrow(docs, run, _STRETCH)
 
 
 def _by_document(picked: DataFrame) -> DataFrame:
@@ -147,9 +156,9 @@ def divide(docs: DataFrame, picked: DataFrame, width: int, length: int) -> DataF
                 new = mix(span_hash(h, common, common + length - width + 1) + p["anchor"][of].astype(np.uint64)
                           + mix(cell.astype(np.uint64)))
                 whole = span_hash(h, start, start + strings - 1 + length) + mix((most * 512 + strings).astype(np.uint64))
-            yield _stretch_batch(rows, at, (doc[of], start, strings, most, new, whole), np.arange(rows.num_rows))
+            yield _stretch_batch(rows, at, (doc[of], start, strings, most, new, whole))
 
-    return _with_texts(docs, _by_document(picked)).select("key", "text", "picked").mapInArrow(run, _STRETCH)
+    return map_arrow(_with_texts(docs, _by_document(picked)).select("key", "text", "picked"), run, _STRETCH)
 
 
 def _stable_order(symbols: np.ndarray) -> np.ndarray:
@@ -268,23 +277,26 @@ def compare(docs: DataFrame, picked: DataFrame, tasks: int, length: int, width:
                          "start": pa.array((table.column("start").to_numpy()[row] + np.concatenate(start)).astype(np.int32)),
                          "strings": pa.array(np.concatenate(strings).astype(np.int32))})
 
-    pieces = _with_texts(docs, _by_document(picked)).select("key", "text", "picked").mapInArrow(
-        cut, "part long, key struct<a: long, b: long>, start int, stretch binary")
+    pieces = map_arrow(
+        _with_texts(docs, _by_document(picked)).select("key", "text", "picked"), cut, "part long, key struct<a: long, b: long>, start int, stretch binary")
     return pieces.groupBy("part").applyInArrow(merge, "key struct<a: long, b: long>, start int, strings int")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, width: int = SYMBOL) -> DataFrame:
     """(key, repeats: array<struct<start, strings>>) for the texts of ``docs`` (key, ..., text) that hold repeated strings."""
     found = find_stretches(docs.select("key", "text"), length, gram)
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # Counts are stored before they are joined: a join of two plain exchanges can be split where an anchor is hot.
+    copies = F.sum(F.size("more") + 1)
+    often = stored(found.groupBy("anchor").agg(copies.alias("n")).filter("n > 1").select("anchor"), "often")
     rows = stored(found.join(often, "anchor", "left_semi").select(*found.columns), "stretches")
     sure, different = [], []
     for finer in (16, 1, None):
-        kinds = rows.groupBy("anchor", "whole").agg(F.count("*").alias("copies"), F.min(
-            F.struct("key", "start", "strings", "before")).alias("one"))
+        kinds = stored(rows.groupBy("anchor", "whole").agg(copies.alias("copies"), F.min(
+            F.struct("key", "start", "strings", "before")).alias("one")), "kinds")
         many = kinds.filter("copies > 1").select("anchor", "whole")
-        sure.append(rows.join(many, ["anchor", "whole"], "left_semi").select("key", "start", "strings"))
-        crowd = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+        sure.append(rows.join(many, ["anchor", "whole"], "left_semi").select(
+            "key", F.explode(F.concat(F.array("start"), "more")).alias("start"), "strings"))
+        crowd = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "crowd")
         members = kinds.select("anchor", "one.*").join(crowd, "anchor")
         large = F.col("kinds") > MOST_STRETCHES
         different.append((members.filter(~large) if finer else members).drop("kinds"))
@@ -345,7 +357,7 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = _with_texts(keyed, repeated(keyed, length), "left").select("doc_id", "text", "repeats")
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(found, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
@@ -380,5 +392,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
 
     found = _with_texts(renamed, repeated(renamed.select("key", "text"), length), "left")
-    return found.select("text", "repeats", *[f"c{i}" for i in range(len(names))]).mapInArrow(
-        run, renamed.select(*[f"c{i}" for i in range(len(names))]).schema).toDF(*names)
+    return map_arrow(
+        found.select("text", "repeats", *[f"c{i}" for i in range(len(names))]), run, renamed.select(*[f"c{i}" for i in range(len(names))]).schema).toDF(*names)
