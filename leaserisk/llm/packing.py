@@ -51,6 +51,12 @@ def _encode_words(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray
     return np.fromiter((i for x in ids for i in x), np.int64, int(size.sum())), np.cumsum(size) - size, size
 
 
+@lru_cache(maxsize=1)
+def _pretokens(path: str) -> PretokenCache:
+    """Kept between the tasks of a Python worker, as most pre-tokens come again; bounded by its size."""
+    return PretokenCache(lambda words: _encode_words(path, words))
+
+
 def token_pieces(docs: DataFrame, path: str, length: int = 1024, end_id: int = 2, id_col: str = "doc_id",
                  text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(key, doc_id, piece, start, length, ids_crc32[, ids]) for each piece of each document.
@@ -62,7 +68,7 @@ def token_pieces(docs: DataFrame, path: str, length: int = 1024, end_id: int = 2
     names = ["key", "doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached = PretokenCache(lambda words: _encode_words(path, words))
+        cached = _pretokens(path)
         specials = _specials(path)
         for rows, data, at in chunks(batches):
             flat, first = cached.chunk_ids(data, at)
