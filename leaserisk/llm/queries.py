@@ -59,7 +59,7 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.quantised(read(spark, sf_dir, "embeddings"))
+    vectors = topk.weighted(read(spark, sf_dir, "embeddings"))
     return topk.exact_topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
 
 

@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 QUERY_ROWS, CANDIDATE_ROWS = 1024, 8192
 
 
-def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, weights array<long>): floor(scale * x), x as double.
+def weighted(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
+    """(vec_id, weights array<long>, copies): floor(scale * x), x as double; every row counts.
 
     Rows whose id or vector is null, or whose vector holds a null, NaN or
-    infinity, are left out.  One vector stays for an id: of rows that repeat
-    an id, the smallest weights.  An empty vector scores zero everywhere.
+    infinity, are left out.  Rows equal in id and weights are one row with
+    their number; an id with different vectors keeps each.  An empty vector
+    scores zero everywhere.
     """
     v = F.transform(F.col(f"`{vec_col}`"), lambda x: x.cast("double"))
     good = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -37,7 +38,13 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
             .filter(good)
             .select(F.col(f"`{id_col}`").cast("long").alias("vec_id"),
                     F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("weights"))
-            .groupBy("vec_id").agg(F.min("weights").alias("weights")))
+            .groupBy("vec_id", "weights").agg(F.count(F.lit(1)).alias("copies")))
+
+
+def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
+    """``weighted`` for tables where a repeated id means the same vector written again: its smallest weights, once."""
+    return (weighted(vectors, id_col, vec_col, scale).groupBy("vec_id")
+            .agg(F.min("weights").alias("weights"), F.lit(1).cast("long").alias("copies")))
 
 
 def matrix(weights: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -72,10 +79,10 @@ def block_scores(queries: np.ndarray, index: list, rows: int) -> np.ndarray:
     return scores
 
 
-def select_best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
-    """(query, vec_id, score) of the k best of each row but its own, ties to smaller ids."""
-    out_q, out_v, out_s = [], [], []
-    for q, row in zip(query_ids, scores):
+def select_best(query_ids: np.ndarray, query_copies: np.ndarray, ids: np.ndarray, copies: np.ndarray, scores: np.ndarray, k: int):
+    """(query, vec_id, score, copies) of the k best of each row but those of its own id, ties to smaller ids."""
+    out_q, out_v, out_s, out_n = [], [], [], []
+    for q, n, row in zip(query_ids, query_copies, scores):
         other = np.flatnonzero(ids != q)
         if not len(other):
             continue
@@ -87,8 +94,9 @@ def select_best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: i
         out_q.append(np.full(len(best), q))
         out_v.append(ids[other[best]])
         out_s.append(s[best])
+        out_n.append(n * copies[other[best]])
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return join(out_q), join(out_v), join(out_s)
+    return join(out_q), join(out_v), join(out_s), join(out_n)
 
 
 def _each(n: int) -> Column:
@@ -96,35 +104,41 @@ def _each(n: int) -> Column:
 
 
 def exact_topk(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best candidates of each query but the row with its own id.
+    """(query_id, rank, vec_id, score): the k best candidates of each query but the rows with its own id.
 
-    Both inputs are results of ``quantised``.  Fewer than k others: all of
-    them.  A component that one vector has and the other lacks counts as zero.
+    Both inputs are results of ``weighted`` or ``quantised``.  A candidate
+    that is there twice is named twice.  Rows that repeat a query id answer
+    together: all their pairs with candidates are ranked under the one id, as
+    a join on different ids ranks them.  Fewer than k others: all of them.  A component that one vector has and the other lacks counts as zero.
     Either side empty: an empty result.
     """
     n_queries, n_rows = queries.count(), candidates.count()
     qb, cb = max(1, ceil(n_queries / QUERY_ROWS)), max(1, ceil(n_rows / CANDIDATE_ROWS))
-    left = queries.select("vec_id", "weights", F.pmod(F.xxhash64("vec_id"), F.lit(qb)).alias("q"),
-                          _each(cb).alias("c"))
-    right = candidates.select("vec_id", "weights", _each(qb).alias("q"),
-                              F.pmod(F.xxhash64("vec_id"), F.lit(cb)).alias("c"))
+    # Over k copies of a row are never named, so their product stays small.
+    row = ["vec_id", "weights", F.least("copies", F.lit(k).cast("long")).alias("copies")]
+    left = queries.select(*row, F.pmod(F.xxhash64("vec_id", "weights"), F.lit(qb)).alias("q"), _each(cb).alias("c"))
+    right = candidates.select(*row, _each(qb).alias("q"), F.pmod(F.xxhash64("vec_id", "weights"), F.lit(cb)).alias("c"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ("query_id", "vec_id", "score")
+        names = ("query_id", "vec_id", "score", "copies")
         if not a.num_rows or not b.num_rows:
             return pa.table({n: pa.array([], pa.int64()) for n in names})
         width = max(1, *(pc.max(pc.list_value_length(t.column("weights"))).as_py() or 0 for t in (a, b)))
         index = postings(matrix(b.column("weights"), width))
         q_ids, c_ids = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
+        q_n, c_n = a.column("copies").to_numpy(), b.column("copies").to_numpy()
         parts = []
         own = matrix(a.column("weights"), width)
         for lo in range(0, len(own), 256):
             scores = block_scores(own[lo:lo + 256], index, len(c_ids))
-            parts.append(select_best(q_ids[lo:lo + 256], c_ids, scores, k))
+            parts.append(select_best(q_ids[lo:lo + 256], q_n[lo:lo + 256], c_ids, c_n, scores, k))
         return pa.table({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(names)})
 
     found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(
-        run, "query_id long, vec_id long, score long")
+        run, "query_id long, vec_id long, score long, copies long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    upto = F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (best.withColumn("upto", upto).filter(F.col("upto") - F.col("copies") < k)
+            .select("query_id", F.explode(F.sequence((F.col("upto") - F.col("copies") + 1).cast("int"),
+                                                     F.least("upto", F.lit(k)).cast("int"))).alias("rank"), "vec_id", "score"))

@@ -100,3 +100,20 @@ def test_sparse_and_dense_terms_accumulate_alike():
     c = rnd.integers(-5, 6, (50, 12)) * (rnd.random((50, 12)) < np.linspace(.05, 1, 12))
     q = rnd.integers(-5, 6, (7, 12))
     assert (K.block_scores(q, K.postings(c), 50) == q @ c.T).all()
+
+
+def test_query_equals_its_sql_on_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    from leaserisk.llm.queries import ORACLES, QUERIES
+
+    rnd = np.random.default_rng(8)
+    rows = [(i, rnd.normal(0, .3, 8).tolist(), 0) for i in range(60)]
+    # The same row again (candidate, query, over k times), another vector under an id (candidate, query), both.
+    rows += [rows[7], rows[40], *[(9, rows[9][1], 0)] * 30, (11, rows[12][1], 0), (11, rnd.normal(0, .9, 8).tolist(), 0),
+             (20, rnd.normal(0, .3, 8).tolist(), 0), (0, rows[1][1], 0), (0, rows[1][1], 0), (61, None, 0)]
+    vectors(spark, rows).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, QUERIES["op10_exact_topk"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        assert got == sorted(db.execute(ORACLES["op10_exact_topk"]).fetchall())
