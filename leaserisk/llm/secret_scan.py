@@ -3,8 +3,10 @@
 Shapes are assignments to names such as ``password``, access keys and long
 hexadecimal runs.  Beyond them, a run of credential characters is tokenised:
 prose and names take three or more characters a token, random strings under
-``MOST_CHARS_PER_TOKEN``.  Runs that are digests (hexadecimal of a usual
-length), UUIDs or plain numbers, or that lack letters or digits, are left out.
+``MOST_CHARS_PER_TOKEN``; runs without a digit, among them long words of
+languages that the vocabulary knows little of, must stay under
+``MOST_WITHOUT_DIGITS``.  Runs that are digests (hexadecimal of a usual
+length), UUIDs or plain numbers (no letter) are left out.
 
 Texts are worked on as UTF-8 bytes; every character that a shape names is
 ASCII, so spans are the same as over code points, and their offsets are
@@ -37,7 +39,7 @@ _DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 _UUID = re.compile(rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _HEX_WORD = re.compile(rb"[0-9A-Fa-f]+")
 
-RANDOM_LEAST, MOST_CHARS_PER_TOKEN = 20, 2.2
+RANDOM_LEAST, MOST_CHARS_PER_TOKEN, MOST_WITHOUT_DIGITS = 16, 2.2, 1.9
 _TOKENISED_AT_ONCE = 1024  # a longer run is tokenised in parts, so its cost stays in proportion
 
 _HEX = np.zeros(256, bool)
@@ -77,13 +79,13 @@ def runs(data: np.ndarray, at: np.ndarray, wanted: np.ndarray, least: int) -> li
 def is_random(run: bytes, path: str) -> bool:
     """Few characters a token, and neither a digest nor an identifier."""
     body = run.strip(b"=-_/+")
-    if len(body) < RANDOM_LEAST or body.isdigit() or body.isalpha() or not re.search(rb"[0-9]", body) or not re.search(rb"[A-Za-z]", body):
+    if len(body) < RANDOM_LEAST or not re.search(rb"[A-Za-z]", body):
         return False
     if _UUID.fullmatch(body) or (len(body) in _DIGEST_LENGTHS and _HEX_WORD.fullmatch(body)):
         return False
     text = body.decode("ascii")
     tokens = sum(len(_encoding(path).encode_ordinary(text[i:i + _TOKENISED_AT_ONCE])) for i in range(0, len(text), _TOKENISED_AT_ONCE))
-    return len(text) < MOST_CHARS_PER_TOKEN * tokens
+    return len(text) < (MOST_CHARS_PER_TOKEN if re.search(rb"[0-9]", body) else MOST_WITHOUT_DIGITS) * tokens
 
 
 def chunk_spans(data: np.ndarray, at: np.ndarray, path: str) -> list[list[tuple[int, int, int]]]:

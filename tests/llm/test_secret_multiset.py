@@ -52,6 +52,21 @@ def test_random_strings_are_found_and_digests_identifiers_and_prose_are_not():
         assert not S.is_random(clean.encode(), PATH), clean
 
 
+def test_random_runs_of_letters_alone_and_of_16_characters_are_found(spark):
+    rnd = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for signs, n, least in ((letters, 20, 190), (letters, 40, 190), (letters[:26], 20, 190), (letters, 16, 190),
+                            (letters + "0123456789", 16, 190), (letters[26:], 32, 185)):
+        assert sum(S.is_random("".join(rnd.choices(signs, k=n)).encode(), PATH) for _ in range(200)) >= least, (signs, n)
+    words = ["counterrevolutionary", "Rechtsschutzversicherungsgesellschaften", "mempertanggungjawabkan", "RESPONSIBILITIES",
+             "konstantinopolitanczykowianeczka", "AbstractSingletonProxyFactoryBean", "MAX_CONCURRENT_REQUESTS", "src/components/button-group",
+             "windows-10-update", "covid19-vaccination", "x" * 24, "ha" * 10, "2024-01-01-12-30-00", "=" * 20]
+    assert [w for w in words if S.is_random(w.encode(), PATH)] == []
+    planted = ["qZkXpWvBnRtLmYcJdHsG", "kQ9zX2vW7pL4mT8r"]
+    got = S.scan(table(spark, [f"key {p} end" for p in planted] + [" ".join(words)]), PATH).collect()
+    assert {r["doc_id"]: r["spans"] for r in got} == {0: "random:4:24", 1: "random:4:20", 2: ""}
+
+
 def test_redaction_covers_spans_and_leaves_the_rest(spark):
     texts = ["é before password=abcdefgh after", f"a {RANDOM} b", "clean text", None, "", "key " + "deadbeef" * 3 + "!", "token=" + "f" * 30]
     docs = clashing(table(spark, texts))
