@@ -101,3 +101,28 @@ def test_early_stopping_with_validation_column(trained):
     v = tr.withColumn("is_val", F.pmod(F.col("lease_id"), F.lit(5)) == 0)
     m, _ = ML.fit(ML.gbt(40, validation_col="is_val", validation_tol=0.5), v)
     assert m.stages[-1].getNumTrees <= 40
+
+
+def test_registered_models_train_the_library_defaults(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from leaserisk.plans import ml_models as MM
+
+    fits, folds = [], []
+
+    def cross_validate(est, train, grid=None, **kw):
+        folds.append((est.getMaxIter(), kw["folds"], len(grid or [None])))
+        n = len(grid or [None])
+        return SimpleNamespace(avgMetrics=[0.5] * n, stdMetrics=[0.0] * n)
+
+    monkeypatch.setattr(MM, "_CACHE", {})
+    monkeypatch.setattr(MM, "_prepared", lambda spark, sf: (None, None, None))
+    monkeypatch.setattr(ML, "fit", lambda est, train: fits.append(est) or (est, 1.0))
+    monkeypatch.setattr(ML, "predict", lambda model, rows: None)
+    monkeypatch.setattr(ML, "metrics", lambda p: dict(auc=0.5, accuracy=0.5, precision=0.5, recall=0.5, f1=0.5))
+    monkeypatch.setattr(ML, "cross_validate", cross_validate)
+    assert MM._model(spark, "", "gbt")[0].getMaxIter() == 200
+    assert MM._model(spark, "", "random_forest")[0].getNumTrees() == 500
+    assert MM.m10(spark, "").count() == 3 and len(fits) == 3  # two of them are the fits above
+    assert MM.m11(spark, "").count() == 1 and MM.m12(spark, "").distinct().count() == 243
+    assert folds == [(200, 5, 1), (200, 5, 243)]
