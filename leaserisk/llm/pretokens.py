@@ -89,6 +89,8 @@ class PretokenCache:
 
     def _add(self, words: list[bytes]) -> None:
         flat, starts, sizes = self.encode(words)
+        if len(flat) and flat.max() > np.iinfo(self.flat.dtype).max:  # a vocabulary of over 65,536 entries
+            self.flat = self.flat.astype(np.uint32)
         self.place.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))

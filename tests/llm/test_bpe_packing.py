@@ -141,3 +141,15 @@ def test_plan_holds_every_piece_once(counts):
 def test_plan_matches_large_pieces_in_pairs():
     groups = packing.plan({600: 10, 424: 10, 341: 3}, 1024)
     assert sum(n for n, _ in groups) == 11
+
+
+def test_cache_keeps_ids_over_16_bits():
+    import numpy as np
+
+    from leaserisk.llm.pretokens import PretokenCache
+
+    ids = {b"small": 7, b" wide": 65_536 + 7, b" wider": 200_000}
+    cache = PretokenCache(lambda words: (np.array([ids[w] for w in words]), np.arange(len(words)), np.ones(len(words), np.int64)))
+    for text in (b"small", b"small wide wider", b"small"):
+        got, _ = cache.chunk_ids(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert got.tolist() == [7, 65_543, 200_000][:text.count(b" ") + 1]
