@@ -10,11 +10,11 @@ are reused wherever it stands.
 from __future__ import annotations
 
 import sys
-import unicodedata
 from collections.abc import Callable
 from functools import cache
 
 import numpy as np
+import tiktoken
 
 from leaserisk.llm.text import prefix_hash, span_hash
 
@@ -27,8 +27,15 @@ _SHORT, _LONG = "stmd", ("re", "ve", "ll")
 
 @cache
 def _class_of() -> np.ndarray:
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.array([kinds.get(unicodedata.category(chr(c))[0], SIGN) for c in range(sys.maxunicode + 1)], np.uint8)
+    """The class of each code point, asked of the library: Python's own tables may be of another Unicode version."""
+    points = np.setdiff1d(np.arange(sys.maxunicode + 1, dtype="<u4"), np.arange(0xD800, 0xE000, dtype="<u4"))
+    text = points.tobytes().decode("utf-32-le")
+    single = {bytes([i]): i for i in range(256)}
+    table = np.full(sys.maxunicode + 1, SIGN, np.uint8)
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
+        asked = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        found = bytes(asked.encode_ordinary(text)).decode()  # what the pattern does not match is left out
+        table[np.frombuffer(found.encode("utf-32-le"), "<u4")] = kind
     table[_WHITE] = SPACE
     return table
 

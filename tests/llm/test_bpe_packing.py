@@ -153,3 +153,24 @@ def test_cache_keeps_ids_over_16_bits():
     for text in (b"small", b"small wide wider", b"small"):
         got, _ = cache.chunk_ids(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         assert got.tolist() == [7, 65_543, 200_000][:text.count(b" ") + 1]
+
+
+def test_every_code_point_is_split_as_the_libraries_split_it():
+    """Each code point alone, between letters and before a contraction, in one text for each 4,096 of them."""
+    single = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [form for c in single for form in (c, f"a{c}b", f"{c}'s")]
+    ranks = bpe.vocabulary(PATH)
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.ranks, special_tokens={})
+    path = public_tokenizers.path(PACK_VOCABULARY)
+    other = Tokenizer.from_file(path)
+    mine, second = PretokenCache(ranks.encode_words), PretokenCache(lambda words: packing._encode_words(path, words))
+    for lo in range(0, len(texts), 1 << 16):
+        part = texts[lo:lo + (1 << 16)]
+        raw = [t.encode() for t in part]
+        data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        ids, first = mine.chunk_ids(data, at)
+        want = [theirs.encode_ordinary(t) for t in part]
+        assert ids.tolist() == [i for w in want for i in w] and np.diff(first).tolist() == list(map(len, want))
+        ids, first = second.chunk_ids(data, at)
+        want = [e.ids for e in other.encode_batch_fast(part, add_special_tokens=False)]
+        assert ids.tolist() == [i for w in want for i in w] and np.diff(first).tolist() == list(map(len, want))
