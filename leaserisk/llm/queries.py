@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaserisk.llm import (bpe, bpe_tree, chat_format, multiset_hash, packing, quality_gam, ring_shards, secret_scan,
+from leaserisk.llm import (bpe, bpe_tree, chat_format, importance, multiset_hash, packing, quality_gam, ring_shards, secret_scan,
                            simhash_pivot, suffix_dedup, topk)
 from leaserisk.llm.text import read
 
@@ -64,6 +64,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=5)
+
+
 def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path(TREE_VOCABULARY))
 
@@ -71,7 +75,7 @@ def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_best_fit_packing, op3_chat_formatting, op4_simhash_near_dedup, op5_ring_sharding,
     op6_quality_classifier, op7_secret_scans, op8_document_fingerprints, op9_byte_level_bpe, op10_exact_topk,
-    op13_tree_bpe)}
+    op11_importance_resampling, op13_tree_bpe)}
 
 #: Queries that DuckDB can express; the others are held against brute force in tests/llm.
 ORACLES = {
