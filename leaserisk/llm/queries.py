@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaserisk.llm import (bpe, bpe_tree, chat_format, importance, multiset_hash, packing, quality_gam, ring_shards, secret_scan,
-                           simhash_pivot, suffix_dedup, topk)
+                           simhash_pivot, suffix_dedup, topk, whitening)
 from leaserisk.llm.text import read
 
 PACK_VOCABULARY = "byte_bpe_50k.json"
@@ -68,6 +68,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=5)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
 def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path(TREE_VOCABULARY))
 
@@ -75,7 +79,7 @@ def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_best_fit_packing, op3_chat_formatting, op4_simhash_near_dedup, op5_ring_sharding,
     op6_quality_classifier, op7_secret_scans, op8_document_fingerprints, op9_byte_level_bpe, op10_exact_topk,
-    op11_importance_resampling, op13_tree_bpe)}
+    op11_importance_resampling, op12_embedding_whitening, op13_tree_bpe)}
 
 #: Queries that DuckDB can express; the others are held against brute force in tests/llm.
 ORACLES = {
