@@ -39,12 +39,14 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leaserisk.llm.text import CHUNK_BYTES, chunks, map_arrow, mix, prefix_hash, row_key, span_hash, stored, text_column
+from leaserisk.llm.text import (CHUNK_BYTES, Tables, chunks, map_arrow, mix, prefix_hash, row_key, span_hash, stored,
+                                text_column)
 
 LENGTH, GRAM, SYMBOL = 200, 64, 50
 MOST_STRETCHES = 2000
 BYTES_PER_TASK, BYTES_PER_SHARD = 1 << 20, 1 << 18
-_STRETCH = "key struct<a: long, b: long>, start int, strings int, before int, anchor long, whole long, more array<int>"
+_KEY = "key struct<a: long, b: long>, base int"
+_STRETCH = f"{_KEY}, start int, strings int, before int, anchor long, whole long, more array<int>"
 _INDEX_BITS = 22
 _BLOCK = 1 << (_INDEX_BITS - 1)
 
@@ -92,25 +94,35 @@ def stretches(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int
     return text, start, strings, before, grams[anchor], whole
 
 
+def _column(rows: pa.RecordBatch, name: str) -> pa.Array:
+    return rows.column(rows.schema.get_field_index(name))
+
+
+def _numbers(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    return _column(rows, name).to_numpy().astype(np.int64)
+
+
 def _stretch_batch(rows: pa.RecordBatch, at: np.ndarray, found) -> pa.RecordBatch:
     """A row for each different stretch of a text; ``more`` has the starts of its other copies there, so a
-    text that repeats one line a thousand times is a few rows."""
+    text that repeats one line a thousand times is a few rows.  Starts are places in the document, whose part
+    from ``base`` on the text is."""
     text, start, strings, before, anchor, whole = found
     order = np.lexsort((start, whole, anchor, text))
     text, start, strings, before, anchor, whole = (x[order] for x in found)
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
     first = np.flatnonzero(new)
-    start = (start - at[text]).astype(np.int32)
+    start = (start - at[text] + _numbers(rows, "base")[text]).astype(np.int32)
     more = pa.ListArray.from_arrays(pa.array(np.append(first, len(new)) - np.arange(len(first) + 1), pa.int32()), pa.array(start[~new]))
+    own = pa.array(text[first])
     return pa.RecordBatch.from_arrays(
-        [rows.column(0).take(pa.array(text[first])), pa.array(start[first]), pa.array(strings[first].astype(np.int32)),
+        [_column(rows, "key").take(own), _column(rows, "base").take(own), pa.array(start[first]), pa.array(strings[first].astype(np.int32)),
          pa.array(before[first].astype(np.int32)), pa.array(anchor[first].view(np.int64)), pa.array(whole[first].view(np.int64)), more],
-        ["key", "start", "strings", "before", "anchor", "whole", "more"])
+        ["key", "base", "start", "strings", "before", "anchor", "whole", "more"])
 
 
 def find_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """The stretches of all texts of ``docs`` (key, text)."""
+    """The stretches of all texts of ``docs`` (key, base, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in chunks(batches, most=CHUNK_BYTES // 2):
@@ -119,46 +131,66 @@ def find_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return map_arrow(docs, run, _STRETCH)
 
 
-def _by_document(picked: DataFrame) -> DataFrame:
-    return picked.groupBy("key").agg(F.collect_set(F.struct("start", "strings", "before", "anchor")).alias("picked"))
+def _with_texts(docs: DataFrame, lists: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    return docs.join(lists.hint("shuffle_hash"), on, how)
 
 
-def _with_texts(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
-    return docs.join(lists.hint("shuffle_hash"), "key", how)
+def cut(source: DataFrame, members: DataFrame, length: int) -> DataFrame:
+    """(key, base, strings, before, anchor, large, text): the bytes of each stretch of ``members``, cut from the
+    texts of ``source`` (key, base, text) once; ``base`` is now the stretch's own start."""
+    fields = ["start", "strings", "before", "anchor", "large"]
+    lists = members.groupBy("key", "base").agg(F.collect_set(F.struct(*fields)).alias("picked"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows that repeat share a key: one of them is enough
+        for rows, data, at in chunks(batches):
+            keys = list(zip(*(_column(rows, "key").field(i).to_pylist() for i in range(2)), _column(rows, "base").to_pylist()))
+            lists = _column(rows, "picked")
+            flat, sizes = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            new = np.zeros(len(keys), bool)
+            for i, key in enumerate(keys):
+                if key not in seen:
+                    seen.add(key)
+                    new[i] = True
+            doc = np.repeat(np.arange(len(keys)), sizes)
+            use = np.flatnonzero(new[doc])
+            doc, flat = doc[use], flat.take(pa.array(use))
+            start, strings = flat.field(0), flat.field(1)
+            lo = at[doc] + start.to_numpy() - _numbers(rows, "base")[doc]
+            raw = data.tobytes()
+            texts = [raw[a:b] for a, b in zip(lo.tolist(), (lo + strings.to_numpy() - 1 + length).tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [_column(rows, "key").take(pa.array(doc)), start, strings, flat.field(2), flat.field(3), flat.field(4), pa.array(texts, pa.binary())],
+                ["key", "base", "strings", "before", "anchor", "large", "text"])
 
-def _picked(rows: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The document of each listed stretch, and the stretches' fields."""
-    lists = rows.column(rows.schema.get_field_index("picked"))
-    flat = lists.flatten()
-    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    return doc, {f.name: flat.field(i).to_numpy().astype(np.int64) for i, f in enumerate(flat.type)}
+    return map_arrow(_with_texts(source, lists, ["key", "base"]).select("key", "base", "text", "picked"), run,
+                     f"{_KEY}, strings int, before int, anchor long, large boolean, text binary")
 
 
-def divide(docs: DataFrame, picked: DataFrame, width: int, length: int) -> DataFrame:
-    """``picked`` stretches cut where (anchor - string) is a multiple of ``width``; the new anchor is the hash of the
+def divide(pieces: DataFrame, width: int, length: int) -> DataFrame:
+    """The stretches of ``pieces`` cut where (anchor - string) is a multiple of ``width``; the new anchor is the hash of the
     bytes that all strings of such a range hold, with the old one and the range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in chunks(batches):
-            doc, p = _picked(rows)
+            before, strings, old = (_numbers(rows, n) for n in ("before", "strings", "anchor"))
             h = prefix_hash(data)
-            lowest = (p["before"] - p["strings"] + 1) // width
-            n = p["before"] // width - lowest + 1
-            of = np.repeat(np.arange(len(doc)), n)
+            lowest = (before - strings + 1) // width
+            n = before // width - lowest + 1
+            of = np.repeat(np.arange(len(before)), n)
             cell = lowest[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            most = np.minimum(p["before"][of], cell * width + width - 1)
-            least = np.maximum(p["before"][of] - p["strings"][of] + 1, cell * width)
-            anchor = at[doc[of]] + p["start"][of] + p["before"][of]
+            most = np.minimum(before[of], cell * width + width - 1)
+            least = np.maximum(before[of] - strings[of] + 1, cell * width)
+            anchor = at[of] + before[of]
             start, strings = anchor - most, most - least + 1
             common = anchor - cell * width
             with np.errstate(over="ignore"):
-                new = mix(span_hash(h, common, common + length - width + 1) + p["anchor"][of].astype(np.uint64)
+                new = mix(span_hash(h, common, common + length - width + 1) + old[of].astype(np.uint64)
                           + mix(cell.astype(np.uint64)))
                 whole = span_hash(h, start, start + strings - 1 + length) + mix((most * 512 + strings).astype(np.uint64))
-            yield _stretch_batch(rows, at, (doc[of], start, strings, most, new, whole))
+            yield _stretch_batch(rows, at, (of, start, strings, most, new, whole))
 
-    return map_arrow(_with_texts(docs, _by_document(picked)).select("key", "text", "picked"), run, _STRETCH)
+    return map_arrow(pieces.select("key", "base", "strings", "before", "anchor", "text"), run, _STRETCH)
 
 
 def _stable_order(symbols: np.ndarray) -> np.ndarray:
@@ -239,22 +271,12 @@ def repeated_strings(strings: list[tuple[np.ndarray, np.ndarray]], length: int =
     return out
 
 
-def compare(docs: DataFrame, picked: DataFrame, tasks: int, length: int, width: int) -> DataFrame:
-    """(key, start, strings): the strings of ``picked`` stretches that occur in another one too."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in chunks(batches):
-            doc, p = _picked(rows)
-            lo = at[doc] + p["start"]
-            raw = data.tobytes()
-            texts = [raw[a:b] for a, b in zip(lo.tolist(), (lo + p["strings"] - 1 + length).tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(p["anchor"] % tasks), rows.column(0).take(pa.array(doc)), pa.array(p["start"].astype(np.int32)),
-                 pa.array(texts, pa.binary())], ["part", "key", "start", "stretch"])
+def compare(pieces: DataFrame, tasks: int, length: int, width: int) -> DataFrame:
+    """(key, starts, strings): the strings of ``pieces`` that occur in another one too."""
 
     def merge(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        raw = table.column("stretch")
+        raw = table.column("text")
         at = np.concatenate(([0], np.cumsum(pa.compute.binary_length(raw).to_numpy()))).astype(np.int64)
         data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
         shards, edges, lo = [], [], 0
@@ -273,40 +295,49 @@ def compare(docs: DataFrame, picked: DataFrame, tasks: int, length: int, width:
             start.append(a - base[i])
             strings.append(b - a)
         row = np.concatenate(row)
+        start = (table.column("base").to_numpy()[row] + np.concatenate(start)).astype(np.int32)
         return pa.table({"key": table.column("key").take(pa.array(row)),
-                         "start": pa.array((table.column("start").to_numpy()[row] + np.concatenate(start)).astype(np.int32)),
+                         "starts": pa.ListArray.from_arrays(np.arange(len(row) + 1, dtype=np.int32), pa.array(start)),
                          "strings": pa.array(np.concatenate(strings).astype(np.int32))})
 
-    pieces = map_arrow(
-        _with_texts(docs, _by_document(picked)).select("key", "text", "picked"), cut, "part long, key struct<a: long, b: long>, start int, stretch binary")
-    return pieces.groupBy("part").applyInArrow(merge, "key struct<a: long, b: long>, start int, strings int")
+    dealt = pieces.select(F.pmod("anchor", F.lit(tasks)).alias("part"), "key", "base", "text")
+    return dealt.groupBy("part").applyInArrow(merge, "key struct<a: long, b: long>, starts array<int>, strings int")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, width: int = SYMBOL) -> DataFrame:
-    """(key, repeats: array<struct<start, strings>>) for the texts of ``docs`` (key, ..., text) that hold repeated strings."""
-    found = find_stretches(docs.select("key", "text"), length, gram)
-    # Counts are stored before they are joined: a join of two plain exchanges can be split where an anchor is hot.
-    copies = F.sum(F.size("more") + 1)
-    often = stored(found.groupBy("anchor").agg(copies.alias("n")).filter("n > 1").select("anchor"), "often")
-    rows = stored(found.join(often, "anchor", "left_semi").select(*found.columns), "stretches")
-    sure, different = [], []
-    for finer in (16, 1, None):
-        kinds = stored(rows.groupBy("anchor", "whole").agg(copies.alias("copies"), F.min(
-            F.struct("key", "start", "strings", "before")).alias("one")), "kinds")
-        many = kinds.filter("copies > 1").select("anchor", "whole")
-        sure.append(rows.join(many, ["anchor", "whole"], "left_semi").select(
-            "key", F.explode(F.concat(F.array("start"), "more")).alias("start"), "strings"))
-        crowd = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "crowd")
-        members = kinds.select("anchor", "one.*").join(crowd, "anchor")
-        large = F.col("kinds") > MOST_STRETCHES
-        different.append((members.filter(~large) if finer else members).drop("kinds"))
-        if finer is None or crowd.filter(large).isEmpty():
-            break
-        rows = stored(divide(docs, members.filter(large), finer, length), "divided")
-    picked = stored(_union(different), "picked")
-    size = picked.agg(F.sum(F.col("strings") - 1 + length)).first()[0] or 0
-    told = _union([*sure, compare(docs, picked, max(1, ceil(size / BYTES_PER_TASK)), length, width)])
-    return told.groupBy("key").agg(F.collect_set(F.struct("start", "strings")).alias("repeats"))
+    """(key, repeats: array<struct<starts: array<int>, strings: int>>) for the texts of ``docs`` (key, text) that hold
+    repeated strings, stored; what was stored on the way is deleted."""
+    docs = docs.select("key", F.lit(0).alias("base"), "text")
+    with Tables(docs.sparkSession) as tables:
+        found = find_stretches(docs, length, gram)
+        # Counts are stored before they are joined: a join of two plain exchanges can be split where an anchor is hot.
+        copies = F.sum(F.size("more") + 1)
+        often = tables.store(found.groupBy("anchor").agg(copies.alias("n")).filter("n > 1").select("anchor"), "often")
+        rows = tables.store(found.join(often, "anchor", "left_semi").select(*found.columns), "stretches")
+        tables.drop("often")
+        source, sure, different = docs, [], []
+        for step, finer in enumerate((16, 1, None)):
+            kinds = tables.store(rows.groupBy("anchor", "whole").agg(copies.alias("copies"), F.min(
+                F.struct("key", "base", "start", "strings", "before")).alias("one")), f"kinds{step}")
+            many = kinds.filter("copies > 1").select("anchor", "whole")
+            sure.append(tables.store(rows.join(many, ["anchor", "whole"], "left_semi").select(
+                "key", F.concat(F.array("start"), "more").alias("starts"), "strings"), f"sure{step}"))
+            tables.drop("stretches", "divided")
+            crowd = tables.store(kinds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "crowd")
+            large = F.lit(False) if finer is None else F.col("n") > MOST_STRETCHES
+            members = kinds.select("anchor", "one.*").join(crowd, "anchor").withColumn("large", large).drop("n")
+            pieces = tables.store(cut(source, members, length), f"pieces{step}")
+            tables.drop(f"kinds{step}", "crowd")
+            different.append(pieces.filter("not large"))
+            crowded = pieces.filter("large")
+            if crowded.isEmpty():
+                break
+            source = crowded.select("key", "base", "text")
+            rows = tables.store(divide(crowded, finer, length), "divided")
+        picked = _union(different)
+        size = picked.agg(F.sum(F.col("strings") - 1 + length)).first()[0] or 0
+        told = _union([*sure, compare(picked, max(1, ceil(size / BYTES_PER_TASK)), length, width)])
+        return stored(told.groupBy("key").agg(F.collect_set(F.struct("starts", "strings")).alias("repeats")), "repeats")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -318,14 +349,16 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def _covered(rows: pa.RecordBatch, at: np.ndarray, length: int) -> np.ndarray:
     """Which bytes of the chunk a repeated string covers."""
-    lists = rows.column(rows.schema.get_field_index("repeats"))
+    lists = _column(rows, "repeats")
     flat = lists.flatten()
     doc = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     step = np.zeros(at[-1] + 1, np.int32)
     if len(doc):
-        lo = at[doc] + flat.field(0).to_numpy()
+        starts, strings = flat.field(0), flat.field(1).to_numpy()
+        n = starts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        lo = at[np.repeat(doc, n)] + starts.flatten().to_numpy()
         np.add.at(step, lo, 1)
-        np.add.at(step, lo + flat.field(1).to_numpy() - 1 + length, -1)
+        np.add.at(step, lo + np.repeat(strings, n) - 1 + length, -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -352,11 +385,11 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             first[1:] &= ~gone[:-1] | np.isin(np.arange(1, len(gone)), at)
             spans = np.concatenate(([0], np.cumsum(first)))[at]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(rows.schema.get_field_index("doc_id")), pa.array(np.diff(at)), pa.array(np.diff(at) - np.diff(kept)), pa.array(np.diff(spans)),
+                [_column(rows, "doc_id"), pa.array(np.diff(at)), pa.array(np.diff(at) - np.diff(kept)), pa.array(np.diff(spans)),
                  pa.array([hashlib.sha256(left[i:j]).hexdigest() for i, j in zip(kept, kept[1:])])],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = _with_texts(keyed, repeated(keyed, length), "left").select("doc_id", "text", "repeats")
+    found = _with_texts(keyed, repeated(keyed, length), ["key"], "left").select("doc_id", "text", "repeats")
     return map_arrow(found, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -374,7 +407,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in chunks(batches):
-            columns = [rows.column(rows.schema.get_field_index(f"c{i}")) for i in range(len(names))]
+            columns = [_column(rows, f"c{i}") for i in range(len(names))]
             gone = _covered(rows, at, length)
             if gone.any():
                 lost = np.diff(np.concatenate(([0], np.cumsum(gone)))[at]).tolist()
@@ -391,6 +424,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
                     columns[count] = pa.array(counts, columns[count].type)
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
 
-    found = _with_texts(renamed, repeated(renamed.select("key", "text"), length), "left")
+    found = _with_texts(renamed, repeated(renamed.select("key", "text"), length), ["key"], "left")
     return map_arrow(
         found.select("text", "repeats", *[f"c{i}" for i in range(len(names))]), run, renamed.select(*[f"c{i}" for i in range(len(names))]).schema).toDF(*names)

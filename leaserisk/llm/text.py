@@ -40,6 +40,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Intermediate tables of one run in the shared folder.
+
+    As a context they go when the run has stored what it returns, or has failed.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in list(self.paths):
+            self.drop(name)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``stored``; the run's earlier table of that name goes once the new one is written."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for name in names:
+            if path := self.paths.pop(name, None):
+                place = hadoop.Path(path)
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_column(name: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

@@ -141,3 +141,27 @@ def test_merge_sorts_the_union_and_finds_common_prefixes():
                 where.setdefault(bytes(data[j:j + 8]), []).append((s, j + i))
     for s, flag in enumerate(found):
         assert set(np.flatnonzero(flag)) == {p for ps in where.values() if len(ps) > 1 for t, p in ps if t == s}
+
+
+@pytest.mark.parametrize("fails", [False, True])
+def test_tables_of_a_run_are_deleted(spark, monkeypatch, tmp_path, fails):
+    from leaserisk.llm import text as T
+
+    monkeypatch.setattr(T, "scratch_path", lambda _, name: f"{tmp_path}/{name}-{rnd.random()}")
+    rnd = random.Random(3)
+    if fails:
+        monkeypatch.setattr(S, "compare", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            S.repeated(S._keyed(table(spark, corpus()), "doc_id", "text"))
+    else:
+        assert S.repeated(S._keyed(table(spark, corpus()), "doc_id", "text")).count()
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["repeats"] * (not fails)
+
+
+def test_one_row_written_many_times_is_cut_once(spark):
+    rnd = random.Random(9)
+    text = prose(rnd, 100)
+    texts = [text] * 50 + [text + prose(rnd, 60), prose(rnd, 50) + text]
+    ids = [4] * 50 + [5, 6]
+    want = sorted((i, *w) for i, w in zip(ids, brute(texts, 200)))
+    assert sorted(report(table(spark, texts, ids).repartition(1), 200)) == want
