@@ -17,12 +17,10 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leaserisk.llm.text import row_key, text_column
+from leaserisk.llm.text import row_key, stored, text_column
 from leaserisk.session import checkpoint_dir
 
 PIECE = 64
@@ -33,7 +31,6 @@ LANES = LONGS * IN_LONG
 _ONE = sum(1 << (_STEP * j) for j in range(IN_LONG))
 _FULL = (1 << LANE_BITS) - 1
 _MASK = _ONE * _FULL
-BUCKETS = 4096
 
 
 def _piece_vector(piece: Column) -> Column:
@@ -65,10 +62,20 @@ def remove(a: Column, b: Column) -> Column:
     return F.array_append(lanes, a[LONGS] - b[LONGS])
 
 
+def _signed_sum(count: Column, n: Column) -> Column:
+    """2 c - n as a double, c being the count nearest n / 2 that is ``count`` modulo 2**LANE_BITS."""
+    low = F.shiftright(n, 1) - (1 << (LANE_BITS - 1))
+    return ((low + (count - low).bitwiseAND(F.lit(_FULL))) * 2 - n).cast("double")
+
+
+def _lane(x: Column, j: int) -> Column:
+    return F.shiftrightunsigned(x, _STEP * j).bitwiseAND(F.lit(_FULL))
+
+
 def _squares(lanes: Column, n: Column) -> Column:
     """Sum over all lanes of (2 c - n) squared, c being the lane's count."""
     def of(x: Column) -> Column:
-        signs = [(F.shiftrightunsigned(x, _STEP * j).bitwiseAND(F.lit(_FULL)) * 2 - n).cast("double") for j in range(IN_LONG)]
+        signs = [_signed_sum(_lane(x, j), n) for j in range(IN_LONG)]
         return sum((s * s for s in signs[1:]), signs[0] * signs[0])
 
     return F.aggregate(F.slice(lanes, 1, LONGS), F.lit(0.0), lambda acc, x: acc + of(x))
@@ -76,22 +83,17 @@ def _squares(lanes: Column, n: Column) -> Column:
 
 def _difference(a: Column, b: Column) -> Column:
     """The same of the difference of two fingerprints."""
-    n = a[LONGS] - b[LONGS]
-    half = 1 << (LANE_BITS - 1)
-
-    def of(x: Column, y: Column) -> Column:
-        out = None
-        for j in range(IN_LONG):
-            c, d = (F.shiftrightunsigned(v, _STEP * j).bitwiseAND(F.lit(_FULL)) for v in (x, y))
-            s = (((c - d + half).bitwiseAND(F.lit(_FULL)) - half) * 2 - n).cast("double")
-            out = s * s if out is None else out + s * s
-        return out
-
-    return F.aggregate(F.zip_with(F.slice(a, 1, LONGS), F.slice(b, 1, LONGS), of), F.lit(0.0), lambda acc, x: acc + x)
+    return _squares(remove(a, b), a[LONGS] - b[LONGS])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the estimated share of pieces in common; equal fingerprints, two empty ones too, have 1."""
+    """0 to 1: the estimated share of pieces in common; equal fingerprints, two empty ones too, have 1.
+
+    Lanes keep counts modulo 2**20.  Of a text's n pieces a lane counts about half, give or take the root of the sum of
+    their squared numbers, so its count is known while that root is well below 2**19: for any number of different pieces that fits a
+    row, but not for a piece that one text repeats over 2**19 times, where the estimate means nothing (equality, insertion
+    and deletion hold for all).
+    """
     both = _squares(a, a[LONGS]) + _squares(b, b[LONGS])
     return F.when(a == b, F.lit(1.0)).otherwise(
         F.greatest(F.lit(0.0), F.lit(1.0) - _difference(a, b) / F.greatest(both, F.lit(1.0))))
@@ -104,17 +106,14 @@ def as_string(a: Column) -> Column:
 def next_keys(keys: DataFrame) -> DataFrame:
     """``keys`` (doc_id, a, b; distinct) with the key that follows by (doc_id, a, b), nulls first; the first after the last.
 
-    Rows are dealt into ranges of ids, rows without an id into ranges of a;
-    windows run inside a range, and one more over the first rows of the ranges,
-    of which there are at most ``BUCKETS`` + 256.  Ids that repeat or crowd in a small
-    part of their range share a range.
+    Rows are dealt into ranges of that order, cut where a sample of them puts equal numbers, and stored with
+    their range; windows run inside a range, and one more over the first rows of the ranges, of which there are as many
+    as shuffle partitions.
     """
-    lo, hi, n = keys.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, ceil(((hi or 0) - (lo or 0) + 1) / max(1, min(BUCKETS, ceil(n / BUCKETS)))))
-    ranged = keys.withColumn("range", F.when(F.col("doc_id").isNull(), F.shiftright("a", 56) - (1 << 20)).otherwise(
-        F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(lo or 0)) / F.lit(width)).cast("long")))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("a").asc(), F.col("b").asc()]
+    ranged = stored(keys.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
     row = F.struct("doc_id", "a", "b")
-    inside = Window.partitionBy("range").orderBy("doc_id", "a", "b")
+    inside = Window.partitionBy("range").orderBy(*order)
     firsts = ranged.groupBy("range").agg(F.min(row).alias("first"))
     over = Window.orderBy("range")
     firsts = firsts.select("range", F.coalesce(F.lead("first").over(over), F.min("first").over(

@@ -21,7 +21,7 @@ def clashing(docs):
     """Extra columns named like the operators' own."""
     from pyspark.sql import functions as F
 
-    names = ["key", "start", "strings", "anchor", "repeats", "fp", "root", "score", "predicted", "c0", "c1", "length", "salt", "cell", "shard"]
+    names = ["key", "start", "strings", "anchor", "repeats", "fp", "root", "score", "predicted", "c0", "c1", "length", "salt", "cell", "shard", "__a", "__b", "c7"]
     return docs.withColumns({n: F.lit(7) for n in names})
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from leaserisk.llm import multiset_hash as M
@@ -139,8 +140,38 @@ def test_null_ids_and_rows_that_repeat(spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
 
 
-def test_next_keys_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(M, "BUCKETS", 8)
+@pytest.fixture
+def ranges(spark):
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "49"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_ranges_hold_like_numbers_of_rows_whatever_the_ids(spark, ranges, monkeypatch):
+    """One far id, and ids that are null or all alike for many rows."""
+    seen = []
+    monkeypatch.setattr(M, "stored", lambda df, _: (seen.append(df.checkpoint()), seen[-1])[1])
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") == 1, 10**15).when(F.col("id") % 3 == 1, 5)
+                                      .otherwise(F.col("id")).alias("doc_id"), F.xxhash64("id").alias("a"), F.lit(1).cast("long").alias("b"))
+    assert M.next_keys(rows).count() == 20_000
+    sizes = [r["count"] for r in seen[0].groupBy("range").count().collect()]
+    assert len(sizes) >= 40 and max(sizes) < 2_000
+
+
+def test_two_million_pieces(spark):
+    """Over 2**20 different pieces: as many lanes wrap as count more, and likeness is still that of the texts."""
+    text = F.concat_ws("\n", F.transform(F.sequence(F.lit(0), F.lit(2_200_000)), lambda i: F.hex(i)))
+    half = F.concat_ws("\n", F.transform(F.sequence(F.lit(1_100_000), F.lit(3_300_000)), lambda i: F.hex(i)))
+    row = spark.range(1).select(M.fingerprint(text).alias("a"), M.fingerprint(half).alias("b")).select(
+        F.element_at("a", -1).alias("n"), M.likeness(F.col("a"), F.col("b")).alias("like"), M.likeness(F.col("a"), F.col("a")).alias("same")).first()
+    assert row["n"] == 2_200_001 and 0.3 < row["like"] < 0.7 and row["same"] == 1
+
+
+def test_next_keys_over_many_ranges(spark, ranges):
     rnd = random.Random(2)
     keys = sorted({(rnd.choice([None, rnd.randrange(-10**12, 10**12)]), rnd.randrange(-2**62, 2**62), 1) for _ in range(400)},
                   key=lambda k: (k[0] is not None, k[0] or 0, k[1]))

@@ -65,6 +65,7 @@ def test_one_of_each_group_stays(spark):
     kept = S.one_per_group(docs, 4, 4)
     prints = [brute_print(t) for t in texts + texts[:1]]
     assert kept.columns == docs.columns
+    assert {tuple(r)[5:] for r in kept.collect()} == {(7,) * (len(docs.columns) - 5)}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_components(prints, range(len(prints)), 4)))
     same = table(spark, ["a b c d e"] * 3, [1, 1, 1])
     assert S.one_per_group(same, 4, 4).count() == 1
