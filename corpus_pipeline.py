@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leaserisk.llm import packing, quality_gam, secret_scan, simhash_pivot, suffix_dedup
 from leaserisk.llm.queries import PACK_VOCABULARY, SCAN_VOCABULARY
-from leaserisk.llm.text import read, stored
+from leaserisk.llm.text import Tables, read
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.lower().replace(" ", "_"))
+    docs, tables = read(spark, sf_dir, "documents"), Tables(spark)
+    for _, stage in STAGES[:-1]:
+        docs = tables.store(stage(spark, docs, sf_dir), "kept")  # the stage's input goes; the last table stays for the reader
     return STAGES[-1][1](spark, docs, sf_dir)
