@@ -24,7 +24,7 @@ def test_query_matches_its_sql(spark, name):
 def test_entry_registers_all():
     names = E.queries()
     assert {n for n in QUERIES} | {"pipeline"} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_pass_documents_on(spark):
