@@ -8,9 +8,6 @@ import datetime as _dt
 
 AS_OF = _dt.date(1999, 1, 1)
 AS_OF_STR = AS_OF.isoformat()
-# First monthly scoring run: leases start in 1995 at the earliest and run for
-# 360 days or more, so no earlier run has a lease in its renewal window.
-HISTORY_START = _dt.date(1995, 10, 1)
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for the same results.

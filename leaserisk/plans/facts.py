@@ -45,7 +45,7 @@ FROM d_hist
 
 def action_fact(dom):
     acts = RT.action_leases(dom.actions(), dom.leases())
-    latest = PR.latest_predictions(PR.prediction_history(dom)).select(
+    latest = PR.latest_of(dom).select(
         "lease_id", "risk_score", "risk_level")
     clicks = dom.engagement().filter(F.col("event_type") == "click").select("tenant_id", "ts")
     resp = RT.first_response_within(acts.select("action_id", "tenant_id", F.col("triggered_at").alias("ts")),

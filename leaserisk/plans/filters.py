@@ -71,7 +71,7 @@ def p11_by_level(spark, sf):
     """P11 with the risk level of the tenant's current lease."""
     from leaserisk.operators import retention as RT
     dom = _dom(spark, sf)
-    level = PR.latest_predictions(PR.prediction_history(dom)).select("lease_id", "risk_level")
+    level = PR.latest_of(dom).select("lease_id", "risk_level")
     acts = RT.action_leases(dom.actions(), dom.leases()).join(level, "lease_id", "left")
     return acts.filter(P.campaign_list(status="completed", risk_level="HIGH")).select(
         "action_id", "tenant_id", "action_type", "lease_id", "risk_level")

@@ -167,8 +167,9 @@ d_ctx AS (
 d_scored0 AS (SELECT c.*, @SCORE@ AS risk_score FROM d_ctx c),
 d_scored AS (SELECT s.*, @RISK@ FROM d_scored0 s),
 d_runs AS (
-  SELECT CAST(r AS DATE) AS run_date
-  FROM generate_series(TIMESTAMP '1995-10-01', TIMESTAMP '1999-01-01', INTERVAL 1 MONTH) v(r)),
+  SELECT CAST(unnest(generate_series(date_trunc('month', e - 90)::TIMESTAMP, TIMESTAMP '1999-01-01',
+                                     INTERVAL 1 MONTH)) AS DATE) AS run_date
+  FROM (SELECT min(end_date) AS e FROM d_lease1)),
 d_mkt_run AS (
   SELECT m.*, r.run_date FROM d_market m JOIN d_runs r ON m.data_date <= r.run_date
   QUALIFY row_number() OVER (PARTITION BY m.zip_code, r.run_date ORDER BY m.data_date DESC) = 1),

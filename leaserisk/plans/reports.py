@@ -23,7 +23,7 @@ def _lp(spark, sf):
 
 
 def _latest(spark, sf):
-    return PR.latest_rows(_hist(spark, sf))
+    return PR.prediction_history(domain(spark, sf), newest_only=True)
 
 
 # -- A3 / A4 / A28 -----------------------------------------------------------

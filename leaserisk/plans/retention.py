@@ -36,10 +36,10 @@ FROM d_lease_pred
 
 def r02(spark, sf):
     dom = domain(spark, sf)
-    runs = PR.default_runs(dom.as_of)
+    newest = dom.as_of.replace(day=1)
     cols = ["lease_id", "prediction_date", "risk_score", "risk_level"]
-    snap = PR.latest_predictions(PR.prediction_history(dom, runs[:-1])).select(*cols)
-    upd = PR.prediction_history(dom, runs[-1:]).select(*cols)
+    snap = PR.latest_predictions(PR.prediction_history(dom, last=newest - dt.timedelta(days=1))).select(*cols)
+    upd = PR.prediction_history(dom, first=newest).select(*cols)
     return RT.upsert(snap, upd, "lease_id", "prediction_date")
 
 
@@ -51,8 +51,8 @@ register("j14_attach_predictions", q(f"""
 SELECT l.lease_id, l.tenant_id, CAST(l.end_date AS VARCHAR) AS end_date, h.risk_score, h.risk_level
 FROM d_lease l JOIN d_hist h ON h.lease_id = l.lease_id AND h.prediction_date = {A}
 """))(lambda spark, sf: domain(spark, sf).leases().select("lease_id", "tenant_id", "end_date").join(
-    PR.prediction_history(domain(spark, sf), [dt.date(1999, 1, 1)]).select("lease_id", "risk_score",
-                                                                           "risk_level"), "lease_id"))
+    PR.prediction_history(domain(spark, sf), first=dt.date(1999, 1, 1)).select("lease_id", "risk_score",
+                                                                               "risk_level"), "lease_id"))
 
 register("j15_unpredicted_active", q("""
 SELECT lease_id, tenant_id FROM d_lease

@@ -56,7 +56,7 @@ FROM d_lease l LEFT JOIN d_property p ON p.property_id = l.property_id
 
 
 def f_tiers(spark, sf):
-    lr = PR.latest_rows(PR.prediction_history(domain(spark, sf)))
+    lr = PR.prediction_history(domain(spark, sf), newest_only=True)
     return lr.select(
         "lease_id",
         TI.tier(F.col("days_to_expiration"), EXPIRY_TIERS).alias("expiry_tier"),

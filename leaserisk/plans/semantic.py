@@ -99,7 +99,7 @@ FROM d_tenant t JOIN d_lease l ON l.tenant_id = t.tenant_id JOIN d_property p ON
 
 def j09(spark, sf):
     dom = domain(spark, sf)
-    latest = PR.latest_predictions(PR.prediction_history(dom))
+    latest = PR.latest_of(dom)
     docs = SM.lease_documents(dom.leases(), dom.tenants(), dom.properties(), latest)
     entry = F.struct(F.col("end_date").alias("effectiveDate"), F.col("monthly_rent").alias("newRent"))
     return docs.select(
@@ -122,7 +122,7 @@ LEFT JOIN d_property p ON p.property_id = l.property_id
 
 def j19(spark, sf):
     dom = domain(spark, sf)
-    latest = PR.latest_predictions(PR.prediction_history(dom))
+    latest = PR.latest_of(dom)
     d = SM.tenant_detail(dom.tenants(), dom.leases(), dom.payments(), latest)
     item = lambda x: F.concat(x["date"].cast("string"), F.lit(":"),
                               F.round(x["amount"] * 100).cast("long").cast("string"))
@@ -172,14 +172,14 @@ SELECT p.property_id, p.address, p.neighborhood, lr.active_leases, lr.avg_risk_s
 FROM d_property p LEFT JOIN lr ON lr.property_id = p.property_id
 LEFT JOIN mc ON mc.property_id = p.property_id LEFT JOIN rec ON rec.property_id = p.property_id
 """))(lambda spark, sf: SM.property_detail(domain(spark, sf).properties(), domain(spark, sf).leases(),
-                                           PR.latest_predictions(PR.prediction_history(domain(spark, sf))),
+                                           PR.latest_of(domain(spark, sf)),
                                            domain(spark, sf).maintenance()))
 
 
 def j19_lease(spark, sf):
     dom = domain(spark, sf)
     d = SM.lease_detail(dom.leases(), dom.tenants(), dom.properties(), dom.payments(),
-                        PR.latest_predictions(PR.prediction_history(dom)))
+                        PR.latest_of(dom))
     item = lambda x: F.concat(x["date"].cast("string"), F.lit(":"),
                               F.round(x["amount"] * 100).cast("long").cast("string"))
     return d.select("lease_id", "full_name", "address", "end_date", "monthly_rent", "status", "renewal_status", "risk_score",

@@ -36,7 +36,7 @@ SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND va
 
 def s03(spark, sf):
     dom = domain(spark, sf)
-    latest = PR.latest_predictions(PR.prediction_history(dom))
+    latest = PR.latest_of(dom)
     docs = SM.lease_documents(dom.leases().select("lease_id", "tenant_id", "property_id", "end_date"),
                               dom.tenants().select("tenant_id", "full_name", "email"),
                               dom.properties().select("property_id", "address", "zip_code"), latest)

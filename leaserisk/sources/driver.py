@@ -187,26 +187,26 @@ class Domain:
                                                                self.as_of))
 
     def leases_ending(self, lo, hi) -> DataFrame:
-        """Leases with lo < end_date <= hi, built only from the orders that can
+        """Leases with lo < end_date <= hi (``lo`` None: no lower bound), built only from the orders that can
         end in that range.  A lease ends start + term * 30 days with a term
         of 12 or 24 months, so the start lies in [lo - 720 d, hi - 360 d]: a
         plain range on ``o_orderdate`` that parquet min/max statistics prune.
         Line items are reduced to those orders (semi join) before their
         per-order aggregate."""
         import datetime as dt
-        lo_d = lo if isinstance(lo, dt.date) else dt.date.fromisoformat(str(lo))
+        lo_d = lo if lo is None or isinstance(lo, dt.date) else dt.date.fromisoformat(str(lo))
         hi_d = hi if isinstance(hi, dt.date) else dt.date.fromisoformat(str(hi))
-        first = lo_d - dt.timedelta(days=MAX_TERM_DAYS)
         last = hi_d - dt.timedelta(days=MIN_TERM_DAYS) + dt.timedelta(days=1)
-        o = self.raw("orders").filter(
-            (F.col("o_orderdate") >= F.lit(f"{first} 00:00:00").cast("timestamp_ntz"))
-            & (F.col("o_orderdate") < F.lit(f"{last} 00:00:00").cast("timestamp_ntz")))
+        o = self.raw("orders").filter(F.col("o_orderdate") < F.lit(f"{last} 00:00:00").cast("timestamp_ntz"))
+        if lo_d is not None:
+            first = lo_d - dt.timedelta(days=MAX_TERM_DAYS)
+            o = o.filter(F.col("o_orderdate") >= F.lit(f"{first} 00:00:00").cast("timestamp_ntz"))
         keys = o.select(F.col("o_orderkey").alias("l_orderkey"))
         lp = (self.raw("lineitem").select("l_orderkey", "l_partkey").join(keys, "l_orderkey", "left_semi")
               .groupBy(F.col("l_orderkey").alias("lease_id")).agg(F.min("l_partkey").alias("property_id")))
         end = F.col("end_date")
-        return (leases_from_orders(o, lp, self.as_of)
-                .filter((end > F.lit(str(lo_d)).cast("date")) & (end <= F.lit(str(hi_d)).cast("date"))))
+        ending = leases_from_orders(o, lp, self.as_of).filter(end <= F.lit(str(hi_d)).cast("date"))
+        return ending if lo_d is None else ending.filter(end > F.lit(str(lo_d)).cast("date"))
 
     def payments(self) -> DataFrame:
         def build():
