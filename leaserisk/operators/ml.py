@@ -10,15 +10,14 @@ defaults, which the registered queries use).
 
 from __future__ import annotations
 
-import datetime as dt
 import time
+from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +44,11 @@ MODEL_INPUTS = NUMERIC_FEATURES + [c + "_idx" for c in CATEGORICAL_FEATURES]
 SPLIT_CELLS = 100_003
 
 
+def split_cell(key: str, seed: int = 42):
+    """M6's arithmetic hash of the key, in [0, SPLIT_CELLS)."""
+    return F.pmod(F.col(key) * 48271 + seed, F.lit(SPLIT_CELLS))
+
+
 def split(df: DataFrame, key: str = "lease_id", seed: int = 42, test_pct: int = 20, label: str = "label") -> DataFrame:
     """M6: stratified split, the same rows on every run: within each label the
     rows of the lowest cells of an arithmetic hash of the key, as many whole cells
@@ -52,8 +56,7 @@ def split(df: DataFrame, key: str = "lease_id", seed: int = 42, test_pct: int =
 
     Rows are counted by (label, cell) and only those counts, a fixed number
     per label, are ranked."""
-    cell = F.pmod(F.col(key) * 48271 + seed, F.lit(SPLIT_CELLS))
-    d = df.withColumn("_cell", cell)
+    d = df.withColumn("_cell", split_cell(key, seed))
     n = d.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(label).orderBy("_cell"))
     total = F.sum("_n").over(Window.partitionBy(label))
@@ -78,18 +81,19 @@ def prepare(train: DataFrame, rows: DataFrame | None = None):
     return fp, out, (fp.transform(rows) if rows is not None else None)
 
 
-def _assembler():
-    return VectorAssembler(inputCols=MODEL_INPUTS, outputCol="features", handleInvalid="keep")
+def assembler(inputs=MODEL_INPUTS):
+    return VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="keep")
 
 
-def gbt(max_iter: int = 200, weighted: bool = True, seed: int = 42,
-        validation_col: str | None = None, validation_tol: float = 0.01) -> GBTClassifier:
+def gbt(max_iter: int = 200, weighted: bool = True, seed: int = 42, validation_col: str | None = None,
+        validation_tol: float = 0.01, max_depth: int = 6, step_size: float = 0.1, subsampling_rate: float = 0.8,
+        feature_subset: str = "0.8") -> GBTClassifier:
     """M7: the boosted model with the reference's hyper-parameters.
 
     ``validation_col`` (Q10): a boolean column marking validation rows turns
     on early stopping (the reference accepted the setting but never used it)."""
-    m = GBTClassifier(labelCol="label", featuresCol="features", maxDepth=6, stepSize=0.1, maxIter=max_iter,
-                      subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+    m = GBTClassifier(labelCol="label", featuresCol="features", maxDepth=max_depth, stepSize=step_size,
+                      maxIter=max_iter, subsamplingRate=subsampling_rate, featureSubsetStrategy=feature_subset, seed=seed)
     if validation_col:
         m = m.setValidationIndicatorCol(validation_col)
         m._set(validationTol=validation_tol)
@@ -109,7 +113,7 @@ def random_forest(num_trees: int = 500, seed: int = 42) -> RandomForestClassifie
 
 def fit(estimator, train: DataFrame) -> tuple[PipelineModel, float]:
     t0 = time.time()
-    model = Pipeline(stages=[_assembler(), estimator]).fit(train)
+    model = Pipeline(stages=[assembler(), estimator]).fit(train)
     return model, time.time() - t0
 
 
@@ -150,24 +154,14 @@ def compare_fitted(test: DataFrame, fitted: dict) -> list[dict]:
     return sorted(out, key=lambda r: -r["auc"])
 
 
-def cross_validate(estimator, train: DataFrame, grid=None, folds: int = 5, parallelism: int = 4, seed: int = 42):
-    """K-fold CV (optionally over a grid); returns the fitted CV model."""
-    pipe = Pipeline(stages=[_assembler(), estimator])
-    grid = grid if grid is not None else ParamGridBuilder().build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid,
-                        evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds,
-                        parallelism=parallelism, seed=seed, collectSubModels=False)
-    return cv.fit(train)
+#: The five settings of the tuning grid, 243 points.
+GRID = {"max_depth": [4, 6, 8], "step_size": [0.01, 0.1, 0.2], "max_iter": [100, 200, 300],
+        "subsampling_rate": [0.7, 0.8, 0.9], "feature_subset": ["0.7", "0.8", "0.9"]}
 
 
-def default_grid(est: GBTClassifier, small: bool = False):
-    """The reference's 3^5 grid where Spark has the parameter; ``small``
-    keeps two values for two parameters."""
-    if small:
-        return ParamGridBuilder().addGrid(est.maxDepth, [3, 6]).addGrid(est.stepSize, [0.05, 0.1]).build()
-    return (ParamGridBuilder().addGrid(est.maxDepth, [3, 6, 9]).addGrid(est.stepSize, [0.01, 0.1, 0.3])
-            .addGrid(est.maxIter, [100, 200, 300]).addGrid(est.subsamplingRate, [0.6, 0.8, 1.0])
-            .addGrid(est.featureSubsetStrategy, ["0.6", "0.8", "1.0"]).build())
+def grid_points(grid: dict = GRID) -> list[dict]:
+    """Every combination of the grid's values, as arguments of ``gbt``."""
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
 def importances(model: PipelineModel, spark) -> DataFrame:
@@ -212,11 +206,3 @@ def linear_attribution(model: PipelineModel, train_means: dict, rows: DataFrame,
                                                                    s["contribution"].alias("contribution"))),
                                asc=False), 1, n)
     return rows.withColumn("attribution", top)
-
-
-def metadata_row(spark, version: str, model_type: str, n_train: int, auc: float, n_features: int) -> DataFrame:
-    """One registry row."""
-    return spark.createDataFrame(
-        [(version, model_type, n_train, float(auc), n_features, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))],
-        "model_version string, model_type string, training_samples long, auc double, feature_count int, "
-        "trained_at timestamp")

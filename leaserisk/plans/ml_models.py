@@ -9,24 +9,45 @@ queries of an application share each fit.
 from __future__ import annotations
 
 import datetime as dt
+from math import ceil
 
 from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from leaserisk.config import AS_OF, RENEWAL_WINDOW_DAYS
 from leaserisk.operators import features as FE
 from leaserisk.operators import filters as P
 from leaserisk.operators import ml as ML
+from leaserisk.operators import registry as REG
 from leaserisk.operators import scoring as S
+from leaserisk.operators.permutation import permutation_importance
+from leaserisk.operators.search import ROWS_PER_PARTITION, run_search, with_folds
 from leaserisk.plans.features import _rounded
 from leaserisk.plans.modeling import PIPELINE_SQL, SPLIT_SQL
 from leaserisk.plans.oracle_prefix import q
 from leaserisk.plans.registry import register
 from leaserisk.plans.warehouse import training_view
-from leaserisk.session import checkpoint_dir
-from leaserisk.sources.driver import domain
+from leaserisk.session import checkpoint_dir, scratch_path
+from leaserisk.sources.driver import domain, table_files
 
 _CACHE: dict = {}
+#: The registered queries' training time stamp; the clock is not read.
+TRAINED_AT = dt.datetime(AS_OF.year, AS_OF.month, AS_OF.day)
+VERSION = "gbt-1.0"
+
+
+def _cached(spark, sf, name, make):
+    """Prepared rows and fits of this application, as long as the folder's files are the same."""
+    owner, state = (spark.sparkContext.applicationId, sf), table_files(spark, sf)
+    kept = _CACHE.get(owner)
+    if kept is None or kept[0] != state:
+        for frame in (kept[1].get("rows", (None,))[1:] if kept else ()):
+            frame.unpersist()
+        _CACHE[owner] = kept = (state, {})
+    if name not in kept[1]:
+        kept[1][name] = make()
+    return kept[1][name]
 
 
 def labelled(spark, sf):
@@ -39,32 +60,27 @@ def labelled(spark, sf):
     return ML.split(fm.join(lab, "lease_id"))
 
 
+def _held(df):
+    """Rows that many fits read again: written once (cuts the lineage, survives lost executors), few partitions for
+    few rows (a tree level is a job, and its tasks cost more than their rows), kept in memory or on disk."""
+    path = scratch_path(df.sparkSession, "prepared")
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back.coalesce(max(1, ceil(back.count() / ROWS_PER_PARTITION))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _prepared(spark, sf):
-    key = ("prep", spark.sparkContext.applicationId, sf)
-    if key not in _CACHE:
-        # Many fits and CV folds reuse these rows: materialise them once in the
-        # shared checkpoint folder (cuts the lineage; survives executor loss).
+    def make():
         checkpoint_dir(spark)
         data = labelled(spark, sf).checkpoint(eager=True)
-        train_raw = data.filter(F.col("split") == "train")
-        test_raw = data.filter(F.col("split") == "test")
-        fp, train, test = ML.prepare(train_raw, test_raw)
-        # Iterative fits (LBFGS steps, boosting rounds, CV folds) reread the
-        # prepared rows; keep them in memory/disk.  Lost blocks are recomputed
-        # from the checkpoint above, so the lineage stays short.
-        train = ML.class_weight_col(train).persist(StorageLevel.MEMORY_AND_DISK)
-        test = test.persist(StorageLevel.MEMORY_AND_DISK)
-        _CACHE[key] = (fp, train, test)
-    return _CACHE[key]
+        fp, train, test = ML.prepare(data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test"))
+        return fp, _held(ML.class_weight_col(train)), _held(test)
+    return _cached(spark, sf, "rows", make)
 
 
 def _model(spark, sf, name):
-    key = (name, spark.sparkContext.applicationId, sf)
-    if key not in _CACHE:
-        fp, train, test = _prepared(spark, sf)
-        est = {"gbt": ML.gbt, "logistic": ML.logistic, "random_forest": ML.random_forest}[name]
-        _CACHE[key] = ML.fit(est(), train)
-    return _CACHE[key]
+    est = {"gbt": ML.gbt, "logistic": ML.logistic, "random_forest": ML.random_forest}[name]
+    return _cached(spark, sf, name, lambda: ML.fit(est(), _prepared(spark, sf)[1]))
 
 
 register("m06_split", SPLIT_SQL)(lambda spark, sf: labelled(spark, sf).select("lease_id", "label", "split"))
@@ -105,25 +121,24 @@ def m10(spark, sf):
 register("m10_model_comparison")(m10)
 
 
-def m11(spark, sf):
+def _search(spark, sf, points):
+    """Results go to one ledger in the shared folder; a query that broke off goes on where it was."""
     _, train, _ = _prepared(spark, sf)
-    cv = ML.cross_validate(ML.gbt(), train, folds=5)
-    return spark.createDataFrame([(5, float(cv.avgMetrics[0]), float(cv.stdMetrics[0]))],
-                                 "folds int, cv_auc_mean double, cv_auc_std double")
+    return run_search(with_folds(train), points, ML.gbt, f"{checkpoint_dir(spark)}/search", ML.MODEL_INPUTS, folds=5,
+                      parallelism=5)
+
+
+def m11(spark, sf):
+    return _search(spark, sf, [{}]).select("folds", "cv_auc_mean", "cv_auc_std")
 
 
 register("m11_cross_validation")(m11)
 
 
 def m12(spark, sf):
-    _, train, _ = _prepared(spark, sf)
-    est = ML.gbt()
-    grid = ML.default_grid(est)
-    cv = ML.cross_validate(est, train, grid=grid, folds=5)
-    rows = [(int(pm[est.maxDepth]), float(pm[est.stepSize]), int(pm[est.maxIter]), float(pm[est.subsamplingRate]),
-             pm[est.featureSubsetStrategy], float(m), float(s)) for pm, m, s in zip(grid, cv.avgMetrics, cv.stdMetrics)]
-    return spark.createDataFrame(rows, "max_depth int, step_size double, max_iter int, subsampling_rate double, "
-                                       "feature_subset string, cv_auc_mean double, cv_auc_std double")
+    point = F.from_json("point", "max_depth int, step_size double, max_iter int, subsampling_rate double, feature_subset string")
+    return _search(spark, sf, ML.grid_points()).select(point.alias("p"), "cv_auc_mean", "cv_auc_std").select(
+        "p.*", "cv_auc_mean", "cv_auc_std")
 
 
 register("m12_grid_search")(m12)
@@ -163,6 +178,7 @@ def m19(spark, sf):
     ex = ML.explain(ML.predict(model, test), imp, 5)
     return ex.select("lease_id", "churn_probability", "risk_level",
                      F.array_join(F.transform("explanation", lambda s: s["feature"]), ",").alias("top_features"),
+                     F.transform("explanation", lambda s: s["value"]).alias("top_values"),
                      F.size("explanation").alias("n_features"))
 
 
@@ -192,16 +208,52 @@ def m20(spark, sf):
 register("m20_linear_attribution")(m20)
 
 
-def m21(spark, sf):
+def m20_permutation(spark, sf):
+    """M20 for the boosted trees: what the test rows' AUC loses when one column is shuffled."""
     model, _ = _model(spark, sf, "gbt")
-    _, train, test = _prepared(spark, sf)
-    m = ML.metrics(ML.predict(model, test))
-    return ML.metadata_row(spark, "gbt-1.0", "GBTClassifier", train.count(), m["auc"], len(ML.MODEL_INPUTS))
+    _, _, test = _prepared(spark, sf)
+
+    def score(rows):
+        scored = model.stages[-1].transform(rows.withColumn("features", array_to_vector("features")))
+        return scored.withColumn("score", vector_to_array("probability")[1])
+
+    return permutation_importance(test, "lease_id", ML.MODEL_INPUTS, score)
+
+
+register("m20_permutation_importance")(m20_permutation)
+
+
+def registered(spark, sf):
+    """The boosted model saved in a registry of its own under the shared folder: (folder, the test rows)."""
+    model, _ = _model(spark, sf, "gbt")
+    fp, train, test = _prepared(spark, sf)
+
+    def make():
+        root, m = scratch_path(spark, "registry"), ML.metrics(ML.predict(model, test))
+        REG.save_version(root, VERSION, model, fp, ML.importances(model, spark), trained_at=TRAINED_AT,
+                         training_samples=train.count(), auc=m["auc"], accuracy=m["accuracy"], features=ML.MODEL_INPUTS,
+                         config={"max_iter": 200, "max_depth": 6, "step_size": 0.1})
+        return root
+    return _cached(spark, sf, "registry", make), test
+
+
+def m21(spark, sf):
+    return REG.versions(spark, registered(spark, sf)[0])
 
 
 register("m21_model_metadata")(m21)
 
 
+def s07(spark, sf):
+    """The boosted model saved as a version; the latest version is looked up, loaded and scores the test rows."""
+    root, test = registered(spark, sf)
+    version, model, _, _ = REG.load_version(spark, root)
+    return ML.predict(model, test).select("lease_id", F.lit(version).alias("model_version"), "churn_probability", "risk_level")
+
+
+register("s07_model_save_load")(s07)
+
+
 def m22(spark, sf):
     """Score the renewal-window work list: context of those leases only, then rule score."""
     dom = domain(spark, sf)

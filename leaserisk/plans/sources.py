@@ -254,24 +254,6 @@ FROM d_lease l JOIN d_property p ON p.property_id = l.property_id GROUP BY 1, 2
 """))(s13)
 
 
-def s07(spark, sf):
-    """Save the fitted pipeline model with metadata, load it back, score."""
-    from pyspark.ml import PipelineModel
-    from leaserisk.operators import ml as ML
-    from leaserisk.plans import ml_models as MM
-    model, _ = MM._model(spark, sf, "gbt")
-    fp, _, test = MM._prepared(spark, sf)
-    path = scratch_path(spark, "s07_model")
-    model.write().overwrite().save(f"{path}/model")
-    spark.createDataFrame([(fp.to_json(),)], "feature_pipeline string").write.mode("overwrite").json(f"{path}/prep")
-    ML.importances(model, spark).write.mode("overwrite").option("header", True).csv(f"{path}/importance")
-    loaded = PipelineModel.load(f"{path}/model")
-    return ML.predict(loaded, test).select("lease_id", "churn_probability", "risk_level")
-
-
-register("s07_model_save_load")(s07)
-
-
 def s02_training(spark, sf):
     """The training table written as a warehouse table, read back with the
     ``training_set`` predicate pushed into the scan."""

@@ -304,7 +304,7 @@ def leases_from_orders(orders: DataFrame, lease_property: DataFrame, as_of=AS_OF
 _DOMAINS: dict = {}
 
 
-def _files(spark: SparkSession, sf_dir: str) -> tuple:
+def table_files(spark: SparkSession, sf_dir: str) -> tuple:
     """Names, sizes and times of the tables' files as they are now."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -325,7 +325,7 @@ def domain(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> Domain:
         app = spark.conf.get("spark.app.id", "connect")
     key = (app, sf_dir.rstrip("/"), str(as_of))
     ensure_utc(spark)
-    files = _files(spark, sf_dir)
+    files = table_files(spark, sf_dir)
     kept = _DOMAINS.get(key)
     if kept is None or kept[0] != files or kept[1].spark is not spark:
         _DOMAINS[key] = kept = (files, Domain(spark, sf_dir, as_of))

@@ -15,6 +15,12 @@ from pyspark.sql import types as T
 from leaserisk.config import AS_OF
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, asked of the path's own file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 # -- S1 / S2 / S3 / S4 ----------------------------------------------------------------
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with header and an explicit schema (no inference pass)."""

@@ -91,9 +91,106 @@ def test_one_row_scores_like_the_batch(trained):
     assert one.churn_probability == batch[lid]
 
 
-def test_metadata_row(spark):
-    r = ML.metadata_row(spark, "v1", "GBTClassifier", 800, 0.9, 49).first()
-    assert r.model_version == "v1" and r.feature_count == 49
+def test_registry_lists_and_loads_versions(spark, trained, tmp_path):
+    import datetime as dt
+
+    from leaserisk.operators import registry as REG
+
+    fp, model, tr, te = trained
+    root = str(tmp_path)
+    assert REG.versions(spark, root).collect() == []
+    with pytest.raises(KeyError):
+        REG.load_version(spark, root)
+    small, _ = ML.fit(ML.gbt(2), tr)
+    for version, day, m in (("v1", 1, small), ("v2", 5, model), ("v3", 3, small), ("v1", 2, small)):
+        REG.save_version(root, version, m, fp, ML.importances(m, spark), trained_at=dt.datetime(1999, 1, day), training_samples=800,
+                         auc=0.9, accuracy=0.8, features=ML.MODEL_INPUTS, config={"max_iter": 2})
+    rows = {r.model_version: r for r in REG.versions(spark, root).collect()}
+    assert sorted(rows) == ["v1", "v2", "v3"] and rows["v1"].trained_at == dt.datetime(1999, 1, 2)
+    assert rows["v2"].model_type == "GBTClassificationModel" and rows["v2"].feature_count == len(ML.MODEL_INPUTS)
+    name, latest, prep, imp = REG.load_version(spark, root)
+    assert name == "v2" and latest.stages[-1].getNumTrees == 15 and imp.count() == len(ML.MODEL_INPUTS) and prep.impute == fp.impute
+    assert REG.load_version(spark, root, "v3")[1].stages[-1].getNumTrees == 2
+    with pytest.raises(KeyError):
+        REG.load_version(spark, root, "v9")
+
+
+def test_search_equals_a_plain_cross_validator_and_resumes(trained, tmp_path, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from leaserisk.operators import search as SE
+
+    fp, model, tr, te = trained
+    rows = SE.with_folds(tr, 3)
+    share = rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).collect()
+    assert sorted(r.fold for r in share) == [0, 1, 2]
+    assert max(r.n for r in share) - min(r.n for r in share) <= 4 and max(r.pos for r in share) - min(r.pos for r in share) <= 2
+    make = lambda reg: LogisticRegression(labelCol="label", featuresCol="features", maxIter=5, regParam=reg)
+    points, ledger, fits = [{"reg": 0.01}, {"reg": 0.5}], str(tmp_path / "ledger"), []
+
+    def stops(reg):
+        if len(fits) == 4:
+            raise KeyboardInterrupt
+        fits.append(reg)
+        return make(reg)
+
+    with pytest.raises(KeyboardInterrupt):
+        SE.run_search(rows, points, stops, ledger, ML.MODEL_INPUTS, folds=3, parallelism=1)
+    again = []
+    got = {r.point: r for r in SE.run_search(rows, points, lambda reg: (again.append(reg), make(reg))[1], ledger, ML.MODEL_INPUTS,
+                                             folds=3, parallelism=3).collect()}
+    assert len(fits) == 4 and len(again) == 2
+    lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=5)
+    plain = CrossValidator(estimator=Pipeline(stages=[ML.assembler(), lr]), numFolds=3, foldCol="fold",
+                           estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.5]).build(),
+                           evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0)).fit(rows)
+    want = dict(zip(('{"reg": 0.01}', '{"reg": 0.5}'), zip(plain.avgMetrics, plain.stdMetrics)))
+    for point, (mean, std) in want.items():
+        assert got[point].folds == 3 and got[point].cv_auc_mean == pytest.approx(mean) and got[point].cv_auc_std == pytest.approx(std)
+    other = []  # other rows take no results of these
+    SE.run_search(rows.filter("lease_id > 5"), points[:1], lambda reg: (other.append(reg), make(reg))[1], ledger, ML.MODEL_INPUTS, folds=3)
+    assert len(other) == 3
+
+
+def test_permutation_importance_equals_brute_force(spark):
+    import random
+
+    from leaserisk.operators.permutation import permutation_importance
+
+    rnd = random.Random(4)
+    data = [(i, rnd.random(), float(rnd.randint(0, 3)), 1.0) for i in range(400)]
+    data = [(i, a, b, c, float(a + 0.1 * b + rnd.gauss(0, 0.2) > 0.7)) for i, a, b, c in data]
+    rows = spark.createDataFrame(data + [(None, 1.0, 1.0, 1.0, 1.0), (900, 1.0, 1.0, 1.0, None)], "k long, a double, b double, c double, label double")
+    score = lambda df: df.withColumn("score", (F.col("features")[0] + 0.1 * F.col("features")[1] + 0 * F.col("features")[2]) / 2)
+    run = lambda seed: {r.feature: r for r in permutation_importance(rows, "k", ["a", "b", "c"], score, seed=seed, cells=7).collect()}
+    got = run(3)
+    assert got == run(3) and got != run(4)
+    hashes = {r.k: r for r in rows.filter("k < 900").select(
+        "k", F.pmod(F.xxhash64("k", F.lit(3), F.lit("cell")), F.lit(7)).alias("cell"), F.xxhash64("k", F.lit(3), F.lit("row")).alias("row"),
+        *[F.xxhash64("k", F.lit(3), F.lit(i)).alias(f"v{i}") for i in range(3)]).collect()}
+
+    def auc(pairs):
+        pos, neg = ([s for s, y in pairs if y == v] for v in (1, 0))
+        return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+
+    binned = lambda a, b: int(min((a + 0.1 * b + 0 * 1) / 2 * 10000, 9999))
+    base = auc([(binned(a, b), y) for _, a, b, _, y in data])
+    for i, name in enumerate("abc"):
+        permuted = []
+        for cell in range(7):
+            own = [d for d in data if hashes[d[0]].cell == cell]
+            values = [d[i + 1] for d in sorted(own, key=lambda d: hashes[d[0]][f"v{i}"])]
+            for d, v in zip(sorted(own, key=lambda d: hashes[d[0]].row), values):
+                x = list(d[1:4])
+                x[i] = v
+                permuted.append((binned(x[0], x[1]), d[4]))
+        assert got[name].auc == pytest.approx(base) and got[name].permuted_auc == pytest.approx(auc(permuted))
+    assert got["c"].drop == 0 and got["a"].drop > got["b"].drop > 0
+    none = permutation_importance(rows.filter("label = 1"), "k", ["a"], lambda df: df.withColumn("score", F.lit(0.5)))
+    assert none.first().drop is None
 
 
 def test_early_stopping_with_validation_column(trained):
@@ -104,25 +201,42 @@ def test_early_stopping_with_validation_column(trained):
 
 
 def test_registered_models_train_the_library_defaults(spark, monkeypatch):
-    from types import SimpleNamespace
-
     from leaserisk.plans import ml_models as MM
 
-    fits, folds = [], []
+    fits, searches = [], []
 
-    def cross_validate(est, train, grid=None, **kw):
-        folds.append((est.getMaxIter(), kw["folds"], len(grid or [None])))
-        n = len(grid or [None])
-        return SimpleNamespace(avgMetrics=[0.5] * n, stdMetrics=[0.0] * n)
+    def run_search(rows, points, estimator, ledger, features, folds, parallelism):
+        searches.append((estimator(**points[-1]), folds, len({str(p) for p in points})))
+        return spark.createDataFrame([("{}", folds, 0.5, 0.0)], "point string, folds int, cv_auc_mean double, cv_auc_std double")
 
     monkeypatch.setattr(MM, "_CACHE", {})
+    monkeypatch.setattr(MM, "table_files", lambda spark, sf: ())
     monkeypatch.setattr(MM, "_prepared", lambda spark, sf: (None, None, None))
+    monkeypatch.setattr(MM, "with_folds", lambda rows: rows)
     monkeypatch.setattr(ML, "fit", lambda est, train: fits.append(est) or (est, 1.0))
     monkeypatch.setattr(ML, "predict", lambda model, rows: None)
     monkeypatch.setattr(ML, "metrics", lambda p: dict(auc=0.5, accuracy=0.5, precision=0.5, recall=0.5, f1=0.5))
-    monkeypatch.setattr(ML, "cross_validate", cross_validate)
+    monkeypatch.setattr(MM, "run_search", run_search)
     assert MM._model(spark, "", "gbt")[0].getMaxIter() == 200
     assert MM._model(spark, "", "random_forest")[0].getNumTrees() == 500
     assert MM.m10(spark, "").count() == 3 and len(fits) == 3  # two of them are the fits above
-    assert MM.m11(spark, "").count() == 1 and MM.m12(spark, "").distinct().count() == 243
-    assert folds == [(200, 5, 1), (200, 5, 243)]
+    MM.m11(spark, ""), MM.m12(spark, "")
+    assert [(e.getMaxIter(), e.getMaxDepth(), folds, n) for e, folds, n in searches] == [(200, 6, 5, 1), (300, 8, 5, 243)]
+
+
+def test_new_files_make_new_models(spark, monkeypatch):
+    from leaserisk.plans import ml_models as MM
+
+    state, gone = [1], []
+    monkeypatch.setattr(MM, "_CACHE", {})
+    monkeypatch.setattr(MM, "table_files", lambda spark, sf: state[0])
+
+    class Frame:
+        def unpersist(self):
+            gone.append(self)
+
+    rows = lambda: MM._cached(spark, "x", "rows", lambda: (None, Frame(), Frame()))
+    first = rows()
+    assert rows() is first and not gone
+    state[0] = 2
+    assert rows() is not first and gone == list(first[1:])
