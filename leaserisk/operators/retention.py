@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leaserisk import config as C
 from leaserisk.functions.stats import with_stats
+from leaserisk.sources.merge import newest
 
 # ---------------------------------------------------------------------------
 # Texts, templates and workflow steps of the retention rules.
@@ -25,9 +26,9 @@ LOW_TEMPLATE = "retention-standard"
 TEMPLATES = {"HIGH": "retention-high-risk", "MEDIUM": "retention-medium-risk", "LOW": "retention-standard"}
 SUBJECT_HIGH = "We'd Love to Keep You as a Resident!"
 SUBJECT_OTHER = "Time to Renew Your Lease - Special Offers Inside"
-SUBJECT_INCENTIVE = "\U0001F381 Exclusive Renewal Offer Just For You!"
+SUBJECT_INCENTIVE = "🎁 Exclusive Renewal Offer Just For You!"
 MANAGER_TEMPLATE = "property-manager-alert"
-SUBJECT_MANAGER = "\u26a0\ufe0f HIGH RISK: Tenant "
+SUBJECT_MANAGER = "⚠️ HIGH RISK: Tenant "
 SMS_TEXT = ("Hi ", ", we'd love to discuss your upcoming lease renewal. Our team will call you within 24 hours. "
             "Reply STOP to opt out.")
 LOW_ACTION = ("renewal-notice", "Standard renewal notice")  # ours
@@ -356,35 +357,50 @@ def cohort_outcomes(history: DataFrame, leases: DataFrame, run_date, levels=("HI
 
 
 # -- R4 / R2 / R1 ----------------------------------------------------------------------
-def record_renewals(leases: DataFrame) -> DataFrame:
-    """Renewed leases get a new term, rent (+ last increase %), count + 1
-    and an appended rent-history entry (F19)."""
+RENT_HISTORY = "array<struct<effectiveDate:date,previousRent:double,newRent:double,increasePercent:double>>"
+
+
+def record_renewals(leases: DataFrame, renewals: DataFrame | None = None) -> DataFrame:
+    """Renewals folded into their leases, in order of their dates: each appends an entry to the lease's
+    rent history (F19), sets rent and end date and counts.
+
+    ``renewals`` (lease_id, effective_date, new_rent_cents, term_months) may hold several rows of a lease, in any order and more
+    than once; those at or before the history's last entry are recorded already and change nothing.  Leases may bring
+    ``rent_increase_history``.  Default: one renewal of each renewed lease at its end, by its last increase.
+    """
     from leaserisk.functions import scalars as X
-    r = leases.filter(F.col("renewal_status") == "renewed")
-    pct = F.round(F.col("last_rent_increase_pct") * 100).cast("long")
-    new_cents = F.floor((F.col("rent_cents") * (100 + pct) + 50) / 100).cast("long")
-    r = r.withColumn("new_rent_cents", new_cents)
-    entry = F.struct(F.col("end_date").alias("effectiveDate"),
-                     F.col("monthly_rent").alias("previousRent"),
-                     (F.col("new_rent_cents") / 100.0).alias("newRent"),
-                     F.round(X.rent_increase_pct(F.col("new_rent_cents") / 100.0, F.col("monthly_rent")), 4)
-                     .alias("increasePercent"))
-    hist = X.append_struct(F.lit(None).cast("array<struct<effectiveDate:date,previousRent:double,"
-                                            "newRent:double,increasePercent:double>>"), entry)
-    return r.select("lease_id",
-                    F.date_add("end_date", (F.col("lease_term_months") * 30).cast("int")).alias("new_end_date"),
-                    (F.col("new_rent_cents") / 100.0).alias("new_monthly_rent"),
-                    (F.col("renewal_count") + 1).alias("renewal_count"),
-                    F.lit("renewed").alias("status"),
-                    hist.alias("rent_increase_history"))
+    if renewals is None:
+        pct = F.round(F.col("last_rent_increase_pct") * 100).cast("long")
+        renewals = leases.filter(F.col("renewal_status") == "renewed").select(
+            "lease_id", F.col("end_date").alias("effective_date"),
+            F.floor((F.col("rent_cents") * (100 + pct) + 50) / 100).cast("long").alias("new_rent_cents"),
+            F.col("lease_term_months").alias("term_months"))
+    old = F.col("rent_increase_history") if "rent_increase_history" in leases.columns else F.lit(None)
+    base = leases.withColumn("_old", F.coalesce(old.cast(RENT_HISTORY), F.array().cast(RENT_HISTORY)))
+    steps = renewals.groupBy("lease_id").agg(F.array_sort(F.collect_set(F.struct(
+        F.col("effective_date").cast("date").alias("d"), F.col("new_rent_cents").cast("long").alias("c"),
+        F.col("term_months").cast("int").alias("t")))).alias("_steps"))
+    j = base.join(steps, "lease_id")
+    last = F.element_at("_old", -1)["effectiveDate"]
+    fresh = F.filter("_steps", lambda s: F.col("_last").isNull() | (s["d"] > F.col("_last")))
+    j = j.withColumn("_last", F.when(F.size("_old") > 0, last)).withColumn("_steps", fresh)
+    rents = F.transform("_steps", lambda s: s["c"] / 100.0)
+    before = F.concat(F.array("monthly_rent"), rents)
+    entries = F.transform("_steps", lambda s, i: F.struct(
+        s["d"].alias("effectiveDate"), F.get(before, i).alias("previousRent"), (s["c"] / 100.0).alias("newRent"),
+        F.round(X.rent_increase_pct(s["c"] / 100.0, F.get(before, i)), 4).alias("increasePercent")).cast(RENT_HISTORY[6:-1]))
+    n, newest_step = F.size("_steps"), F.get("_steps", F.size("_steps") - 1)
+    return j.select(
+        "lease_id",
+        F.when(n > 0, F.date_add(newest_step["d"], newest_step["t"] * 30)).otherwise(F.col("end_date")).alias("new_end_date"),
+        F.when(n > 0, newest_step["c"] / 100.0).otherwise(F.col("monthly_rent")).alias("new_monthly_rent"),
+        (F.col("renewal_count") + n).alias("renewal_count"), F.lit("renewed").alias("status"),
+        F.concat("_old", entries).alias("rent_increase_history"))
 
 
 def upsert(snapshot: DataFrame, updates: DataFrame, key: str, version: str) -> DataFrame:
-    """R2: keyed upsert = union + latest version per key (``max_by``)."""
-    u = snapshot.unionByName(updates.select(*snapshot.columns))
-    cols = [c for c in snapshot.columns if c != key]
-    return (u.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(version)).alias("_r"))
-            .select(key, "_r.*"))
+    """R2: keyed upsert = union + the greatest row per key by version, then by all columns (a total order)."""
+    return newest(snapshot.unionByName(updates.select(*snapshot.columns)), key, version)
 
 
 # -- R10 -----------------------------------------------------------------------------

@@ -52,4 +52,4 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from leaserisk.plans import (core, features, filters, modeling, reports, retention, scalars,  # noqa: F401
                                  semantic, ml_models, streams, sources, facts, joins,
-                                 warehouse)
+                                 layers, warehouse)

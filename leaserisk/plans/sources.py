@@ -153,16 +153,14 @@ tagged AS (SELECT *, CASE WHEN coalesce(l_discount <= 0.08, false) AND coalesce(
 
 
 def s06(spark, sf):
-    valid, bad = _staged(spark, sf)
-    return (valid.select(F.lit("valid").alias("status")).unionByName(bad.select(F.lit("quarantine").alias("status")))
-            .groupBy("status").agg(F.count(F.lit(1)).alias("rows")))
+    return _staged(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
 
 
 register("s06_staging", q(_stage_sql() + "SELECT status, count(*) AS rows FROM tagged GROUP BY 1"))(s06)
 
 
 def s12(spark, sf):
-    valid, _ = _staged(spark, sf)
+    valid = _staged(spark, sf).filter("status = 'valid'")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     return (valid.groupBy(F.col("l_orderkey").alias("lease_id"), F.trunc(F.to_date("l_shipdate"), "month").alias("month"))
             .agg(F.count(F.lit(1)).alias("payments"), (F.sum(cents) / 100.0).alias("total_amount"),

@@ -6,8 +6,6 @@ tables are written under the shared checkpoint folder.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,18 +59,14 @@ def ingest_raw(df: DataFrame, types: dict, source_system: str, ingested_at=None)
 
 
 # -- S6: STAGING ---------------------------------------------------------------------------
-def stage(df: DataFrame, key, version: str, rules, trim_lower=()) -> tuple[DataFrame, DataFrame]:
-    """Latest row per key (``max_by`` over the version, full-row tie-break),
-    trim/lower-case text columns, then split by rules: (valid, quarantine)."""
-    key = [key] if isinstance(key, str) else list(key)
-    others = [c for c in df.columns if c not in key]
-    latest = (df.groupBy(*key)
-              .agg(F.max_by(F.struct(*others), F.struct(F.col(version), *[F.col(c) for c in others
-                                                                            if c != version])).alias("r"))
-              .select(*key, "r.*"))
-    latest = latest.withColumns({c: F.lower(F.trim(F.col(c))) for c in trim_lower})
-    ok = reduce(lambda a, b: a & b, [F.coalesce(F.expr(p), F.lit(False)) for _, p in rules], F.lit(True))
-    return latest.filter(ok), latest.filter(~ok)
+def stage(df: DataFrame, key, version: str, rules, trim_lower=()) -> DataFrame:
+    """Latest row per key (greatest version, then greatest row), text columns trimmed and lower-cased, each row with the
+    names of the rules it breaks (``broken``) and its ``status``, valid or quarantine."""
+    from leaserisk.sources.layers import tagged
+    from leaserisk.sources.merge import newest
+    keys = [key] if isinstance(key, str) else list(key)
+    latest = newest(df.withColumn("_key", F.struct(*keys)), "_key", version).drop("_key")
+    return tagged(latest.withColumns({c: F.lower(F.trim(F.col(c))) for c in trim_lower}), rules)
 
 
 # -- S9 / D11: partitioned fact append ----------------------------------------------------------
@@ -98,14 +92,19 @@ def append_fact(df: DataFrame, path: str, date_key: str, cluster_col: str | None
 def sync_documents(docs: DataFrame, updated_col: str, since, array_col: str, key: str) -> DataFrame:
     """Changed documents only (``updated > since``), nested structs flattened
     and the array exploded (``explode_outer`` keeps documents with none)."""
-    d = docs.filter(F.col(updated_col) > F.lit(str(since)).cast(docs.schema[updated_col].dataType))
+    since = F.lit(str(since)).cast(docs.schema[updated_col].dataType)
+    return flatten_documents(docs.filter(F.col(updated_col) > since), array_col)
+
+
+def flatten_documents(docs: DataFrame, array_col: str) -> DataFrame:
+    """Struct fields as columns ``struct_field``, one row per item of the array; documents without items keep one row."""
     flat = []
-    for f in d.schema.fields:
+    for f in docs.schema.fields:
         if isinstance(f.dataType, T.StructType):
             flat += [F.col(f"{f.name}.{s.name}").alias(f"{f.name}_{s.name}") for s in f.dataType.fields]
         elif f.name != array_col:
             flat.append(F.col(f.name))
-    return d.select(*flat, F.explode_outer(array_col).alias("item")).select("*", "item.*").drop("item")
+    return docs.select(*flat, F.explode_outer(array_col).alias("item")).select("*", "item.*").drop("item")
 
 
 # -- S13: market feed -------------------------------------------------------------------------------
