@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leaserisk.config import TURNOVER_COST
+from leaserisk.config import CAMPAIGN_COST, TURNOVER_COST
+from leaserisk.functions.stats import with_stats
 
 
 def _lvl(level: str) -> Column:
@@ -56,6 +57,65 @@ def measures(*names: str) -> list[Column]:
 
 ALL = list(MEASURES)
 
+#: Grain -> base metrics of that grain, evaluated together in one aggregation of its rows.
+GRAINS = {
+    "prediction": MEASURES,
+    "action": {"campaign_actions": lambda: count()},
+    "campaign_lease": {"campaign_leases": lambda: count(),
+                       "renewed_leases": lambda: F.count_if(F.col("renewal_status") == "renewed")},
+}
+#: Metric -> (metrics it is made of, of any grain; formula over their columns).
+DERIVED = {
+    "high_risk_tenant_count": (("count_high_risk",), lambda a: a),
+    "churn_ratio": (("churn_rate",), lambda a: a),
+    "turnovers_avoided": (("campaign_actions", "renewed_leases", "campaign_leases"),
+                          lambda n, r, c: F.coalesce(n, F.lit(0)) * ratio(F.coalesce(r, F.lit(0)), c)),
+    "campaign_costs": (("campaign_actions",), lambda n: F.coalesce(n, F.lit(0)) * CAMPAIGN_COST),
+    "retention_campaign_roi": (("turnovers_avoided", "campaign_costs"), lambda a, c: F.round(
+        ratio(a * TURNOVER_COST - c, c) * 100, 4)),
+}
+
+
+def _bases(name: str) -> set[str]:
+    return set().union(*map(_bases, DERIVED[name][0])) if name in DERIVED else {name}
+
+
+def _value(name: str) -> Column:
+    if name not in DERIVED:
+        return F.col(name)
+    parts, formula = DERIVED[name]
+    return formula(*map(_value, parts))
+
+
+def metric_frame(names, frames: dict[str, DataFrame], dims=()) -> DataFrame:
+    """Named metrics by ``dims`` (or one row): each grain that they need is aggregated on its own rows, the aggregates are
+    joined on the dimensions (a null value is a group too), and formulas run over the joined row.
+
+    ``frames``: rows of each grain, all with the dimensions.  A group that one grain lacks has null (formulas may
+    take that as none).  A name or grain that isn't there raises KeyError.
+    """
+    needed, dims, out = set().union(*map(_bases, names)), list(dims), None
+    for grain, own in GRAINS.items():
+        wanted = [n for n in own if n in needed]
+        if not wanted:
+            continue
+        part = frames[grain].groupBy(*dims).agg(*[own[n]().alias(n) for n in wanted])
+        if out is None:
+            out = part
+        elif dims:
+            left, right = out.alias("_a"), part.alias("_b")
+            same = [F.col(f"_a.{d}").eqNullSafe(F.col(f"_b.{d}")) for d in dims]
+            out = left.join(right, same, "full").select(
+                *[F.coalesce(f"_a.{d}", f"_b.{d}").alias(d) for d in dims],
+                *[F.col(f"_a.{c}") for c in out.columns if c not in dims], *[F.col(f"_b.{c}") for c in wanted])
+        else:
+            out = with_stats(out, part)
+        needed -= set(wanted)
+    if needed:
+        raise KeyError(f"no metric {sorted(needed)}")
+    return out.select(*dims, *[_value(n).alias(n) for n in names])
+
+
 # Ontology metrics by name -> measure name
 ONTOLOGY_METRICS = {
     "high_risk_tenant_count": "count_high_risk",
@@ -84,7 +144,6 @@ def median_small_domain(df: DataFrame, value: str, group_cols=(), name: str = "m
 def measure_frame(df: DataFrame, names, group_cols=()) -> DataFrame:
     """Evaluate named measures in one aggregation; ``median_risk_score`` is
     computed with ``median_small_domain`` and attached by group."""
-    from leaserisk.functions.stats import with_stats
     g = list(group_cols)
     plain = [n for n in names if n != "median_risk_score"]
     agg = df.groupBy(*g).agg(*measures(*plain)) if g else df.agg(*measures(*plain))

@@ -70,6 +70,35 @@ def accuracy_drift(df: DataFrame, date_col: str = "outcome_date", label: str = "
             .agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if(ok) / F.count(F.lit(1)), 6).alias("accuracy")))
 
 
+def grouped_auc(df: DataFrame, group: str, score: str, label: str = "label") -> DataFrame:
+    """(group, positives, negatives, auc): rank statistic of each group from counts by score, null where a group has one class."""
+    counts = df.groupBy(group, F.col(score).alias("_s")).agg(
+        F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
+    below = Window.partitionBy(group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    s = counts.withColumn("_below", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
+    u = F.sum(F.col("_pos") * F.col("_below") + 0.5 * F.col("_pos") * F.col("_neg"))
+    pos, neg = F.sum("_pos"), F.sum("_neg")
+    return s.groupBy(group).agg(pos.alias("positives"), neg.alias("negatives"),
+                                F.when((pos > 0) & (neg > 0), u / (pos.cast("double") * neg)).alias("auc"))
+
+
+def monthly_metrics(df: DataFrame, date_col: str = "outcome_date", score: str = "risk_score", label: str = "churned",
+                    pred: str = "predicted_churn") -> DataFrame:
+    """Confusion counts, accuracy, precision, recall, F1 and AUC of stored predictions per outcome month (AUC null in
+    a month with one class)."""
+    m = df.withColumn("month", F.trunc(date_col, "month"))
+    y, p = F.col(label) == 1, F.col(pred)
+    c = m.groupBy("month").agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
+                               F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn"))
+    tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
+    prec, rec = _div(tp, tp + fp), _div(tp, tp + fn)
+    auc_of = grouped_auc(m, "month", score, label).select(F.col("month").alias("_m"), F.round("auc", 6).alias("auc"))
+    return c.join(auc_of, F.col("month").eqNullSafe(F.col("_m")), "left").select(
+        "month", "tp", "fp", "tn", "fn", F.round(_div(tp + tn, tp + fp + tn + fn), 6).alias("accuracy"),
+        F.round(prec, 6).alias("precision"), F.round(rec, 6).alias("recall"),
+        F.round(_div(2 * prec * rec, prec + rec), 6).alias("f1"), "auc")
+
+
 def psi(expected: DataFrame, actual: DataFrame, bucket: Column) -> DataFrame:
     """M23 (our rule): population stability index of a bucket column between
     two score sets; empty buckets get a 1e-4 share."""

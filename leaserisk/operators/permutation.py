@@ -17,6 +17,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leaserisk.operators.evaluate import grouped_auc
+
 CELL_ROWS = 5_000
 BASE = -1
 
@@ -41,18 +43,6 @@ def shuffled(rows: DataFrame, key: str, features: list[str], cells: int, seed: i
     return swapped.unionByName(dealt.select(F.lit(BASE).alias("column"), label, "features"))
 
 
-def grouped_auc(df: DataFrame, group: str, score: str, label: str = "label") -> DataFrame:
-    """(group, positives, negatives, auc): rank statistic of each group from counts by score, null where a group has one class."""
-    counts = df.groupBy(group, F.col(score).alias("_s")).agg(
-        F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    below = Window.partitionBy(group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    s = counts.withColumn("_below", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
-    u = F.sum(F.col("_pos") * F.col("_below") + 0.5 * F.col("_pos") * F.col("_neg"))
-    pos, neg = F.sum("_pos"), F.sum("_neg")
-    return s.groupBy(group).agg(pos.alias("positives"), neg.alias("negatives"),
-                                F.when((pos > 0) & (neg > 0), u / (pos.cast("double") * neg)).alias("auc"))
-
-
 def permutation_importance(rows: DataFrame, key: str, features: list[str], score: Callable[[DataFrame], DataFrame],
                            seed: int = 42, bins: int = 10_000, label: str = "label", cells: int | None = None) -> DataFrame:
     """(feature, auc, permuted_auc, drop) for every feature.

@@ -271,6 +271,57 @@ def workflow_status(plan: DataFrame, actions: DataFrame, responses: DataFrame, e
                     .alias("hours_to_response")))
 
 
+def fold_workflow(starts: DataFrame, log: DataFrame) -> DataFrame:
+    """R9 from an event log: (lease_id, risk_level, current_step, completed_steps, branch, status, last_event_at).
+
+    ``starts`` (lease_id, risk_level) begin at step 1; ``log`` (lease_id, ts, event_id, step_id, outcome) tells that a step has
+    ended.  In order of (ts, event_id) an event moves its workflow only if it is of the current step and after the event
+    that led there; others (out of order, repeated, after the end) change nothing.  A conditional step goes where its outcome
+    says, without a known outcome to its next step, and its outcome becomes the branch.  Each round finds every workflow's next
+    event by a partial minimum, as many rounds as the longest path has steps; no lease's events are gathered.
+    """
+    onward, choices, rounds = {}, {}, 0
+    for level, step, _, nxt, conditional, _ in WORKFLOW_STEPS:
+        onward[f"{level}:{step}"] = nxt
+        for choice in (conditional or "").split(",") if conditional else ():
+            outcome, to = choice.split(":")
+            choices[f"{level}:{step}:{outcome}"] = int(to)
+    for level in WORKFLOW_PRIORITY:
+        at, n = 1, 0
+        while at is not None:
+            at, n = onward[f"{level}:{at}"], n + 1
+        rounds = max(rounds, n)
+    pairs = lambda d: F.create_map(*[x for k, v in d.items() if v is not None for x in (F.lit(k), F.lit(v))])
+    forks = sorted({k.rsplit(":", 1)[0] for k in choices})
+    none = starts.select("lease_id", F.explode(F.sequence(F.lit(1), F.lit(max(s for _, s, *_ in WORKFLOW_STEPS)))).alias("step_id"))
+    # A row without an event for each lease and step, so that an inner join keeps workflows that wait.
+    events = log.select("lease_id", "step_id", F.struct("ts", "event_id", "outcome").alias("e")).unionByName(none, allowMissingColumns=True)
+    state = starts.select("lease_id", "risk_level").distinct().withColumns({
+        "step_id": F.lit(1), "done": F.lit(0), "branch": F.lit(None).cast("string"),
+        "last": F.lit(None).cast("struct<ts:timestamp,event_id:bigint>")})
+    for _ in range(rounds):
+        waiting = state.withColumn("_ended", F.col("step_id").isNull()).withColumn(
+            "step_id", F.coalesce("step_id", F.lit(1)))  # ended ones meet the rows of step 1 and stay
+        after = F.col("last").isNull() | (F.struct("e.ts", "e.event_id") > F.col("last"))
+        ended = F.col("_ended")
+        hit = F.min(F.when(F.col("e").isNotNull() & ~ended & after, F.col("e")))
+        found = (events.join(waiting, ["lease_id", "step_id"])
+                 .groupBy("lease_id", "risk_level", "step_id", "done", "branch", "last", "_ended").agg(hit.alias("h")))
+        here = F.concat_ws(":", "risk_level", "step_id")
+        chosen = pairs(choices)[F.concat_ws(":", here, F.coalesce("h.outcome", F.lit("")))]
+        moved = F.col("h").isNotNull()
+        state = found.select(
+            "lease_id", "risk_level",
+            F.when(ended, F.lit(None)).when(moved, F.coalesce(chosen, pairs(onward)[here])).otherwise(F.col("step_id")).alias("step_id"),
+            (F.col("done") + moved.cast("int")).alias("done"),
+            F.when(moved & here.isin(forks), F.col("h.outcome")).otherwise(F.col("branch")).alias("branch"),
+            F.when(moved, F.struct("h.ts", "h.event_id")).otherwise(F.col("last")).alias("last"))
+    return state.select(
+        "lease_id", "risk_level", F.col("step_id").alias("current_step"), F.col("done").alias("completed_steps"), "branch",
+        F.when(F.col("step_id").isNull(), "COMPLETED").when(F.col("done") == 0, "PENDING").otherwise("IN_PROGRESS").alias("status"),
+        F.col("last.ts").alias("last_event_at"))
+
+
 def workflow_metrics(status: DataFrame) -> DataFrame:
     """By priority and status: count, outcome counts, success rate, avg hours."""
     success = F.coalesce(F.col("branch").isin("POSITIVE_RESPONSE", "HIGH_ENGAGEMENT"), F.lit(False))
@@ -356,6 +407,42 @@ def cohort_outcomes(history: DataFrame, leases: DataFrame, run_date, levels=("HI
             .agg(F.count(F.lit(1)).alias("leases")))
 
 
+def campaign_cohort(history: DataFrame, levels=("HIGH", "MEDIUM")) -> DataFrame:
+    """Leases that some of the runs scored at one of the levels, by their newest such run."""
+    row = F.struct("prediction_date", "tenant_id", "risk_level", "neighborhood")
+    newest_run = history.filter(F.col("risk_level").isin(*levels)).groupBy("lease_id").agg(F.max(row).alias("r"))
+    return newest_run.select("lease_id", "r.tenant_id", "r.risk_level", "r.neighborhood")
+
+
+def create_campaign(log: DataFrame | None, cohort: DataFrame, campaign: str, seed: int, control_pct: int = 20) -> DataFrame:
+    """The action log after creating a campaign for a cohort, one row per lease.
+
+    A lease's arm follows from its id and ``seed``; control leases get a row without an action.  The key is the campaign and
+    the lease, and rows that the log has stay as they are: creating again adds new leases only.
+    """
+    arm = F.when(F.pmod(F.col("lease_id") * 7919 + seed, F.lit(100)) < control_pct, "control").otherwise("treated")
+    treated = F.col("arm") == "treated"
+    new = cohort.dropDuplicates(["lease_id"]).withColumn("arm", arm).select(
+        F.xxhash64(F.lit(campaign), "lease_id").alias("action_key"), F.lit(campaign).alias("campaign"), "lease_id", "tenant_id",
+        "neighborhood", "risk_level", "arm",
+        F.when(treated, F.when(F.col("risk_level") == "HIGH", HIGH_ACTION[0]).otherwise(MEDIUM_ACTION_TYPE)).alias("action_type"),
+        F.when(treated, "pending").otherwise("held-out").alias("status"))
+    if log is None:
+        return new
+    return log.unionByName(new.join(log.select("campaign", "lease_id"), ["campaign", "lease_id"], "left_anti").select(*log.columns))
+
+
+def campaign_outcomes(log: DataFrame, leases: DataFrame) -> DataFrame:
+    """By risk level, leases and renewals of both arms, and the treated renewal rate less that of the control."""
+    j = log.join(leases.select("lease_id", "renewal_status"), "lease_id")
+    n = lambda arm: F.count_if(F.col("arm") == arm)
+    renewed = lambda arm: F.count_if((F.col("arm") == arm) & (F.col("renewal_status") == "renewed"))
+    rate = lambda arm: F.col(f"{arm}_renewed") / F.nullif(F.col(arm), F.lit(0))
+    return j.groupBy("risk_level").agg(n("treated").alias("treated"), n("control").alias("control"), renewed("treated").alias("treated_renewed"),
+                                       renewed("control").alias("control_renewed")).withColumn(
+        "uplift", F.round(rate("treated") - rate("control"), 6))
+
+
 # -- R4 / R2 / R1 ----------------------------------------------------------------------
 RENT_HISTORY = "array<struct<effectiveDate:date,previousRent:double,newRent:double,increasePercent:double>>"
 
@@ -398,6 +485,14 @@ def record_renewals(leases: DataFrame, renewals: DataFrame | None = None) -> Dat
         F.concat("_old", entries).alias("rent_increase_history"))
 
 
+def apply_renewals(leases: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(lease_id, end_date, monthly_rent, renewal_count, rent_increase_history) of all ``leases`` after ``recorded`` renewals."""
+    r = recorded.select("lease_id", "new_end_date", "new_monthly_rent", F.col("renewal_count").alias("_n"), "rent_increase_history")
+    return leases.select("lease_id", "end_date", "monthly_rent", "renewal_count").join(r, "lease_id", "left").select(
+        "lease_id", F.coalesce("new_end_date", "end_date").alias("end_date"), F.coalesce("new_monthly_rent", "monthly_rent").alias("monthly_rent"),
+        F.coalesce("_n", "renewal_count").alias("renewal_count"), "rent_increase_history")
+
+
 def upsert(snapshot: DataFrame, updates: DataFrame, key: str, version: str) -> DataFrame:
     """R2: keyed upsert = union + the greatest row per key by version, then by all columns (a total order)."""
     return newest(snapshot.unionByName(updates.select(*snapshot.columns)), key, version)

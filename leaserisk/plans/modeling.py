@@ -214,6 +214,27 @@ FROM tr GROUP BY 1
 """))(lambda spark, sf: EV.accuracy_drift(_train(spark, sf)))
 
 
+register("m23_metrics_by_month", q(_TRAINED + """
+, om AS (SELECT CAST(date_trunc('month', outcome_date) AS DATE) AS month, risk_score, churned, predicted_churn FROM tr),
+c AS (SELECT month, count(*) FILTER (WHERE churned = 1 AND predicted_churn) AS tp,
+             count(*) FILTER (WHERE churned <> 1 AND predicted_churn) AS fp,
+             count(*) FILTER (WHERE churned <> 1 AND NOT predicted_churn) AS tn,
+             count(*) FILTER (WHERE churned = 1 AND NOT predicted_churn) AS fn FROM om GROUP BY 1),
+g AS (SELECT month, risk_score, count(*) FILTER (WHERE churned = 1) AS pos, count(*) FILTER (WHERE churned = 0) AS neg
+      FROM om GROUP BY 1, 2),
+w AS (SELECT g.*, coalesce(sum(neg) OVER (PARTITION BY month ORDER BY risk_score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+             AS below FROM g),
+a AS (SELECT month, CASE WHEN sum(pos) * sum(neg) > 0
+                         THEN round(sum(pos * below + CAST(0.5 AS DOUBLE) * pos * neg) / (sum(pos) * sum(neg)), 6) END AS auc FROM w GROUP BY 1),
+r AS (SELECT c.*, a.auc, CASE WHEN tp + fp = 0 THEN 0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS p,
+             CASE WHEN tp + fn = 0 THEN 0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS rc FROM c JOIN a ON a.month = c.month)
+SELECT CAST(month AS VARCHAR) AS month, tp, fp, tn, fn, round(CAST(tp + tn AS DOUBLE) / (tp + fp + tn + fn), 6) AS accuracy,
+       round(p, 6) AS precision, round(rc, 6) AS recall,
+       round(CASE WHEN p + rc = 0 THEN 0 ELSE 2 * p * rc / (p + rc) END, 6) AS f1, auc
+FROM r
+"""))(lambda spark, sf: EV.monthly_metrics(_train(spark, sf)))
+
+
 def m23_psi(spark, sf):
     h = PR.prediction_history(domain(spark, sf))
     b = TI.tier(F.col("risk_score"), SCORE_TIERS)

@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from leaserisk import config as C
+from leaserisk.functions import measures as M
 from leaserisk.operators import predictions as PR
 from leaserisk.operators import retention as RT
 from leaserisk.plans.oracle_prefix import q
@@ -60,15 +62,17 @@ WHERE status = 'active' AND lease_id NOT IN (SELECT lease_id FROM d_hist)
 """))(lambda spark, sf: PR.unpredicted_active(domain(spark, sf)).select("lease_id", "tenant_id"))
 
 # -- R5 / R6 / R7 / R3 ---------------------------------------------------------------------
-_INC_SQL = """
-CASE WHEN risk_score >= 70 THEN 'rent-discount' WHEN risk_score >= 60 THEN 'upgrade' ELSE 'gift-card' END"""
-_INC_VAL = """
-CASE WHEN risk_score >= 70 THEN CAST(rent_cents * 5 AS DOUBLE) / 10000
-     WHEN risk_score >= 60 THEN CAST(500 AS DOUBLE) ELSE CAST(250 AS DOUBLE) END"""
-_INC_DESC = """
-CASE WHEN risk_score >= 70 THEN '5% rent discount for first 3 months of renewal'
-     WHEN risk_score >= 60 THEN '$500 credit for property upgrades or repairs'
-     ELSE '$250 gift card upon lease renewal' END"""
+_INC_SQL = f"""
+CASE WHEN risk_score >= {C.INCENTIVE_DISCOUNT_SCORE} THEN 'rent-discount'
+     WHEN risk_score >= {C.INCENTIVE_UPGRADE_SCORE} THEN 'upgrade' ELSE 'gift-card' END"""
+_INC_VAL = f"""
+CASE WHEN risk_score >= {C.INCENTIVE_DISCOUNT_SCORE} THEN CAST(rent_cents * 5 AS DOUBLE) / 10000
+     WHEN risk_score >= {C.INCENTIVE_UPGRADE_SCORE} THEN CAST({C.INCENTIVE_UPGRADE_VALUE} AS DOUBLE)
+     ELSE CAST({C.INCENTIVE_GIFT_VALUE} AS DOUBLE) END"""
+_INC_DESC = f"""
+CASE WHEN risk_score >= {C.INCENTIVE_DISCOUNT_SCORE} THEN '{RT.INCENTIVE_TEXT["rent-discount"]}'
+     WHEN risk_score >= {C.INCENTIVE_UPGRADE_SCORE} THEN '{RT.INCENTIVE_TEXT["upgrade"]}'
+     ELSE '{RT.INCENTIVE_TEXT["gift-card"]}' END"""
 
 _TRIGGER_SQL = f"""
 , a AS (SELECT * FROM d_lease_pred
@@ -218,6 +222,53 @@ SELECT lease_id, tenant_id, risk_level, priority,
 FROM ws
 """))(lambda spark, sf: _status(spark, sf).withColumn("hours_to_response", F.round("hours_to_response", 4)))
 
+
+def _workflow_log(spark, sf):
+    """Active HIGH and MEDIUM leases, and their tenants' events as a step log: steps come in any order, and again."""
+    dom = domain(spark, sf)
+    starts = RT.workflow_plan(PR.leases_with_prediction(dom), spark).select("lease_id", "tenant_id", "risk_level").distinct()
+    e = dom.raw("events").select(F.col("user_id").alias("tenant_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    log = starts.join(e, "tenant_id")
+    high = F.col("risk_level") == "HIGH"
+    outcome = (F.when(F.col("event_type") == "click", F.when(high, "POSITIVE_RESPONSE").otherwise("HIGH_ENGAGEMENT"))
+               .when(F.col("event_type") == "error", F.when(high, "NEGATIVE_RESPONSE").otherwise("LOW_ENGAGEMENT"))
+               .when(F.col("event_type") == "view", F.when(high, "NO_RESPONSE").otherwise("LOW_ENGAGEMENT")))
+    return starts, log.select("lease_id", "ts", "event_id", (1 + F.col("event_id") % 8).cast("int").alias("step_id"), outcome.alias("outcome"))
+
+
+def _workflow_sql():
+    ctes = [f"""
+, wl AS (SELECT lease_id, tenant_id, risk_level FROM d_lease_pred WHERE status = 'active' AND risk_level IN ('HIGH', 'MEDIUM')),
+ev AS (SELECT wl.lease_id, e.ts, e.event_id, CAST(1 + e.event_id % 8 AS INTEGER) AS step_id,
+              CASE e.event_type WHEN 'click' THEN CASE risk_level WHEN 'HIGH' THEN 'POSITIVE_RESPONSE' ELSE 'HIGH_ENGAGEMENT' END
+                   WHEN 'error' THEN CASE risk_level WHEN 'HIGH' THEN 'NEGATIVE_RESPONSE' ELSE 'LOW_ENGAGEMENT' END
+                   WHEN 'view' THEN CASE risk_level WHEN 'HIGH' THEN 'NO_RESPONSE' ELSE 'LOW_ENGAGEMENT' END END AS outcome
+       FROM wl JOIN events e ON e.user_id = wl.tenant_id),
+w0 AS (SELECT lease_id, risk_level, 1 AS step, 0 AS done, CAST(NULL AS VARCHAR) AS branch, TIMESTAMP '1900-01-01' AS ts,
+              CAST(-1 AS BIGINT) AS event_id FROM wl)"""]
+    for i in range(6):
+        ctes.append(f"""
+h{i} AS (SELECT w.lease_id, e.ts, e.event_id, e.outcome FROM w{i} w JOIN ev e ON e.lease_id = w.lease_id AND e.step_id = w.step
+              AND (e.ts > w.ts OR (e.ts = w.ts AND e.event_id > w.event_id))
+         QUALIFY row_number() OVER (PARTITION BY w.lease_id ORDER BY e.ts, e.event_id) = 1),
+w{i + 1} AS (SELECT w.lease_id, w.risk_level,
+       CASE WHEN h.lease_id IS NULL THEN w.step
+            WHEN w.risk_level = 'HIGH' AND w.step = 5 THEN CASE h.outcome WHEN 'POSITIVE_RESPONSE' THEN 7 WHEN 'NEGATIVE_RESPONSE' THEN 8 ELSE 6 END
+            WHEN w.risk_level = 'MEDIUM' AND w.step = 3 THEN CASE h.outcome WHEN 'HIGH_ENGAGEMENT' THEN 5 ELSE 4 END
+            WHEN w.step >= CASE w.risk_level WHEN 'HIGH' THEN 6 ELSE 4 END THEN NULL ELSE w.step + 1 END AS step,
+       w.done + CASE WHEN h.lease_id IS NULL THEN 0 ELSE 1 END AS done,
+       CASE WHEN h.lease_id IS NOT NULL AND w.step = CASE w.risk_level WHEN 'HIGH' THEN 5 ELSE 3 END THEN h.outcome ELSE w.branch END AS branch,
+       coalesce(h.ts, w.ts) AS ts, coalesce(h.event_id, w.event_id) AS event_id
+       FROM w{i} w LEFT JOIN h{i} h ON h.lease_id = w.lease_id)""")
+    return q(",".join(ctes) + """
+SELECT lease_id, risk_level, CAST(step AS INTEGER) AS current_step, CAST(done AS INTEGER) AS completed_steps, branch,
+       CASE WHEN step IS NULL THEN 'COMPLETED' WHEN done = 0 THEN 'PENDING' ELSE 'IN_PROGRESS' END AS status,
+       CASE WHEN done > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS last_event_at
+FROM w6""")
+
+
+register("r09_workflow_fold", _workflow_sql())(lambda spark, sf: RT.fold_workflow(*_workflow_log(spark, sf)))
+
 register("a27_workflow_metrics", q(_STATUS_SQL + """
 SELECT priority, status, count(*) AS workflows,
        count(*) FILTER (WHERE branch IN ('POSITIVE_RESPONSE', 'HIGH_ENGAGEMENT')) AS successful,
@@ -285,6 +336,80 @@ GROUP BY 1, 2, 3
 """))(lambda spark, sf: RT.cohort_outcomes(PR.prediction_history(domain(spark, sf)),
                                            domain(spark, sf).leases(), dt.date(1998, 11, 1)))
 
+
+def _campaign(spark, sf):
+    """The campaign of 1998-11-01, created, and created again once a later run has added leases to its cohort."""
+    dom = domain(spark, sf)
+    cohort = RT.campaign_cohort(PR.prediction_history(dom, first=dt.date(1998, 11, 1), last=dt.date(1998, 11, 30)))
+    wider = RT.campaign_cohort(PR.prediction_history(dom, first=dt.date(1998, 11, 1), last=dt.date(1998, 12, 31)))
+    log = RT.create_campaign(None, cohort, "autumn-98", 7)
+    return RT.create_campaign(log, wider, "autumn-98", 7)
+
+
+_COHORT_SQL = """
+, co AS (SELECT lease_id, tenant_id, neighborhood, max_by(risk_level, prediction_date) AS risk_level, min(prediction_date) AS d,
+                min_by(risk_level, prediction_date) AS first_level
+         FROM d_hist WHERE prediction_date IN (DATE '1998-11-01', DATE '1998-12-01') AND risk_level IN ('HIGH', 'MEDIUM') GROUP BY 1, 2, 3),
+cl AS (SELECT lease_id, tenant_id, neighborhood, CASE WHEN d = DATE '1998-11-01' THEN first_level ELSE risk_level END AS risk_level,
+              CASE WHEN (lease_id * 7919 + 7) % 100 < 20 THEN 'control' ELSE 'treated' END AS arm FROM co)
+"""
+register("r11_campaign_actions", q(_COHORT_SQL + f"""
+SELECT 'autumn-98' AS campaign, lease_id, tenant_id, risk_level, arm,
+       CASE WHEN arm = 'treated' THEN CASE risk_level WHEN 'HIGH' THEN '{RT.HIGH_ACTION[0]}' ELSE '{RT.MEDIUM_ACTION_TYPE}' END END AS action_type,
+       CASE WHEN arm = 'treated' THEN 'pending' ELSE 'held-out' END AS status
+FROM cl
+"""))(lambda spark, sf: _campaign(spark, sf).drop("action_key", "neighborhood"))
+
+register("r11_campaign_outcomes", q(_COHORT_SQL + """
+SELECT cl.risk_level, count(*) FILTER (WHERE arm = 'treated') AS treated, count(*) FILTER (WHERE arm = 'control') AS control,
+       count(*) FILTER (WHERE arm = 'treated' AND l.renewal_status = 'renewed') AS treated_renewed,
+       count(*) FILTER (WHERE arm = 'control' AND l.renewal_status = 'renewed') AS control_renewed,
+       round(CAST(count(*) FILTER (WHERE arm = 'treated' AND l.renewal_status = 'renewed') AS DOUBLE)
+             / nullif(count(*) FILTER (WHERE arm = 'treated'), 0)
+             - CAST(count(*) FILTER (WHERE arm = 'control' AND l.renewal_status = 'renewed') AS DOUBLE)
+             / nullif(count(*) FILTER (WHERE arm = 'control'), 0), 6) AS uplift
+FROM cl JOIN d_lease l ON l.lease_id = cl.lease_id GROUP BY 1
+"""))(lambda spark, sf: RT.campaign_outcomes(_campaign(spark, sf), domain(spark, sf).leases()))
+
+# -- A23 / U5 -------------------------------------------------------------------------------
+_METRICS = ("high_risk_tenant_count", "average_risk_score", "churn_ratio", "retention_campaign_roi")
+
+
+def _metric_frames(spark, sf):
+    """Rows of each grain with the neighbourhood of their lease's property."""
+    dom = domain(spark, sf)
+    place = dom.leases().select("lease_id", "property_id").join(
+        dom.properties().select("property_id", "neighborhood"), "property_id", "left").select("lease_id", "neighborhood")
+    acts = _camp(spark, sf).select("action_id", "lease_id", "renewal_status")
+    leases = acts.groupBy("lease_id").agg(F.max("renewal_status").alias("renewal_status"))
+    return {"prediction": PR.prediction_history(dom, newest_only=True), "action": acts.join(place, "lease_id"),
+            "campaign_lease": leases.join(place, "lease_id")}
+
+
+def _metrics_sql(dim):
+    by, on = (f"{dim}, ", f"IS NOT DISTINCT FROM c.{dim}") if dim else ("", "")
+    group = f"GROUP BY {dim}" if dim else ""
+    join = (lambda a, b: f"FULL JOIN {b} ON {a}.{dim} IS NOT DISTINCT FROM {b}.{dim}") if dim else (lambda a, b: f"CROSS JOIN {b}")
+    head = f"coalesce(p.{dim}, c.{dim}) AS {dim}, " if dim else ""
+    return q(_CAMP_SQL + f"""
+, acts AS (SELECT c.*, pr.neighborhood FROM camp c JOIN d_lease l ON l.lease_id = c.lease_id
+         LEFT JOIN d_property pr ON pr.property_id = l.property_id),
+p AS (SELECT {by}count(*) FILTER (WHERE risk_level = 'HIGH') AS high_risk_tenant_count, round(avg(risk_score), 4) AS average_risk_score,
+             round(CAST(count(*) FILTER (WHERE predicted_churn) AS DOUBLE) / nullif(count(*), 0), 6) AS churn_ratio
+      FROM d_latest {group}),
+c AS (SELECT {by}count(*) AS n, count(DISTINCT lease_id) AS leases,
+             count(DISTINCT lease_id) FILTER (WHERE renewal_status = 'renewed') AS renewed FROM acts {group})
+SELECT {head}high_risk_tenant_count, average_risk_score, churn_ratio,
+       round((coalesce(n, 0) * (CAST(coalesce(renewed, 0) AS DOUBLE) / nullif(leases, 0)) * 4000 - coalesce(n, 0) * 200)
+             / nullif(coalesce(n, 0) * 200, 0) * 100, 4) AS retention_campaign_roi
+FROM p {join('p', 'c')}
+""")
+
+
+register("a23_ontology_with_roi", _metrics_sql(""))(lambda spark, sf: M.metric_frame(_METRICS, _metric_frames(spark, sf)))
+register("a23_ontology_by_neighborhood", _metrics_sql("neighborhood"))(
+    lambda spark, sf: M.metric_frame(_METRICS, _metric_frames(spark, sf), ["neighborhood"]))
+
 # -- R4 / R10 -------------------------------------------------------------------------------
 register("r04_record_renewal", q("""
 , r AS (SELECT *, (rent_cents * (100 + CAST(round(last_rent_increase_pct * 100) AS BIGINT)) + 50) // 100 AS nc
@@ -299,6 +424,37 @@ FROM r
     F.size("rent_increase_history").alias("history_size"),
     F.element_at("rent_increase_history", -1)["increasePercent"].alias("last_increase_pct")))
 
+
+def r04_history(spark, sf):
+    """A tenant's later leases as renewals of the first one: recorded up to 1997, then all of them sent again."""
+    leases = domain(spark, sf).leases()
+    one = (leases.groupBy("tenant_id").agg(F.min_by("lease_id", F.struct("start_date", "lease_id")).alias("lease_id")))
+    first = leases.join(one, ["tenant_id", "lease_id"], "left_semi")
+    later = (leases.join(one.withColumnRenamed("lease_id", "first_id"), "tenant_id").filter("lease_id <> first_id")
+             .select(F.col("first_id").alias("lease_id"), F.col("start_date").alias("effective_date"),
+                     F.col("rent_cents").alias("new_rent_cents"), F.col("lease_term_months").alias("term_months")))
+    known = RT.record_renewals(first, later.filter("effective_date < DATE '1997-01-01'"))
+    state = (first.drop("renewal_count", "end_date", "monthly_rent").join(
+        RT.apply_renewals(first, known), "lease_id"))
+    return RT.record_renewals(state, later).select(
+        "lease_id", F.col("new_end_date").alias("end_date"), "renewal_count", F.size("rent_increase_history").alias("history_size"),
+        F.col("new_monthly_rent").alias("monthly_rent"),
+        F.array_join(F.transform("rent_increase_history", lambda e: e["effectiveDate"].cast("string")), ",").alias("dates"),
+        F.round(F.aggregate("rent_increase_history", F.lit(0.0), lambda a, e: a + e["newRent"] - e["previousRent"]), 2).alias("rent_gain"))
+
+
+register("r04_renewal_history", q("""
+, f AS (SELECT * FROM d_lease QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY start_date, lease_id) = 1),
+s AS (SELECT DISTINCT f.lease_id, l.start_date AS d, l.rent_cents AS c, l.lease_term_months AS t
+      FROM f JOIN d_lease l ON l.tenant_id = f.tenant_id AND l.lease_id <> f.lease_id),
+g AS (SELECT lease_id, count(*) AS n, last(d + CAST(t * 30 AS INTEGER) ORDER BY d, c, t) AS e, last(c ORDER BY d, c, t) AS c,
+             string_agg(CAST(d AS VARCHAR), ',' ORDER BY d, c, t) AS dates FROM s GROUP BY 1)
+SELECT f.lease_id, CAST(CAST(g.e AS DATE) AS VARCHAR) AS end_date, f.renewal_count + CAST(g.n AS INTEGER) AS renewal_count,
+       CAST(g.n AS INTEGER) AS history_size, CAST(g.c AS DOUBLE) / 100 AS monthly_rent, dates,
+       round(CAST(g.c - f.rent_cents AS DOUBLE) / 100, 2) AS rent_gain
+FROM f JOIN g ON g.lease_id = f.lease_id
+"""))(r04_history)
+
 MANAGER = "managers@example.com"
 _SQL_TEXT = lambda s: s.replace("'", "''")
 register("r10_outbox", q(_TRIGGER_SQL + f"""
