@@ -17,6 +17,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leaserisk.functions.stats import with_stats
 from leaserisk.operators.evaluate import grouped_auc
 
 CELL_ROWS = 5_000
@@ -57,6 +58,6 @@ def permutation_importance(rows: DataFrame, key: str, features: list[str], score
     auc = grouped_auc(binned, "column", "_bin", label)
     base = auc.filter(F.col("column") == BASE).select(F.col("auc").alias("base"))
     names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("column") + 1)
-    each = auc.filter(F.col("column") != BASE).join(F.broadcast(base))  # one row
+    each = with_stats(auc.filter(F.col("column") != BASE), base)
     return each.select(names.alias("feature"), F.col("base").alias("auc"), F.col("auc").alias("permuted_auc"),
                        (F.col("base") - F.col("auc")).alias("drop"))
