@@ -197,7 +197,8 @@ def one_per_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col:
                   text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each component: the smallest id (null last), then the smallest text key."""
     found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m")).select("m.key")
-    place = [f"c{i}" for i in range(len(docs.columns))]  # by place: any name may be among the columns
-    keyed = docs.select(row_key(id_col, text_col).alias("key"), *[F.col(f"`{c}`").alias(p) for c, p in zip(docs.columns, place)])
-    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*place).toDF(*docs.columns)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m"))
+    kept = kept.select(F.col("m.key.a").alias("a"), F.col("m.key.b").alias("b"))
+    key, place = row_key(id_col, text_col), [f"c{i}" for i in range(len(docs.columns))]  # by place: any name may be among the columns
+    keyed = docs.select(key["a"].alias("a"), key["b"].alias("b"), *[F.col(f"`{c}`").alias(p) for c, p in zip(docs.columns, place)])
+    return keyed.join(kept, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]).select(*place).toDF(*docs.columns)
