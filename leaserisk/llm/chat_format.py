@@ -3,9 +3,10 @@
 A layout of chat data (prompt and completion, instruction records, message
 lists, rows of turns) is known by its nested field paths.  Their canonical
 form is hashed; the hash is the layout's fingerprint and selects its mapping, a
-declaration of which path holds which role's text.  Typed tables are
+declaration of which path holds which role's text.  Only paths that a layout
+names are hashed, so fields beside them don't matter.  Typed tables are
 recognised by their schema, JSON records one by one by the schema of their
-own value, so a table may mix layouts.
+own value, so a table may mix layouts.  ``format_chats`` takes any of them.
 
 Turns are written as ``<|im_start|>role<|im_sep|>text<|im_end|>`` and a line
 break.  Inside roles and texts every ``<`` before backslashes and ``|`` gets one
@@ -30,19 +31,22 @@ _TURN = "struct<role: string, text: string>"
 
 @dataclass(frozen=True)
 class Layout:
-    """``ddl`` gives the fields.  Either ``turns`` lists (role, field) in order, or ``items`` names a list of
-    (role field, text field) records; ``optional`` fields are left out where empty."""
+    """``ddl`` gives the fields.  ``turns`` lists (role, field) in order, or ``items`` names a list of (role field,
+    text field) records, or ``rows`` names (conversation, turn, role, text) of a table with a row for each turn;
+    ``optional`` fields are left out where empty."""
 
     name: str
     ddl: str
     turns: tuple = ()
     items: tuple = ()
+    rows: tuple = ()
     optional: tuple = ()
 
 
 # Field names and role names of common layouts.
 LAYOUTS = [
-    Layout("turn_rows", "conv_id long, turn long, role string, text string"),
+    Layout("turn_rows", "conv_id long, turn long, role string, text string",
+           rows=("conv_id", "turn", "role", "text")),
     Layout("messages", "messages array<struct<role: string, content: string>>", items=("messages", "role", "content")),
     Layout("share", "conversations array<struct<from: string, value: string>>", items=("conversations", "from", "value")),
     Layout("prompt", "prompt string, completion string", turns=(("user", "prompt"), ("assistant", "completion"))),
@@ -77,14 +81,25 @@ def layout_fingerprints() -> dict[int, Layout]:
     return {fingerprint_of(nested_paths(T._parse_datatype_string(x.ddl))): x for x in LAYOUTS}
 
 
+def by_size() -> list[tuple[int, Layout]]:
+    """(fingerprint, layout), most fields first: a record that several layouts fit is of the first."""
+    return sorted(layout_fingerprints().items(), key=lambda x: -len(T._parse_datatype_string(x[1].ddl).fields))
+
+
+def _named(kind: T.DataType, own: T.DataType) -> T.DataType:
+    """``own`` without the fields that ``kind`` doesn't name."""
+    if isinstance(kind, T.StructType) and isinstance(own, T.StructType):
+        return T.StructType([T.StructField(f.name, _named(kind[f.name].dataType, f.dataType)) for f in own.fields if f.name in kind.names])
+    if isinstance(kind, T.ArrayType) and isinstance(own, T.ArrayType):
+        return T.ArrayType(_named(kind.elementType, own.elementType))
+    return own
+
+
 def recognise(schema: T.StructType) -> Layout | None:
-    """The layout whose fingerprint the schema has; fields that no layout's record names are passed over."""
-    known = layout_fingerprints()
-    for found in sorted(known.values(), key=lambda x: -len(T._parse_datatype_string(x.ddl).fields)):
-        names = set(T._parse_datatype_string(found.ddl).names)
-        own = T.StructType([f for f in schema.fields if f.name in names])
-        if known.get(fingerprint_of(nested_paths(own))) is found:
-            return found
+    """The layout whose fingerprint the schema's paths have; fields that it doesn't name are passed over."""
+    for mark, layout in by_size():
+        if fingerprint_of(nested_paths(_named(T._parse_datatype_string(layout.ddl), schema))) == mark:
+            return layout
     return None
 
 
@@ -107,18 +122,36 @@ def turns_of(layout: Layout, record: Column) -> Column:
     return F.concat(*[F.when(t != "", turn(r, t)).otherwise(F.array().cast(f"array<{_TURN}>")) if skip else turn(r, t) for r, t, skip in said])
 
 
+def _variant_paths(value: Column, kind: T.DataType) -> Column:
+    """The canonical form of those paths of a JSON value that ``kind`` names; null where the value is absent.
+
+    A null stands for the text it could be; a list has the paths that its items share, the named ones if it is empty.
+    """
+    if isinstance(kind, T.StructType):
+        own = [(f.name, _variant_paths(F.try_variant_get(value, f"$.{f.name}", "variant"), f.dataType))
+               for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.concat(F.lit("OBJECT<"), F.array_join(F.array(*[F.concat(F.lit(n + ": "), p) for n, p in own]), ", "), F.lit(">"))
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: _variant_paths(v, kind.elementType))
+        items = F.concat(F.lit("ARRAY<"), F.array_join(F.array_distinct(items), " | ", ""), F.lit(">"))
+        return F.when(items == "ARRAY<>", F.lit(nested_paths(T.ArrayType(kind.elementType)))).otherwise(items)
+    return F.regexp_replace(F.schema_of_variant(value), "VOID", "STRING")
+
+
 def json_turns(records: DataFrame, column: str) -> DataFrame:
     """``records`` with ``layout`` (null where no layout has the record's fingerprint) and ``turns`` (null there).
 
-    Text that isn't JSON has no layout.  A field that is null counts as a string.
+    Text that isn't JSON has no layout.  A field that is null counts as a string, an empty list of messages has no
+    turns, fields that a layout doesn't name are passed over, and a record that several layouts fit is of
+    the one with most fields.
     """
-    paths = F.regexp_replace(F.schema_of_variant(F.try_parse_json(F.col(f"`{column}`"))), "VOID", "STRING")
-    mark = F.xxhash64(paths)
+    parsed = F.try_parse_json(F.col(f"`{column}`"))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{_TURN}>")
-    for h, layout in layout_fingerprints().items():
-        if layout.turns or layout.items:
-            name = F.when(mark == F.lit(h), F.lit(layout.name)).otherwise(name)
-            turns = F.when(mark == F.lit(h), turns_of(layout, F.from_json(F.col(f"`{column}`"), layout.ddl))).otherwise(turns)
+    for mark, layout in reversed(by_size()):
+        if not layout.rows:
+            fits = F.xxhash64(_variant_paths(parsed, T._parse_datatype_string(layout.ddl))) == F.lit(mark)
+            name = F.when(fits, F.lit(layout.name)).otherwise(name)
+            turns = F.when(fits, turns_of(layout, F.from_json(F.col(f"`{column}`"), layout.ddl))).otherwise(turns)
     return records.select("*", name.alias("layout"), turns.alias("turns"))
 
 
@@ -142,20 +175,43 @@ def formatted(segments: Column) -> Column:
     return F.array_join(F.transform(segments, lambda s: s["piece"]), "")
 
 
-def format_turn_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, n_rows, segments) of a table with a row for each turn, turns in order of (turn, role, text).
+def format_chats(chats: DataFrame, id_col: str = "conv_id", json_col: str | None = None) -> DataFrame:
+    """(conv_id, n_rows, segments) of chats in any known layout, as their fingerprint selects the mapping.
+
+    With ``json_col`` that column holds JSON records; one that has no known layout keeps its row, with null segments.
+    Otherwise the table's own schema is recognised; a ValueError if no layout has its fingerprint.  Layouts of
+    one record for each conversation give a row for each record, repeats included, and role names in one spelling.
+    A table with a row for each turn is grouped, its role names stay as they are.
+    """
+    if json_col is not None:
+        return _format_records(json_turns(chats.select(F.col(f"`{id_col}`").alias("conv_id"), F.col(f"`{json_col}`").alias("record")), "record"))
+    layout = recognise(chats.schema)
+    if layout is None:
+        raise ValueError(f"no mapping for the fields of {chats.schema.simpleString()}")
+    if layout.rows:
+        return _format_rows(chats, layout)
+    record = F.struct(*[F.col(f"`{f}`") for f in T._parse_datatype_string(layout.ddl).names])
+    found = chats.select(F.col(f"`{id_col}`").alias("conv_id"), record.alias("record"))
+    return _format_records(found.select("conv_id", turns_of(layout, F.col("record")).alias("turns")))
+
+
+def _format_records(records: DataFrame) -> DataFrame:
+    segments = F.flatten(F.transform("turns", lambda t: turn_segments(t["role"], t["text"])))
+    return records.select("conv_id", F.size("turns").cast("long").alias("n_rows"), segments.alias("segments"))
+
+
+def _format_rows(chats: DataFrame, layout: Layout) -> DataFrame:
+    """Turns in order of (turn, role, text).
 
     A conversation comes together in two steps, blocks of ``BLOCK_TURNS`` turn numbers first, so its
     many rows don't meet in one task before they are few and long.  Rows that repeat are turns of their
     own.  A null conv_id is a conversation; null turns come first; null roles and texts
     are empty.
     """
-    layout = recognise(rows.schema)
-    if layout is None or layout.name != "turn_rows":
-        raise ValueError(f"no mapping for the fields of {rows.schema.simpleString()}")
-    role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))  # canonical already
-    turns = rows.select("conv_id", F.floor(F.col("turn") / BLOCK_TURNS).alias("block"),
-                        F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
+    conv, turn, role, text = (F.col(f"`{c}`") for c in layout.rows)
+    role, text = F.coalesce(role, F.lit("")), F.coalesce(text, F.lit(""))
+    turns = chats.select(conv.alias("conv_id"), F.floor(turn / BLOCK_TURNS).alias("block"),
+                         F.struct(turn.alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
     blocks = turns.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     blocks = blocks.select("conv_id", F.struct("block", F.size("ts").cast("long").alias("n"), F.flatten(
         F.transform("ts", lambda t: turn_segments(t["role"], t["text"]))).alias("segments")).alias("b"))

@@ -39,19 +39,19 @@ def test_reads_back_what_was_written(spark):
          rnd.choice([None, rnd.choice(NASTY) + rnd.choice(NASTY)])) for c in [None, -1, *range(12)] for t in [None, 0, 0, 1, 2, 3, 700]]
     rows += rows[:5]
     df = spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit(1) for n in ("block", "segments", "n", "layout")})
-    assert read(C.read_back(C.format_turn_rows(df))) == brute(rows)
+    assert read(C.read_back(C.format_chats(df))) == brute(rows)
 
 
 def test_a_long_conversation_comes_together_from_blocks(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK_TURNS", 4)
     rows = [(1, t, "assistant" if t % 2 else "user", f"said {t}") for t in range(101)]
-    assert read(C.read_back(C.format_turn_rows(spark.createDataFrame(rows, SCHEMA)))) == brute(rows)
+    assert read(C.read_back(C.format_chats(spark.createDataFrame(rows, SCHEMA)))) == brute(rows)
 
 
 def test_empty_table_and_unknown_fields(spark):
-    assert C.read_back(C.format_turn_rows(spark.createDataFrame([], SCHEMA))).collect() == []
+    assert C.read_back(C.format_chats(spark.createDataFrame([], SCHEMA))).collect() == []
     with pytest.raises(ValueError):
-        C.format_turn_rows(spark.createDataFrame([(1, "x")], "id long, said string"))
+        C.format_chats(spark.createDataFrame([(1, "x")], "id long, said string"))
 
 
 def test_no_control_string_survives_inside_texts(spark):
@@ -87,3 +87,49 @@ def test_json_records_of_mixed_layouts(spark):
         assert [tuple(t) for t in got[i]["turns"]] == plain, i
     assert [tuple(t) for t in got[6]["turns"]] == [("system", "s"), *plain]
     assert all(got[i]["layout"] is None and got[i]["turns"] is None for i in (8, 9, 10))
+
+
+PLAIN = [("user", "q"), ("assistant", "a")]
+RECORDS = [
+    ("messages array<struct<role: string, content: string>>", {"messages": [("human", "q"), ("gpt", "a")]}, PLAIN),
+    ("messages array<struct<content: string, weight: int, role: string>>", {"messages": [("q", 1, "user"), ("a", 0, "bot")]}, PLAIN),
+    ("conversations array<struct<from: string, value: string>>", {"conversations": [("human", "q"), ("gpt", "a")]}, PLAIN),
+    ("prompt string, completion string, id string", {"prompt": "q", "completion": "a", "id": "x"}, PLAIN),
+    ("instruction string, input string, output string", {"instruction": "q", "input": None, "output": "a"}, PLAIN),
+    ("instruction string, output string", {"instruction": "q", "output": "a"}, PLAIN),
+    ("system string, prompt string, response string", {"system": "s", "prompt": "q", "response": "a"}, [("system", "s"), *PLAIN]),
+    ("question string, answer string, segments int", {"question": "q", "answer": "a", "segments": 1}, PLAIN),
+    ("question string, answer string", {"question": None, "answer": None}, [("user", ""), ("assistant", "")]),
+    ("messages array<struct<role: string, content: string>>", {"messages": None}, []),
+]
+
+
+def test_every_typed_layout_is_formatted(spark):
+    for ddl, record, turns in RECORDS:
+        chats = spark.createDataFrame([(7, *record.values())], f"conv_id long, {ddl}")
+        want = (7, len(turns), digest("".join(f"{r}\n{s}\n" for r, s in turns)), *(
+            lambda learned: (len(learned), digest(learned)))("".join(s for r, s in turns if r == "assistant")))
+        assert read(C.read_back(C.format_chats(chats))) == {want}, ddl
+
+
+def test_json_records_with_fields_beside_the_layout(spark):
+    records = [
+        {"id": 1, "prompt": "q", "completion": "a"},
+        {"messages": [{"role": "user", "content": "q", "name": "n"}, {"content": "a", "role": "assistant", "weight": [1]}], "tags": []},
+        {"messages": []},
+        {"messages": [{"role": "user"}]},
+        {"messages": [{"role": "user", "content": "q"}, "loose"]},
+        {"prompt": 3, "completion": "a"},
+        {"prompt": "q", "completion": "a", "question": "x", "answer": "y"},
+        [{"prompt": "q", "completion": "a"}],
+    ]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(records)]
+    df = spark.createDataFrame(rows, "id long, record string")
+    got = {r["id"]: r["layout"] for r in C.json_turns(df, "record").collect()}
+    assert got == {0: "prompt", 1: "messages", 2: "messages", 3: None, 4: None, 5: None, 6: got[6], 7: None}
+    assert got[6] in ("prompt", "question")
+    said = C.format_chats(df, "id", "record").select("conv_id", "n_rows", C.formatted(F.col("segments")).alias("s")).collect()
+    said = {r["conv_id"]: (r["n_rows"], r["s"]) for r in said}
+    pair = "<|im_start|>user<|im_sep|>q<|im_end|>\n<|im_start|>assistant<|im_sep|>a<|im_end|>\n"
+    assert len(said) == 8 and said[0] == said[1] == (2, pair) and said[2] == (0, "")
+    assert all(said[i] == (None, None) for i in (3, 4, 5, 7))
