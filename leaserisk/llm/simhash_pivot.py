@@ -16,6 +16,11 @@ whose distances to any pivot differ by more than k can't be within k bits
 Pivot distances alone order the fingerprints too weakly to find candidates
 without all pairs, which is why the keys come first.  A task returns a
 spanning forest of the links under its keys, never all pairs of a group.
+
+A key with more than ``KEY_ROWS`` fingerprints is divided: into cells by the distance to the
+first pivot, ``max_bits + 1`` wide, and crowded cells into units by hash.  A pair within ``max_bits`` lies
+in one cell or in neighbouring ones, so only such units meet, two at a time, each two in a group of
+their own.  No link is lost, and a task never holds more than two units.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ from leaserisk.session import checkpoint_dir
 
 PIVOTS = 24
 ROWS_PER_TASK = 100_000
+KEY_ROWS = 8_192  # fingerprints under a key that are compared in one task; more are divided
 
 
 def document_hashes(text: bytes, shingle: int) -> list[int]:
@@ -152,21 +158,53 @@ def links_under_keys(fp: np.ndarray, key: np.ndarray, max_bits: int) -> tuple[np
     return fp[a], fp[b]
 
 
-def link_components(distinct: DataFrame, rows: int, max_bits: int) -> DataFrame:
+def keys_of(distinct: DataFrame, rows: int, max_bits: int) -> DataFrame:
+    """(fp, choice, block): each fingerprint under each of its block keys."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(max_bits, blocks_for(rows, max_bits))]
+    masked = F.array([F.col("fp").bitwiseAND(F.lit(m)) for m in signed])
+    return distinct.select("fp", F.posexplode(masked).alias("choice", "block"))
+
+
+def divided(crowded: DataFrame, max_bits: int, most: int) -> DataFrame:
+    """(fp, choice, part, block) with a group (choice -1, part) for each two units that may hold links.
+
+    A row goes to a group for each unit of its own cell and the two beside it.  ``block`` is the
+    group's hash; groups that share a hash are compared together, which loses nothing.
+    """
+    ref = int(np.random.default_rng(64).integers(0, 1 << 64, 1, dtype=np.uint64)[0])
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.lit(ref - (1 << 64) if ref >> 63 else ref)))
+    rows = crowded.withColumn("cell", F.floor(apart / (max_bits + 1)).cast("int"))
+    units = rows.groupBy("choice", "block", "cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("units"))
+    units = units.groupBy("choice", "block").agg(F.map_from_entries(F.collect_list(F.struct("cell", "units"))).alias("units"))
+    rows = rows.join(units, ["choice", "block"])
+    own = F.struct(F.col("cell"), F.pmod(F.xxhash64("fp"), F.element_at("units", F.col("cell"))).cast("int").alias("unit"))
+    near = F.filter(F.map_entries("units"), lambda e: F.abs(e["key"] - F.col("cell")) <= 1)
+    beside = F.flatten(F.transform(near, lambda e: F.transform(
+        F.sequence(F.lit(0), e["value"] - 1), lambda u: F.struct(e["key"].alias("cell"), u.alias("unit")))))
+    meets = rows.select("fp", "choice", "block", own.alias("own"), F.explode(beside).alias("other"))
+    group = F.xxhash64("choice", "block", F.least("own", "other"), F.greatest("own", "other"))
+    return meets.select("fp", F.lit(-1).alias("choice"), group.alias("part"), group.alias("block"))
+
+
+def link_components(distinct: DataFrame, rows: int, max_bits: int, most: int = KEY_ROWS) -> DataFrame:
     """(node, root) for the fingerprints (column fp) that link to another."""
-    masks = block_masks(max_bits, blocks_for(rows, max_bits))
     tasks = max(1, ceil(rows / ROWS_PER_TASK))
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("fp", F.posexplode(F.array([F.col("fp").bitwiseAND(F.lit(m)) for m in signed])))
-    keyed = keyed.select("fp", F.col("col").alias("block"), F.col("pos").alias("choice"),
-                         F.pmod(F.xxhash64("pos", "col"), F.lit(tasks)).alias("part"))
+    keyed = keys_of(distinct, rows, max_bits)
+    crowds = keyed.groupBy("choice", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(
+        "choice", "block").checkpoint()
+    part = F.pmod(F.xxhash64("choice", "block"), F.lit(tasks)).alias("part")
+    if crowds.isEmpty():
+        spread = keyed.select("fp", "choice", part, "block")
+    else:
+        plain = keyed.join(crowds, ["choice", "block"], "left_anti").select("fp", "choice", part, "block")
+        spread = plain.unionByName(divided(keyed.join(crowds, ["choice", "block"], "left_semi"), max_bits, most))
 
     def run(rows: pa.Table) -> pa.Table:
         fp, key = (rows.column(c).to_numpy().view(np.uint64) for c in ("fp", "block"))
         a, b = links_under_keys(fp, key, max_bits)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    edges = keyed.groupBy("choice", "part").applyInArrow(run, "a long, b long")
+    edges = spread.groupBy("choice", "part").applyInArrow(run, "a long, b long")
     return connected_components(edges)
 
 

@@ -108,3 +108,27 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 180)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_crowded_key_is_divided_without_losing_links(spark):
+    rnd = random.Random(9)
+    centre, prints = rnd.getrandbits(64), set()
+    while len(prints) < 500:  # under most block keys together
+        own = centre
+        for b in rnd.sample(range(48), rnd.randint(0, 9)):
+            own ^= 1 << b
+        prints.add(own)
+    prints |= {rnd.getrandbits(64) for _ in range(1000)}
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    keyed = S.keys_of(df, len(prints), 4)
+    crowded = keyed.join(keyed.groupBy("choice", "block").count().filter("count > 40"), ["choice", "block"], "left_semi")
+    groups = S.divided(crowded, 4, 40).groupBy("part").count().collect()
+    assert crowded.count() > 500 and len(groups) > 50 and max(r["count"] for r in groups) < 200
+    found = {r["node"]: r["root"] for r in S.link_components(df, len(prints), 4, most=40).collect()}
+    plain = {r["node"]: r["root"] for r in S.link_components(df, len(prints), 4).collect()}
+    want = brute_components(prints, signed, 4)
+    assert found == plain and len(found) > 300
+    same = lambda roots: {frozenset(p for p, r in zip(signed, roots) if r == x) for x in roots}
+    assert same([found.get(p, p) for p in signed]) == same(want)
