@@ -66,12 +66,17 @@ def split(df: DataFrame, key: str = "lease_id", seed: int = 42, test_pct: int =
             .select(*df.columns, "split"))
 
 
+def class_weight(train: DataFrame, label: str = "label") -> DataFrame:
+    """One row (positive_rate, class_weight) of the train split; null weight without a positive."""
+    rate = train.agg((F.sum(label) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("positive_rate"))
+    r = F.col("positive_rate")
+    return rate.select("positive_rate", ((1 - r) / F.nullif(r, F.lit(0.0))).alias("class_weight"))
+
+
 def class_weight_col(df: DataFrame, label: str = "label") -> DataFrame:
     """A26 as a weight column: positives weighted (1 - r) / r (rate as a scalar subquery)."""
-    r = df.agg((F.sum(label) / F.count(F.lit(1))).alias("_r"))
-    return (with_stats(df, r)
-            .withColumn("weight", F.when(F.col(label) == 1, (1 - F.col("_r")) / F.col("_r")).otherwise(1.0))
-            .drop("_r"))
+    w = class_weight(df, label).select(F.col("class_weight").alias("_w"))
+    return with_stats(df, w).withColumn("weight", F.when(F.col(label) == 1, F.col("_w")).otherwise(1.0)).drop("_w")
 
 
 def prepare(train: DataFrame, rows: DataFrame | None = None):

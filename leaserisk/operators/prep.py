@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leaserisk.functions.stats import with_stats
+from leaserisk.session import checkpoint_dir
 
 # Sketch accuracy (rank error 1 / 10,000) and the ranks that bracket a median.
 BRACKET_ACCURACY, BRACKET = 10_000, (0.499, 0.501)
+# Parts of a bracket: only those that hold a middle value are ranked.
+BRACKET_CELLS = 1_024
 
 
 def _numeric(df: DataFrame, cols):
@@ -33,7 +36,10 @@ def medians(df: DataFrame, cols) -> DataFrame:
 
     A small sketch brackets each column's median; rows below the bracket are only
     counted, and the values inside (about a 500th of the rows) are counted
-    by value and ranked.  So no task holds a column's values.
+    by value.  A sketch of those cuts the bracket into ``BRACKET_CELLS`` cells, whose
+    counts tell which one or two hold the middle ranks; only their values are ranked, cell by
+    cell (about one distinct value in 500,000).  Equal values lie in one cell, so ties and
+    even counts are exact.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols]))
     long = df.select(pairs.alias("p")).select("p.*").filter(F.col("v").isNotNull())
@@ -43,11 +49,18 @@ def medians(df: DataFrame, cols) -> DataFrame:
     near = long.join(cuts, "c").filter(F.col("v") <= F.col("hi"))
     by_value = (near.groupBy("c", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))  # null: below the bracket
                 .agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")))
-    upto = F.sum("m").over(Window.partitionBy("c").orderBy(F.col("v").asc_nulls_first()))
-    ranked = by_value.withColumn("upto", upto)
+    steps = [i / BRACKET_CELLS for i in range(1, BRACKET_CELLS)]
+    finer = by_value.groupBy("c").agg(F.array_distinct(F.percentile_approx("v", steps, BRACKET_ACCURACY)).alias("at"))
+    inside = by_value.join(finer, "c").select("c", "v", "m", "n", F.when(F.col("v").isNull(), F.lit(-1)).otherwise(
+        F.size(F.filter("at", lambda x: x < F.col("v")))).alias("cell"))
+    lower, upper = F.expr("(n - 1) div 2"), F.expr("n div 2")
+    cells = inside.groupBy("c", "cell").agg(F.sum("m").alias("own"), F.first("n").alias("n"))
+    before = F.sum("own").over(Window.partitionBy("c").orderBy("cell")) - F.col("own")
+    cells = cells.withColumn("before", before).filter((F.col("before") <= upper) & (lower < F.col("before") + F.col("own")))
+    ranked = inside.join(cells.select("c", "cell", "before"), ["c", "cell"])
+    ranked = ranked.withColumn("upto", F.col("before") + F.sum("m").over(Window.partitionBy("c", "cell").orderBy("v")))
     holds = lambda k: ((F.col("upto") - F.col("m") <= k) & (k < F.col("upto"))).cast("int")
-    weight = holds(F.expr("(n - 1) div 2")) + holds(F.expr("n div 2"))
-    found = ranked.groupBy("c").agg((F.sum(F.col("v") * weight) / 2).alias("median"))
+    found = ranked.groupBy("c").agg((F.sum(F.col("v") * (holds(lower) + holds(upper))) / 2).alias("median"))
     return found.agg(*[F.max(F.when(F.col("c") == c, F.col("median"))).alias(f"median_{c}") for c in cols])
 
 
@@ -162,7 +175,8 @@ def fit_pipeline(df: DataFrame, numeric_cols, categorical_cols) -> FeaturePipeli
 
 # ---------------------------------------------------------------------------
 # Lazy plan forms: statistics stay a one-row DataFrame attached as a scalar
-# subquery, so a query never runs an action while it is being built.
+# subquery, so a query runs no action while it is being built (M1's vocabulary
+# is the exception: it is written once).
 # ---------------------------------------------------------------------------
 def _attach(df: DataFrame, stats: DataFrame) -> DataFrame:
     return with_stats(df, stats)
@@ -201,18 +215,34 @@ def scale_columns_plan(df: DataFrame, cols) -> DataFrame:
     return flags.selectExpr(stack)
 
 
+def vocabulary(df: DataFrame, cols, ranges: int | None = None) -> DataFrame:
+    """(c, v, i): the distinct non-null values of each column and their alphabetical index from 0.
+
+    The values are dealt to ranges, written once (so a value's range stays the same), counted by range and
+    ranked inside their range; no task holds a column's vocabulary.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    checkpoint_dir(df.sparkSession)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
+    seen = df.select(pairs.alias("p")).select("p.*").filter(F.col("v").isNotNull()).distinct()
+    seen = seen.repartitionByRange(ranges, "c", "v").withColumn("part", F.spark_partition_id()).checkpoint()
+    parts = seen.groupBy("c", "part").agg(F.count(F.lit(1)).alias("n"))  # at most ``ranges`` rows and a few
+    parts = parts.select("c", "part", (F.sum("n").over(Window.partitionBy("c").orderBy("part")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("c", "part").orderBy("v")) - 1
+    return seen.withColumn("inside", inside).join(parts, ["c", "part"]).select(
+        "c", "v", (F.col("before") + F.col("inside")).cast("int").alias("i"))
+
+
 def label_encode_plan(fit_df: DataFrame, df: DataFrame, cols, suffix: str = "_idx") -> DataFrame:
-    """M1: alphabetical index of the values seen in ``fit_df``; unseen / null /
-    absent column -> -1.  The vocabulary (distinct values, bounded by the
-    category count) is ranked by one ordered window over the distinct values."""
-    from pyspark.sql import Window
+    """M1: alphabetical index of the values seen in ``fit_df``; unseen / null / absent column -> -1."""
+    seen = [c for c in cols if c in fit_df.columns and c in df.columns]
+    index = vocabulary(fit_df, seen) if seen else None
     out = df
     for c in cols:
-        if c not in fit_df.columns or c not in df.columns:
+        if c not in seen:
             out = out.withColumn(c + suffix, F.lit(-1))
             continue
-        vocab = (fit_df.select(c).filter(F.col(c).isNotNull()).distinct()
-                 .withColumn("_i", F.dense_rank().over(Window.orderBy(c)) - 1))
-        out = (out.join(vocab.withColumnRenamed(c, "_v"), F.col(c) == F.col("_v"), "left")
-               .withColumn(c + suffix, F.coalesce(F.col("_i"), F.lit(-1)).cast("int")).drop("_v", "_i"))
+        own = index.filter(F.col("c") == c).select(F.col("v").alias("_v"), F.col("i").alias("_i"))
+        out = (out.join(own, F.col(c).cast("string") == F.col("_v"), "left")
+               .withColumn(c + suffix, F.coalesce(F.col("_i"), F.lit(-1))).drop("_v", "_i"))
     return out

@@ -24,7 +24,7 @@ from leaserisk.operators import scoring as S
 from leaserisk.operators.permutation import permutation_importance
 from leaserisk.operators.search import ROWS_PER_PARTITION, run_search, with_folds
 from leaserisk.plans.features import _rounded
-from leaserisk.plans.modeling import PIPELINE_SQL, SPLIT_SQL
+from leaserisk.plans.modeling import CLASS_WEIGHT_SQL, PIPELINE_SQL, SPLIT_SQL
 from leaserisk.plans.oracle_prefix import q
 from leaserisk.plans.registry import register
 from leaserisk.plans.warehouse import training_view
@@ -85,6 +85,10 @@ def _model(spark, sf, name):
 
 register("m06_split", SPLIT_SQL)(lambda spark, sf: labelled(spark, sf).select("lease_id", "label", "split"))
 
+register("a26_class_weight", CLASS_WEIGHT_SQL)(
+    lambda spark, sf: ML.class_weight(labelled(spark, sf).filter("split = 'train'")).select(
+        F.round("positive_rate", 6).alias("positive_rate"), F.round("class_weight", 6).alias("class_weight")))
+
 
 def m05(spark, sf):
     fp, train, test = _prepared(spark, sf)

@@ -92,6 +92,11 @@ train AS (SELECT * FROM sp WHERE NOT test)
 _IDX = [c + "_idx" for c in CATEGORICAL_FEATURES]
 _INPUTS = NUMERIC_FEATURES + _IDX
 
+CLASS_WEIGHT_SQL = q(_LABELLED_SQL + """
+, r AS (SELECT sum(label) / nullif(count(*), 0) AS rate FROM train)
+SELECT round(rate, 6) AS positive_rate, round((1 - rate) / nullif(rate, 0), 6) AS class_weight FROM r
+""")
+
 SPLIT_SQL = q(_LABELLED_SQL + "SELECT lease_id, label, CASE WHEN test THEN 'test' ELSE 'train' END AS split FROM sp")
 
 PIPELINE_SQL = q(_LABELLED_SQL + f"""
@@ -139,6 +144,27 @@ def e04(spark, sf):
 register("e4_feature_catalog", q(_FM_SQL + "\n" + "\nUNION ALL\n".join(
     f"SELECT '{f}' AS feature, '{g}' AS category, count({f}) AS n_values FROM fm" for f, g in FE.feature_catalog())))(e04)
 
+# -- A24 -----------------------------------------------------------------------------------
+_KEYS = ("lease_id", "tenant_id", "property_id")
+
+
+def a24(spark, sf):
+    """Training rows, their churn, and the columns of the feature matrix beside its keys."""
+    features = len(set(_matrix(spark, sf).columns) - set(_KEYS))
+    return _train(spark, sf).agg(
+        F.count(F.lit(1)).alias("samples"), F.sum("churned").cast("long").alias("churned"),
+        F.round(F.sum("churned") / F.nullif(F.count(F.lit(1)), F.lit(0)), 6).alias("churn_rate"),
+        F.lit(features).alias("feature_count"))
+
+
+register("a24_dataset_stats", q(_FM_SQL + _TRAIN_SQL + f"""
+, names AS (SELECT unnest(json_keys(to_json(fm))) AS name FROM fm)
+SELECT count(*) AS samples, CAST(sum(churned) AS BIGINT) AS churned,
+       round(CAST(sum(churned) AS DOUBLE) / nullif(count(*), 0), 6) AS churn_rate,
+       CAST((SELECT count(DISTINCT name) FROM names WHERE name NOT IN {_KEYS}) AS INTEGER) AS feature_count
+FROM tv WHERE training_set
+"""))(a24)
+
 # -- M1 ------------------------------------------------------------------------------------
 _ENC = ["property_type", "payment_method", "neighborhood_type_raw"]
 

@@ -280,24 +280,6 @@ SELECT lease_id, CAST(prediction_date AS VARCHAR) AS prediction_date, churned FR
 """))(lambda spark, sf: training_view(spark, sf).filter("training_set")
       .select("lease_id", "prediction_date", "churned"))
 
-register("a24_dataset_stats", q(_TRAIN_SQL + """
-SELECT count(*) AS samples, CAST(sum(churned) AS BIGINT) AS churned,
-       round(CAST(sum(churned) AS DOUBLE) / nullif(count(*), 0), 6) AS churn_rate, 49 AS feature_count
-FROM tv WHERE training_set
-"""))(lambda spark, sf: training_view(spark, sf).filter("training_set").agg(
-    F.count(F.lit(1)).alias("samples"), F.sum("churned").cast("long").alias("churned"),
-    F.round(F.sum("churned") / F.nullif(F.count(F.lit(1)), F.lit(0)), 6).alias("churn_rate"),
-    F.lit(49).alias("feature_count")))
-
-register("a26_class_weight", q(_TRAIN_SQL + """
-, r AS (SELECT CAST(sum(churned) AS DOUBLE) / count(*) AS rate FROM tv WHERE training_set)
-SELECT round(rate, 6) AS positive_rate, round((1 - rate) / nullif(rate, 0), 6) AS class_weight FROM r
-"""))(lambda spark, sf: training_view(spark, sf).filter("training_set")
-      .agg((F.sum("churned") / F.count(F.lit(1))).alias("rate"))
-      .select(F.round("rate", 6).alias("positive_rate"),
-              F.round((1 - F.col("rate")) / F.nullif(F.col("rate"), F.lit(0)), 6).alias("class_weight")))
-
-
 # -- J16: role-playing date dimension ---------------------------------------------------
 def j16(spark, sf):
     dom = domain(spark, sf)

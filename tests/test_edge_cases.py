@@ -332,3 +332,37 @@ def test_top_k_of_a_hot_key_matches_brute_force_and_is_trimmed_before_the_shuffl
     for k in got:
         exp = sorted([(v, i) for kk, v, i in rows if kk == k], key=lambda t: (-t[0], t[1]))[:4]
         assert [(v, i) for _, v, i in sorted(got[k])] == exp
+
+
+def test_medians_are_exact_on_ties_even_counts_and_far_values(spark):
+    import statistics
+
+    from leaserisk.operators import prep as PP
+
+    rnd = random.Random(12)
+    cols = {
+        "spread": [rnd.uniform(-1e9, 1e9) for _ in range(6000)], "even": [float(i) for i in range(6000)],
+        "ties": [float(rnd.choice([1, 2, 2, 2, 3])) for _ in range(6000)], "two": [0.0] * 3000 + [1.0] * 3000,
+        "far": [rnd.choice([-1.0, 1.0]) * 10.0 ** rnd.randint(-300, 300) for _ in range(6000)],
+        "holes": [None if rnd.random() < 0.5 else rnd.gauss(0, 1) for _ in range(6000)], "none": [None] * 6000}
+    df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} double" for c in cols))
+    got = PP.medians(df, list(cols)).first()
+    for c, values in cols.items():
+        own = [v for v in values if v is not None]
+        assert got[f"median_{c}"] == (statistics.median(own) if own else None), c
+
+
+def test_vocabulary_is_ranked_range_by_range(spark):
+    from leaserisk.operators import prep as PP
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abAé \u4e2d") for _ in range(rnd.randint(0, 5))) for _ in range(3000)] + [None]
+    rows = [(w, rnd.choice(words), "only") for w in words]
+    df = spark.createDataFrame(rows, "c string, d string, e string")
+    got = {(r.c, r.v): r.i for r in PP.vocabulary(df, ["c", "d", "e"], ranges=16).collect()}
+    want = {}
+    for k, c in enumerate("cde"):
+        own = sorted({r[k] for r in rows} - {None}, key=lambda w: w.encode())
+        want |= {(c, w): i for i, w in enumerate(own)}
+    assert got == want
+    assert PP.vocabulary(df.limit(0), ["c"]).collect() == []
