@@ -1,8 +1,8 @@
 """Evaluation as aggregations.
 
-Confusion counts are four ``count_if`` in one pass.  The exact AUC groups
-rows by score first (integer scores: at most 101 groups), so the only
-ordered step runs over the distinct scores, never over the rows.
+Confusion counts are four ``count_if`` in one pass.  The exact AUC and ROC
+count rows by score first; the only ordered step runs over distinct scores:
+at most 101 whole ones in one window, any others range by range.
 """
 
 from __future__ import annotations
@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaserisk.functions.stats import with_stats
+from leaserisk.session import checkpoint_dir
+
+#: Risk scores are whole numbers from 0 to this.
+TOP_SCORE = 100
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -39,27 +43,51 @@ def score_counts(df: DataFrame, score: str = "risk_score", label: str = "churned
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
-def roc_points(df: DataFrame, score: str = "risk_score", label: str = "churned") -> DataFrame:
-    """Per threshold (score >= t) the true- and false-positive rates."""
-    sc = score_counts(df, score, label)
-    w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    wt = Window.partitionBy()
-    return (sc.withColumns({"_tp": F.sum("pos").over(w), "_fp": F.sum("neg").over(w),
-                            "_P": F.sum("pos").over(wt), "_N": F.sum("neg").over(wt)})
-            .select(F.col("score").alias("threshold"), "pos", "neg",
-                    F.round(_div(F.col("_tp"), F.col("_P")), 6).alias("tpr"),
-                    F.round(_div(F.col("_fp"), F.col("_N")), 6).alias("fpr")))
-
-
-def auc(df: DataFrame, score: str = "risk_score", label: str = "churned") -> DataFrame:
-    """Exact ROC AUC with ties counted one half (Mann-Whitney form)."""
-    sc = score_counts(df, score, label)
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    s = sc.withColumn("_neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    return s.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
-                 F.sum(F.col("pos") * F.col("_neg_below") + 0.5 * F.col("pos") * F.col("neg")).alias("_u")
-                 ).select("positives", "negatives",
-                          F.round(_div(F.col("_u"), F.col("positives") * F.col("negatives")), 6).alias("auc"))
+def with_below(counts: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``score_counts`` with the positives and negatives strictly below each score (``pos_below``, ``neg_below``).
+
+    Without ``ranges`` one window runs over the scores, which must then be whole numbers from 0 to ``TOP_SCORE``
+    (anything else raises), so it sees at most 102 rows.  With ``ranges`` the scores may be any numbers, as many as there
+    are rows: they are dealt to that many ranges, written once, summed by range and inside their range.
+    A null score is below all others.
+    """
+    def upto(order):
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        return {f"{c}_below": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("pos", "neg")}
+
+    s = F.col("score")
+    if ranges is None:
+        whole = s.isNull() | (s.between(0, TOP_SCORE) & (s == F.floor(s)))
+        checked = F.when(whole, s).otherwise(F.raise_error(F.lit(f"scores must be whole and 0 to {TOP_SCORE}, or give ranges")))
+        return counts.withColumn("score", checked).withColumns(upto(Window.orderBy("score")))
+    checkpoint_dir(counts.sparkSession)
+    dealt = counts.repartitionByRange(ranges, "score").withColumn("_range", F.spark_partition_id()).checkpoint()
+    sums = dealt.groupBy("_range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))  # at most ``ranges`` rows
+    lower = sums.withColumns(upto(Window.orderBy("_range"))).select(
+        "_range", F.col("pos_below").alias("_pos"), F.col("neg_below").alias("_neg"))
+    inside = dealt.withColumns(upto(Window.partitionBy("_range").orderBy("score")))
+    return inside.join(lower, "_range").select("score", "pos", "neg", (F.col("pos_below") + F.col("_pos")).alias("pos_below"),
+                                               (F.col("neg_below") + F.col("_neg")).alias("neg_below"))
+
+
+def roc_points(df: DataFrame, score: str = "risk_score", label: str = "churned", ranges: int | None = None) -> DataFrame:
+    """Per threshold (score >= t) the true- and false-positive rates; ``ranges`` as in ``with_below``."""
+    sc = with_below(score_counts(df, score, label), ranges)
+    all_of = with_stats(sc, sc.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N")))
+    return all_of.select(F.col("score").alias("threshold"), "pos", "neg",
+                         F.round(_div(F.col("_P") - F.col("pos_below"), F.col("_P")), 6).alias("tpr"),
+                         F.round(_div(F.col("_N") - F.col("neg_below"), F.col("_N")), 6).alias("fpr"))
+
+
+def auc(df: DataFrame, score: str = "risk_score", label: str = "churned", ranges: int | None = None) -> DataFrame:
+    """Exact ROC AUC with ties counted one half (Mann-Whitney form); ``ranges`` as in ``with_below``.  Pairs are counted
+    as doubles: their number outgrows a long from some 10**9 rows on."""
+    sc = with_below(score_counts(df, score, label), ranges)
+    pos = F.col("pos").cast("double")
+    return sc.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
+                  F.sum(pos * F.col("neg_below") + 0.5 * pos * F.col("neg")).alias("_u")
+                  ).select("positives", "negatives",
+                           F.round(_div(F.col("_u"), F.col("positives").cast("double") * F.col("negatives")), 6).alias("auc"))
 
 
 def accuracy_drift(df: DataFrame, date_col: str = "outcome_date", label: str = "churned",
@@ -76,7 +104,8 @@ def grouped_auc(df: DataFrame, group: str, score: str, label: str = "label") ->
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
     below = Window.partitionBy(group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     s = counts.withColumn("_below", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
-    u = F.sum(F.col("_pos") * F.col("_below") + 0.5 * F.col("_pos") * F.col("_neg"))
+    n = F.col("_pos").cast("double")
+    u = F.sum(n * F.col("_below") + 0.5 * n * F.col("_neg"))
     pos, neg = F.sum("_pos"), F.sum("_neg")
     return s.groupBy(group).agg(pos.alias("positives"), neg.alias("negatives"),
                                 F.when((pos > 0) & (neg > 0), u / (pos.cast("double") * neg)).alias("auc"))

@@ -240,3 +240,69 @@ def test_new_files_make_new_models(spark, monkeypatch):
     assert rows() is first and not gone
     state[0] = 2
     assert rows() is not first and gone == list(first[1:])
+
+
+def test_logistic_probability_and_attribution_equal_the_formula(trained):
+    fp, _, tr, te = trained
+    model, _ = ML.fit(ML.logistic(), tr)
+    last = model.stages[-1]
+    coef, rows = last.coefficients.toArray(), ML.predict(model, te)
+    means = tr.agg(*[F.avg(c).alias(c) for c in ML.MODEL_INPUTS]).first().asDict()
+    got = ML.linear_attribution(model, means, rows, 5).select("churn_probability", "attribution", *ML.MODEL_INPUTS).collect()
+    assert got
+    for r in got:
+        x = np.array([float(r[c]) for c in ML.MODEL_INPUTS])
+        assert r.churn_probability == pytest.approx(1 / (1 + np.exp(-(x @ coef + last.intercept))), abs=1e-9)
+        part = coef * (x - np.array([means[c] for c in ML.MODEL_INPUTS]))
+        assert [abs(a.contribution) for a in r.attribution] == pytest.approx(sorted(abs(part), reverse=True)[:5], abs=1e-9)
+        for a in r.attribution:
+            assert a.contribution == pytest.approx(part[ML.MODEL_INPUTS.index(a.feature)], abs=1e-9)
+
+
+def _pairs_auc(rows):
+    low = lambda s: -np.inf if s is None else s
+    pos, neg = [low(s) for s, y in rows if y == 1], [low(s) for s, y in rows if y == 0]
+    won = sum((p > n) + .5 * (p == n) for p in pos for n in neg)
+    return won / (len(pos) * len(neg)) if pos and neg else 0.0
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_auc_and_roc_of_any_scores_equal_all_pairs(spark, ranges):
+    from leaserisk.operators import evaluate as EV
+
+    rng = np.random.default_rng(3)
+    # A third of the rows share one score; the others are all over the numbers, one in ten null.
+    rows = [(0.25 if i % 3 == 0 else None if i % 10 == 1 else float(rng.normal()) * 10.0 ** int(rng.integers(-6, 6)), int(rng.random() < .3))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "risk_score double, churned int")
+    r = EV.auc(df, ranges=ranges).first()
+    assert (r.positives, r.negatives) == (sum(y for _, y in rows), sum(1 - y for _, y in rows))
+    assert r.auc == pytest.approx(_pairs_auc(rows), abs=1e-6)
+    low = lambda s: -np.inf if s is None else s
+    points = EV.roc_points(df, ranges=ranges).collect()
+    assert len(points) == len({s for s, _ in rows})
+    for p in points:
+        assert p.tpr == pytest.approx(np.mean([low(s) >= low(p.threshold) for s, y in rows if y]), abs=1e-6)
+        assert p.fpr == pytest.approx(np.mean([low(s) >= low(p.threshold) for s, y in rows if not y]), abs=1e-6)
+
+
+def test_auc_without_ranges_takes_whole_scores_alone(spark):
+    from leaserisk.operators import evaluate as EV
+
+    rows = [(int(s), int(s) % 3 == 0) for s in np.random.default_rng(4).integers(0, 101, 200)] + [(None, True), (None, False)]
+    df = spark.createDataFrame([(s, int(y)) for s, y in rows], "risk_score int, churned int")
+    assert EV.auc(df).first().auc == pytest.approx(_pairs_auc(rows), abs=1e-6) == EV.auc(df, ranges=5).first().auc
+    assert sorted(map(tuple, EV.roc_points(df).collect()), key=str) == sorted(map(tuple, EV.roc_points(df, ranges=5).collect()), key=str)
+    for wrong in (101, -1, 0.5):
+        with pytest.raises(Exception, match="whole"):
+            EV.auc(spark.createDataFrame([(float(wrong), 1), (1.0, 0)], "risk_score double, churned int")).collect()
+
+
+def test_auc_counts_more_pairs_than_a_long_holds(spark):
+    from leaserisk.operators import evaluate as EV
+
+    many = spark.createDataFrame([(10, 0, 4 * 10 ** 9), (20, 4 * 10 ** 9, 0)], "score int, pos long, neg long")
+    sc = EV.with_below(many)
+    assert sc.filter("score = 20").first().neg_below == 4 * 10 ** 9
+    one = spark.createDataFrame([(1, 0.5, 1), (1, 0.2, 0), (2, 0.5, 1)], "g int, s double, label int")
+    assert {r.g: r.auc for r in EV.grouped_auc(one, "g", "s").collect()} == {1: 1.0, 2: None}
