@@ -281,11 +281,12 @@ FROM ws GROUP BY priority, status
 
 # -- A5 / A6 / R11 ---------------------------------------------------------------------------
 C_START, C_END = "2024-01-08 00:00:00", "2024-01-22 00:00:00"
-_CAMP_SQL = f"""
+_ACTED_SQL = """
 , cur AS (SELECT tenant_id, lease_id, renewal_status FROM d_lease
           QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY start_date DESC, lease_id DESC) = 1),
-camp AS (SELECT a.*, cur.lease_id, cur.renewal_status FROM d_action a JOIN cur ON cur.tenant_id = a.tenant_id
-         WHERE a.triggered_at >= TIMESTAMP '{C_START}' AND a.triggered_at <= TIMESTAMP '{C_END}'),
+acted AS (SELECT a.*, cur.lease_id, cur.renewal_status FROM d_action a JOIN cur ON cur.tenant_id = a.tenant_id),
+"""
+_CAMP_METRICS_SQL = """
 pl AS (SELECT c.lease_id, count(*) AS n, any_value(c.renewal_status) AS renewal_status, lp.risk_level
        FROM camp c LEFT JOIN d_lease_pred lp ON lp.lease_id = c.lease_id GROUP BY c.lease_id, lp.risk_level),
 cm AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_campaigns, count(*) AS leases_with_campaigns,
@@ -298,19 +299,30 @@ cmr AS (SELECT cm.*, CASE WHEN leases_with_campaigns > 0
                           THEN CAST(renewed_leases AS DOUBLE) / leases_with_campaigns * 100
                           ELSE CAST(0 AS DOUBLE) END AS renewal_rate FROM cm)
 """
+_CAMP_SQL = _ACTED_SQL + f"""
+camp AS (SELECT * FROM acted WHERE triggered_at >= TIMESTAMP '{C_START}' AND triggered_at <= TIMESTAMP '{C_END}'),
+""" + _CAMP_METRICS_SQL
+# Q13: a lease counts with all its actions if some action is not before the start and some, maybe another, not after the end.
+_CAMP_DOCUMENT_SQL = _ACTED_SQL + f"""
+camp AS (SELECT * FROM acted a WHERE EXISTS (SELECT 1 FROM acted b WHERE b.lease_id = a.lease_id AND b.triggered_at >= TIMESTAMP '{C_START}')
+                                 AND EXISTS (SELECT 1 FROM acted b WHERE b.lease_id = a.lease_id AND b.triggered_at <= TIMESTAMP '{C_END}')),
+""" + _CAMP_METRICS_SQL
 
 
-def _camp(spark, sf):
+def _camp(spark, sf, mode: str = "action"):
     dom = domain(spark, sf)
-    return RT.campaign_actions(RT.action_leases(dom.actions(), dom.leases()), C_START, C_END)
+    return RT.campaign_actions(RT.action_leases(dom.actions(), dom.leases()), C_START, C_END, mode)
 
 
-def _camp_metrics(spark, sf):
-    return RT.campaign_metrics(_camp(spark, sf), _lp(spark, sf))
+def _camp_metrics(spark, sf, mode: str = "action"):
+    return RT.campaign_metrics(_camp(spark, sf, mode), _lp(spark, sf))
 
 
 register("a05_campaign_metrics", q(_CAMP_SQL + "SELECT * FROM cmr"))(_camp_metrics)
 
+register("a05_campaign_metrics_document", q(_CAMP_DOCUMENT_SQL + "SELECT * FROM cmr"))(
+    lambda spark, sf: _camp_metrics(spark, sf, "document"))
+
 register("a05_campaign_by_type", q(_CAMP_SQL + """
 SELECT action_type, count(*) AS actions FROM camp GROUP BY action_type
 """))(lambda spark, sf: RT.campaign_by_type(_camp(spark, sf)))

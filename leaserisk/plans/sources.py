@@ -181,18 +181,33 @@ def s09(spark, sf):
         "lease_id", X.date_key(F.col("prediction_date")).alias("prediction_date_key"), "risk_score", "risk_level")
     path = scratch_path(spark, "s09_fact")
     IO.append_fact(h, path, "prediction_date_key", "risk_level")
-    back = spark.read.parquet(path)
-    return back.filter(F.col("month_key") == 199901).select("lease_id", "prediction_date_key", "risk_score",
-                                                            "month_key")
+    return spark.read.parquet(path).select("lease_id", "prediction_date_key", "risk_score", "risk_level", "month_key")
 
 
 register("s09_append_fact", q("""
-SELECT lease_id, CAST(strftime(prediction_date, '%Y%m%d') AS INTEGER) AS prediction_date_key, risk_score,
-       199901 AS month_key
-FROM d_hist WHERE prediction_date >= DATE '1999-01-01' AND prediction_date < DATE '1999-02-01'
+SELECT lease_id, CAST(strftime(prediction_date, '%Y%m%d') AS INTEGER) AS prediction_date_key, risk_score, risk_level,
+       CAST(strftime(prediction_date, '%Y%m') AS INTEGER) AS month_key
+FROM d_hist
 """))(s09)
 
 
+# -- S10 ---------------------------------------------------------------------------------------
+def s10(spark, sf):
+    """The leases written to and read from the full URI (scheme and authority) of a folder in the shared one, whatever
+    file system that is, appended in two halves as a stage is filled."""
+    place = IO.qualified(spark, scratch_path(spark, "s10_stage"))
+    rows = domain(spark, sf).leases().select("lease_id", "tenant_id", "property_id", "status", "monthly_rent")
+    odd = F.col("lease_id") % 2 == 1
+    for half in (rows.filter(~odd), rows.filter(odd)):
+        half.write.mode("append").parquet(place)
+    return IO.read_source(spark, "parquet", place, rows.schema)
+
+
+register("s10_object_store_paths", q("""
+SELECT lease_id, tenant_id, property_id, status, monthly_rent FROM d_lease
+"""))(s10)
+
+
 def d11(spark, sf):
     h = PR.prediction_history(domain(spark, sf)).select(
         "lease_id", X.date_key(F.col("prediction_date")).alias("prediction_date_key"), "risk_level", "risk_score")

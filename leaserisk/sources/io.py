@@ -19,6 +19,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full URI of a path; one without a scheme belongs to the cluster's default file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 # -- S1 / S2 / S3 / S4 ----------------------------------------------------------------
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with header and an explicit schema (no inference pass)."""

@@ -113,3 +113,11 @@ def test_csv_round_trip_with_schema(spark):
     back = IO.read_csv(spark, path, "lease_id long, d date, churned int")
     assert sorted(back.collect()) == sorted(df.collect())
     assert back.filter(F.col("d").isNull()).count() == 1
+
+
+def test_paths_without_a_scheme_are_qualified(spark, tmp_path):
+    assert IO.qualified(spark, str(tmp_path / "a")) == f"file:{tmp_path}/a"
+    assert IO.qualified(spark, f"file://{tmp_path}/a") == f"file:{tmp_path}/a"
+    place = IO.qualified(spark, str(tmp_path / "t"))
+    spark.range(3).write.parquet(place)
+    assert IO.path_exists(spark, place) and IO.read_source(spark, "parquet", place).count() == 3
