@@ -7,8 +7,8 @@ after another; a partition selection keeps its best k of the block, and Spark
 merges the blocks.
 
 Every query block meets every candidate block once, as an equi-join of block
-numbers; blocks have bounded rows, so tasks stay the same size as either
-table grows.
+numbers; a block's dense matrix has bounded rows and bytes, so tasks stay the
+same size as either table grows, whatever the vectors' length.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_ROWS, CANDIDATE_ROWS = 1024, 8192
+#: Most rows of a block; fewer where their matrix of longs would be over BLOCK_BYTES.  A task holds a query block, a
+#: candidate block with its postings (as large again) and 256 rows of scores: some 4 * BLOCK_BYTES in all.
+QUERY_ROWS, CANDIDATE_ROWS, BLOCK_BYTES = 4096, 16384, 32 << 20
 
 
 def weighted(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -30,7 +32,8 @@ def weighted(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     Rows whose id or vector is null, or whose vector holds a null, NaN or
     infinity, are left out.  Rows equal in id and weights are one row with
     their number; an id with different vectors keeps each.  An empty vector
-    scores zero everywhere.
+    scores zero everywhere.  A finite component whose product is beyond the
+    longs becomes the nearest long.
     """
     v = F.transform(F.col(f"`{vec_col}`"), lambda x: x.cast("double"))
     good = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -99,6 +102,11 @@ def select_best(query_ids: np.ndarray, query_copies: np.ndarray, ids: np.ndarray
     return join(out_q), join(out_v), join(out_s), join(out_n)
 
 
+def block_rows(width: int, most: int) -> int:
+    """Rows of a block of vectors with ``width`` components."""
+    return max(1, min(most, BLOCK_BYTES // (8 * max(1, width))))
+
+
 def _each(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
@@ -110,10 +118,14 @@ def exact_topk(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     that is there twice is named twice.  Rows that repeat a query id answer
     together: all their pairs with candidates are ranked under the one id, as
     a join on different ids ranks them.  Fewer than k others: all of them.  A component that one vector has and the other lacks counts as zero.
-    Either side empty: an empty result.
+    Either side empty: an empty result.  Scores are longs modulo 2**64, so a score that a long holds is exact, also
+    where partial sums are beyond it; larger ones wrap.
     """
-    n_queries, n_rows = queries.count(), candidates.count()
-    qb, cb = max(1, ceil(n_queries / QUERY_ROWS)), max(1, ceil(n_rows / CANDIDATE_ROWS))
+    size = [F.count(F.lit(1)).alias("n"), F.max(F.size("weights")).alias("width")]
+    of_queries, of_rows = queries.agg(*size).first(), candidates.agg(*size).first()
+    widest = max(of_queries["width"] or 0, of_rows["width"] or 0)
+    qb = max(1, ceil(of_queries["n"] / block_rows(widest, QUERY_ROWS)))
+    cb = max(1, ceil(of_rows["n"] / block_rows(widest, CANDIDATE_ROWS)))
     # Over k copies of a row are never named, so their product stays small.
     row = ["vec_id", "weights", F.least("copies", F.lit(k).cast("long")).alias("copies")]
     left = queries.select(*row, F.pmod(F.xxhash64("vec_id", "weights"), F.lit(qb)).alias("q"), _each(cb).alias("c"))

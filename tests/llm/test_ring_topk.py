@@ -117,3 +117,25 @@ def test_query_equals_its_sql_on_repeated_ids(spark, tmp_path):
     with duckdb.connect() as db:
         db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
         assert got == sorted(db.execute(ORACLES["op10_exact_topk"]).fetchall())
+
+
+def test_blocks_are_bounded_in_rows_and_bytes(spark, monkeypatch):
+    assert K.block_rows(0, 100) == K.block_rows(8, 100) == 100
+    for width in (1000, 5000, 10 ** 9):
+        rows = K.block_rows(width, 10 ** 6)
+        assert rows == 1 or rows * width * 8 <= K.BLOCK_BYTES
+    monkeypatch.setattr(K, "BLOCK_BYTES", 8 * 8 * 7)  # seven rows a block
+    rnd = np.random.default_rng(9)
+    rows = [(i, rnd.normal(0, .3, 8).tolist(), 0) for i in range(90)]
+    assert exact(spark, rows) == brute_topk(rows, 20)
+
+
+def test_components_and_sums_beyond_a_long(spark):
+    big = 2.0 ** 40
+    # 64 * 1e30 is beyond a long; (64 * 2**40)**2 too, but the pair's sum is zero and partial sums wrap there and back.
+    rows = [(20, [big, big], 0), (1, [big, -big], 0), (2, [1e30, -1e30], 0), (3, [1.0, 2.0], 0)]
+    got = {r["vec_id"]: r["weights"] for r in K.weighted(vectors(spark, rows)).collect()}
+    assert got[2] == [2 ** 63 - 1, -2 ** 63] and got[20] == [2 ** 46] * 2
+    score = {v: s for _, _, v, s in exact(spark, rows)}
+    wrapped = (2 ** 46 * (2 ** 63 - 1) - 2 ** 46 * 2 ** 63 + 2 ** 63) % 2 ** 64 - 2 ** 63
+    assert score == {1: 0, 2: wrapped, 3: 2 ** 46 * 192}
