@@ -6,6 +6,8 @@ import statistics
 from pyspark.sql import functions as F
 
 from leaserisk.operators import prep as PP
+from leaserisk.operators import warehouse as WH
+from leaserisk.operators.windows import asof_lookup, tasks_for
 from leaserisk.plans import ml_models as MM
 from leaserisk.sources.merge import newest
 
@@ -58,3 +60,26 @@ def test_newest_sorts_each_row_once_by_plain_keys(spark):
     plan = _plan(newest(df, ["k", "t"], None))
     assert "max_by" not in plan and "max(struct(" in plan
     assert newest(df.select("k", "t"), ["k", "t"], None).count() == 4
+
+
+def test_asof_lookup_sorts_no_scan_task_whole_and_deals_by_rows(spark):
+    facts = spark.createDataFrame([(i, k, dt.date(1999, 1, 1 + i % 28)) for i in range(90) for k in (1, 2, 3)] + [(90, None, dt.date(1999, 1, 5)), (91, 1, None)],
+                                  "id int, k int, d date")
+    rows = [(1, dt.date(1998, 12, 31), "a"), (1, dt.date(1999, 1, 9), None), (1, dt.date(1999, 1, 20), "c"), (2, dt.date(1999, 1, 14), "z"), (None, dt.date(1999, 1, 1), "n")]
+    look = spark.createDataFrame(rows, "k int, at date, x string")
+
+    def last(k, d):
+        known = [(at, x) for key, at, x in rows if key == k and d is not None and at <= d]
+        return max(known, key=lambda r: r[0])[1] if known else None
+
+    for parts in (None, 13):
+        got = asof_lookup(facts, look, "k", "d", "at", ["x"], lambda c: c, parts)
+        assert "SortAggregate" not in _plan(got)
+        found = {(r.id, r.k): (r.d, r.x) for r in got.collect()}
+        assert len(found) == 270 and all(x == last(k, d) for (_, k), (d, x) in found.items())
+        assert parts is None or "hashpartitioning(k#" in _plan(got) and f", {parts})" in _plan(got)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(spark.range(10 * n), 10) is None and tasks_for(spark.range(10 * n + 1), 10) == n + 1
+    snap = spark.createDataFrame([(k, dt.date(1999, 1, d), h) for k in (1, 2) for d in (1, 3, 3, 9) for h in (d, d + 1)], "t int, on date, h int")
+    same = [sorted(map(tuple, WH.scd2_from_history(snap, "t", "on", ["h"], p).collect())) for p in (None, 7)]
+    assert same[0] == same[1] and len(same[0]) == 6
