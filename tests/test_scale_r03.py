@@ -3,10 +3,13 @@
 import datetime as dt
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
+from leaserisk.operators import ml as ML
 from leaserisk.operators import prep as PP
 from leaserisk.operators import warehouse as WH
+from leaserisk.operators.search import partitions, run_search
 from leaserisk.operators.windows import asof_lookup, tasks_for
 from leaserisk.plans import ml_models as MM
 from leaserisk.sources.merge import newest
@@ -83,3 +86,29 @@ def test_asof_lookup_sorts_no_scan_task_whole_and_deals_by_rows(spark):
     snap = spark.createDataFrame([(k, dt.date(1999, 1, d), h) for k in (1, 2) for d in (1, 3, 3, 9) for h in (d, d + 1)], "t int, on date, h int")
     same = [sorted(map(tuple, WH.scd2_from_history(snap, "t", "on", ["h"], p).collect())) for p in (None, 7)]
     assert same[0] == same[1] and len(same[0]) == 6
+
+
+def test_training_rows_get_whole_waves_of_cores_and_folds_are_spread(spark, tmp_path):
+    assert [partitions(n, 12) for n in (0, 50_001, 319_796, 3_197_975, 19_200_000)] == [1, 2, 7, 12, 48]
+    assert partitions(3_197_975, 1) == 8 and partitions(500_000, 100) == 10
+
+
+def test_search_deals_rows_evenly_not_by_fold(spark, tmp_path, monkeypatch):
+    kept = {}
+
+    def stop(features):
+        raise RuntimeError("enough")
+
+    rows = spark.range(350_000).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label"),
+                                       F.lit(1.0).alias("weight"), (F.col("id") % 5).cast("int").alias("fold"))
+    own = type(rows)
+    real = own.persist
+    monkeypatch.setattr(own, "persist", lambda df, *level: kept.setdefault("rows", real(df, *level)))
+    monkeypatch.setattr(own, "unpersist", lambda df, *block: kept.update(
+        sizes=[r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]))
+    monkeypatch.setattr(ML, "assembler", stop)
+    with pytest.raises(RuntimeError, match="enough"):
+        run_search(rows, [{}], ML.gbt, str(tmp_path / "ledger"), ["x"], parallelism=1)
+    monkeypatch.undo()
+    kept["rows"].unpersist()
+    assert len(kept["sizes"]) == 7 and max(kept["sizes"]) < 1.1 * min(kept["sizes"])
