@@ -112,3 +112,15 @@ def test_search_deals_rows_evenly_not_by_fold(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     kept["rows"].unpersist()
     assert len(kept["sizes"]) == 7 and max(kept["sizes"]) < 1.1 * min(kept["sizes"])
+
+
+def test_held_rows_fill_every_partition_whatever_their_files(spark, monkeypatch):
+    df = spark.range(4_000).coalesce(1).withColumn("v", F.col("id") * 2.0)
+    sizes = lambda d: [r["n"] for r in d.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    monkeypatch.setattr(MM, "ROWS_PER_PARTITION", 2_000)
+    monkeypatch.setattr(MM, "_stored", lambda d, name: d.repartition(3, F.lit(1)))
+    held = MM._held(df)  # three partitions, one of them with rows
+    try:
+        assert sorted(sizes(held)) == [2_000, 2_000]
+    finally:
+        held.unpersist()
