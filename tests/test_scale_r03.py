@@ -68,11 +68,11 @@ def test_newest_sorts_each_row_once_by_plain_keys(spark):
 def test_asof_lookup_sorts_no_scan_task_whole_and_deals_by_rows(spark):
     facts = spark.createDataFrame([(i, k, dt.date(1999, 1, 1 + i % 28)) for i in range(90) for k in (1, 2, 3)] + [(90, None, dt.date(1999, 1, 5)), (91, 1, None)],
                                   "id int, k int, d date")
-    rows = [(1, dt.date(1998, 12, 31), "a"), (1, dt.date(1999, 1, 9), None), (1, dt.date(1999, 1, 20), "c"), (2, dt.date(1999, 1, 14), "z"), (None, dt.date(1999, 1, 1), "n")]
+    rows = [(1, dt.date(1998, 12, 31), "a"), (1, dt.date(1999, 1, 9), None), (1, dt.date(1999, 1, 20), "c"), (2, dt.date(1999, 1, 14), "z"), (None, dt.date(1999, 1, 1), "n"), (3, None, "never")]
     look = spark.createDataFrame(rows, "k int, at date, x string")
 
     def last(k, d):
-        known = [(at, x) for key, at, x in rows if key == k and d is not None and at <= d]
+        known = [(at, x) for key, at, x in rows if key == k and d is not None and at is not None and at <= d]
         return max(known, key=lambda r: r[0])[1] if known else None
 
     for parts in (None, 13):
