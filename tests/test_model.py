@@ -306,3 +306,66 @@ def test_auc_counts_more_pairs_than_a_long_holds(spark):
     assert sc.filter("score = 20").first().neg_below == 4 * 10 ** 9
     one = spark.createDataFrame([(1, 0.5, 1), (1, 0.2, 0), (2, 0.5, 1)], "g int, s double, label int")
     assert {r.g: r.auc for r in EV.grouped_auc(one, "g", "s").collect()} == {1: 1.0, 2: None}
+
+
+@pytest.fixture(scope="module")
+def small_rows(spark, tmp_path_factory):
+    """One stored file, so every fit reads the rows in the same order (subsampling goes by it)."""
+    import random
+
+    rnd, path = random.Random(3), str(tmp_path_factory.mktemp("rows") / "rows")
+    data = [(rnd.random(), float(rnd.randint(0, 9)), rnd.gauss(0, 1)) for _ in range(400)]
+    rows = [(*x, float(x[0] + 0.05 * x[1] + 0.5 * x[2] + rnd.gauss(0, 0.4) > 0.7), 1.0 + i % 3, i % 2) for i, x in enumerate(data)]
+    spark.createDataFrame(rows, "x double, y double, z double, label double, weight double, fold int").coalesce(1).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_points_that_differ_in_trees_alone_are_one_fit(spark, small_rows, tmp_path):
+    import json
+
+    from leaserisk.operators import search as SE
+
+    points = ML.grid_points({"max_depth": [2, 3], "step_size": [0.2], "max_iter": [6, 2, 4], "subsampling_rate": [0.7],
+                             "feature_subset": ["0.7"]})
+    fits = []
+
+    def search(ledger, some):
+        made = lambda **point: (fits.append(point["max_iter"]), ML.gbt(**point))[1]
+        found = SE.run_search(small_rows, some, made, str(tmp_path / ledger), ["x", "y", "z"], folds=2).collect()
+        assert len(found) == len(some) and {r.folds for r in found} == {2}
+        kept = spark.read.parquet(str(tmp_path / ledger)).collect()
+        assert {r.test_rows for r in kept} == {200}
+        return {(p["max_depth"], p["max_iter"], r.fold): r.auc for r in kept for p in [json.loads(r.point)]}
+
+    got = search("whole", points)
+    assert len(got) == 12 and fits == [6] * 4
+    search("begun", points[1:2])
+    assert search("begun", points) == pytest.approx(got, abs=1e-12) and sorted(fits[4:]) == [2] * 2 + [6] * 4  # two had been done
+    for i, point in enumerate(points):  # each as fits of its own
+        own = search(f"own{i}", [point])
+        assert own == pytest.approx({k: got[k] for k in own}, abs=1e-12) and fits[-2:] == [point["max_iter"]] * 2
+    assert len(set(got.values())) > 6
+
+
+def test_cut_model_is_the_smaller_fit(small_rows):
+    from pyspark.ml import Pipeline
+
+    fit = lambda n: Pipeline(stages=[ML.assembler(["x", "y", "z"]), ML.gbt(n)]).fit(small_rows)
+    large, small = fit(12), fit(4)
+    cut = ML.first_trees(large, 4)
+    debug = lambda m: [t.toDebugString.partition("\n")[2] for t in m.stages[-1].trees]
+    assert debug(cut) == debug(small) and cut.stages[-1].treeWeights == small.stages[-1].treeWeights
+    out = lambda m: sorted(map(str, m.transform(small_rows).select("x", "rawPrediction", "probability", "prediction").collect()))
+    assert out(cut) == out(small) and out(cut) != out(large)
+
+
+def test_points_of_other_estimators_keep_their_own_fits(small_rows, tmp_path):
+    from pyspark.ml.classification import LogisticRegression
+
+    from leaserisk.operators import search as SE
+
+    fits = []
+    made = lambda max_iter: (fits.append(max_iter), LogisticRegression(maxIter=max_iter))[1]
+    assert SE.run_search(small_rows, [{"max_iter": n} for n in (3, 1)], made, str(tmp_path / "ledger"), ["x", "y", "z"], folds=2).count() == 2
+    assert sorted(fits) == [1, 1, 3, 3]
+    assert ML.has_prefixes(ML.gbt(3)) and not ML.has_prefixes(ML.gbt(3, validation_col="v"))
