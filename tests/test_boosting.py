@@ -104,3 +104,22 @@ def test_what_is_not_covered_is_left_to_spark(spark):
         assert isinstance(ML.gbt(3), B.BoostedTrees) and ML.has_prefixes(ML.gbt(3))
     finally:
         rows.unpersist()
+
+
+def test_search_runs_a_fit_a_core_and_each_is_one_task(spark, monkeypatch, tmp_path):
+    from leaserisk.operators.search import run_search
+    from leaserisk.plans import ml_models as MM
+
+    asked = {}
+    monkeypatch.setattr(MM, "_prepared", lambda spark, sf: (None, None, None))
+    monkeypatch.setattr(MM, "with_folds", lambda rows: rows)
+    monkeypatch.setattr(MM, "run_search", lambda *args, **kw: asked.update(kw))
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 12)
+    MM._search(spark, "", [{}])
+    assert asked == {"folds": 5, "parallelism": 12}
+    monkeypatch.undo()
+    monkeypatch.setattr(B, "ROWS_ALONE", 100)
+    rows, tasks, keep = _rows(spark, 800, 2).drop("features").withColumn("fold", (F.col("c") % 2).cast("int")), [], B.BoostedTrees._tasks
+    monkeypatch.setattr(B.BoostedTrees, "_tasks", lambda self, points, n: tasks.append(keep(self, points, n)) or tasks[-1])
+    found = run_search(rows, [{"max_iter": 2}], ML.gbt, str(tmp_path / "l"), list("abcde"), folds=2).collect()
+    assert tasks == [1, 1] and found[0].folds == 2 and found[0].cv_auc_mean > 0.5
